@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality, simhash, wavelet
+from . import hmm, mixing, packing, quality, simhash, wavelet
 from .shared import read
 
 #: Folder of the public tokenizers' files.
@@ -30,10 +30,15 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *quality.BASE, "base_failed", F.round("score", 6).alias("score"), "kept")
 
 
+def op7_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    return hmm.score(read(spark, sf_dir, "documents"), held_out)
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.token_files(read(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json", "word", end_id=2).drop("ids")
 
 
-QUERIES = {f.__name__: f for f in (op1_pack_best_fit, op4_simhash, op5_mix_sources, op6_quality_rules, op9_token_files)}
+QUERIES = {f.__name__: f for f in (op1_pack_best_fit, op4_simhash, op5_mix_sources, op6_quality_rules, op7_hmm_scores, op9_token_files)}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -77,10 +77,9 @@ def links(fps: DataFrame, bits: int = 2, n_segments: int = 2) -> DataFrame:
     for i, (low, width, radius) in enumerate(segments(bits, n_segments)):
         key = F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << width) - 1))
         ball = [sum(1 << b for b in some) for r in range(radius + 1) for some in combinations(range(width), r)]
-        ball = [x - (1 << 64) if x >> 63 else x for x in ball]
         table.append(F.struct(F.lit(i).alias("segment"), key.alias("key")))
-        asked.append(F.transform(F.array(*[F.lit(x) for x in ball]), lambda m, i=i, key=key: F.struct(F.lit(i).alias("segment"), key.bitwiseXOR(m).alias("key"))))
-    left = fps.select(F.col("fp").alias("a"), F.explode(F.concat(*asked)).alias("k")).select("a", "k.*")
+        asked += [F.struct(F.lit(i).alias("segment"), key.bitwiseXOR(F.lit(x)).alias("key")) for x in ball]
+    left = fps.select(F.col("fp").alias("a"), F.explode(F.array(*asked)).alias("k")).select("a", "k.*")
     right = fps.select(F.col("fp").alias("b"), F.explode(F.array(*table)).alias("k")).select("b", "k.*")
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits)
     found = left.join(right, (left.segment == right.segment) & (left.key == right.key) & near)
