@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hmm, mixing, packing, quality, simhash, wavelet
+from . import hmm, mixing, packing, quality, simhash, suffixes, wavelet
 from .shared import read
 
 #: Folder of the public tokenizers' files.
@@ -39,6 +39,10 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.token_files(read(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json", "word", end_id=2).drop("ids")
 
 
-QUERIES = {f.__name__: f for f in (op1_pack_best_fit, op4_simhash, op5_mix_sources, op6_quality_rules, op7_hmm_scores, op9_token_files)}
+def op10_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(read(spark, sf_dir, "documents"), length=50, keep_text=False)
+
+
+QUERIES = {f.__name__: f for f in (op1_pack_best_fit, op4_simhash, op5_mix_sources, op6_quality_rules, op7_hmm_scores, op9_token_files, op10_repeated_strings)}
 
 ORACLE_SQL: dict[str, str] = {}
