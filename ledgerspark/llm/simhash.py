@@ -71,14 +71,21 @@ def segments(bits: int, n_segments: int) -> list[tuple[int, int, int]]:
     return [(low, high - low, r if i <= a else r - 1) for i, (low, high) in enumerate(zip(edges, edges[1:], strict=False)) if i <= a or r > 0]
 
 
+def _ball(width: int, radius: int) -> list[int]:
+    """The masks of at most `radius` of `width` bits."""
+    return [sum(1 << b for b in some) for r in range(radius + 1) for some in combinations(range(width), r)]
+
+
 def links(fps: DataFrame, bits: int = 2, n_segments: int = 2) -> DataFrame:
-    """a, b: every pair of distinct fingerprints (column fp, distinct) within `bits`."""
+    """a, b: every pair of distinct fingerprints (column fp, distinct) within `bits`.
+
+    A segment's radius is shared: the table holds the ball of its lesser half, the question asks for the other's.
+    """
     table, asked = [], []
     for i, (low, width, radius) in enumerate(segments(bits, n_segments)):
         key = F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << width) - 1))
-        ball = [sum(1 << b for b in some) for r in range(radius + 1) for some in combinations(range(width), r)]
-        table.append(F.struct(F.lit(i).alias("segment"), key.alias("key")))
-        asked += [F.struct(F.lit(i).alias("segment"), key.bitwiseXOR(F.lit(x)).alias("key")) for x in ball]
+        for side, r in ((table, radius // 2), (asked, radius - radius // 2)):
+            side += [F.struct(F.lit(i).alias("segment"), key.bitwiseXOR(F.lit(x)).alias("key")) for x in _ball(width, r)]
     left = fps.select(F.col("fp").alias("a"), F.explode(F.array(*asked)).alias("k")).select("a", "k.*")
     right = fps.select(F.col("fp").alias("b"), F.explode(F.array(*table)).alias("k")).select("b", "k.*")
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits)
@@ -98,6 +105,70 @@ def near_duplicates(docs: DataFrame, n_words: int = 3, bits: int = 2, n_segments
     return marked.join(named.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
+def _alike(pairs: DataFrame, texts: DataFrame, tables: Tables, n_words: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) of ids whose sets of word shingles have a Jaccard similarity of num/den or more; texts: id, text."""
+    pairs = tables.keep(pairs)
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+
+    def sets(batches):
+        for batch in batches:
+            found = [np.unique(shingle_hashes(x, n_words)).view(np.int64) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["id", "shingles"])
+
+    found = tables.keep(texts.join(wanted, "id", "left_semi").select("id", "text").mapInArrow(sets, "id long, shingles array<long>"))
+    both = pairs.join(found.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(found.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    return tables.keep(both.where(den * common >= num * (F.size("x") + F.size("y") - common)).select("a", "b"))
+
+
+def near_duplicate_groups(docs: DataFrame, n_words: int = 5, num: int = 4, den: int = 5, bits: int = 8, n_segments: int = 3, fingerprint_words: int = 2) -> DataFrame:
+    """doc_id, text_hash (MD5) and first (the least doc_id of its group) of every document.
+
+    Texts are linked if their sets of n_words-word shingles have a Jaccard similarity of num/den or
+    more; candidates are texts whose fingerprints (over shorter shingles, which an edit disturbs
+    less) differ in at most `bits` bits. Equal texts are one. First each text is tried with the
+    least one under each of its segments; those that match are absorbed, so that a large group of
+    near copies is a few texts when all pairs within `bits` are tried.
+    """
+    tables = Tables(docs.sparkSession, "near")
+    d = documents(docs)
+
+    def run(batches):
+        for batch in batches:
+            fps = [fingerprint(shingle_hashes(x, fingerprint_words)) for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64())], ["doc_id", "text_hash", "fp"])
+
+    marked = tables.keep(d.select("doc_id", F.md5("text").alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash string, fp long"))
+    unique = marked.groupBy("text_hash").agg(F.min("doc_id").alias("doc_id"), F.first("fp").alias("fp"))
+    unique = tables.keep(unique.withColumn("id", F.monotonically_increasing_id()))
+    texts = d.select("doc_id", "text").join(unique.select("doc_id", "text_hash", "id"), "doc_id").where(F.md5("text") == F.col("text_hash")).select("id", "text")
+
+    keys = [F.struct(F.lit(i).alias("segment"), F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << width) - 1)).alias("key")) for i, (low, width, _) in enumerate(segments(bits, n_segments))]
+    listed = unique.select("id", "fp", F.explode(F.array(*keys, F.struct(F.lit(-1).alias("segment"), F.col("fp").alias("key")))).alias("k")).select("id", "fp", "k.*")
+    least = listed.groupBy("segment", "key").agg(F.min(F.struct("id", "fp")).alias("m"), F.count("*").alias("n")).where("n > 1").select("segment", "key", "m")
+    star = listed.join(least, ["segment", "key"]).where((F.col("m.id") < F.col("id")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("m.fp"))) <= bits))
+    close = _alike(star.select(F.col("m.id").alias("a"), F.col("id").alias("b")).distinct(), texts, tables, n_words, num, den)
+    rest = tables.keep(unique.join(close.select(F.col("b").alias("id")), "id", "left_anti").select("id", "fp"))
+    pairs = links(rest.select("fp").distinct(), bits, n_segments)
+    pairs = pairs.join(rest.select(F.col("fp").alias("a"), F.col("id").alias("ia")), "a").join(rest.select(F.col("fp").alias("b"), F.col("id").alias("ib")), "b")
+    pairs = pairs.select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b")).distinct()
+    far = _alike(pairs, texts, tables, n_words, num, den)
+    roots = components(close.union(far), tables)
+    named = unique.join(roots.withColumnRenamed("v", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    first = named.groupBy("root").agg(F.min("doc_id").alias("first"))
+    named = tables.keep(named.join(first, "root").select("text_hash", "first"))
+    return marked.select("doc_id", "text_hash").join(named, "text_hash").select("doc_id", "text_hash", "first")
+
+
+def one_of_each(docs: DataFrame, text_col: str = "text", **how) -> DataFrame:
+    """docs with one document of each group of near duplicates, the one with the least doc_id. Of rows
+    that share it, or when all have none, one stays for each different text."""
+    found = near_duplicate_groups(docs.select("doc_id", F.col(text_col).alias("text")), **how)
+    stay = found.where(F.col("first").isNull() | (F.col("doc_id") == F.col("first"))).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))) == F.col("_hash"))
+    return docs.join(stay, same, "left_semi").dropDuplicates(["doc_id", text_col])
+
+
 def hex_of(fp):
     """16 lower-case hexadecimal digits of a long."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
