@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hmm, mixing, packing, quality, simhash, suffixes, wavelet
+from . import hmm, licences, lines, mixing, packing, quality, simhash, suffixes, wavelet
 from .shared import read
 
 #: Folder of the public tokenizers' files.
@@ -16,6 +16,11 @@ def op1_pack_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json", "byte", keep_ids=False)
 
 
+def op2_similar_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.matches(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_links", F.size("removed").cast("long").alias("n_removed"), F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed_lines"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"), n_words=3, bits=2, n_segments=2)
     return found.select("doc_id", simhash.hex_of("fp").alias("fingerprint"), "component_id")
@@ -35,6 +40,10 @@ def op7_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score(read(spark, sf_dir, "documents"), held_out)
 
 
+def op8_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(read(spark, sf_dir, "documents"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.token_files(read(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json", "word", end_id=2).drop("ids")
 
@@ -43,6 +52,11 @@ def op10_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(read(spark, sf_dir, "documents"), length=50, keep_text=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_pack_best_fit, op4_simhash, op5_mix_sources, op6_quality_rules, op7_hmm_scores, op9_token_files, op10_repeated_strings)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_pack_best_fit, op2_similar_lines, op4_simhash, op5_mix_sources, op6_quality_rules, op7_hmm_scores, op8_license_digests, op9_token_files, op10_repeated_strings)
+}
+
+_SPACE, _WORD = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]+"
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op8_license_digests": licences.scan_sql()}
