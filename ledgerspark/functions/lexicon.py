@@ -89,3 +89,59 @@ GENERIC_NAME_WORDS = [
 
 # Ranks of processing states, the worst highest.
 STATUS_RANKS = {"failed": 5, "needs_review": 4, "stopped": 3, "ocr": 2, "extracting": 2, "validating": 2, "queued": 1, "complete": 0, "skipped": 0}
+
+# Phrases that tell a bank statement; plain substrings.
+STATEMENT_PHRASES = [
+    "account statement", "beginning balance", "ending balance", "transaction description", "statement period", "account summary",
+    "deposits and other credits", "checks and other debits", "daily balance",
+]
+# Phrases that tell an application; with no letter or digit beside them.
+APPLICATION_PHRASES = [
+    "legal company name", "business owner information", "company information", "requested financing amount", "requested funding amount",
+    "use of funds", "average monthly revenue", "monthly credit card processing", "business start date", "ownership percentage", "% ownership",
+    "social security no", "date of birth", "incorporation state", "legal entity", "merchant application", "funding application",
+    "existing business loan", "business legal name", "legal business name", "business name", "company name", "legal/corporate name",
+    "doing business as", "federal tax id", "tax id", "social security", "birth date", "percent ownership", "% of ownership", "ownership %",
+    "credit score", "fico score", "owner information", "owner details", "principal information", "business information", "business details",
+    "home address", "state of incorporation", "type of entity", "entity type", "legal structure", "amount requested", "loan amount",
+    "funding amount", "gross annual sales", "annual revenue", "monthly sales",
+]
+MIN_SIGNALS, MIN_CHARS, OCR_CHARS = 2, 200, 50
+ENVELOPE = r"(?i)docusign|envelope id|certificate of completion|signed by:"
+PHONE_LINE = r"^(?:\+?1[\s.\-]?)?\(?[2-9]\d{2}\)?[\s.\-]?\d{3}[\s.\-]?\d{4}$"
+EMAIL_LINE = r"(?i)^[a-z0-9._%+\-]+@[a-z0-9.\-]+\.[a-z]{2,}$"
+CONTACT_LABEL = r"(?i)^(?:mobile|cell|residential|landline|home|work|business|phone|phones|email|emails|e-mail|other)$"
+
+# Banks by what their letterheads print; the earliest place wins, the order breaks ties.
+LETTERHEADS = [
+    ("Truist", ["truist"]), ("Chase", ["jpmorgan chase bank", "chase business", "printed from chase for business"]), ("Regions Bank", ["regions bank"]),
+    ("PNC Bank", ["pnc bank"]), ("Bank of America", ["bank of america"]), ("Wells Fargo", ["wells fargo"]), ("TD Bank", ["td bank"]),
+    ("U.S. Bank", ["u.s. bank", "us bank"]), ("Citizens Bank", ["citizens bank"]), ("First Citizens Bank", ["first citizens bank"]),
+    ("City National Bank", ["city national bank"]), ("M&T Bank", ["m&t bank", "m and t bank"]), ("KeyBank", ["keybank"]),
+    ("California Coast Credit Union", ["california coast credit union"]), ("BlueVine", ["bluevine"]), ("Navy Federal Credit Union", ["navy federal credit union"]),
+    ("Huntington Bank", ["huntington national bank"]), ("Fifth Third Bank", ["fifth third bank"]), ("Middlesex Federal Savings", ["middlesex federal"]),
+    ("Visions Federal Credit Union", ["visions federal credit union"]), ("Old National Bank", ["old national"]), ("KeyPoint Credit Union", ["keypoint"]),
+    ("Bluestone Federal Credit Union", ["bluestone federal"]), ("DFCU Financial Credit Union", ["the cash back"]),
+]
+TABLE_START = r"(?i)(deposits and other credits|other credits|checks and other debits|other debits|withdrawals and other debits|daily balance summary|transaction history|account activity|beginning balance|date\s+description\s+amount)"
+# Without a letterhead, in order: what the whole text has.
+BANK_MARKS = [
+    ("Regions Bank", ["1-800-regions"]), ("Wells Fargo", ["wellsfargo.com"]), ("TD Bank", ["tdbank.com"]), ("U.S. Bank", ["usbank.com"]),
+    ("Citizens Bank", ["citizensbank.com"]), ("First Citizens Bank", ["firstcitizens.com", "1-866-322-4249"]), ("City National Bank", ["cnb.com"]),
+    ("M&T Bank", ["mtb.com"]), ("KeyBank", ["key.com"]), ("California Coast Credit Union", ["calcoastcu.org", "bank name: cal coast"]), ("BlueVine", ["bluevine.com"]),
+    ("Navy Federal Credit Union", ["navyfederal.org"]), ("Huntington Bank", ["huntington.com"]), ("Fifth Third Bank", ["53.com"]),
+    ("Middlesex Federal Savings", ["middlesexfederal.com"]), ("Thomaston Savings Bank", ["thomastonsb.com"]), ("HomeTrust Bank", ["htb.com"]),
+    ("Valliance Bank", ["vbank.com"]), ("VyStar Credit Union", ["vystarcu.org"]), ("Visions Federal Credit Union", ["visionsfcu.org"]),
+    ("Carter Bank", ["carterbank.com"]), ("Southern Bank", ["bankwithsouthern.com"]), ("KeyPoint Credit Union", ["kpcu.com"]),
+    ("Bluestone Federal Credit Union", ["bluestonefcu"]), ("DFCU Financial Credit Union", ["dfcu"]), ("Commerce Bank", ["800-453-bank", "mybusiness checking"]),
+    ("Prosperity Bank", ['nyse symbol "pb"']),
+]
+TOLL_FREE = r"^(1800|1888|1877|1866|1855|1844|1833|844|888|877|866|855|833)"
+MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
+NAME_SUFFIX = r"\s+(llc|l l c|inc|incorporated|corp|corporation|ltd|limited|llp|pllc|lp|pc|company|co)$"
+TOWN = r"([A-Za-z.'\- ]{2,}?),?\s+([A-Za-z]{2})\s+\d{5}(?:-\d{4})?\b"
+FOLDER_STAMP = r"[\s_-]*\d{1,2}[_.-]\d{1,2}[_.-]\d{2,4}\s*$"
+FILENAME_NOISE = r"(?i)\b(?:use this app|application|statement|bank|jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)\b|\d+"
+GENERIC_FILENAME = r"(?i)^(?:app|apps|application|form|img|image|scan|scanned|doc|document|file|copy|signed|final|summary|mtd|new|submission)(?:\s+(?:app|copy|signed|final))*$"
+PHONES = r"(?:\+?1[\s.\-]?)?\(?[2-9]\d{2}\)?[\s.\-]?[2-9]\d{2}[\s.\-]?\d{4}"
+EMAILS = r"[a-z0-9._%+\-]+@[a-z0-9.\-]+\.[a-z]{2,}"
