@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hmm, licences, lines, mixing, packing, quality, simhash, suffixes, wavelet
+from . import hmm, licences, lines, media, mixing, packing, quality, simhash, suffixes, wavelet
 from .shared import read
 
 #: Folder of the public tokenizers' files.
@@ -21,6 +21,11 @@ def op2_similar_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_links", F.size("removed").cast("long").alias("n_removed"), F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed_lines"))
 
 
+def op3_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = media.copies(media.page_images(read(spark, sf_dir, "pages")))
+    return found.withColumnRenamed("image_id", "page_id")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"), n_words=3, bits=2, n_segments=2)
     return found.select("doc_id", simhash.hex_of("fp").alias("fingerprint"), "component_id")
@@ -54,7 +59,7 @@ def op10_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_pack_best_fit, op2_similar_lines, op4_simhash, op5_mix_sources, op6_quality_rules, op7_hmm_scores, op8_license_digests, op9_token_files, op10_repeated_strings)
+    for f in (op1_pack_best_fit, op2_similar_lines, op3_image_copies, op4_simhash, op5_mix_sources, op6_quality_rules, op7_hmm_scores, op8_license_digests, op9_token_files, op10_repeated_strings)
 }
 
 _SPACE, _WORD = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]+"
