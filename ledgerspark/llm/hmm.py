@@ -167,7 +167,16 @@ def score(docs: DataFrame, held_out, states: int = 12, head: int = 16_384, looku
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     counts = tables.keep(word_counts(d.where(~F.col("held_out"))))
     n_all, n_words = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = [(w.encode(), n) for w, n in counts.orderBy(F.desc("n"), "word").limit(lookup).collect()]  # `lookup` rows at most
+    # Words down to a count that at most `lookup` words reach: counts fall into a few hundred classes first.
+    size_class = F.floor(F.log2("n") * 8)
+    found, least = 0, None
+    for k, words in counts.groupBy(size_class.alias("k")).agg(F.count("*")).orderBy(F.desc("k")).collect():
+        found += words
+        if found > lookup:
+            break
+        least = k
+    frequent = counts.where((F.col("word") == END) | (size_class >= least if least is not None else F.lit(False)))
+    top = sorted(((w.encode(), n) for w, n in frequent.collect()), key=lambda x: (-x[1], x[0]))
     ids = {w: i + 1 for i, (w, _) in enumerate(top[:head])}
     end_id = ids.setdefault(b" ", len(ids) + 1)
     size = len(ids) + 1
