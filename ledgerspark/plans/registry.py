@@ -1,9 +1,9 @@
 """The registered queries and, where DuckDB can run them, their SQL."""
 
-from . import lead_queries, ledger_queries, text_queries
+from . import lead_queries, ledger_queries, stream_queries, text_queries
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for _part in (ledger_queries, text_queries, lead_queries):
+for _part in (ledger_queries, text_queries, lead_queries, stream_queries):
     QUERIES |= _part.QUERIES
     ORACLE_SQL |= _part.ORACLE_SQL
