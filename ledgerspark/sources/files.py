@@ -15,7 +15,7 @@ def extension(path: Column) -> Column:
 
 
 def read_files(spark: SparkSession, folder: str) -> DataFrame:
-    """path, length, content of the documents below a folder; arrival order is the order of paths."""
+    """path, length, content of the documents below a folder; arrival order is the order of paths. Spark's reader lists no empty files."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     return files.where(extension(F.col("path")).isin(*KINDS)).select("path", "length", "content")
 
