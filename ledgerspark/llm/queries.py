@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hmm, licences, lines, media, mixing, packing, quality, simhash, suffixes, wavelet
+from . import hmm, licences, lines, media, mixing, oracles, packing, quality, simhash, suffixes, wavelet
 from .shared import read
 
 #: Folder of the public tokenizers' files.
@@ -62,6 +62,4 @@ QUERIES = {
     for f in (op1_pack_best_fit, op2_similar_lines, op3_image_copies, op4_simhash, op5_mix_sources, op6_quality_rules, op7_hmm_scores, op8_license_digests, op9_token_files, op10_repeated_strings)
 }
 
-_SPACE, _WORD = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]+"
-
-ORACLE_SQL: dict[str, str] = {"op8_license_digests": licences.scan_sql()}
+ORACLE_SQL: dict[str, str] = oracles.ORACLE_SQL
