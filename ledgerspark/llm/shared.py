@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,6 +48,13 @@ class Tables:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path), path
 
+    def release(self) -> None:
+        """Has Spark delete shuffle files of finished jobs: its cleaner follows the driver's garbage collection."""
+        for _ in range(2):  # the first lets go of what Python held
+            gc.collect()
+            self.spark._jvm.System.gc()
+            time.sleep(0.2)
+
     def drop(self, path: str) -> None:
         """Deletes a table that nothing reads any more."""
         jvm = self.spark._jvm

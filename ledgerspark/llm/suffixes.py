@@ -63,11 +63,13 @@ def _induce(text: np.ndarray, s_type: np.ndarray, lms: np.ndarray, sizes: np.nda
     n = len(text)
     heads, ends = _starts(sizes), np.cumsum(sizes)
     array = np.full(n, -1, np.int64)
+    if len(sizes) < 1 << 16:
+        text = text.astype(np.uint16)  # such keys are sorted by radix
 
-    order, rank = _place(text[lms])
-    by_letter = lms[order]
-    letters = text[by_letter]
-    lms_from, lms_to = np.searchsorted(letters, np.arange(len(sizes)), "left"), np.searchsorted(letters, np.arange(len(sizes)), "right")
+    by_letter = lms[np.argsort(text[lms], kind="stable")]
+    of_letter = np.bincount(text[by_letter], minlength=len(sizes))
+    lms_to = np.cumsum(of_letter)
+    lms_from = lms_to - of_letter
 
     # L from left to right: each bucket's L suffixes stand before its S suffixes.
     free = heads.copy()
@@ -105,7 +107,6 @@ def _induce(text: np.ndarray, s_type: np.ndarray, lms: np.ndarray, sizes: np.nda
             now, seen = array[free[c] + 1 : seen + 1][::-1].copy(), free[c]
             put(now, True, -1)
         put(array[heads[c] : l_ends[c]][::-1].copy(), True, -1)
-    del rank
     return array
 
 
@@ -176,22 +177,22 @@ def _ranked(names: np.ndarray, count: int) -> np.ndarray:
         k *= 2
 
 
-def common_prefixes(text: np.ndarray, array: np.ndarray, most: int) -> np.ndarray:
-    """PLCP: for each text position, the bytes shared with the suffix before it in the array, up to most."""
-    n = len(text)
+def common_prefixes(raw: bytes, array: np.ndarray, most: int) -> np.ndarray:
+    """PLCP: for each position of raw, the bytes shared with the suffix before it in the array, up to most; eight at a time."""
+    n = len(raw)
     before = np.full(n, -1, np.int64)
     before[array[1:]] = array[:-1]
     out = np.zeros(n, np.int64)
+    words = np.ndarray(n + most + 8, "<u8", raw + bytes(most + 16), strides=(1,))
     still = np.flatnonzero(before >= 0)
-    padded = np.concatenate((text, np.full(most + 1, -1, text.dtype)))
-    for k in range(most):
-        a, b = still + k, before[still] + k
-        same = (padded[a] == padded[b]) & (a < n) & (b < n)
+    for k in range(0, most, 8):
+        differ = words[still + k] ^ words[before[still] + k]
+        same = differ == 0
+        out[still] = k + np.where(same, 8, np.bitwise_count((differ & (~differ + np.uint64(1))) - np.uint64(1)) >> 3)
         still = still[same]
         if not len(still):
             break
-        out[still] = k + 1
-    return out
+    return np.minimum(np.minimum(out, most), n - np.maximum(np.arange(n), before))
 
 
 # -- anchors and pieces -------------------------------------------------------------------------
@@ -207,15 +208,24 @@ def _slide(values: np.ndarray, width: int, least) -> np.ndarray:
 
 
 def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
-    """A 63-bit hash of each string of gram bytes (a power of two)."""
+    """A 63-bit hash of each string of gram bytes, put together from strings of powers of two."""
+    n = len(data) - gram + 1
     h, size, base = data.astype(np.uint64) + np.uint64(1), 1, 0x9E3779B97F4A7C15
-    while size < gram:
+    out, done = None, 0
+    while True:
+        if gram & size:
+            part = h[done : done + n]
+            out = part.copy() if out is None else out * np.uint64(0xD6E8FEB86659FD93) + part
+            out ^= out >> np.uint64(32)
+            done += size
+        if 2 * size > gram:
+            break
         h = h[:-size] * np.uint64(base) + h[size:]
         h ^= h >> np.uint64(29)
         base = (base * 0xBF58476D1CE4E5B9 | 1) & (1 << 64) - 1
         size *= 2
-    h *= np.uint64(0x94D049BB133111EB)
-    return (h ^ (h >> np.uint64(31))) >> np.uint64(1)
+    out *= np.uint64(0x94D049BB133111EB)
+    return (out ^ (out >> np.uint64(31))) >> np.uint64(1)
 
 
 def windows(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -302,13 +312,14 @@ def _sorted_shard(table: pa.Table, length: int) -> pa.Table:
     """The windows of a shard's pieces that a piece with a smaller least document has too, by suffix array."""
     parts, ids, lows, marks = table["piece"].to_pylist(), table["piece_id"].to_numpy(), table["low"].to_numpy(), table["anchor"].to_numpy()
     sizes = np.array([len(x) for x in parts])
-    text = np.frombuffer(b"".join(x + b"\0" for x in parts), np.uint8).astype(np.int64) + 1
+    raw = b"".join(x + b"\0" for x in parts)
+    text = np.frombuffer(raw, np.uint8).astype(np.int64) + 1
     ends = np.cumsum(sizes + 1) - 1
     text[ends] = 0  # below all bytes
     owner = np.repeat(np.arange(len(parts)), sizes + 1)
     array = suffix_array(text, 257)
     whole = np.arange(len(text)) + length <= ends[owner]  # a window inside its piece
-    group = np.cumsum(common_prefixes(text, array, length)[array] < length) - 1
+    group = np.cumsum(common_prefixes(raw, array, length)[array] < length) - 1
     group, at = group[whole[array]], array[whole[array]]
     low = np.full(len(text), LAST, np.int64)
     np.minimum.at(low, group, lows[owner[at]])
@@ -317,7 +328,7 @@ def _sorted_shard(table: pa.Table, length: int) -> pa.Table:
     return pa.table({"anchor": marks[own], "piece_id": ids[own], "at": at - _starts(sizes + 1)[own]})
 
 
-def repeats(docs: DataFrame, length: int = 50, gram: int = 16, shard_pieces: int = 20_000, bucket_anchors: int = 1_500_000, docs_held: int = 8_000) -> tuple[DataFrame, DataFrame]:
+def repeats(docs: DataFrame, length: int = 50, gram: int = 24, shard_pieces: int = 20_000, bucket_anchors: int = 1_500_000, docs_held: int = 8_000) -> tuple[DataFrame, DataFrame]:
     """(names, spans): names has doc_id, key, n_bytes, sha256 (of the text) and copy of every document, spans has
     key and found: the windows to remove of texts that aren't copies as a whole.
 
@@ -334,6 +345,7 @@ def repeats(docs: DataFrame, length: int = 50, gram: int = 16, shard_pieces: int
     # One text of each group of copies from here on.
     shared = shared.join(first.select(F.col("first_key").alias("key")), "key", "left_semi")
     shared = tables.keep(shared.groupBy("key").agg(F.collect_list("anchors").alias("anchors")))
+    tables.release()
 
     def pieces(batches):
         for batch in batches:
@@ -351,11 +363,17 @@ def repeats(docs: DataFrame, length: int = 50, gram: int = 16, shard_pieces: int
 
     cut = d.join(shared, "key")
     cut = cut.select("key", "doc", "text", "anchors").mapInArrow(pieces, "key long, doc long, start long, anchor long, piece binary")
-    cut = tables.keep(cut.withColumn("piece_id", F.xxhash64("anchor", "piece")))
+    cut = cut.select("key", "doc", "start", F.length("piece").cast("long").alias("size"), "anchor", F.xxhash64("anchor", "piece").alias("piece_id"))
+    cut, cut_at = tables.keep_at(cut)
+    tables.release()
     # Equal pieces are one, with their least document; an anchor with one piece alone needs no sorting.
-    kinds = tables.keep(cut.groupBy("anchor", "piece_id").agg(F.min("doc").alias("low"), F.first("piece").alias("piece"), F.max("doc").alias("high")))
+    kinds = cut.groupBy("anchor", "piece_id").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.min(F.struct("key", "start", "size")).alias("place"))
+    kinds, kinds_at = tables.keep_at(kinds)
     many = kinds.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
-    mixed = tables.keep(kinds.join(many, "anchor"))
+    places = kinds.join(many, "anchor").groupBy("place.key").agg(F.collect_list(F.struct("anchor", "piece_id", "low", "n", "place.start", "place.size")).alias("some"))
+    mixed = d.select("key", "text").join(places, "key").select("text", F.explode("some").alias("x")).select("x.*", F.expr("substring(text, cast(x.start + 1 as int), cast(x.size as int))").alias("piece")).drop("start", "size")
+    mixed, mixed_at = tables.keep_at(mixed.dropDuplicates(["anchor", "piece_id"]))
+    tables.release()
     shards = max(1, -(-mixed.count() // shard_pieces))
     small = mixed.where(F.col("n") <= shard_pieces).select(F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"), "anchor", "piece", "piece_id", "low")
     told = small.groupBy("shard").applyInArrow(lambda x: _sorted_shard(x, length), "anchor long, piece_id long, at long")
@@ -372,12 +390,16 @@ def repeats(docs: DataFrame, length: int = 50, gram: int = 16, shard_pieces: int
     told = told.unionByName(hot).groupBy("anchor", "piece_id").agg(F.collect_set("at").alias("ats"))
     # A piece is covered whole in documents after its least; in that one, where the shards tell.
     known = kinds.where("low < high").select("anchor", "piece_id", "low").join(told, ["anchor", "piece_id"], "full_outer")
-    marked = cut.select("key", "doc", "start", F.length("piece").cast("long").alias("size"), "anchor", "piece_id").join(known, ["anchor", "piece_id"])
+    marked = cut.join(known, ["anchor", "piece_id"])
     marked = marked.select("key", "start", F.when(F.col("low") < F.col("doc"), F.col("size")).alias("size"), "ats").where("size is not null or ats is not null")
     spans = marked.distinct().groupBy("key").agg(F.collect_list(F.struct("start", "size", F.when(F.col("size").isNull(), F.col("ats")).alias("ats"))).alias("found"))
     names = names.join(first, "sha256", "left")
     names = names.select("doc_id", "key", "n_bytes", "sha256", (F.coalesce("first_doc", "doc") < F.col("doc")).alias("copy"), F.coalesce("first_key", "key").alias("first_key"))
-    return names, tables.keep(spans)
+    spans = tables.keep(spans)
+    for path in (cut_at, kinds_at, mixed_at):
+        tables.drop(path)
+    tables.release()
+    return names, spans
 
 
 def _runs(found, length: int) -> list[tuple[int, int]]:
@@ -397,7 +419,7 @@ def _runs(found, length: int) -> list[tuple[int, int]]:
     return out
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 16, keep_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 24, keep_text: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with keep_text, kept (binary) of every document."""
     names, spans = repeats(docs, length, gram)
 
