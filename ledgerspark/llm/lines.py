@@ -7,7 +7,7 @@ whether or not the earlier one is removed itself. Lines without a word stay.
 Equal sets are one class with its first place, so copies are never paired. Words are ordered by
 rarity (their count, through a table of hashed counts of bounded size, ties by hash); each class is
 listed under the words of its prefix, without words that occur once. The join of these lists applies the
-length and positional filters; what is left is verified on the lines' words.
+length and positional filters and one on hashed parities of the words (which can't drop a match); what is left is verified on the lines' words.
 
 Defined cases: a null or empty text has no lines; a null doc_id stands after all numbers; rows equal
 in doc_id and text stand at one place and are judged alike; an empty table gives no rows; extra
@@ -16,35 +16,90 @@ columns are ignored or, in dedup_lines, kept.
 
 from __future__ import annotations
 
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import Tables, documents
 
 LAST = (1 << 63) - 1
-LINES = "doc_id long, doc long, key long, lines array<struct<at:int,hi:long,lo:long,size:int,prefix:array<long>>>"
+LINES = "doc_id long, doc long, key long, lines array<struct<at:int,hi:long,lo:long,size:int,sign:long,prefix:array<long>>>"
 
 
-def _counts(batches, buckets: int, most: int = 400_000):
-    """Words' counts by the bucket of their hash; a task holds so many words at a time."""
-    counts: Counter = Counter()
+_MIX = [np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
+_BASE = 0x9E3779B97F4A7C15
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+
+
+def _mixed(h: np.ndarray, one: int = 0, two: int = 1) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * _MIX[one]
+    h = (h ^ (h >> np.uint64(27))) * _MIX[two]
+    return h ^ (h >> np.uint64(31))
+
+
+class _Powers:
+    """Powers of an odd number and of its inverse modulo 2^64, as many as asked for."""
+
+    up = down = np.ones(1, np.uint64)
+
+    @classmethod
+    def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(cls.up) < n:
+            size = 1 << (n - 1).bit_length()
+            steps = [np.full(size, x, np.uint64) for x in (_BASE, pow(_BASE, -1, 1 << 64))]
+            for x in steps:
+                x[0] = 1
+            cls.up, cls.down = (np.cumprod(x, dtype=np.uint64) for x in steps)
+        return cls.up[:n], cls.down[:n]
+
+
+def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the words of raw (A-Z as lower case): 64-bit hash and first byte; and the places of line ends.
+
+    The hash is a polynomial of the bytes modulo 2^64, from running sums over all of raw, then mixed."""
+    data = np.frombuffer(raw.lower(), np.uint8)
+    blank = np.concatenate(([True], _BLANK[data], [True]))
+    edge = np.flatnonzero(blank[1:] != blank[:-1])
+    starts, ends = edge[::2], edge[1::2]
+    up, down = _Powers.of(len(data) + 1)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], dtype=np.uint64)))
+    return _mixed((sums[ends] - sums[starts]) * down[starts]), starts, np.flatnonzero(data == 10)
+
+
+def _joined(texts: list[str], most: int = 2_000_000):
+    """Texts one after another, a line end after each, in parts of about so many bytes: the bytes and their number of texts."""
+    parts, size = [], 0
+    for text in texts:
+        parts.append(text.encode())
+        size += len(parts[-1])
+        if size >= most:
+            yield b"\n".join(parts) + b"\n", parts
+            parts, size = [], 0
+    if parts:
+        yield b"\n".join(parts) + b"\n", parts
+
+
+def _counts(batches, buckets: int, most: int = 4_000_000):
+    """Words' counts by the bucket of their hash, so many words at a time."""
+    held, size = [], 0
 
     def told():
-        h = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in counts), np.int64, len(counts))
-        return pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.fromiter(counts.values(), np.int64, len(counts)))], ["bucket", "n"])
+        found, n = np.unique(np.concatenate(held) % np.uint64(buckets), return_counts=True)
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(n.astype(np.int64))], ["bucket", "n"])
 
     for batch in batches:
-        for text in batch.column(0).to_pylist():
-            counts.update(text.encode().lower().split())
-            if len(counts) > most:
+        for raw, _ in _joined(batch.column(0).to_pylist()):
+            held.append(word_hashes(raw)[0])
+            size += len(held[-1])
+            if size >= most:
                 yield told()
-                counts.clear()
-    yield told()
+                size = 0
+    if held:
+        yield told()
 
 
 def rarity(docs: DataFrame, buckets: int) -> np.ndarray:
@@ -57,41 +112,47 @@ def rarity(docs: DataFrame, buckets: int) -> np.ndarray:
     return codes
 
 
+def _lines_of(raw: bytes, parts: list[bytes], codes: np.ndarray, num: int, den: int) -> pa.Array:
+    """The array of lines of each of the texts in raw (see _joined)."""
+    h, starts, line_ends = word_hashes(raw)
+    keys = codes[(h % np.uint64(len(codes))).astype(np.int64)].astype(np.int64) << 55 | (h >> np.uint64(9)).astype(np.int64)
+    line = np.searchsorted(line_ends, starts)
+    # Distinct keys of each line in order: by key, then (stable) by line.
+    order = np.argsort(keys, kind="stable")
+    order = order[np.argsort(line[order].astype(np.uint16 if len(line_ends) < 1 << 16 else np.int64), kind="stable")]
+    keys, line = keys[order], line[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (line[1:] != line[:-1])
+    flat, line = keys[new], line[new]
+    lines, starts, n = np.unique(line, return_index=True, return_counts=True)
+    last_line = np.cumsum([x.count(b"\n") + 1 for x in parts])
+    owner = np.searchsorted(last_line, lines, side="right")
+    at = lines - np.concatenate(([0], last_line))[owner]
+    per_text = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(parts)))))
+    bits = flat.view(np.uint64)
+    hi, lo, signs = (np.add.reduceat(_mixed(bits, 2, 1), starts), np.add.reduceat(_mixed(bits, 3, 0), starts), np.bitwise_xor.reduceat(np.left_shift(np.uint64(1), bits & np.uint64(63)), starts)) if len(n) else (bits, bits, bits)
+    # The prefix, as far as its last word that occurs twice or more; once-words in between leave a hole.
+    place = np.arange(len(flat)) - np.repeat(starts, n)
+    inside = (place < np.repeat(n - -(-num * n // den) + 1, n)) & np.repeat(n >= num, n)  # smaller sets match their equals alone
+    listed = inside & (flat >> 55 > 1)
+    length = np.maximum.reduceat(np.where(listed, place + 1, 0), starts) if len(n) else n
+    take = place < np.repeat(length, n)
+    prefix = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(length))), pa.int32()), pa.array(np.where(listed, flat, -1)[take], pa.int64()))
+    columns = [pa.array(at, pa.int32()), *[pa.array(x.view(np.int64)) for x in (hi, lo)], pa.array(n, pa.int32()), pa.array(signs.view(np.int64)), prefix]
+    return pa.ListArray.from_arrays(pa.array(per_text, pa.int32()), pa.StructArray.from_arrays(columns, ["at", "hi", "lo", "size", "sign", "prefix"]))
+
+
 def _classes(docs: DataFrame, codes, num: int, den: int) -> DataFrame:
-    """Each document's lines with a word: place, the set's 128-bit hash, its size and its prefix."""
+    """Each document's lines with a word: place, the set's 128-bit hash (a sum over its words), size, sign (its words' hashed
+    parities, a bit each) and prefix. Sets are compared by their words' 55-bit hashes here."""
 
     def run(batches):
-        table, known = codes.value, {}
         for batch in batches:
-            out = []
-            for text in batch.column(3).to_pylist():
-                found = []
-                for at, line in enumerate(text.encode().lower().split(b"\n")):
-                    words = set(line.split())
-                    if not words:
-                        continue
-                    n = len(words)
-                    h = xxhash.xxh3_128_intdigest(b" ".join(sorted(words)))
-                    prefix: list[int] = []
-                    if n >= num:  # smaller sets match their equals alone
-                        keys = []
-                        for w in words:
-                            k = known.get(w)
-                            if k is None:
-                                x = xxhash.xxh3_64_intdigest(w)
-                                k = known[w] = int(table[x % len(table)]) << 55 | x >> 9
-                            keys.append(k)
-                        keys.sort()
-                        # A word's place in the order is what the positional filter needs, so once-words leave a hole.
-                        prefix = [k if k >> 55 > 1 else -1 for k in keys[: n - -(-num * n // den) + 1]]
-                        while prefix and prefix[-1] == -1:
-                            prefix.pop()
-                    found.append({"at": at, "hi": (h >> 64) - (1 << 63), "lo": (h & (1 << 64) - 1) - (1 << 63), "size": n, "prefix": prefix})
-                if len(known) > 300_000:
-                    known.clear()
-                out.append(found)
-            kind = pa.list_(pa.struct([("at", pa.int32()), ("hi", pa.int64()), ("lo", pa.int64()), ("size", pa.int32()), ("prefix", pa.list_(pa.int64()))]))
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(3)], pa.array(out, kind)], ["doc_id", "doc", "key", "lines"])
+            done = 0
+            for raw, parts in _joined(batch.column(3).to_pylist()):
+                some = batch.slice(done, len(parts))
+                done += len(parts)
+                yield pa.RecordBatch.from_arrays([*[some.column(j) for j in range(3)], _lines_of(raw, parts, codes.value, num, den)], ["doc_id", "doc", "key", "lines"])
 
     return docs.select("doc_id", "doc", "key", "text").mapInArrow(run, LINES)
 
@@ -100,60 +161,68 @@ def _keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return documents(docs, id_col, text_col).select("doc_id", F.coalesce("doc_id", F.lit(LAST)).alias("doc"), F.xxhash64("doc_id", "text").alias("key"), "text")
 
 
-def matches(docs: DataFrame, num: int = 4, den: int = 5, buckets: int = 1 << 23) -> DataFrame:
-    """doc_id, key, n_lines (with a word), n_links (classes similar to its lines' classes) and removed
-    (places of the lines to remove, from 0 in order) of every document."""
-    spark, tables = docs.sparkSession, Tables(docs.sparkSession, "lines")
-    d = _keyed(docs)
-    codes = spark.sparkContext.broadcast(rarity(d, buckets))  # a byte for each bucket
-    lines = tables.keep(_classes(d, codes, num, den))
-    each = lines.select("doc", "key", F.explode("lines").alias("x")).select("doc", "key", "x.*")
-    classes = each.groupBy("hi", "lo").agg(F.min(F.struct("doc", "key", "at")).alias("first"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("prefix").alias("prefix"))
-    classes = tables.keep(classes.withColumn("id", F.monotonically_increasing_id()))
-    listed = classes.select("id", "size", F.posexplode("prefix").alias("place", "word")).where("word >= 0")
-    a, b = (listed.select("word", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "size", "place")]) for x in "ab")
-    need = F.ceil(num * (F.col("size_a") + F.col("size_b")) / (num + den))  # words in common
-    near = (F.col("id_a") < F.col("id_b")) & (num * F.col("size_a") <= den * F.col("size_b")) & (num * F.col("size_b") <= den * F.col("size_a"))
-    near &= F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b")) >= need
-    pairs = tables.keep(a.join(b, (a.word == b.word) & near).select("id_a", "id_b").distinct())
-
-    # The lines of the classes in question, from the texts.
-    wanted = pairs.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct().join(classes.select("id", "first.key", "first.at"), "id")
+def _alike(pairs: DataFrame, classes: DataFrame, docs: DataFrame, tables: Tables, num: int, den: int) -> DataFrame:
+    """id of every class b for which a pair (a, b) of classes is alike; the lines come from the texts."""
+    pairs = tables.keep(pairs.distinct())
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(classes.select("id", "first.key", "first.at"), "id")
     wanted = wanted.groupBy("key").agg(F.collect_list(F.struct("at", "id")).alias("wanted"))
-    text = d.join(wanted, "key").select(F.split("text", "\n").alias("parts"), F.explode("wanted").alias("w")).select("w.id", F.get("parts", F.col("w.at")).alias("line"))
+    text = docs.select("key", "text").join(wanted, "key").select(F.split("text", "\n").alias("parts"), F.explode("wanted").alias("w")).select("w.id", F.get("parts", F.col("w.at")).alias("line"))
     text = tables.keep(text)
-    both = pairs.join(text.select(F.col("id").alias("id_a"), F.col("line").alias("line_a")), "id_a").join(text.select(F.col("id").alias("id_b"), F.col("line").alias("line_b")), "id_b")
+    tables.release()
+    both = pairs.join(text.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(text.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
 
     def verified(batches):
         for batch in batches:
             good = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for x, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 x, y = set(x.encode().lower().split()), set(y.encode().lower().split())
                 common = len(x & y)
                 good.append(den * common >= num * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["id_a", "id_b"]).filter(pa.array(good, pa.bool_()))
-
-    links = both.select("id_a", "id_b", "line_a", "line_b").mapInArrow(verified, "id_a long, id_b long").distinct()
-    links = links.select(F.explode(F.array(F.struct(F.col("id_a").alias("id"), F.col("id_b").alias("other")), F.struct(F.col("id_b").alias("id"), F.col("id_a").alias("other")))).alias("x")).select("x.*")
-    linked = links.join(classes.select(F.col("id").alias("other"), "first"), "other").groupBy("id").agg(F.count("*").alias("links"), F.min("first").alias("near"))
-    told = classes.join(linked, "id", "left").select("hi", "lo", "n", F.coalesce("links", F.lit(0)).alias("links"), F.least("first", F.coalesce("near", "first")).alias("earliest"))
-    told = told.where("n > 1 or links > 0")
-    seen = each.select("doc", "key", "at", "hi", "lo").join(told, ["hi", "lo"])
-    seen = seen.select("key", F.struct("at", "links", (F.col("earliest") < F.struct("doc", "key", "at")).alias("later")).alias("x"))
-    seen = seen.groupBy("key").agg(F.collect_set("x").alias("found"))  # one document's lines
-    out = lines.select("doc_id", "key", F.size("lines").alias("n_lines")).join(seen, "key", "left")
-    return out.select(
-        "doc_id", "key", F.col("n_lines").cast("long").alias("n_lines"),
-        F.expr("coalesce(aggregate(found, 0L, (s, x) -> s + x.links), 0L)").alias("n_links"),
-        F.expr("coalesce(array_sort(transform(filter(found, x -> x.later), x -> x.at)), cast(array() as array<int>))").alias("removed"),
-    )
+            yield pa.RecordBatch.from_arrays([batch.column(0)], ["id"]).filter(pa.array(good, pa.bool_()))
+
+    return tables.keep(both.select("b", "x", "y").mapInArrow(verified, "id long").distinct())
+
+
+def matches(docs: DataFrame, num: int = 4, den: int = 5, buckets: int = 1 << 23) -> DataFrame:
+    """doc_id, key, n_lines (with a word) and removed (places of the lines to remove, from 0 in order) of every document.
+
+    Classes are numbered in the order of their first places. First each meets the earliest class under
+    each word of its prefix; most of a large group of near copies find their match there. Only the rest is
+    joined with all earlier classes, so the pairs don't grow with the square of such a group."""
+    spark, tables = docs.sparkSession, Tables(docs.sparkSession, "lines")
+    d = _keyed(docs)
+    codes = spark.sparkContext.broadcast(rarity(d, buckets))  # a byte for each bucket
+    lines = tables.keep(_classes(d, codes, num, den))
+    each = lines.select("doc", "key", F.explode("lines").alias("x")).select("doc", "key", "x.*")
+    classes = each.groupBy("hi", "lo").agg(F.min(F.struct("doc", "key", "at")).alias("first"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("sign").alias("sign"), F.first("prefix").alias("prefix"))
+    classes = tables.keep(classes.orderBy("first").withColumn("id", F.monotonically_increasing_id()))
+    tables.release()
+    listed = classes.select("id", "size", "sign", F.posexplode("prefix").alias("place", "word")).where("word >= 0")
+    size, other = F.col("size"), F.col("m.size")
+    need = F.ceil(num * (size + other) / (num + den))  # words in common
+    near = (F.col("m.id") < F.col("id")) & (num * size <= den * other) & (num * other <= den * size)
+    near &= F.least(size - F.col("place"), other - F.col("m.place")) >= need
+    # Words that only one of the two has number at least the bits in which their signs differ.
+    near &= F.bit_count(F.col("sign").bitwiseXOR(F.col("m.sign"))) <= size + other - 2 * need
+    one = listed.select("word", F.struct("id", "size", "sign", "place").alias("m"))
+    earliest = one.groupBy("word").agg(F.min("m").alias("m"))
+    star = listed.join(earliest, "word").where(near).select(F.col("m.id").alias("a"), F.col("id").alias("b"))
+    matched = _alike(star, classes, d, tables, num, den)
+    rest = listed.join(matched, "id", "left_anti")
+    pairs = rest.join(one.withColumnRenamed("word", "w"), (F.col("word") == F.col("w")) & near).select(F.col("m.id").alias("a"), F.col("id").alias("b"))
+    matched = matched.union(_alike(pairs, classes, d, tables, num, den)).withColumn("matched", F.lit(True))
+    told = classes.select("id", "hi", "lo", "n", "first").join(matched, "id", "left").where("n > 1 or matched").select("hi", "lo", "first", "matched")
+    seen = each.select("doc", "key", "at", "hi", "lo").join(told, ["hi", "lo"]).where(F.coalesce("matched", F.lit(False)) | (F.col("first") < F.struct("doc", "key", "at")))
+    seen = seen.groupBy("key").agg(F.array_sort(F.collect_set("at")).alias("removed"))  # one document's lines
+    out = lines.select("doc_id", "key", F.size("lines").cast("long").alias("n_lines")).join(seen, "key", "left")
+    return out.select("doc_id", "key", "n_lines", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
 
 
 def dedup_lines(docs: DataFrame, text_col: str = "text", num: int = 4, den: int = 5, buckets: int = 1 << 23) -> DataFrame:
     """docs with the later matches taken out of their texts; a document whose every line with a word
     goes is dropped, one that had none stays."""
-    found = matches(docs.select("doc_id", F.col(text_col).alias("text")), num, den, buckets).groupBy("key").agg(F.first("removed").alias("_removed"), F.first("n_lines").alias("_n_lines"))
-    d = docs.withColumn("_key", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
-    d = d.join(found, F.col("_key") == F.col("key")).where("_n_lines = 0 or size(_removed) < _n_lines")
-    kept = F.expr(f"array_join(filter(split({text_col}, '\\n'), (x, i) -> not array_contains(_removed, i)), '\\n')")
-    return d.withColumn(text_col, F.when(F.size("_removed") > 0, kept).otherwise(F.col(text_col))).select(*docs.columns)
+    found = matches(docs.select("doc_id", F.col(text_col).alias("text")), num, den, buckets).groupBy(F.col("key").alias("_lines_key")).agg(F.first("removed").alias("_lines_removed"), F.first("n_lines").alias("_lines_n"))
+    same = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))) == F.col("_lines_key")
+    d = docs.join(found, same).where("_lines_n = 0 or size(_lines_removed) < _lines_n")
+    kept = F.expr(f"array_join(filter(split({text_col}, '\\n'), (x, i) -> not array_contains(_lines_removed, i)), '\\n')")
+    return d.withColumn(text_col, F.when(F.size("_lines_removed") > 0, kept).otherwise(F.col(text_col))).select(*docs.columns)
