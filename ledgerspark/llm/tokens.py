@@ -41,6 +41,8 @@ class Pieces:
 
     @staticmethod
     def _cut_word(text: str) -> list[str]:
+        """Words, A-Z in lower case as the vocabulary has them."""
+        text = text.encode().lower().decode()
         return _SPACES.split(text) if _ODD.search(text) else text.split()
 
     def _learn(self, missing: list[str]) -> None:

@@ -4,7 +4,7 @@ A shard holds documents in ascending doc_id order, in blocks of about `block_tok
 ids are stored as bit planes, highest bit first; each plane orders the ids by the bits above it
 (zeros first, stable), so rank on the planes gives access, counting and select without decoding.
 A block is one row of the shard's Parquet file (zstd): the planes, the number of zeros of each,
-its documents and their lengths. Rank directories are counts before every 64-bit word, made on load.
+its documents and their lengths. Rank directories are counts before every 64-bit word, made on first use.
 
 Defined cases: a null text is empty (the end id alone); null doc_ids come first; repeated rows are
 kept, side by side; an empty table gives no rows; extra columns are ignored.
@@ -34,19 +34,26 @@ class Matrix:
     def __init__(self, n: int, width: int, zeros: list[int], planes: list[bytes]):
         self.n, self.width, self.zeros = n, width, zeros
         self.words = [np.frombuffer(x, "<u8") for x in planes]
-        self.before = [np.concatenate(([0], np.cumsum(np.bitwise_count(x), dtype=np.int64))) for x in self.words]
+        self.counts: list[np.ndarray] | None = None
 
     @staticmethod
     def build(ids: np.ndarray, width: int) -> Matrix:
-        zeros, planes, now = [], [], ids.astype(np.uint32)
+        zeros, planes, now = [], [], ids.astype(np.uint16 if width <= 16 else np.uint32)
         for b in range(width - 1, -1, -1):
-            bit = (now >> b) & 1 == 1
+            bit = (now & now.dtype.type(1 << b)) != 0
             raw = np.packbits(bit, bitorder="little").tobytes()
             planes.append(raw + bytes(-len(raw) % 8))
             zeros.append(int(len(now) - bit.sum()))
             now = np.concatenate((now[~bit], now[bit]))
         return Matrix(len(ids), width, zeros, planes)
 
+    @property
+    def before(self) -> list[np.ndarray]:
+        """The rank directory: ones before each word of each plane, made when it's first asked for."""
+        if self.counts is None:
+            self.counts = [np.concatenate(([0], np.cumsum(np.bitwise_count(x), dtype=np.int64))) for x in self.words]
+        return self.counts
+
     def rank1(self, plane: int, at: np.ndarray) -> np.ndarray:
         """Ones before each position."""
         word, low = at >> 6, (at & 63).astype(np.uint64)
@@ -65,15 +72,16 @@ class Matrix:
         return out
 
     def all(self) -> np.ndarray:
-        """Every id in order."""
-        at, out = np.arange(self.n), np.zeros(self.n, np.uint32)
-        for p in range(self.width):
-            bits = np.unpackbits(self.words[p].view(np.uint8), bitorder="little", count=self.n)
-            ones = np.cumsum(bits, dtype=np.int64)  # those up to and with each
-            to = np.where(bits == 1, self.zeros[p] + ones - 1, np.arange(self.n) - ones)
-            out = (out << np.uint32(1)) | bits[at]
-            at = to[at]
-        return out
+        """Every id in order: from the last plane up, each plane's zeros and ones take back their places."""
+        kind = np.uint16 if self.width <= 16 else np.uint32
+        below = np.zeros(self.n, kind)
+        for p in range(self.width - 1, -1, -1):
+            bits = np.unpackbits(self.words[p].view(np.uint8), bitorder="little", count=self.n).view(bool)
+            here = np.empty(self.n, kind)
+            here[bits] = below[self.zeros[p] :] | kind(1 << (self.width - 1 - p))
+            here[~bits] = below[: self.zeros[p]]
+            below = here
+        return below
 
     def range_of(self, symbol: int, end: int) -> tuple[int, int]:
         """Where the symbol's occurrences before position end lie below the last plane."""
