@@ -262,3 +262,46 @@ def reconcile(txns: DataFrame, statements: DataFrame) -> DataFrame:
         F.when(proven | unproven, "statement_balance_equation").otherwise("transactions").alias("source"),
         F.when(proven, "ok").when(unproven, "equation_not_provable").when(cut, "statement_truncated").when(missing, "missing_opening_or_ending_balance").when(fits, "ok").otherwise("mismatch").alias("reason"),
     )
+
+
+# What tells a debit or a credit on a raw line.
+LINE_CREDIT_SECTION = r"(?i)(deposits?\s*(?:&|and)?\s*credits?|credits?\s*(?:&|and)?\s*deposits?|deposits/other credits|deposits and other credits)"
+LINE_DEBIT_SECTION = r"(?i)(withdrawals?|debits?|checks paid|electronic withdrawals?|other withdrawals?|payments and other debits|withdrawals and other debits|debits and withdrawals)"
+LINE_MINUS = r"(?:^|\s)-\s*\$?\s*\d[\d,]*\.\d{2}\b|\(\s*\$?\s*\d[\d,]*\.\d{2}\s*\)"
+LINE_INCOMING = r"(?i)\b(?:wire\s+type\s*:\s*wire\s+in|loan\s+proceeds|funding)\b"
+LINE_DEBIT = r"(?i)\b(?:ach\s+debit|debit|withdrawal|external\s+withdrawal|e\s+withdrawal|payment|pmt)\b"
+LINE_CREDIT = r"(?i)\b(?:deposit|credit|external\s+deposit|e\s+deposit)\b"
+LINE_NOISE = [r"(?i)\b(?:DES|ID|TRACE|REF|Transaction)\s*[:#]?\s*[A-Z0-9-]+", r"(?i)(?:\*{2,}|X{2,})\d+", r"\b(?:\+?1[-.\s]?)?\(?\d{3}\)?[-.\s]\d{3}[-.\s]\d{4}\b"]
+LINE_MONEY = r"(\$?\s*(?:[0-9]{1,3}(?:,[0-9]{3})+(?:\.\d{2})?|[0-9]{4,}(?:\.\d{2})?|[0-9]{1,3}\.\d{2}))"
+PER_DOCUMENT = 12
+
+
+def advance_positions_from_lines(lines: DataFrame) -> DataFrame:
+    """The same from clean lines (doc_id, line_no, line): sections carried down, the lines beside as context, the second
+    last amount from 1 to 250,000 taken, dates with a placeholder year; a span of 20 days or more counts what was seen,
+    a shorter one the rate. At most twelve a document, verified first."""
+    line, order = F.col("line"), Window.partitionBy("doc_id").orderBy("line_no")
+    kind = F.when(line.rlike(LINE_CREDIT_SECTION), "credit").when(line.rlike(LINE_DEBIT_SECTION), "debit")
+    t = lines.withColumns({
+        "section": F.last(kind, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)),
+        "context": F.concat_ws(" ", F.lag("line").over(order), line, F.lead("line").over(order)),
+    }).withColumn("funder", funder(line)).where("funder is not null")
+    debit = F.when(line.rlike(LINE_MINUS), True).when(F.col("context").rlike(LINE_INCOMING), False).when(line.rlike(LINE_DEBIT), True).when(line.rlike(LINE_CREDIT), False).otherwise(F.coalesce("section", F.lit("")) != "credit")
+    scrubbed = functools.reduce(lambda v, p: F.regexp_replace(v, p, " "), LINE_NOISE, line)
+    raw = F.filter(F.regexp_extract_all(scrubbed, F.lit(LINE_MONEY)), lambda x: ~x.rlike(r"^\s*\d{7,}$"))
+    values = F.filter(F.transform(raw, lambda x: F.regexp_replace(x, r"[$,\s]", "").try_cast(MONEY)), lambda v: (v >= 1) & (v <= 250000) & ~v.between(2020, 2030))
+    amount = F.when(F.size(values) >= 2, F.get(values, F.size(values) - 2)).otherwise(F.get(values, F.lit(0)))
+    part = [F.regexp_extract(line, r"\b(\d{1,2})/(\d{1,2})(?:/\d{2,4})?\b", i).try_cast("int") for i in (1, 2)]
+    date = F.to_date(F.try_to_timestamp(F.format_string("2000-%02d-%02d", F.least(F.lit(12), F.greatest(F.lit(1), part[0])), F.least(F.lit(31), F.greatest(F.lit(1), part[1]))), F.lit("yyyy-MM-dd")))
+    t = t.where(debit).select("doc_id", "funder", F.col("line_no").alias("txn_no"), "line", amount.alias("amount"), F.when(amount.isNotNull() & part[0].isNotNull(), date).alias("txn_date"))
+    keys = ["doc_id", "funder"]
+    g = classify_cadence(t, keys).join(typical_amount(t.where("amount is not null"), keys), keys, "left")
+    g = g.join(t.groupBy(*keys).agg(F.coalesce(F.sum("amount"), F.lit(0)).cast("double").alias("seen"), F.min_by("line", "txn_no").alias("evidence"), F.min("txn_no").alias("first_no")), keys)
+    a = F.coalesce("typical_amount", F.lit(0.0))
+    rate = round2(F.round(F.when(F.col("cadence") == "daily", a * 30).when(F.col("cadence") == "weekly", a * 4.33).otherwise(a), 6))
+    long = F.coalesce(F.datediff("last_date", "first_date"), F.lit(0)) >= 20
+    burden = F.when(long, F.when(F.col("seen") != 0, F.col("seen")).otherwise(rate)).otherwise(F.when(rate != 0, rate).otherwise(F.col("seen")))
+    status = F.when((F.col("funder") != L.GENERIC_FUNDER) | (F.col("n") >= 2), "verified").otherwise("needs_review")
+    out = g.select("doc_id", "funder", a.alias("typical_amount"), "cadence", "first_date", "last_date", "n", burden.alias("monthly_burden"), status.alias("status"), "evidence", "first_no")
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("status"), F.desc("n"), "first_no"))
+    return out.withColumn("place", place).where(F.col("place") <= PER_DOCUMENT).drop("place", "first_no")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions import text as T
+from ..operators import analytics as A
 from ..operators import statements as S
 from ..sources import bridge as B
 from .ledger_queries import contains
@@ -226,3 +227,10 @@ def _summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT doc_id, coalesce(sum(amount) FILTER (direction = 'credit'), 0) AS c, coalesce(sum(amount) FILTER (direction = 'debit'), 0) AS d FROM ledger GROUP BY 1)""", B.LEDGER_SQL)
 def solve_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.pick_equation(S.summary_blocks(_summaries(spark, sf_dir))).select("doc_id", "beginning", "ending", "deposits", "withdrawals", "verified", "layout")
+
+
+@query()
+def advance_positions_from_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions read from the lines of statements rendered from the ledger."""
+    p = A.advance_positions_from_lines(S.explode_lines(S.render_statements(B.ledger(spark, sf_dir))))
+    return p.withColumns({c: F.col(c).cast("string") for c in ("first_date", "last_date")})

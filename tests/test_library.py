@@ -218,3 +218,9 @@ def test_oracles(spark, name):
         return sorted(str([round(float(x), 6) if isinstance(x, (int, float, Decimal)) and not isinstance(x, bool) else x for x in r]) for r in values)
 
     assert rows(got.select(columns).collect()) == rows(con.sql(ORACLE_SQL[name]).select(*columns).fetchall())
+
+
+def test_positions_from_lines(spark):
+    rows = [(1, 1, "Deposits and other credits"), (1, 2, "01/02 KAPITUS 500.00"), (1, 3, "Withdrawals"), (1, 4, "01/03 FORWARD FINANCING ID:993311 250.00 9,000.00"), (1, 5, "01/04 FORWARD FINANCING 250.00 8,750.00"), (1, 6, "note"), (1, 7, "01/05 FORWARD FINANCING credit funding 99.00"), (2, 1, None)]
+    got = A.advance_positions_from_lines(spark.createDataFrame(rows, "doc_id long, line_no long, line string")).collect()
+    assert [(r.doc_id, r.funder, r.typical_amount, r.n, r.cadence, r.monthly_burden, r.status) for r in got] == [(1, "Forward Financing", 250.0, 2, "daily", 7500.0, "verified")]
