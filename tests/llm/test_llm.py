@@ -415,6 +415,56 @@ def test_image_copies(spark):
     assert media.render(None) == (96, b"") and media.render("<p>a b<script>x y</script><p>c")[1] == media.render("<div>a b</div>c")[1]
 
 
+def plain_image_links(corners, votes, bits, cell):
+    """(a, b) of the images (id: corners) for which enough corners of b vote for one shift, turn and scale."""
+    out = set()
+    for a, b in combinations(sorted(corners), 2):
+        told = defaultdict(set)
+        for ox, oy, os, ot, obits in corners[a]:
+            for x, y, s, t, h in corners[b]:
+                if ((h ^ obits) & (1 << 64) - 1).bit_count() <= bits:
+                    turn, angle, size = (t - ot) % media.TURNS, ((t - ot) % media.TURNS) * (2 * np.pi / media.TURNS), 2.0 ** (s - os)
+                    dx, dy = x - size * (np.cos(angle) * ox - np.sin(angle) * oy), y - size * (np.sin(angle) * ox + np.cos(angle) * oy)
+                    for g in (0, 1):
+                        told[turn, s - os, g, math.floor(dx / cell + g / 2), math.floor(dy / cell + g / 2)].add((x, y, s, t))
+        if any(len(v) >= votes for v in told.values()):
+            out.add((a, b))
+    return out
+
+
+def test_image_links_are_all_found(spark, monkeypatch):
+    """Images whose common keys are shared out over earlier images, whose other halves differ, and with a descriptor many times over."""
+    rng = random.Random(6)
+    made = [rng.getrandbits(64) - (1 << 63) for _ in range(40)]
+    place = [(20 * i % 300, 35 * i % 280, 0, i % media.TURNS) for i in range(40)]
+    whole = [(*place[i], made[i]) for i in range(12)]
+    images = {i: [(*place[j], made[j]) for j in range(3 * i, 3 * i + 3)] + [(rng.randrange(300), rng.randrange(300), 0, 0, rng.getrandbits(64) - (1 << 63)) for _ in range(8)] for i in range(4)}
+    images[4], images[5] = whole, [(x + 40, y + 7, s, t, h ^ (i % 2)) for i, (x, y, s, t, h) in enumerate(whole)]
+    # One half of the descriptor alike, the other not, in an earlier image than the two that match.
+    images[6] = [(*place[i], made[i] ^ 0b111 << 40) for i in range(20, 30)]
+    images[7], images[8] = [(*place[i], made[i]) for i in range(20, 30)], [(place[i][0], place[i][1] + 9, *place[i][2:], made[i]) for i in range(20, 30)]
+    # A descriptor at many corners of each image; the third has them elsewhere.
+    lattice = [(30 + 20 * (i % 5), 30 + 20 * (i // 5), 0, 3, made[35]) for i in range(20)]
+    images[9], images[10] = lattice, [(x + 60, y, s, t, h) for x, y, s, t, h in lattice]
+    images[11] = [(rng.randrange(3000), rng.randrange(3000), 0, rng.randrange(16), made[35]) for _ in range(20)]
+    for i in range(12, 30):
+        images[i] = [(rng.randrange(60), rng.randrange(60), rng.randrange(2), rng.randrange(3), made[30 + rng.randrange(5)]) for _ in range(rng.randint(0, 15))]
+    rows = [(i, str(i), c) for i, c in images.items()]
+    frame = spark.createDataFrame(rows, "image_id long, digest string, corners array<struct<x:int,y:int,scale:int,turn:int,bits:long>>").repartition(1).orderBy("image_id")
+    monkeypatch.setattr(media, "descriptors", lambda _: frame)
+    got = {r.image_id: (r.class_id, r.n_links) for r in media.copies(frame).collect()}
+    links = plain_image_links(images, 6, 1, 12)
+    assert {(4, 5), (7, 8), (9, 10)} <= links and not {(a, b) for a, b in links if a < 4 or a == 6 or b == 6}
+    group = {i: i for i in images}
+    for a, b in links:
+        low, high = sorted((group[a], group[b]))
+        group = {i: low if g == high else g for i, g in group.items()}
+    assert got == {i: (group[i], sum(i in p for p in links)) for i in images}
+    monkeypatch.setattr(media, "IMAGES", 3, raising=False)
+    monkeypatch.setattr(media, "MATCHES", 400, raising=False)
+    assert got == {r.image_id: (r.class_id, r.n_links) for r in media.copies(frame).collect()}
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
