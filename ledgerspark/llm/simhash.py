@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
+from .lines import _mixed, word_hashes
 from .shared import Tables, documents
 
 #: A byte's bits as 8 lanes of one byte, so that up to 255 rows add up without a carry.
@@ -121,16 +122,65 @@ def _alike(pairs: DataFrame, texts: DataFrame, tables: Tables, n_words: int, num
     return tables.keep(both.where(den * common >= num * (F.size("x") + F.size("y") - common)).select("a", "b"))
 
 
-def near_duplicate_groups(docs: DataFrame, n_words: int = 5, num: int = 4, den: int = 5, bits: int = 8, n_segments: int = 3, fingerprint_words: int = 2) -> DataFrame:
+def shingle_keys(text: str, n_words: int) -> np.ndarray:
+    """A 64-bit key of each different shingle of the words (see shingle_hashes), from hashes of the words; 0 alone for a blank text."""
+    h = word_hashes(text.encode())[0]
+    k = min(n_words, len(h))
+    if not k:
+        return np.zeros(1, np.uint64)
+    keys = np.zeros(len(h) - k + 1, np.uint64)
+    for i in range(k):
+        keys = keys * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - k + 1 + i]
+    return np.unique(_mixed(keys))
+
+
+def _rarity(texts: DataFrame, n_words: int, buckets: int) -> np.ndarray:
+    """For each bucket of shingle keys a code that grows with the logarithm of its count."""
+
+    def run(batches):
+        n = np.zeros(buckets, np.int64)
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                np.add.at(n, (shingle_keys(x, n_words) % np.uint64(buckets)).astype(np.int64), 1)
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], ["bucket", "n"])
+
+    # `buckets` rows at most come to the driver.
+    got = texts.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    got = got.select(F.col("bucket").cast("int"), F.least(F.lit(255), F.floor(F.log2("n") * 8)).cast("short").alias("code")).toArrow()
+    codes = np.zeros(buckets, np.uint8)
+    codes[got["bucket"].to_numpy()] = got["code"].to_numpy()
+    return codes
+
+
+def _prefixes(texts: DataFrame, codes, n_words: int, num: int, den: int) -> DataFrame:
+    """id, size and prefix of each text's set of shingles: two sets alike at num/den have a shingle of both prefixes in common."""
+
+    def run(batches):
+        for batch in batches:
+            sizes, found = [], []
+            for x in batch.column(1).to_pylist():
+                keys = shingle_keys(x, n_words)
+                n = len(keys)
+                order = np.argsort(codes.value[(keys % np.uint64(len(codes.value))).astype(np.int64)], kind="stable")
+                sizes.append(n)
+                found.append(keys[order[: n - -(-num * n // den) + 1]].view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(found, pa.list_(pa.int64()))], ["id", "size", "prefix"])
+
+    return texts.select("id", "text").mapInArrow(run, "id long, size int, prefix array<long>")
+
+
+def near_duplicate_groups(docs: DataFrame, n_words: int = 5, num: int = 4, den: int = 5, bits: int = 8, n_segments: int = 3, fingerprint_words: int = 2, buckets: int = 1 << 20) -> DataFrame:
     """doc_id, text_hash (MD5) and first (the least doc_id of its group) of every document.
 
     Texts are linked if their sets of n_words-word shingles have a Jaccard similarity of num/den or
-    more; candidates are texts whose fingerprints (over shorter shingles, which an edit disturbs
-    less) differ in at most `bits` bits. Equal texts are one. First each text is tried with the
-    least one under each of its segments; those that match are absorbed, so that a large group of
-    near copies is a few texts when all pairs within `bits` are tried.
+    more, and groups are what links connect. Equal texts are one. First each text is tried with the
+    least one under each segment of its fingerprint (over shorter shingles, within `bits` bits), and
+    with the least one under each shingle of its prefix; most of a large group of near copies is
+    connected by then. All pairs that have a shingle of their prefixes in common and aren't connected
+    yet are verified next, so no link that could join two groups is left out.
     """
-    tables = Tables(docs.sparkSession, "near")
+    spark, tables = docs.sparkSession, Tables(docs.sparkSession, "near")
     d = documents(docs)
 
     def run(batches):
@@ -141,18 +191,35 @@ def near_duplicate_groups(docs: DataFrame, n_words: int = 5, num: int = 4, den:
     marked = tables.keep(d.select("doc_id", F.md5("text").alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash string, fp long"))
     unique = marked.groupBy("text_hash").agg(F.min("doc_id").alias("doc_id"), F.first("fp").alias("fp"))
     unique = tables.keep(unique.withColumn("id", F.monotonically_increasing_id()))
-    texts = d.select("doc_id", "text").join(unique.select("doc_id", "text_hash", "id"), "doc_id").where(F.md5("text") == F.col("text_hash")).select("id", "text")
+    texts = d.withColumn("text_hash", F.md5("text")).join(unique.select("text_hash", "id"), "text_hash").select("id", "text")
 
+    # By fingerprints: the least text under each segment.
     keys = [F.struct(F.lit(i).alias("segment"), F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << width) - 1)).alias("key")) for i, (low, width, _) in enumerate(segments(bits, n_segments))]
     listed = unique.select("id", "fp", F.explode(F.array(*keys, F.struct(F.lit(-1).alias("segment"), F.col("fp").alias("key")))).alias("k")).select("id", "fp", "k.*")
     least = listed.groupBy("segment", "key").agg(F.min(F.struct("id", "fp")).alias("m"), F.count("*").alias("n")).where("n > 1").select("segment", "key", "m")
     star = listed.join(least, ["segment", "key"]).where((F.col("m.id") < F.col("id")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("m.fp"))) <= bits))
-    close = _alike(star.select(F.col("m.id").alias("a"), F.col("id").alias("b")).distinct(), texts, tables, n_words, num, den)
-    rest = tables.keep(unique.join(close.select(F.col("b").alias("id")), "id", "left_anti").select("id", "fp"))
-    pairs = links(rest.select("fp").distinct(), bits, n_segments)
-    pairs = pairs.join(rest.select(F.col("fp").alias("a"), F.col("id").alias("ia")), "a").join(rest.select(F.col("fp").alias("b"), F.col("id").alias("ib")), "b")
-    pairs = pairs.select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b")).distinct()
-    far = _alike(pairs, texts, tables, n_words, num, den)
+    star = star.select(F.col("m.id").alias("a"), F.col("id").alias("b"))
+
+    # By shingles: the least text under each of the prefix, then all that aren't connected.
+    codes = spark.sparkContext.broadcast(_rarity(d, n_words, buckets))  # a byte for each bucket
+    shared = tables.keep(_prefixes(texts, codes, n_words, num, den)).select("id", "size", F.posexplode("prefix").alias("place", "key"))
+    least = shared.groupBy("key").agg(F.min(F.struct("id", "size", "place")).alias("m"), F.count("*").alias("n")).where("n > 1").select("key", "m")
+    shared = tables.keep(shared.join(least, "key"))
+    tables.release()
+
+    def near(size, place, other_size, other_place):
+        need = F.ceil(num * (size + other_size) / (num + den))  # shingles in common
+        return (num * size <= den * other_size) & (num * other_size <= den * size) & (F.least(size - place, other_size - other_place) >= need)
+
+    first = shared.where((F.col("m.id") < F.col("id")) & near(F.col("size"), F.col("place"), F.col("m.size"), F.col("m.place"))).select(F.col("m.id").alias("a"), F.col("id").alias("b"))
+    close = _alike(star.union(first).distinct(), texts, tables, n_words, num, den)
+    roots = components(close, tables)
+    shared = shared.drop("m").join(roots.withColumnRenamed("v", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    several = shared.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    shared = tables.keep(shared.join(several, "key"))
+    other = shared.select("key", *[F.col(c).alias(f"other_{c}") for c in ("id", "size", "place", "root")])
+    pairs = shared.join(other, "key").where((F.col("root") < F.col("other_root")) & near(F.col("size"), F.col("place"), F.col("other_size"), F.col("other_place")))
+    far = _alike(pairs.select(F.least("id", "other_id").alias("a"), F.greatest("id", "other_id").alias("b")).distinct(), texts, tables, n_words, num, den)
     roots = components(close.union(far), tables)
     named = unique.join(roots.withColumnRenamed("v", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     first = named.groupBy("root").agg(F.min("doc_id").alias("first"))

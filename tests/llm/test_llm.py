@@ -203,6 +203,33 @@ def test_near_duplicates_are_found_and_others_stay(spark):
     assert stay == len(set(got.values()))
 
 
+def near_groups(rows):
+    """Each document's least partner's number through links at 0.8 or more, and the links, by brute force."""
+    sets = {i: shingles(t) for i, t in rows}
+    close = [(a, b) for a, b in combinations(sorted(sets), 2) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    group = {i: i for i in sets}
+    for a, b in close:
+        low, high = sorted((group[a], group[b]))
+        if low != high:
+            group = {i: low if g == high else g for i, g in group.items()}
+    return group, close
+
+
+def test_near_duplicate_chains(spark):
+    """A ~ B ~ C with A not ~ C, in each order of doc_ids: links of a text that has found its partner count too."""
+    rng, rows = random.Random(3), []
+    for order in [(0, 1, 2), (1, 0, 2), (0, 2, 1), (2, 1, 0), (1, 2, 0), (2, 0, 1)] * 3:
+        base = [f"w{rng.randint(0, 9999)}" for _ in range(120)]
+        links = [base, base[:60] + [f"x{rng.randint(0, 9999)}" for _ in range(6)] + base[66:], None]
+        links[2] = links[1][:10] + [f"y{rng.randint(0, 9999)}" for _ in range(6)] + links[1][16:]
+        rows += [(len(rows) + i, " ".join(links[k])) for i, k in enumerate(order)]
+    rows += [(1000, ""), (1001, " \n"), (1002, "one two"), (1003, "One  two")]
+    want, close = near_groups([r for r in rows if r[0] < 1000])
+    assert len(close) == 36 and all(want[3 * i + j] == 3 * i for i in range(18) for j in range(3))
+    got = {r.doc_id: r.first for r in simhash.near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string"), buckets=1 << 10).collect()}
+    assert got == want | {1000: 1000, 1001: 1000, 1002: 1002, 1003: 1002}
+
+
 def test_near_duplicates_edge_cases(docs, empty, rows):
     out = simhash.one_of_each(docs)
     assert out.columns == docs.columns and out.count() < len(rows)
