@@ -230,6 +230,25 @@ def test_near_duplicate_chains(spark):
     assert got == want | {1000: 1000, 1001: 1000, 1002: 1002, 1003: 1002}
 
 
+def test_near_duplicates_by_replaced_cut_and_appended_passages(spark):
+    """Every group of texts alike at 0.8 or more is found, whatever was changed, down to exactly 0.8."""
+    rng, rows = random.Random(12), []
+    for i in range(150):
+        n = rng.randint(60, 300)
+        base = [f"w{rng.randint(0, 5000)}" for _ in range(n)]
+        share = (n - 4) / 5 if i % 2 else (n - 4) * rng.uniform(0.12, 0.22)
+        m, fresh = int(share), [f"v{rng.randint(0, 5000)}" for _ in range(n)]
+        at = rng.randint(0, n - m)
+        edited = [base[:at] + fresh[: max(1, m // 2 - 4)] + base[at + max(1, m // 2 - 4) :], base[: n - m], base + fresh[: m + m // 5]][i % 3]
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(edited))]
+    base = [f"z{i}" for i in range(104)]
+    rows += [(900, " ".join(base)), (901, " ".join(base[:84]))]  # 80 of 100 shingles
+    want, close = near_groups(rows)
+    assert (900, 901) in close and all(sum(a // 2 % 3 == k for a, _ in close) > 20 for k in range(3))
+    got = {r.doc_id: r.first for r in simhash.near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def test_near_duplicates_edge_cases(docs, empty, rows):
     out = simhash.one_of_each(docs)
     assert out.columns == docs.columns and out.count() < len(rows)
