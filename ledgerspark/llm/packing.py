@@ -11,9 +11,9 @@ repeated rows are packed each; an empty table gives no rows; extra columns are i
 
 from __future__ import annotations
 
-import math
 import zlib
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -79,25 +79,27 @@ def cut(docs: DataFrame, tokenizer: str, kind: str, end_id: int, window: int, ke
     """Each document's full windows and its rest, with the unsigned CRC-32 of the ids."""
 
     def run(batches):
-        coder, end = tokens.pieces(tokenizer, kind), end_id.to_bytes(4, "little")
+        coder = tokens.pieces(tokenizer, kind)
         for batch in batches:
-            names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for low, high in tokens.groups(texts):
-                out: list[tuple] = []
-                for name, ids in zip(names[low:high], coder.encode(texts[low:high]), strict=True):
-                    ids += end
-                    n = len(ids) // 4
-                    for start in range(0, n, window):
-                        part = ids[4 * start : 4 * (start + window)]
-                        out.append((name, start, len(part) // 4, zlib.crc32(part), n, part if keep_ids else None))
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), [pa.int64()] * 5 + [pa.binary()], strict=True)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"])
-
-    return documents(docs).mapInArrow(run, PIECE)
-
-
-def pack(docs: DataFrame, tokenizer: str, kind: str = "byte", end_id: int = 0, window: int = 1024, keep_ids: bool = True, docs_per_shard: int = 4096) -> DataFrame:
+            for some in tokens.groups(batch, 1):
+                ids, edges = coder.encode_with_end(some.column(1), end_id)
+                n = np.diff(edges)
+                parts = -(-n // window)
+                doc = np.repeat(np.arange(len(n)), parts)
+                start = (np.arange(len(doc)) - np.repeat(np.cumsum(parts) - parts, parts)) * window
+                bounds = np.append(edges[doc] + start, len(ids))
+                raw = memoryview(ids).cast("B")
+                crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+                kept = [tokens.binaries(ids, bounds)] if keep_ids else []
+                columns = [some.column(0).take(pa.array(doc)), *[pa.array(x, pa.int64()) for x in (start, np.diff(bounds), crc, n[doc])], *kept]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"][: len(columns)])
+
+    return documents(docs).mapInArrow(run, PIECE if keep_ids else PIECE.removesuffix(", ids binary"))
+
+
+def pack(docs: DataFrame, tokenizer: str, kind: str = "byte", end_id: int = 0, window: int = 1024, keep_ids: bool = True, docs_per_shard: int = 16_384) -> DataFrame:
     """One row per piece with its place: sequence_id, offset, and with keep_ids its ids (binary, little-endian)."""
-    shards = max(1, math.ceil(docs.count() / docs_per_shard))
+    shards = tokens.shards_of(docs, docs_per_shard)
 
     def place(table: pa.Table) -> pa.Table:
         table = table.take(pc.sort_indices(table, [("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")]))
@@ -106,8 +108,6 @@ def pack(docs: DataFrame, tokenizer: str, kind: str = "byte", end_id: int = 0, w
         return table.drop_columns(["shard"]).append_column("sequence_id", pa.array([shard + x for x in numbers], pa.int64())).append_column("offset", pa.array(offsets, pa.int64()))
 
     found = cut(docs, tokenizer, kind, end_id, window, keep_ids)
-    if not keep_ids:
-        found = found.drop("ids")
     found = found.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "doc_tokens"), F.lit(shards)))
     schema = PIECE.removesuffix("" if keep_ids else ", ids binary") + ", sequence_id long, offset long"
     return found.groupBy("shard").applyInArrow(place, schema)

@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import hmm, licences, lines, media, mixing, oracles, packing, quality, simhash, suffixes, wavelet
 from .shared import read
 
-#: Folder of the public tokenizers' files.
-TOKENIZERS = "/opt/tokenizers"
+BYTE_BPE, WORD_BPE = (public_tokenizers.path(f"{x}.json") for x in ("byte_bpe_50k", "word_bpe_49k"))
 
 
 def op1_pack_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(read(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json", "byte", keep_ids=False)
+    return packing.pack(read(spark, sf_dir, "documents"), BYTE_BPE, "byte", keep_ids=False)
 
 
 def op2_similar_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +50,7 @@ def op8_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return wavelet.token_files(read(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json", "word", end_id=2).drop("ids")
+    return wavelet.token_files(read(spark, sf_dir, "documents"), WORD_BPE, "word", end_id=2, keep_ids=False)
 
 
 def op10_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,28 +1,46 @@
-"""Token ids of whole texts by the tokenizers library, with the pieces of a text remembered.
+"""Token ids of whole texts by the tokenizers library, a batch of texts at a time.
 
 Both vocabularies split a text before any merge, and no such split part reaches over the
 places where Pieces cuts; so the ids of the parts, set side by side, are the ids of the text
-(tests/llm compares them with whole encodings). Frequent parts are looked up, the rest
-go to the library in one batch for each group of texts.
+(tests/llm compares them with whole encodings). A batch's bytes are one Arrow column of parts,
+made distinct by Arrow; only distinct parts are looked up or go to the library, and the ids
+of all are gathered from theirs.
 """
 
 from __future__ import annotations
 
-import re
+import os
 from array import array
 
-#: Parts remembered by a worker at most, in each of two generations.
-REMEMBERED = 350_000
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+
+#: Parts remembered by a worker at most, in each of two generations, and the bytes of one.
+REMEMBERED, LONGEST = 350_000, 128
 _KEPT: dict = {}
-_BYTE_CUT = re.compile(r" (?=\S)")
-#: White space to Python but not to the library's patterns.
-_ODD = re.compile("[\x1c-\x1f]")
-_SPACES = re.compile("[^\\S\x1c-\x1f]+")
-_TAIL = ".,!?;:*#$%&|)"
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+#: First bytes of characters that are no white space (those of C2, E1, E2 and E3 may be).
+_SOLID = np.zeros(256, bool)
+_SOLID[33:127] = _SOLID[0xC3:0xE1] = _SOLID[0xE4:] = True
+_LETTER, _SIGN = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+_SIGN[list(b".,!?;:*#$%&|)")] = True
+
+
+def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts one after another, and len(texts) + 1 places between them."""
+    texts = texts.cast(pa.large_binary())
+    edges = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = texts.buffers()[2]
+    data = np.frombuffer(data, np.uint8)[edges[0] : edges[-1]] if data is not None else np.zeros(0, np.uint8)
+    return data, edges - edges[0]
 
 
 class Pieces:
-    """encode(texts) gives each text's ids as little-endian unsigned 32-bit bytes."""
+    """encode(texts) gives the ids of all texts one after another, and len(texts) + 1 places between them."""
 
     def __init__(self, path: str, kind: str):
         from tokenizers import Tokenizer
@@ -30,74 +48,91 @@ class Pieces:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.cut = {"byte": self._cut_byte, "word": self._cut_word}[kind]
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     @staticmethod
-    def _cut_byte(text: str) -> list[str]:
-        """Cuts before a single space that a non-space follows; that space belongs to the next part."""
-        first, *rest = _BYTE_CUT.split(text)
-        return [first, *[" " + x for x in rest]]
+    def _cut_byte(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Cuts before a single space that a non-space follows (it belongs to the next part), and between a letter and a sign."""
+        begins = np.zeros(len(data), bool)
+        begins[:-1] = (data[:-1] == 32) & _SOLID[data[1:]]
+        begins[1:] |= _LETTER[data[:-1]] & _SIGN[data[1:]]
+        return data, begins
 
     @staticmethod
-    def _cut_word(text: str) -> list[str]:
-        """Words, A-Z in lower case as the vocabulary has them."""
-        text = text.encode().lower().decode()
-        return _SPACES.split(text) if _ODD.search(text) else text.split()
-
-    def _learn(self, missing: list[str]) -> None:
-        """Letters and the signs after them are split before any merge, so they are looked up apart."""
-        todo, both = {}, []
-        for x in missing:
-            core = x.rstrip(_TAIL)
-            if 0 < len(core) < len(x) and core.lstrip(" ").isalpha() and core.count(" ") <= 1:
-                both.append((x, core, x[len(core) :]))
-                for y in both[-1][1:]:
-                    if y not in self.young:
-                        todo[y] = None
-            else:
-                todo[x] = None
-        names = list(todo)
-        for x, e in zip(names, self.tokenizer.encode_batch_fast(names, add_special_tokens=False), strict=True):
-            self.young[x] = array("I", e.ids).tobytes()
-        for x, core, tail in both:
-            self.young[x] = self.young[core] + self.young[tail]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def _cut_word(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Cuts before each word, and between a letter and a sign; A-Z in lower case as the vocabulary has them, white space (without ids) alike."""
+        begins, blank = np.zeros(len(data), bool), _BLANK[data]
+        begins[1:] = blank[:-1] & ~blank[1:] | _LETTER[data[:-1]] & _SIGN[data[1:]]
+        return np.where(blank, 32, np.where((data >= 65) & (data <= 90), data | 32, data)), begins
+
+    def _ids(self, parts: list[bytes]) -> list[bytes]:
         if len(self.young) > REMEMBERED:
             self.old, self.young = self.young, {}
-        parts = [self.cut(x) for x in texts]
-        young, old, missing = self.young, self.old, {}
-        for some in parts:
-            for x in some:
-                if x not in young:
-                    if x in old:
-                        young[x] = old[x]
-                    else:
-                        missing[x] = None
-        if missing:
-            self._learn(list(missing))
-        get = young.__getitem__
-        return [b"".join(map(get, some)) for some in parts]
+        young, old = self.young, self.old
+        found = list(map(young.get, parts))
+        missing = []
+        for i, x in enumerate(found):
+            if x is None:
+                if (again := old.get(parts[i])) is not None:
+                    young[parts[i]] = found[i] = again
+                else:
+                    missing.append(i)
+        told = self.tokenizer.encode_batch_fast([parts[i].decode() for i in missing], add_special_tokens=False) if missing else []
+        for i, e in zip(missing, told, strict=True):
+            found[i] = array("I", e.ids).tobytes()
+            if len(parts[i]) <= LONGEST:
+                young[parts[i]] = found[i]
+        return found
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        data, edges = flat(texts)
+        if not len(data):
+            return np.zeros(0, np.uint32), np.zeros(len(edges), np.int64)
+        data, begins = self.cut(data)
+        some = edges[:-1] < edges[1:]
+        begins[edges[1:][some] - 1] = False  # what stands in the next text doesn't matter
+        begins[edges[:-1][some]] = True
+        bounds = np.append(np.flatnonzero(begins), len(data)).astype(np.int32)
+        parts = pa.BinaryArray.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+        known, which = self._ids(parts.dictionary.to_pylist()), parts.indices.to_numpy()
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) >> 2
+        firsts, table = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(known), "<u4")
+        n = sizes[which]
+        ends = np.cumsum(n)
+        ids = table[np.arange(ends[-1]) + np.repeat(firsts[which] - (ends - n), n)]
+        return ids, np.concatenate(([0], ends))[np.searchsorted(bounds, edges)]
+
+    def encode_with_end(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """encode with end_id after each text."""
+        ids, edges = self.encode(texts)
+        return np.insert(ids, edges[1:], end_id).astype("<u4", copy=False), edges + np.arange(len(edges))
 
 
 def pieces(path: str, kind: str) -> Pieces:
     """One for each worker process and file, kept between tasks."""
     if (path, kind) not in _KEPT:
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         _KEPT[path, kind] = Pieces(path, kind)
     return _KEPT[path, kind]
 
 
-def groups(texts: list[str], most: int = 4_000_000):
-    """Slices of texts with about so many characters, or one text."""
-    start = size = 0
-    for i, x in enumerate(texts):
-        if i > start and size + len(x) > most:
-            yield start, i
-            start, size = i, 0
-        size += len(x)
-    if start < len(texts):
-        yield start, len(texts)
+def groups(batch: pa.RecordBatch, column: int, most: int = 6_000_000):
+    """Slices of a batch in which a text column has about so many bytes, or of one row."""
+    ends = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False))
+    low = 0
+    while low < len(ends):
+        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + most, side="right")))
+        yield batch.slice(low, high - low)
+        low = high
+
+
+def binaries(values: np.ndarray, edges: np.ndarray) -> pa.Array:
+    """values' bytes from each edge to the next, as an Arrow column."""
+    return pa.BinaryArray.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer((edges * values.itemsize).astype(np.int32)), pa.py_buffer(values)])
+
+
+def shards_of(docs: DataFrame, docs_per_shard: int, least: int = 1024) -> int:
+    """Shards of about docs_per_shard documents; of fewer (`least`, or docs_per_shard if that is less) where cores would idle."""
+    n = docs.count()
+    return max(1, -(-n // docs_per_shard), min(-(-n // min(least, docs_per_shard)), 2 * docs.sparkSession.sparkContext.defaultParallelism))

@@ -8,15 +8,16 @@ from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from ledgerspark.llm import graph, hmm, licences, lines, media, mixing, packing, quality, simhash, suffixes, tokens, wavelet
-from ledgerspark.llm.queries import TOKENIZERS
+from ledgerspark.llm.queries import BYTE_BPE as BYTE
+from ledgerspark.llm.queries import WORD_BPE as WORD
 from ledgerspark.llm.shared import Tables
 
-BYTE, WORD = f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/word_bpe_49k.json"
 SCHEMA = "doc_id long, text string, source string, fp long, key long, word string"
 VOCABULARY = [f"{a}{b}" for a in ("ka", "lo", "mi", "tu", "sé", "or") for b in ("ra", "n", "st", "", "que", "it")]
 
@@ -57,9 +58,11 @@ ODD = ["a   b\n \n c  ", "\n\n x", "\xa0a\xa0b \x1c c", "it's  don't 12ab ab12,
 
 @pytest.mark.parametrize("path, kind", [(BYTE, "byte"), (WORD, "word")])
 def test_parts_have_the_ids_of_whole_texts(path, kind, rows):
-    coder = tokens.Pieces(path, kind)
-    for text in ODD + [r[1] or "" for r in rows]:
-        assert np.frombuffer(coder.encode([text])[0], "<u4").tolist() == ids_of(path, text, 0)[:-1], text[:50]
+    coder, texts = tokens.Pieces(path, kind), ODD + [r[1] or "" for r in rows] + ["a  ", "", "b", "  ", " c", "\u3000d \u3000e \x85 f  \xa0g"]
+    ids, edges = coder.encode(pa.array(["left out", *texts]).slice(1))
+    for i, text in enumerate(texts):
+        assert ids[edges[i] : edges[i + 1]].tolist() == ids_of(path, text, 0)[:-1], text[:50]
+    assert coder.encode(pa.array(["", ""]))[1].tolist() == [0, 0, 0]
 
 
 def test_packing(spark, docs, rows, empty):
@@ -127,11 +130,22 @@ def test_wavelet_matrix(n):
     assert m.all().tolist() == ids.tolist()
     if n:
         assert m.access(np.arange(n)).tolist() == ids.tolist()
+        for p in (0, 8):
+            bits = np.unpackbits(m.words[p].view(np.uint8), bitorder="little", count=n)
+            assert m.rank1(p, np.arange(n + 1)).tolist() == np.concatenate(([0], np.cumsum(bits))).tolist()
+            for bit in (0, 1):
+                assert m.select(p, bit, np.arange(int((bits == bit).sum()))).tolist() == np.flatnonzero(bits == bit).tolist()
     for x in (0, 1, 7, 299, 5000):
         assert m.count(x) == int((ids == x).sum()) and m.count(x, n // 2) == int((ids[: n // 2] == x).sum())
         assert m.occurrences(x).tolist() == np.flatnonzero(ids == x).tolist()
 
 
+def test_wavelet_width():
+    with pytest.raises(ValueError):
+        wavelet.Matrix.build(np.array([70_000], np.uint32), 16)
+    assert wavelet.Matrix.build(np.array([70_000], np.uint32), 17).all().tolist() == [70_000]
+
+
 def test_line_matches(docs, rows, empty):
     got = {(r.doc_id, tuple(r.removed), r.n_lines) for r in lines.matches(docs, buckets=1 << 12).collect()}
     places = sorted({((r[0] if r[0] is not None else lines.LAST, xxhash.xxh64_intdigest(str(r[1]).encode())), r[0], r[1] or "") for r in rows}, key=lambda x: x[0])
@@ -417,7 +431,7 @@ def plain_repeats(rows, length):
     return sorted(out)
 
 
-@pytest.mark.parametrize("how", [{}, {"shard_pieces": 3, "docs_held": 5, "bucket_anchors": 50}])
+@pytest.mark.parametrize("how", [{}, {"shard_pieces": 3, "docs_held": 5, "bucket_anchors": 50}, {"docs_held": 2}])
 def test_repeated_strings(docs, rows, empty, how, monkeypatch):
     plain = suffixes.repeats
     monkeypatch.setattr(suffixes, "repeats", lambda d, length, gram: plain(d, length, gram, **how))
