@@ -33,7 +33,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .lines import _mixed, _Powers
 from .shared import Tables, documents
+from .tokens import binaries
 
 LAST = (1 << 63) - 1  # a null doc_id among numbers
 
@@ -110,8 +112,12 @@ def _induce(text: np.ndarray, s_type: np.ndarray, lms: np.ndarray, sizes: np.nda
     return array
 
 
-def suffix_array(text: np.ndarray, letters: int) -> np.ndarray:
-    """Suffixes of text (letters 0 to letters - 1) in order; a suffix that ends is less than one that goes on."""
+def suffix_array(text: np.ndarray, letters: int, stops: bool = False) -> np.ndarray:
+    """Suffixes of text (letters 0 to letters - 1) in order; a suffix that ends is less than one that goes on.
+
+    With stops each 0 stands for a letter of its own: suffixes are in order as far as their first 0, and what
+    follows it isn't compared (pieces one after another that are much alike would be compared over many of them).
+    """
     n = len(text)
     if n < 3 or letters > n:
         text = np.unique(text, return_inverse=True)[1].astype(np.int64)
@@ -145,6 +151,8 @@ def suffix_array(text: np.ndarray, letters: int) -> np.ndarray:
     still, k = np.flatnonzero(~differs), 0
     while len(still):
         unequal = text[a[still] + k] != text[b[still] + k]
+        if stops:
+            unequal |= text[a[still] + k] == 0
         differs[still[unequal]] = True
         k += 1
         still = still[~unequal & (la[still] > k)]
@@ -207,105 +215,105 @@ def _slide(values: np.ndarray, width: int, least) -> np.ndarray:
     return least(values[: len(values) - (width - size)], values[width - size :]) if width > size else values
 
 
-def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
-    """A 63-bit hash of each string of gram bytes, put together from strings of powers of two."""
-    n = len(data) - gram + 1
-    h, size, base = data.astype(np.uint64) + np.uint64(1), 1, 0x9E3779B97F4A7C15
-    out, done = None, 0
-    while True:
-        if gram & size:
-            part = h[done : done + n]
-            out = part.copy() if out is None else out * np.uint64(0xD6E8FEB86659FD93) + part
-            out ^= out >> np.uint64(32)
-            done += size
-        if 2 * size > gram:
-            break
-        h = h[:-size] * np.uint64(base) + h[size:]
-        h ^= h >> np.uint64(29)
-        base = (base * 0xBF58476D1CE4E5B9 | 1) & (1 << 64) - 1
-        size *= 2
-    out *= np.uint64(0x94D049BB133111EB)
-    return (out ^ (out >> np.uint64(31))) >> np.uint64(1)
+class Hashed:
+    """64-bit hashes of any strings of a text: polynomials of their bytes from running sums, then mixed."""
+
+    def __init__(self, data: np.ndarray):
+        self.up, self.down = _Powers.of(len(data) + 1)
+        self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.up[: len(data)])))
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return _mixed((self.sums[ends] - self.sums[starts]) * self.down[starts])
+
+    def grams(self, gram: int) -> np.ndarray:
+        """Of each string of gram bytes, in 63 bits."""
+        n = len(self.sums) - gram
+        return _mixed((self.sums[gram:] - self.sums[:n]) * self.down[:n]) >> np.uint64(1)
 
 
-def windows(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def windows(hashed: Hashed, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs of window starts that share an anchor: first start, number of starts, the anchor's hash."""
-    if len(data) < length:
+    if len(hashed.sums) <= length:
         none = np.zeros(0, np.int64)
         return none, none, none
-    h = gram_hashes(data, gram)
+    h = hashed.grams(gram)
     least = _slide(h, length - gram + 1, np.minimum)
     new = np.concatenate(([True], least[1:] != least[:-1]))
     first = np.flatnonzero(new)
     return first, np.diff(np.concatenate((first, [len(least)]))), least[first].astype(np.int64)
 
 
-def _anchors(batches, length: int, gram: int, buckets: int, docs_held: int):
-    """Records for buckets of anchors: the anchors, whose they are (places in keys) and the texts' keys.
+def _anchors(batches, length: int, gram: int, tasks: int, docs_held: int):
+    """The anchors of texts and the texts' keys, packed: a row for each task that a batch has anchors for.
 
-    An anchor in two texts of a batch is known to be shared: all its places are told (known), under any
-    bucket, and only one of them goes on to its own bucket. So a hot anchor adds one place a batch there.
+    Of a batch's texts that share an anchor one goes to the anchor's task, where the anchors of other batches meet
+    it; the others are known to be shared and are dealt by their text. So a hot anchor adds one place a batch to its task.
     """
     keys, owners, hashes = [], [], []
 
-    def flush():
-        names, own, h = np.array(keys, np.int64), np.concatenate(owners), np.concatenate(hashes)
+    def told():
+        own, h = np.array(keys, np.int64)[np.concatenate(owners)], np.concatenate(hashes)
+        keys.clear(), owners.clear(), hashes.clear()
         order = np.argsort(h, kind="stable")
         own, h = own[order], h[order]
         new = np.concatenate(([True], h[1:] != h[:-1])) if len(h) else np.zeros(0, bool)
         single = new & np.concatenate((new[1:], [True])) if len(h) else new
-        rows = []
-        for known, take in ((True, ~single), (False, new)):
-            part, whose, again = h[take], own[take], ~single[take]
-            bucket = part % buckets if not known else whose % buckets
-            by = np.argsort(bucket, kind="stable")
-            edges = np.searchsorted(bucket[by], np.arange(buckets + 1))
-            for i in np.flatnonzero(np.diff(edges)).tolist():
-                some = by[edges[i] : edges[i + 1]]
-                rows.append((i, known, part[some].tobytes(), whose[some].astype("<u2").tobytes(), again[some].tobytes(), names.tobytes()))
-        keys.clear(), owners.clear(), hashes.clear()
-        for row in rows:
-            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, [pa.int64(), pa.bool_(), *[pa.binary()] * 4], strict=True)], ["bucket", "known", "anchors", "owners", "again", "keys"])
+        kind = np.where(single, 0, np.where(new, 1, 2)).astype(np.uint8)
+        task = np.where(new, h, own) % tasks
+        order = np.argsort(task, kind="stable")
+        edges = np.concatenate(([0], np.flatnonzero(np.diff(task[order])) + 1, [len(order)])) if len(order) else np.zeros(1, np.int64)
+        packed = [binaries(x[order], edges) for x in (h, own, kind)]
+        return pa.RecordBatch.from_arrays([pa.array(task[order][edges[:-1]], pa.int64()), *packed], ["task", "anchors", "keys", "kinds"])
 
     for batch in batches:
         for key, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            h = np.unique(windows(np.frombuffer(raw, np.uint8), length, gram)[2])
+            h = np.unique(windows(Hashed(np.frombuffer(raw, np.uint8)), length, gram)[2])
             owners.append(np.full(len(h), len(keys), np.int64))
             hashes.append(h)
             keys.append(key)
             if len(keys) >= docs_held:
-                yield from flush()
+                yield told()
     if keys:
-        yield from flush()
-
-
-def _shared(table: pa.Table) -> pa.Table:
-    """From a bucket's records: each text's key with its anchors that another text has too."""
-    got: list[tuple[np.ndarray, np.ndarray]] = []
-    h, own, again = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
-    for known, anchors, owners, twice, keys in zip(*[table[c].to_pylist() for c in ("known", "anchors", "owners", "again", "keys")], strict=True):
-        a, o = np.frombuffer(anchors, np.int64), np.frombuffer(keys, np.int64)[np.frombuffer(owners, "<u2")]
-        if known:
-            got.append((o, a))
-        else:
-            h.append(a)
-            own.append(o)
-            again.append(np.frombuffer(twice, bool))
-    h, own, again = np.concatenate(h), np.concatenate(own), np.concatenate(again)
-    order = np.lexsort((own, h))
-    h, own, again = h[order], own[order], again[order]
-    if len(h):
-        new = np.concatenate(([True], h[1:] != h[:-1]))
-        group = np.cumsum(new) - 1
-        shared = np.zeros(int(group[-1]) + 1, bool)
-        shared[group[1:][(h[1:] == h[:-1]) & (own[1:] != own[:-1])]] = True
-        take = shared[group] & ~again
-        got.append((own[take], h[take]))
-    own, h = (np.concatenate([x[i] for x in got]) if got else np.zeros(0, np.int64) for i in (0, 1))
-    order = np.argsort(own, kind="stable")
-    own, h = own[order], h[order]
-    edges = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1], [True]))) if len(own) else np.zeros(1, np.int64)
-    return pa.table({"key": pa.array(own[edges[:-1]], pa.int64()), "anchors": pa.array([h[a:b].tobytes() for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)], pa.binary())})
+        yield told()
+
+
+def _shared(batches):
+    """From the rows of _anchors that a task has: key and anchor, for anchors that two texts have. A task's rows are bounded (see repeats)."""
+    held: dict[int, list] = {}
+    for batch in batches:
+        for task, *packed in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            h, own, kind = (np.frombuffer(x, t) for x, t in zip(packed, (np.int64, np.int64, np.uint8), strict=True))
+            known = kind == 2
+            yield pa.RecordBatch.from_arrays([pa.array(own[known]), pa.array(h[known])], ["key", "anchor"])
+            held.setdefault(task, []).append((h[~known], own[~known], kind[~known] == 1))
+    for some in held.values():
+        h, own, known = (np.concatenate(x) for x in zip(*some, strict=True))
+        if len(h):
+            order = np.argsort(h, kind="stable")
+            h, own, known = h[order], own[order], known[order]
+            first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+            several = np.logical_or.reduceat(known, first) | (np.minimum.reduceat(own, first) != np.maximum.reduceat(own, first))
+            take = np.repeat(several, np.diff(np.append(first, len(h))))
+            yield pa.RecordBatch.from_arrays([pa.array(own[take]), pa.array(h[take])], ["key", "anchor"])
+
+
+PIECES = "key long, doc long, start long, size long, anchor long, piece_id long"
+
+
+def _pieces(batches, length: int, gram: int):
+    """The pieces of each text's shared anchors, without their bytes."""
+    for batch in batches:
+        keys, docs = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        bounds, anchors = batch.column(3).offsets.to_numpy(), batch.column(3).values.to_numpy()
+        out: list[tuple] = []
+        for i, raw in enumerate(batch.column(2).to_pylist()):
+            hashed = Hashed(np.frombuffer(raw, np.uint8))
+            begin, count, marks = windows(hashed, length, gram)
+            some = np.sort(anchors[bounds[i] : bounds[i + 1]])
+            take = some[np.minimum(np.searchsorted(some, marks), len(some) - 1)] == marks
+            begin, size, marks = begin[take], count[take] + length - 1, marks[take]
+            out.append((np.full(len(begin), keys[i]), np.full(len(begin), docs[i]), begin, size, marks, hashed(begin, begin + size).view(np.int64)))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], [x.split()[0] for x in PIECES.split(", ")])
 
 
 def _sorted_shard(table: pa.Table, length: int) -> pa.Table:
@@ -317,18 +325,22 @@ def _sorted_shard(table: pa.Table, length: int) -> pa.Table:
     ends = np.cumsum(sizes + 1) - 1
     text[ends] = 0  # below all bytes
     owner = np.repeat(np.arange(len(parts)), sizes + 1)
-    array = suffix_array(text, 257)
+    array = suffix_array(text, 257, stops=True)
     whole = np.arange(len(text)) + length <= ends[owner]  # a window inside its piece
     group = np.cumsum(common_prefixes(raw, array, length)[array] < length) - 1
     group, at = group[whole[array]], array[whole[array]]
     low = np.full(len(text), LAST, np.int64)
     np.minimum.at(low, group, lows[owner[at]])
-    at = at[low[group] < lows[owner[at]]]
-    own = owner[at]
-    return pa.table({"anchor": marks[own], "piece_id": ids[own], "at": at - _starts(sizes + 1)[own]})
+    at = np.sort(at[low[group] < lows[owner[at]]])
+    # Runs of windows side by side are one; the sentinel between pieces keeps theirs apart.
+    new = np.flatnonzero(np.concatenate(([True], np.diff(at) != 1))) if len(at) else at
+    first, last = at[new], at[np.append(new[1:], len(at)) - 1] if len(at) else at
+    own = owner[first]
+    begin = _starts(sizes + 1)[own]
+    return pa.table({"anchor": marks[own], "piece_id": ids[own], "from": first - begin, "to": last - begin + length})
 
 
-def repeats(docs: DataFrame, length: int = 50, gram: int = 24, shard_pieces: int = 20_000, bucket_anchors: int = 1_500_000, docs_held: int = 8_000) -> tuple[DataFrame, DataFrame]:
+def repeats(docs: DataFrame, length: int = 50, gram: int = 24, shard_pieces: int = 20_000, task_anchors: int = 1_500_000, docs_held: int = 4_000) -> tuple[DataFrame, DataFrame]:
     """(names, spans): names has doc_id, key, n_bytes, sha256 (of the text) and copy of every document, spans has
     key and found: the windows to remove of texts that aren't copies as a whole.
 
@@ -339,44 +351,30 @@ def repeats(docs: DataFrame, length: int = 50, gram: int = 24, shard_pieces: int
     names = tables.keep(d.select("doc_id", "doc", "key", F.length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha256")))
     first = names.where(F.col("n_bytes") >= length).groupBy("sha256").agg(F.min(F.struct("doc", "key")).alias("first"))
     first = tables.keep(first.select("sha256", F.col("first.doc").alias("first_doc"), F.col("first.key").alias("first_key")))
-    buckets = max(1, (names.agg(F.sum("n_bytes")).first()[0] or 0) // ((length - gram + 2) // 2 * bucket_anchors))
-    records = d.select("key", "text").mapInArrow(lambda x: _anchors(x, length, gram, buckets, docs_held), "bucket long, known boolean, anchors binary, owners binary, again binary, keys binary")
-    shared = records.groupBy("bucket").applyInArrow(_shared, "key long, anchors binary")
+    # An anchor stands in for (length - gram + 2) / 2 bytes: so many tasks that each has about task_anchors of them.
+    tasks = int(max(1, (names.agg(F.sum("n_bytes")).first()[0] or 0) // ((length - gram + 2) // 2 * task_anchors)))
+    rows = d.select("key", "text").mapInArrow(lambda x: _anchors(x, length, gram, tasks, docs_held), "task long, anchors binary, keys binary, kinds binary")
+    shared = rows.repartition(tasks, "task").mapInArrow(_shared, "key long, anchor long")
+    shared = shared.groupBy("key").agg(F.collect_list("anchor").alias("anchors"))  # of one text
     # One text of each group of copies from here on.
-    shared = shared.join(first.select(F.col("first_key").alias("key")), "key", "left_semi")
-    shared = tables.keep(shared.groupBy("key").agg(F.collect_list("anchors").alias("anchors")))
+    shared, shared_at = tables.keep_at(shared.join(first.select(F.col("first_key").alias("key")), "key", "left_semi"))
     tables.release()
-
-    def pieces(batches):
-        for batch in batches:
-            out: dict[str, list] = {"key": [], "doc": [], "start": [], "anchor": [], "piece": []}
-            for key, doc, raw, some in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                begin, count, h = windows(np.frombuffer(raw, np.uint8), length, gram)
-                take = np.flatnonzero(np.isin(h, np.frombuffer(b"".join(some), np.int64)))
-                starts = begin[take].tolist()
-                out["piece"] += [raw[a : a + n + length - 1] for a, n in zip(starts, count[take].tolist(), strict=True)]
-                out["start"] += starts
-                out["key"] += [key] * len(take)
-                out["doc"] += [doc] * len(take)
-                out["anchor"] += h[take].tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(v, pa.binary() if k == "piece" else pa.int64()) for k, v in out.items()], list(out))
-
-    cut = d.join(shared, "key")
-    cut = cut.select("key", "doc", "text", "anchors").mapInArrow(pieces, "key long, doc long, start long, anchor long, piece binary")
-    cut = cut.select("key", "doc", "start", F.length("piece").cast("long").alias("size"), "anchor", F.xxhash64("anchor", "piece").alias("piece_id"))
+    cut = d.join(shared, "key").select("key", "doc", "text", "anchors").mapInArrow(lambda x: _pieces(x, length, gram), PIECES)
     cut, cut_at = tables.keep_at(cut)
+    tables.drop(shared_at)
     tables.release()
-    # Equal pieces are one, with their least document; an anchor with one piece alone needs no sorting.
-    kinds = cut.groupBy("anchor", "piece_id").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.min(F.struct("key", "start", "size")).alias("place"))
+    # Equal pieces are one, with their least document and one of their places.
+    kinds = cut.groupBy("anchor", "piece_id").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), *[F.first(c).alias(c) for c in ("key", "start", "size")])
     kinds, kinds_at = tables.keep_at(kinds)
+    # An anchor with one piece alone needs no sorting.
     many = kinds.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
-    places = kinds.join(many, "anchor").groupBy("place.key").agg(F.collect_list(F.struct("anchor", "piece_id", "low", "n", "place.start", "place.size")).alias("some"))
+    places = kinds.join(many, "anchor").groupBy("key").agg(F.collect_list(F.struct("anchor", "piece_id", "low", "n", "start", "size")).alias("some"))
     mixed = d.select("key", "text").join(places, "key").select("text", F.explode("some").alias("x")).select("x.*", F.expr("substring(text, cast(x.start + 1 as int), cast(x.size as int))").alias("piece")).drop("start", "size")
     mixed, mixed_at = tables.keep_at(mixed.dropDuplicates(["anchor", "piece_id"]))
     tables.release()
     shards = max(1, -(-mixed.count() // shard_pieces))
     small = mixed.where(F.col("n") <= shard_pieces).select(F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"), "anchor", "piece", "piece_id", "low")
-    told = small.groupBy("shard").applyInArrow(lambda x: _sorted_shard(x, length), "anchor long, piece_id long, at long")
+    told = small.groupBy("shard").applyInArrow(lambda x: _sorted_shard(x, length), "anchor long, piece_id long, from long, to long")
 
     def one_each(batches):
         for batch in batches:
@@ -386,13 +384,14 @@ def repeats(docs: DataFrame, length: int = 50, gram: int = 24, shard_pieces: int
 
     # An anchor with more pieces than a shard holds: its windows are dealt by their bytes.
     hot = mixed.where(F.col("n") > shard_pieces).select("anchor", "piece", "piece_id", "low").mapInArrow(one_each, "anchor long, piece binary, piece_id long, low long, at long")
-    hot = hot.join(hot.groupBy("anchor", "piece").agg(F.min("low").alias("least")), ["anchor", "piece"]).where("least < low").select("anchor", "piece_id", "at")
-    told = told.unionByName(hot).groupBy("anchor", "piece_id").agg(F.collect_set("at").alias("ats"))
+    hot = hot.join(hot.groupBy("anchor", "piece").agg(F.min("low").alias("least")), ["anchor", "piece"]).where("least < low").select("anchor", "piece_id", F.col("at").alias("from"), (F.col("at") + length).alias("to"))
+    told = told.unionByName(hot).groupBy("anchor", "piece_id").agg(F.collect_set(F.struct("from", "to")).alias("parts"))
     # A piece is covered whole in documents after its least; in that one, where the shards tell.
     known = kinds.where("low < high").select("anchor", "piece_id", "low").join(told, ["anchor", "piece_id"], "full_outer")
     marked = cut.join(known, ["anchor", "piece_id"])
-    marked = marked.select("key", "start", F.when(F.col("low") < F.col("doc"), F.col("size")).alias("size"), "ats").where("size is not null or ats is not null")
-    spans = marked.distinct().groupBy("key").agg(F.collect_list(F.struct("start", "size", F.when(F.col("size").isNull(), F.col("ats")).alias("ats"))).alias("found"))
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("from"), F.col("size").alias("to")))
+    marked = marked.select("key", "start", F.explode(F.when(F.col("low") < F.col("doc"), whole).otherwise(F.col("parts"))).alias("x"))
+    spans = marked.groupBy("key").agg(F.collect_list(F.struct((F.col("start") + F.col("x.from")).alias("from"), (F.col("start") + F.col("x.to")).alias("to"))).alias("found"))  # of one text
     names = names.join(first, "sha256", "left")
     names = names.select("doc_id", "key", "n_bytes", "sha256", (F.coalesce("first_doc", "doc") < F.col("doc")).alias("copy"), F.coalesce("first_key", "key").alias("first_key"))
     spans = tables.keep(spans)
@@ -402,21 +401,12 @@ def repeats(docs: DataFrame, length: int = 50, gram: int = 24, shard_pieces: int
     return names, spans
 
 
-def _runs(found, length: int) -> list[tuple[int, int]]:
-    """Maximal runs of bytes that the windows cover."""
-    spans = []
-    for x in found or []:
-        if x["size"] is not None:
-            spans.append((x["start"], x["start"] + x["size"]))
-        else:
-            spans += [(x["start"] + at, x["start"] + at + length) for at in x["ats"]]
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
+def _runs(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Maximal runs of bytes that the spans cover."""
+    order = np.argsort(first, kind="stable")
+    first, last = first[order], np.maximum.accumulate(last[order])
+    new = np.concatenate(([True], first[1:] > last[:-1]))
+    return first[new], last[np.append(np.flatnonzero(new)[1:], len(first)) - 1]
 
 
 def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 24, keep_text: bool = True) -> DataFrame:
@@ -425,14 +415,12 @@ def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 24, keep_text:
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for key, raw, found in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                at, parts, runs = 0, [], _runs(found, length)
-                for a, b in runs:
-                    parts.append(raw[at:a])
-                    at = b
-                kept = b"".join([*parts, raw[at:]])
-                rows.append((key, len(raw) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept if keep_text else None))
+            rows, (first, last) = [], (x.to_numpy() for x in batch.column(2).values.flatten())
+            bounds = batch.column(2).offsets.to_numpy()
+            for i, (key, raw) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                a, b = _runs(first[bounds[i] : bounds[i + 1]], last[bounds[i] : bounds[i + 1]])
+                kept = b"".join([raw[x:y] for x, y in zip([0, *b.tolist()], [*a.tolist(), len(raw)], strict=True)])
+                rows.append((key, len(raw) - len(kept), len(a), hashlib.sha256(kept).hexdigest(), kept if keep_text else None))
             cols = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()], strict=True)], ["key", "removed", "runs", "rest", "kept"])
 
