@@ -6,8 +6,14 @@ whether or not the earlier one is removed itself. Lines without a word stay.
 
 Equal sets are one class with its first place, so copies are never paired. Words are ordered by
 rarity (their count, through a table of hashed counts of bounded size, ties by hash); each class is
-listed under the words of its prefix, without words that occur once. The join of these lists applies the
-length and positional filters and one on hashed parities of the words (which can't drop a match); what is left is verified on the lines' words.
+listed under the words of its prefix, without words that occur once. Under each word the length and
+positional filters and one on hashed parities of the words (which can't drop a match) tell the classes
+that have a possible partner; those classes' words are then read and every pair verified, once, under the
+least word that it shares. Links are counted where they are found, so no table has a row for each: all links of
+a group of near copies count, and tables still don't grow with its square. A word of very many
+classes is split into squares of `tile` by `tile` classes, which tasks share.
+
+Words are compared by 55 bits of a hash, equal sets by a sum of 128 bits over their words.
 
 Defined cases: a null or empty text has no lines; a null doc_id stands after all numbers; rows equal
 in doc_id and text stand at one place and are judged alike; an empty table gives no rows; extra
@@ -23,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import Tables, documents
+from .tokens import binaries
 
 LAST = (1 << 63) - 1
 LINES = "doc_id long, doc long, key long, lines array<struct<at:int,hi:long,lo:long,size:int,sign:long,prefix:array<long>>>"
@@ -112,18 +119,23 @@ def rarity(docs: DataFrame, buckets: int) -> np.ndarray:
     return codes
 
 
-def _lines_of(raw: bytes, parts: list[bytes], codes: np.ndarray, num: int, den: int) -> pa.Array:
-    """The array of lines of each of the texts in raw (see _joined)."""
+def _sets(raw: bytes, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct words of each line as keys (rarity, then hash) in ascending order, and their lines' numbers."""
     h, starts, line_ends = word_hashes(raw)
     keys = codes[(h % np.uint64(len(codes))).astype(np.int64)].astype(np.int64) << 55 | (h >> np.uint64(9)).astype(np.int64)
     line = np.searchsorted(line_ends, starts)
-    # Distinct keys of each line in order: by key, then (stable) by line.
+    # By key, then (stable) by line.
     order = np.argsort(keys, kind="stable")
     order = order[np.argsort(line[order].astype(np.uint16 if len(line_ends) < 1 << 16 else np.int64), kind="stable")]
     keys, line = keys[order], line[order]
     new = np.ones(len(keys), bool)
     new[1:] = (keys[1:] != keys[:-1]) | (line[1:] != line[:-1])
-    flat, line = keys[new], line[new]
+    return keys[new], line[new]
+
+
+def _lines_of(raw: bytes, parts: list[bytes], codes: np.ndarray, num: int, den: int) -> pa.Array:
+    """The array of lines of each of the texts in raw (see _joined)."""
+    flat, line = _sets(raw, codes)
     lines, starts, n = np.unique(line, return_index=True, return_counts=True)
     last_line = np.cumsum([x.count(b"\n") + 1 for x in parts])
     owner = np.searchsorted(last_line, lines, side="right")
@@ -161,61 +173,176 @@ def _keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return documents(docs, id_col, text_col).select("doc_id", F.coalesce("doc_id", F.lit(LAST)).alias("doc"), F.xxhash64("doc_id", "text").alias("key"), "text")
 
 
-def _alike(pairs: DataFrame, classes: DataFrame, docs: DataFrame, tables: Tables, num: int, den: int) -> DataFrame:
-    """id of every class b for which a pair (a, b) of classes is alike; the lines come from the texts."""
-    pairs = tables.keep(pairs.distinct())
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(classes.select("id", "first.key", "first.at"), "id")
-    wanted = wanted.groupBy("key").agg(F.collect_list(F.struct("at", "id")).alias("wanted"))
-    text = docs.select("key", "text").join(wanted, "key").select(F.split("text", "\n").alias("parts"), F.explode("wanted").alias("w")).select("w.id", F.get("parts", F.col("w.at")).alias("line"))
-    text = tables.keep(text)
+def _whole_groups(batches, keys: int):
+    """Columns of rows in the order of their first `keys` columns, as arrays; a group is never cut."""
+    held: list[list] = []
+    for batch in batches:
+        columns = [x if pa.types.is_binary(x.type) else x.to_numpy() for x in batch.columns]
+        changes = np.flatnonzero(np.logical_or.reduce([x[1:] != x[:-1] for x in columns[:keys]])) if len(columns[0]) else []
+        if held and len(columns[0]) and any(h[-1] != c[0] for h, c in zip(held[-1][:keys], columns, strict=False)):
+            yield _together(held)
+            held = []
+        if len(changes):
+            cut = int(changes[-1]) + 1
+            yield _together([*held, [x[:cut] for x in columns]])
+            held, columns = [], [x[cut:] for x in columns]
+        if len(columns[0]):
+            held.append(columns)
+    if held:
+        yield _together(held)
+
+
+def _together(held: list[list]) -> list:
+    return [pa.concat_arrays(x) if isinstance(x[0], pa.Array) else np.concatenate(x) for x in zip(*held, strict=True)]
+
+
+def _near_pairs(group: np.ndarray, split: np.ndarray, part: np.ndarray, size: np.ndarray, place: np.ndarray, sign: np.ndarray, num: int, den: int):
+    """Pairs of rows (i, j) of one group that pass the filters, some at a time; rows stand by group, then by size. In a
+    group with split only rows of different parts are paired."""
+    at, step = np.arange(len(group)), 1
+    while True:
+        at = at[at + step < len(group)]
+        # Sizes ascend in a group: a row whose next one is too large has no partner further on.
+        at = at[(group[at] == group[at + step]) & (num * size[at + step] <= den * size[at])]
+        if not len(at):
+            return
+        to = at + step
+        both = size[at] + size[to]
+        need = -(-num * both // (num + den))
+        near = (np.minimum(size[at] - place[at], size[to] - place[to]) >= need) & (~split[at] | (part[at] != part[to]))
+        # Words that only one of the two has number at least the bits in which their signs differ.
+        near[near] = np.bitwise_count((sign[at[near]] ^ sign[to[near]]).view(np.uint64)) <= (both - 2 * need)[near]
+        if near.any():
+            yield at[near], to[near]
+        step += 1
+
+
+#: Words of more classes than a square holds are broadcast up to this number, and joined beyond it.
+HOT_WORDS = 100_000
+
+
+def _tiled(rows: DataFrame, counted: DataFrame, tile: int, tables: Tables) -> DataFrame:
+    """rows (word, id, ...) with the square (one, two) of its word and the row's part of it; in order by the square, then by size.
+
+    counted: rows that may stand under a word of more than `tile` rows."""
+    hot = counted.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") > tile).select("word", F.ceil(F.col("n") / tile).cast("int").alias("parts"))
+    hot = tables.keep(hot)
+    rows = rows.join(F.broadcast(hot) if hot.count() <= HOT_WORDS else hot, "word", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.withColumns({"one": F.least("part", "other"), "two": F.greatest("part", "other")}).drop("parts", "other")
+    return rows.repartition("word", "one", "two").sortWithinPartitions("word", "one", "two", "size")
+
+
+def _possible(batches, num: int, den: int):
+    """word and id of the rows (see _tiled) that have a partner by the filters."""
+    for word, one, two, part, size, id_, place, sign in _whole_groups(batches, 3):
+        group = np.cumsum(np.concatenate(([0], (word[1:] != word[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1]))))
+        found = np.zeros(len(word), bool)
+        for i, j in _near_pairs(group, one != two, part, size, place, sign, num, den):
+            found[i] = found[j] = True
+        yield pa.RecordBatch.from_arrays([pa.array(word[found]), pa.array(id_[found])], ["word", "id"])
+
+
+def _linked(batches, num: int, den: int):
+    """Of the rows (see _tiled) that have links under their word: id, the number of links and the least first place of a partner.
+
+    A group's words that two rows have are columns, in ascending order; a row is a set of bits. A pair counts where
+    the least column of both is the group's own word.
+    """
+    for word, one, two, part, size, id_, place, sign, doc, key, at, keys in _whole_groups(batches, 3):
+        group = np.cumsum(np.concatenate(([0], (word[1:] != word[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1]))))
+        flat = np.frombuffer(b"".join(keys.to_pylist()), np.int64)
+        row = np.repeat(np.arange(len(word)), size)
+        order = np.lexsort((flat, group[row]))
+        flat, row = flat[order], row[order]
+        new = np.concatenate(([True], (flat[1:] != flat[:-1]) | (group[row[1:]] != group[row[:-1]])))
+        first = np.flatnonzero(new)
+        several = np.diff(np.append(first, len(flat))) > 1
+        owner = group[row[first[several]]]
+        before = np.searchsorted(owner, np.arange(group[-1] + 1))
+        columns = np.full(len(first), -1)
+        columns[several] = np.arange(len(owner)) - before[owner]
+        column = columns[np.cumsum(new) - 1]
+        wide = np.diff(np.append(before, len(owner))) + 63 >> 6  # 64-bit words of a row, by group
+        width = wide[group]
+        start = np.cumsum(width) - width
+        bits = np.zeros(int(width.sum()), np.uint64)
+        own = np.full(len(word), -1)  # the column of the group's word
+        mine = (column >= 0) & (flat == word[row])
+        own[row[mine]] = column[mine]
+        take = column >= 0
+        np.bitwise_or.at(bits, start[row[take]] + (column[take] >> 6), np.uint64(1) << (column[take] & 63).astype(np.uint64))
+        rank = np.empty(len(word), np.int64)
+        by_first = np.lexsort((at, key, doc))
+        rank[by_first] = np.arange(len(word))
+        links, least = np.zeros(len(word), np.int64), np.full(len(word), len(word))
+        for i, j in _near_pairs(group, one != two, part, size, place, sign, num, den):
+            common, early = np.zeros(len(i), np.int64), np.zeros(len(i), bool)
+            for k in range(int(width[i].max())):
+                on = np.flatnonzero(width[i] > k)
+                both = bits[start[i[on]] + k] & bits[start[j[on]] + k]
+                common[on] += np.bitwise_count(both)
+                ahead = np.clip(own[i[on]] - 64 * k, 0, 64)
+                mask = np.where(ahead >= 64, np.uint64((1 << 64) - 1), (np.uint64(1) << np.minimum(ahead, 63).astype(np.uint64)) - np.uint64(1))
+                early[on] |= (both & mask) != 0
+            good = ~early & (den * common >= num * (size[i] + size[j] - common))
+            i, j = i[good], j[good]
+            links += np.bincount(i, minlength=len(links)) + np.bincount(j, minlength=len(links))
+            np.minimum.at(least, i, rank[j])
+            np.minimum.at(least, j, rank[i])
+        some = np.flatnonzero(links)
+        partner = by_first[least[some]]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (id_[some], links[some], doc[partner], key[partner], at[partner])], ["id", "n_links", "doc", "key", "at"])
+
+
+def _links(classes: DataFrame, docs: DataFrame, codes, tables: Tables, num: int, den: int, tile: int) -> DataFrame:
+    """id, n_links and near (the least first place of a linked class) of every class with links."""
+    listed = classes.select("id", F.posexplode("prefix").alias("place", "word"), "size", "sign").where("word >= 0")
+    code = F.shiftrightunsigned("word", 55)  # from the word's count in all lines, see rarity
+    tiled = _tiled(listed, listed.where(code >= int(np.floor(np.log2(8 * tile) * 8)) - 9), 8 * tile, tables)
+    possible, possible_at = tables.keep_at(tiled.select("word", "one", "two", "part", "size", "id", "place", "sign").mapInArrow(lambda x: _possible(x, num, den), "word long, id long").distinct())
     tables.release()
-    both = pairs.join(text.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(text.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
 
-    def verified(batches):
-        for batch in batches:
-            good = []
-            for x, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                x, y = set(x.encode().lower().split()), set(y.encode().lower().split())
-                common = len(x & y)
-                good.append(den * common >= num * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(0)], ["id"]).filter(pa.array(good, pa.bool_()))
+    # The words of the lines where those classes stand first.
+    wanted = classes.join(possible.select("id").distinct(), "id").groupBy("first.key").agg(F.collect_list(F.struct("id", "first.at")).alias("wanted"))
+    parts = docs.select("key", "text").join(wanted, "key").select(F.split("text", "\n").alias("parts"), F.explode("wanted").alias("w"))
+    parts = parts.select("w.id", F.get("parts", F.col("w.at")).alias("line")).dropDuplicates(["id"])  # rows may repeat
 
-    return tables.keep(both.select("b", "x", "y").mapInArrow(verified, "id long").distinct())
+    def words(batches):
+        for batch in batches:
+            flat, line = _sets(b"\n".join(x.encode() for x in batch.column(1).to_pylist()) + b"\n", codes.value)
+            yield pa.RecordBatch.from_arrays([batch.column(0), binaries(flat, np.searchsorted(line, np.arange(batch.num_rows + 1)))], ["id", "keys"])
 
+    keyed, keyed_at = tables.keep_at(parts.mapInArrow(words, "id long, keys binary"))
+    tables.release()
+    places = classes.select("id", "size", "sign", F.posexplode("prefix").alias("place", "word"), "first.*").join(possible, ["word", "id"])
+    tiled = _tiled(places.join(keyed, "id"), possible, tile, tables)
+    found = tiled.select("word", "one", "two", "part", "size", "id", "place", "sign", "doc", "key", "at", "keys").mapInArrow(lambda x: _linked(x, num, den), "id long, n_links long, doc long, key long, at int")
+    found = tables.keep(found.groupBy("id").agg(F.sum("n_links").alias("n_links"), F.min(F.struct("doc", "key", "at")).alias("near")))
+    for path in (possible_at, keyed_at):
+        tables.drop(path)
+    tables.release()
+    return found
 
-def matches(docs: DataFrame, num: int = 4, den: int = 5, buckets: int = 1 << 23) -> DataFrame:
-    """doc_id, key, n_lines (with a word) and removed (places of the lines to remove, from 0 in order) of every document.
 
-    Classes are numbered in the order of their first places. First each meets the earliest class under
-    each word of its prefix; most of a large group of near copies find their match there. Only the rest is
-    joined with all earlier classes, so the pairs don't grow with the square of such a group."""
+def matches(docs: DataFrame, num: int = 4, den: int = 5, buckets: int = 1 << 23, tile: int = 1024) -> DataFrame:
+    """doc_id, key, n_lines (with a word), removed (places of the lines to remove, from 0 in order) and n_links (links of
+    its lines' classes with other classes, over all its lines) of every document."""
     spark, tables = docs.sparkSession, Tables(docs.sparkSession, "lines")
     d = _keyed(docs)
     codes = spark.sparkContext.broadcast(rarity(d, buckets))  # a byte for each bucket
     lines = tables.keep(_classes(d, codes, num, den))
     each = lines.select("doc", "key", F.explode("lines").alias("x")).select("doc", "key", "x.*")
     classes = each.groupBy("hi", "lo").agg(F.min(F.struct("doc", "key", "at")).alias("first"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("sign").alias("sign"), F.first("prefix").alias("prefix"))
-    classes = tables.keep(classes.orderBy("first").withColumn("id", F.monotonically_increasing_id()))
+    classes = tables.keep(classes.withColumn("id", F.monotonically_increasing_id()))
     tables.release()
-    listed = classes.select("id", "size", "sign", F.posexplode("prefix").alias("place", "word")).where("word >= 0")
-    size, other = F.col("size"), F.col("m.size")
-    need = F.ceil(num * (size + other) / (num + den))  # words in common
-    near = (F.col("m.id") < F.col("id")) & (num * size <= den * other) & (num * other <= den * size)
-    near &= F.least(size - F.col("place"), other - F.col("m.place")) >= need
-    # Words that only one of the two has number at least the bits in which their signs differ.
-    near &= F.bit_count(F.col("sign").bitwiseXOR(F.col("m.sign"))) <= size + other - 2 * need
-    one = listed.select("word", F.struct("id", "size", "sign", "place").alias("m"))
-    earliest = one.groupBy("word").agg(F.min("m").alias("m"))
-    star = listed.join(earliest, "word").where(near).select(F.col("m.id").alias("a"), F.col("id").alias("b"))
-    matched = _alike(star, classes, d, tables, num, den)
-    rest = listed.join(matched, "id", "left_anti")
-    pairs = rest.join(one.withColumnRenamed("word", "w"), (F.col("word") == F.col("w")) & near).select(F.col("m.id").alias("a"), F.col("id").alias("b"))
-    matched = matched.union(_alike(pairs, classes, d, tables, num, den)).withColumn("matched", F.lit(True))
-    told = classes.select("id", "hi", "lo", "n", "first").join(matched, "id", "left").where("n > 1 or matched").select("hi", "lo", "first", "matched")
-    seen = each.select("doc", "key", "at", "hi", "lo").join(told, ["hi", "lo"]).where(F.coalesce("matched", F.lit(False)) | (F.col("first") < F.struct("doc", "key", "at")))
-    seen = seen.groupBy("key").agg(F.array_sort(F.collect_set("at")).alias("removed"))  # one document's lines
+    found = _links(classes.select("id", "size", "sign", "prefix", "first"), d, codes, tables, num, den, tile)
+    told = classes.select("id", "hi", "lo", "n", "first").join(found, "id", "left").where("n > 1 or n_links > 0").select("hi", "lo", F.least("first", F.coalesce("near", "first")).alias("least"), "n_links")
+    gone = F.when(F.col("least") < F.struct("doc", "key", "at"), F.col("at"))
+    seen = each.select("doc", "key", "at", "hi", "lo").dropDuplicates(["key", "at"]).join(told, ["hi", "lo"])
+    seen = seen.groupBy("key").agg(F.array_sort(F.collect_list(gone)).alias("removed"), F.sum("n_links").alias("n_links"))  # one document's lines
     out = lines.select("doc_id", "key", F.size("lines").cast("long").alias("n_lines")).join(seen, "key", "left")
-    return out.select("doc_id", "key", "n_lines", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
+    return out.select("doc_id", "key", "n_lines", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def dedup_lines(docs: DataFrame, text_col: str = "text", num: int = 4, den: int = 5, buckets: int = 1 << 23) -> DataFrame:

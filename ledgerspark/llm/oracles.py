@@ -56,7 +56,7 @@ pairs AS (SELECT DISTINCT a.id AS x, b.id AS y FROM prefix a JOIN prefix b ON a.
 links AS (SELECT x, y FROM pairs JOIN classes a ON a.id = x JOIN classes b ON b.id = y WHERE 5 * len(list_intersect(a.words, b.words)) >= 4 * (a.size + b.size - len(list_intersect(a.words, b.words)))),
 near AS (SELECT x AS id, count(*) AS links, min(first) AS near FROM links JOIN classes ON classes.id = y GROUP BY 1),
 judged AS (SELECT s.doc_id, s.pos, coalesce(links, 0) AS links, least(c.first, coalesce(near, c.first)) < {{'d': s.doc_id, 'a': s.pos}} AS gone FROM sets s JOIN classes c USING (words) LEFT JOIN near USING (id))
-SELECT d.doc_id, count(pos) AS n_lines, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) FILTER (gone), '') AS removed_lines
+SELECT d.doc_id, count(pos) AS n_lines, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) FILTER (gone), '') AS removed_lines, CAST(coalesce(sum(links), 0) AS BIGINT) AS n_links
 FROM documents d LEFT JOIN judged j USING (doc_id) GROUP BY 1"""
 
 ORACLE_SQL = {"op2_similar_lines": LINES, "op5_mix_sources": MIX, "op8_license_digests": licences.scan_sql()}

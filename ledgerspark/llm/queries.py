@@ -18,7 +18,7 @@ def op1_pack_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_similar_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lines.matches(read(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed_lines"))
+    return found.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed_lines"), "n_links")
 
 
 def op3_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -146,26 +146,47 @@ def test_wavelet_width():
     assert wavelet.Matrix.build(np.array([70_000], np.uint32), 17).all().tolist() == [70_000]
 
 
-def test_line_matches(docs, rows, empty):
-    got = {(r.doc_id, tuple(r.removed), r.n_lines) for r in lines.matches(docs, buckets=1 << 12).collect()}
+def plain_lines(rows):
+    """doc_id, places of removed lines, number of lines and of links of each different row, by brute force."""
     places = sorted({((r[0] if r[0] is not None else lines.LAST, xxhash.xxh64_intdigest(str(r[1]).encode())), r[0], r[1] or "") for r in rows}, key=lambda x: x[0])
     found = [(p, d, i, frozenset(x.encode().lower().split())) for p, d, t in places for i, x in enumerate(t.split("\n")) if x.split()]
     first = {}
     for p, _, i, s in [*found, *found]:
         first.setdefault(s, (p, i))
     links = {s: [o for o in first if o != s and 5 * len(s & o) >= 4 * len(s | o)] for s in first}
-    want = {}
-    for p, d, t in places:
+    want = set()
+    for p, d, _ in places:
         mine = [(i, s) for q, _, i, s in found if q == p]
         gone = tuple(i for i, s in mine if min([first[s]] + [first[o] for o in links[s]]) < (p, i))
-        want[p] = (d, gone, len(mine))
-    assert got == set(want.values())
+        want.add((d, gone, len(mine), sum(len(links[s]) for _, s in mine)))
+    return want
+
+
+def test_line_matches(docs, rows, empty):
+    got = {(r.doc_id, tuple(r.removed), r.n_lines, r.n_links) for r in lines.matches(docs, buckets=1 << 12).collect()}
+    assert got == plain_lines(rows)
     assert lines.matches(empty, buckets=64).count() == 0
     kept = lines.dedup_lines(docs, buckets=1 << 12)
     assert kept.columns == docs.columns and kept.count() < docs.count() and kept.where("text is null").count() == 1
     assert lines.dedup_lines(empty, buckets=64).count() == 0
 
 
+def test_lines_of_a_large_group_of_near_copies(spark):
+    """All links between the different lines of a group, its word split into squares, among other lines with shared words."""
+    rng, rows = random.Random(7), []
+    base = [f"b{i}" for i in range(30)]
+    for i in range(180):
+        line = list(base)
+        for _ in range(rng.randint(0, 4)):
+            line[rng.randrange(30)] = f"e{rng.randint(0, 40)}"
+        rows.append((i, " ".join(line) + "\n" + " ".join(rng.choice(base[:6] + VOCABULARY[:9]) for _ in range(rng.randint(1, 9)))))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for tile in (7, 1024):
+        got = {(r.doc_id, tuple(r.removed), r.n_lines, r.n_links) for r in lines.matches(frame, buckets=1 << 12, tile=tile).collect()}
+        assert got == plain_lines(rows)
+    assert sum(x[3] for x in got) > 10_000
+
+
 def plain_fingerprint(text, k):
     words = (text or "").encode().lower().split()
     if not words:
@@ -431,7 +452,7 @@ def plain_repeats(rows, length):
     return sorted(out)
 
 
-@pytest.mark.parametrize("how", [{}, {"shard_pieces": 3, "docs_held": 5, "bucket_anchors": 50}, {"docs_held": 2}])
+@pytest.mark.parametrize("how", [{}, {"shard_pieces": 3, "docs_held": 5, "task_anchors": 50}, {"docs_held": 2}])
 def test_repeated_strings(docs, rows, empty, how, monkeypatch):
     plain = suffixes.repeats
     monkeypatch.setattr(suffixes, "repeats", lambda d, length, gram: plain(d, length, gram, **how))
@@ -443,6 +464,13 @@ def test_repeated_strings(docs, rows, empty, how, monkeypatch):
     assert suffixes.remove_repeats(empty).count() == 0
 
 
+def test_anchor_records_do_not_grow_with_tasks(rows):
+    texts = [(t or "").encode() for _, t, *_ in rows]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.binary())], ["key", "text"])
+    packed = [[sum(len(x) for c in ("anchors", "keys", "kinds") for x in b[c].to_pylist()) for b in suffixes._anchors([batch], 50, 24, n, 5)] for n in (1, 1000)]
+    assert packed[0] == packed[1]
+
+
 def test_suffix_arrays():
     rng = random.Random(1)
     for n, letters in [(0, 3), (1, 2), (2, 2), (5, 2), (50, 2), (200, 3), (300, 1), (1000, 4), (3000, 40), (5000, 2)]:
@@ -459,6 +487,17 @@ def test_suffix_arrays():
             assert shared[b] == k
 
 
+def test_suffix_arrays_of_pieces():
+    rng = random.Random(2)
+    piece = [rng.randrange(1, 4) for _ in range(30)]
+    pieces = [[x if rng.random() < 0.97 else 3 for x in piece[rng.randrange(5) :]] for _ in range(60)]
+    text = np.array([x for p in pieces for x in [*p, 0]], np.int64)
+    plain, array = text.tolist(), suffixes.suffix_array(text, 4, stops=True).tolist()
+    assert sorted(array) == list(range(len(plain)))
+    cut = [tuple(plain[i : plain.index(0, i)]) for i in array]
+    assert cut == sorted(cut)
+
+
 def test_image_copies(spark):
     rng = np.random.default_rng(9)
 
