@@ -8,7 +8,7 @@ the training tokens outside the head, so the probabilities of all words add up t
 Training is Baum-Welch over all training tokens: a first pass counts with the state read off the last
 anchor (the n-th of the most frequent words) seen in the document, and each of `rounds` passes sums
 expected counts by word id over the partitions; the driver holds only the model (states x head).
-Passes read a text in runs of `run_length` tokens. Scores come from the scaled forward recursion over
+Texts count whole; those of more than `long_text` tokens are put together, so that the rest needs fewer steps. Scores come from the scaled forward recursion over
 the whole text.
 
 Counts of the `lookup` most frequent words are broadcast (a bounded table); rarer words join the
@@ -74,19 +74,17 @@ class Model:
         out[order] = total
         return out
 
-    def expect(self, runs: list[tuple[np.ndarray, bool]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Expected counts of starts, steps and emissions; the flag of a run tells whether a text begins there."""
-        runs = sorted(runs, key=lambda r: -len(r[0]))
-        sizes = np.array([len(r[0]) for r in runs])
+    def expect(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Expected counts of starts, steps and emissions over whole texts."""
+        texts = sorted(texts, key=lambda x: -len(x))
+        sizes = np.array([len(x) for x in texts])
         alive = np.searchsorted(-sizes, -np.arange(sizes[0]), side="left")
         at = np.concatenate(([0], np.cumsum(alive)))
-        starts, flat = np.cumsum(sizes) - sizes, np.concatenate([r[0] for r in runs])
+        starts, flat = np.cumsum(sizes) - sizes, np.concatenate(texts)
         ids = np.concatenate([flat[starts[:n] + t] for t, n in enumerate(alive)]).astype(np.int64)
-        step, first = self.step.astype(np.float32), np.array([r[1] for r in runs])
-        usual = np.linalg.matrix_power(self.step, 64)[0]  # where a later run begins
+        step, begin = self.step.astype(np.float32), self.start.astype(np.float32)
         here = np.ascontiguousarray(self.emit.T.astype(np.float32))[ids]
         seen, scales = np.empty_like(here), np.empty(len(ids), np.float32)
-        begin = np.where(first[:, None], self.start, usual).astype(np.float32)
         for t, n in enumerate(alive):
             a, b = at[t], at[t + 1]
             now = (begin if t == 0 else seen[at[t - 1] : at[t - 1] + n] @ step) * here[a:b]
@@ -102,7 +100,7 @@ class Model:
             after = here[a:b] * back / scales[a:b, None]
             seen[a:b] *= back
         emit = np.stack([np.bincount(ids, seen[:, s], self.emit.shape[1]) for s in range(len(step))])
-        return seen[: len(runs)][first].sum(0, dtype=np.float64), steps * self.step, emit
+        return seen[: len(texts)].sum(0, dtype=np.float64), steps * self.step, emit
 
 
 def anchored(ids: np.ndarray, states: int, ends: np.ndarray) -> np.ndarray:
@@ -157,7 +155,7 @@ def word_counts(docs: DataFrame, most: int = 500_000) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def score(docs: DataFrame, held_out, states: int = 12, head: int = 16_384, lookup: int = 200_000, rounds: int = 2, run_length: int = 256, batch_tokens: int = 600_000) -> DataFrame:
+def score(docs: DataFrame, held_out, states: int = 12, head: int = 16_384, lookup: int = 200_000, rounds: int = 2, long_text: int = 1024, batch_tokens: int = 600_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document.
 
     held_out: a Column over doc_id that tells which documents to leave out of training.
@@ -232,18 +230,21 @@ def score(docs: DataFrame, held_out, states: int = 12, head: int = 16_384, looku
 
         def expected(batches, sent=sent):
             model, sums = sent.value, [np.zeros(states), np.zeros((states, states)), np.zeros((states, size))]
-            runs, held = [], 0
+            pools: tuple[list, list] = ([], [])
+            held = [0, 0]
             for batch in batches:
                 for raw in batch.column(0).to_pylist():
                     text = np.frombuffer(raw, "<u2")
-                    for i in range(0, len(text), run_length):
-                        runs.append((text[i : i + run_length], i == 0))
-                    held += len(text)
-                    if held >= batch_tokens:
-                        sums = [a + b for a, b in zip(sums, model.expect(runs), strict=True)]
-                        runs, held = [], 0
-            if runs:
-                sums = [a + b for a, b in zip(sums, model.expect(runs), strict=True)]
+                    k = int(len(text) > long_text)
+                    pools[k].append(text)
+                    held[k] += len(text)
+                    if held[k] >= batch_tokens:
+                        sums = [a + b for a, b in zip(sums, model.expect(pools[k]), strict=True)]
+                        pools[k].clear()
+                        held[k] = 0
+            for texts in pools:
+                if texts:
+                    sums = [a + b for a, b in zip(sums, model.expect(texts), strict=True)]
             yield _counted(*sums)
 
         model = _model(training.mapInArrow(expected, counted), states, size)

@@ -414,12 +414,70 @@ def test_hmm_recursions():
     for run, got in zip(runs, m.log10(runs), strict=True):
         total = sum(np.prod([m.start[p[0]] * m.emit[p[0], run[0]], *[m.step[a, b] * m.emit[b, x] for a, b, x in zip(p, p[1:], run[1:], strict=False)]]) for p in __import__("itertools").product(range(2), repeat=len(run)))
         assert math.isclose(got, math.log10(total), rel_tol=1e-9)
-    start, step, emit = m.expect([(r, True) for r in runs])
+    start, step, emit = m.expect(runs)
     assert math.isclose(start.sum(), 3, rel_tol=1e-4) and math.isclose(step.sum(), 6, rel_tol=1e-4) and math.isclose(emit.sum(), 9, rel_tol=1e-4)
     before = m.log10(runs).sum()
     assert hmm.Model(start / start.sum(), step / step.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True)).log10(runs).sum() >= before - 1e-6
 
 
+def plain_hmm(texts, training, states, head, rounds):
+    """log10 of each text's probability by a plain Baum-Welch over whole texts, with the operator's beginning and smoothing."""
+    words = [[*(t or "").encode().lower().split(), b" "] for t in texts]
+    counts = Counter(w for i in training for w in words[i])
+    ids = {w: i + 1 for i, (w, _) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:head])}
+    ids.setdefault(b" ", len(ids) + 1)
+    size = len(ids) + 1
+    coded = [[ids.get(w, 0) for w in x] for x in words]
+    start, step, emit = np.zeros(states), np.zeros((states, states)), np.zeros((states, size))
+    for i in training:
+        anchors, state = [x for x in coded[i] if 1 <= x <= states], []
+        for x in coded[i]:
+            state.append((x if 1 <= x <= states else state[-1] + 1 if state else anchors[0] if anchors else 1) - 1)
+        start[state[0]] += 1
+        for a, b in zip(state, state[1:], strict=False):
+            step[a, b] += 1
+        for a, x in zip(state, coded[i], strict=True):
+            emit[a, x] += 1
+    model = hmm.Model.of(start, step, emit)
+    for _ in range(rounds):
+        start, step, emit = np.zeros(states), np.zeros((states, states)), np.zeros((states, size))
+        for i in training:
+            x = coded[i]
+            ahead, back = [model.start * model.emit[:, x[0]]], [np.ones(states)]
+            for y in x[1:]:
+                ahead.append(ahead[-1] / ahead[-1].sum() @ model.step * model.emit[:, y])
+            for y in reversed(x[1:]):
+                b = model.step @ (model.emit[:, y] * back[0])
+                back.insert(0, b / b.sum())
+            for t, y in enumerate(x):
+                gamma = ahead[t] * back[t] / (ahead[t] @ back[t])
+                emit[:, y] += gamma
+                start += gamma * (t == 0)
+                if t:
+                    both = ahead[t - 1][:, None] * model.step * (model.emit[:, y] * back[t])
+                    step += both / both.sum()
+        model = hmm.Model.of(start, step, emit)
+    other = Counter({w: n for w, n in counts.items() if w not in ids})
+    out = []
+    for x, w in zip(coded, words, strict=True):
+        now, total = None, 0.0
+        for y in x:
+            now = (model.start if now is None else now @ model.step) * model.emit[:, y]
+            total += math.log10(now.sum())
+            now = now / now.sum()
+        out.append(total + sum(math.log10((other[v] + 1) / (sum(other.values()) + len(other) + 1)) for v, y in zip(w, x, strict=True) if y == 0))
+    return out
+
+
+def test_hmm_training_counts_whole_texts(spark):
+    rng = random.Random(13)
+    texts = [" ".join(rng.choice(VOCABULARY[6 * (j // 20 % 6) : 6 * (j // 20 % 6) + 6]) for j in range(n)) for n in (1, 30, 300, 700, 1500, 40, 0)] + [None, "unknown words"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    got = {r.doc_id: r.score for r in hmm.score(frame, F.col("doc_id").isin(3, 8), states=3, head=20, batch_tokens=500).collect()}
+    want = plain_hmm(texts, [i for i in range(len(texts)) if i not in (3, 8)], 3, 20, 2)
+    assert all(math.isclose(got[i], x, rel_tol=2e-4) for i, x in enumerate(want))
+
+
 def test_hmm_beats_single_words(spark):
     rng = random.Random(4)
     langs = [[f"{p}{i}" for i in range(40)] for p in "abcd"]
