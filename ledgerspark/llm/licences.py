@@ -56,6 +56,27 @@ KNOWN = [
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."), ("CC0-1.0", "Dedicated to the public domain under CC0 1.0."), ("All-Rights-Reserved", "All rights reserved."),
 ]
 
+#: SHA-256 of the canonical form (see whole) of full licence texts as Debian has them in /usr/share/common-licenses.
+DIGESTS = [
+    ("Apache-2.0", "bb9b9809799dde483dd255c759a87cd240b7c00fdd56de34e1e2af5eba9be6f7"),
+    ("Artistic-1.0-Perl", "842d1d7843c0e8fa9d9fc60e2e1e785750f849881896afdeab8b3bcccd224479"),
+    ("BSD-3-Clause", "3d151449461c0c776e892a4dc41cac0d251eb00c9fc49d2d48802d9bed818fe9"),
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("GFDL-1.2", "87c71d035f42e6959a1fb4600d4fcd28ce1443fdf0466a7207557492baa6cc0e"),
+    ("GFDL-1.3", "cb2184027defdb94f76a52a960857d9e69fc476b5f76d8506d1cc0195b2463f7"),
+    ("GPL-1.0", "37f380f152339f34a15db620545eb53f0b5c7d9e6a9542aa09ed0d22f186920f"),
+    ("GPL-2.0", "5147a46525fc36b30edbb3469564d4930add19b5b86c56d8d58e084575fd474a"),
+    ("GPL-3.0", "215debb7a19305d23905a73b68831a18b4124b5de20c9a12139e958b95ddb2a0"),
+    ("LGPL-2.0", "82b9c718a1edbbe60a4f5828e6e8c8390d714f09bfee18638761bb3f8fdff504"),
+    ("LGPL-2.1", "8972cc10118fe8a142e8b2d34ba122d3a2c710126a256b6786246af9ae4cd5a6"),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "fbe9a0b96f52e03cb474f9a7083781399c011279e85b548118563ec96e659354"),
+    ("MPL-2.0", "3dacd2c104719e7227969cbdcc7d581518827199e830b9379627eec0a32f8ab7"),
+]
+
+#: All identifiers in a fixed order.
+NAMES = list(dict.fromkeys(x for x, _ in KNOWN + DIGESTS))
+
 COPYRIGHT = r"(^|\n)[ \t\r>*#/;-]*(copyright|\(c\)|©)[^\n]*"
 SIGNS = r"[\x00-\x09\x0b-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+"
 
@@ -74,16 +95,18 @@ def whole(canonical_text: Column) -> Column:
 
 def known(spark: SparkSession) -> DataFrame:
     """digest, bit and license of the known texts: a fixed, small table."""
-    order = {x: i for i, x in enumerate(dict.fromkeys(x for x, _ in KNOWN))}
+    order = {x: i for i, x in enumerate(NAMES)}
     rows = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(x).alias("license"), F.lit(order[x]).alias("no"), F.lit(t).alias("text")) for x, t in KNOWN])).alias("x")).select("x.*")
-    return rows.select(F.sha2(whole(canonical(F.col("text"))), 256).alias("digest"), "license", "no").distinct()
+    rows = rows.select(F.sha2(whole(canonical(F.col("text"))), 256).alias("digest"), "license", "no")
+    full = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(d).alias("digest"), F.lit(x).alias("license"), F.lit(order[x]).alias("no")) for x, d in DIGESTS])).alias("x")).select("x.*")
+    return rows.union(full).distinct()
 
 
 def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """doc_id, text_digest (of the whole canonical text), text_license (null: none known), n_license_lines,
     line_licenses (identifiers of the lines' licences, in order, by commas; empty: none) of every document."""
     spark = docs.sparkSession
-    names = F.array(*[F.lit(x) for x in dict.fromkeys(x for x, _ in KNOWN)])
+    names = F.array(*map(F.lit, NAMES))
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), canonical(F.col(text_col)).alias("text"))
     digest = F.sha2(whole(F.col("text")), 256)
     d = d.select("doc_id", "row", digest.alias("text_digest"), F.split("text", "\n").alias("lines"))
@@ -93,7 +116,7 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     # A document's units stand together in one task: the partial aggregate leaves a row for each.
     bit = F.expr("shiftleft(1L, no)")
     found = units.groupBy("row", "doc_id", "text_digest").agg(F.max(F.when(F.col("all"), F.col("no"))).alias("no"), F.sum(F.when(~F.col("all") & F.col("no").isNotNull(), 1).otherwise(0)).alias("n_license_lines"), F.bit_or(F.when(~F.col("all"), bit)).alias("bits"))
-    listed = F.array_join(F.array_compact(F.array(*[F.when(F.coalesce("bits", F.lit(0)).bitwiseAND(F.lit(1 << i)) != 0, F.lit(x)) for i, x in enumerate(dict.fromkeys(x for x, _ in KNOWN))])), ",")
+    listed = F.array_join(F.array_compact(F.array(*[F.when(F.coalesce("bits", F.lit(0)).bitwiseAND(F.lit(1 << i)) != 0, F.lit(x)) for i, x in enumerate(NAMES)])), ",")
     return found.select("doc_id", "text_digest", F.get(names, F.col("no")).alias("text_license"), F.col("n_license_lines").cast("long").alias("n_license_lines"), listed.alias("line_licenses"))
 
 
@@ -108,10 +131,11 @@ def scan_sql() -> str:
             x = f"replace({x}, {sql(one)}, {sql(other)})"
         return f"regexp_replace({x}, {sql(SIGNS)}, ' ', 'g')"
 
-    order = {x: i for i, x in enumerate(dict.fromkeys(x for x, _ in KNOWN))}
+    order = {x: i for i, x in enumerate(NAMES)}
     rows = ", ".join(f"({sql(x)}, {order[x]}, {sql(t)})" for x, t in KNOWN)
+    full = ", ".join(f"({sql(x)}, {order[x]}, {sql(d)})" for x, d in DIGESTS)
     return f"""
-WITH known AS (SELECT DISTINCT license, no, sha256(trim(regexp_replace({canon('t')}, '[ \\n]+', ' ', 'g'))) AS digest FROM (VALUES {rows}) v(license, no, t)),
+WITH known AS (SELECT DISTINCT license, no, sha256(trim(regexp_replace({canon('t')}, '[ \\n]+', ' ', 'g'))) AS digest FROM (VALUES {rows}) v(license, no, t) UNION SELECT * FROM (VALUES {full}) v(license, no, digest)),
 docs AS (SELECT doc_id, {canon('text')} AS c FROM documents),
 whole AS (SELECT doc_id, sha256(trim(regexp_replace(c, '[ \\n]+', ' ', 'g'))) AS text_digest FROM docs),
 parts AS (SELECT doc_id, sha256(trim(regexp_replace(x, ' +', ' ', 'g'))) AS digest FROM (SELECT doc_id, unnest(string_split(c, chr(10))) AS x FROM docs) WHERE trim(x) <> ''),
