@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -362,7 +363,10 @@ def test_quality(spark, docs, rows, empty):
         return [((x + (1 << 63)) % (1 << 64) - (1 << 63)) % buckets for x in h + two]
 
     raw, target = Counter(), Counter()
-    good = {i for i in range(30) if i % 3 > 0}
+    parts = {(r.doc_id, r.part) for r in quality.labelled(labels, 20_000).collect()}
+    good = {i for i, p in parts if p == "target"}
+    assert {i for i, p in parts if p in ("target", "good")} == {i for i in range(30) if i % 3 > 0 and i != 1} and {i for i, p in parts if p == "bad"} == {i for i in range(30) if i % 3 == 0}
+    scores = {p: [r.score for r in got if (r.doc_id, p) in parts and r.doc_id != 3 and not r.base_failed] for p in ("good", "bad")}
     for i, t in texts:
         raw.update(grams(t))
         if i in good:
@@ -378,7 +382,8 @@ def test_quality(spark, docs, rows, empty):
     assert sorted(str((r.doc_id, *[r[c] for c in quality.BASE], None if r.score is None else round(r.score, 6))) for r in got) == want
     for r in got:
         failed = r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words
-        assert r.base_failed == failed and r.kept == (not failed and r.score >= -0.4)
+        assert r.base_failed == failed and r.kept == (not failed and r.score >= r.threshold)
+        assert r.threshold <= min(scores["good"]) and all(x <= r.threshold or x >= min(scores["good"]) for x in scores["bad"])
     kept = quality.kept_documents(d, labels, buckets=buckets)
     assert kept.columns == d.columns and kept.count() == sum(r.kept for r in got)
     assert quality.quality(empty, labels.limit(0)).count() == 0
@@ -492,6 +497,17 @@ def test_licences(spark, empty):
     got = {r.doc_id: (r.text_license, r.n_license_lines, r.line_licenses) for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: ("MIT", 0, ""), 2: (None, 2, "MIT,CC-BY-NC-4.0"), 3: (None, 0, ""), 4: (None, 0, ""), None: ("ISC", 1, "ISC"), 5: (None, 0, "")}
     assert licences.scan(empty).count() == 0
+    clash = spark.createDataFrame([(1, "MIT", "x", 5, None), (1, "MIT", "x", 5, None), (2, "word " * 200_000 + "\nAll rights reserved.", None, 1, "y")], "doc_id long, text string, row string, u long, digest string")
+    assert [(r.doc_id, r.n_license_lines) for r in licences.scan(clash).orderBy("doc_id").collect()] == [(1, 0), (1, 0), (2, 1)]
+
+
+@pytest.mark.skipif(not os.path.isdir("/usr/share/common-licenses"), reason="no licence texts on this machine")
+def test_full_licence_texts(spark):
+    files = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    texts = {x: open(f"/usr/share/common-licenses/{x}", encoding="utf-8").read() for x in files}
+    rows = [(x, "  Copyright (c) 2021 Some One\n" + t.upper().replace("\n", "\r\n").replace("LICENSE", "LICENCE")) for x, t in texts.items()] + [("GPL-3 cut", texts["GPL-3"][:-900])]
+    got = {r.name: r.text_license for r in licences.scan(spark.createDataFrame(rows, "name string, text string").selectExpr("xxhash64(name) as doc_id", "text", "name")).join(spark.createDataFrame([(x,) for x, _ in rows], "name string").selectExpr("name", "xxhash64(name) as doc_id"), "doc_id").collect()}
+    assert got == files | {"GPL-3 cut": None}
 
 
 def plain_repeats(rows, length):
