@@ -124,17 +124,23 @@ LETTERHEADS = [
     ("Bluestone Federal Credit Union", ["bluestone federal"]), ("DFCU Financial Credit Union", ["the cash back"]),
 ]
 TABLE_START = r"(?i)(deposits and other credits|other credits|checks and other debits|other debits|withdrawals and other debits|daily balance summary|transaction history|account activity|beginning balance|date\s+description\s+amount)"
-# Without a letterhead, in order: what the whole text has.
-BANK_MARKS = [
-    ("Regions Bank", ["1-800-regions"]), ("Wells Fargo", ["wellsfargo.com"]), ("TD Bank", ["tdbank.com"]), ("U.S. Bank", ["usbank.com"]),
-    ("Citizens Bank", ["citizensbank.com"]), ("First Citizens Bank", ["firstcitizens.com", "1-866-322-4249"]), ("City National Bank", ["cnb.com"]),
-    ("M&T Bank", ["mtb.com"]), ("KeyBank", ["key.com"]), ("California Coast Credit Union", ["calcoastcu.org", "bank name: cal coast"]), ("BlueVine", ["bluevine.com"]),
-    ("Navy Federal Credit Union", ["navyfederal.org"]), ("Huntington Bank", ["huntington.com"]), ("Fifth Third Bank", ["53.com"]),
-    ("Middlesex Federal Savings", ["middlesexfederal.com"]), ("Thomaston Savings Bank", ["thomastonsb.com"]), ("HomeTrust Bank", ["htb.com"]),
-    ("Valliance Bank", ["vbank.com"]), ("VyStar Credit Union", ["vystarcu.org"]), ("Visions Federal Credit Union", ["visionsfcu.org"]),
-    ("Carter Bank", ["carterbank.com"]), ("Southern Bank", ["bankwithsouthern.com"]), ("KeyPoint Credit Union", ["kpcu.com"]),
-    ("Bluestone Federal Credit Union", ["bluestonefcu"]), ("DFCU Financial Credit Union", ["dfcu"]), ("Commerce Bank", ["800-453-bank", "mybusiness checking"]),
-    ("Prosperity Bank", ['nyse symbol "pb"']),
+# Without a letterhead, in order, the first rule that holds. A rule's alternatives are joined by "or"; in each
+# all parts must be found: h the first 120 lines, t the whole text, f the file name, all in lower case, w the file name as a word.
+BANK_RULES = [
+    ("Truist", ["h truist"]), ("Chase", ["h jpmorgan chase bank", "h chase business", "h printed from chase for business"]),
+    ("Regions Bank", ["h regions bank", "t 1-800-regions"]), ("PNC Bank", ["h pnc bank"]), ("Bank of America", ["h bank of america"]),
+    ("Wells Fargo", ["h wells fargo", "t wellsfargo.com"]), ("TD Bank", ["h td bank", "t tdbank.com"]), ("U.S. Bank", ["h u.s. bank", "h us bank", "t usbank.com"]),
+    ("Citizens Bank", ["h citizens bank", "t citizensbank.com"]), ("First Citizens Bank", ["h first citizens bank", "t firstcitizens.com", "t 1-866-322-4249"]),
+    ("City National Bank", ["h city national bank", "t cnb.com"]), ("M&T Bank", ["h m&t bank", "h m and t bank", "t mtb.com"]), ("KeyBank", ["h keybank", "t key.com"]),
+    ("California Coast Credit Union", ["h california coast credit union", "t calcoastcu.org", "t bank name: cal coast"]), ("BlueVine", ["h bluevine", "t bluevine.com"]),
+    ("Navy Federal Credit Union", ["h navy federal credit union", "t navyfederal.org"]), ("Huntington Bank", ["h huntington national bank", "t huntington.com"]),
+    ("Fifth Third Bank", ["h fifth third bank", "t 53.com"]), ("Middlesex Federal Savings", ["h middlesex federal", "t middlesexfederal.com"]),
+    ("Thomaston Savings Bank", ["t thomastonsb.com"]), ("HomeTrust Bank", ["t htb.com"]), ("Valliance Bank", ["t vbank.com"]), ("VyStar Credit Union", ["t vystarcu.org"]),
+    ("Visions Federal Credit Union", ["h visions federal credit union", "t visionsfcu.org"]), ("Nano Banc", ["h nano + h ban"]), ("Carter Bank", ["t carterbank.com"]),
+    ("Southern Bank", ["t bankwithsouthern.com"]), ("CNB", ["w cnb"]), ("Old National Bank", ["h old national", "f old national"]), ("KeyPoint Credit Union", ["h keypoint", "t kpcu.com"]),
+    ("Bluestone Federal Credit Union", ["t bluestonefcu", "h bluestone federal"]), ("DFCU Financial Credit Union", ["t dfcu", "h the cash back"]),
+    ("Commerce Bank", ["t 800-453-bank", "t mybusiness checking"]), ("Prosperity Bank", ['t nyse symbol "pb"']),
+    ("Indiana Members Credit Union", ["t indiana + t members credit union", "t indiana + t imcu.com"]), ("Farmers Bank", ["t farmers + t thefarmersbank", "t farmers + f farmers"]),
 ]
 TOLL_FREE = r"^(1800|1888|1877|1866|1855|1844|1833|844|888|877|866|855|833)"
 MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
@@ -145,3 +151,30 @@ FILENAME_NOISE = r"(?i)\b(?:use this app|application|statement|bank|jan(?:uary)?
 GENERIC_FILENAME = r"(?i)^(?:app|apps|application|form|img|image|scan|scanned|doc|document|file|copy|signed|final|summary|mtd|new|submission)(?:\s+(?:app|copy|signed|final))*$"
 PHONES = r"(?:\+?1[\s.\-]?)?\(?[2-9]\d{2}\)?[\s.\-]?[2-9]\d{2}[\s.\-]?\d{4}"
 EMAILS = r"[a-z0-9._%+\-]+@[a-z0-9.\-]+\.[a-z]{2,}"
+# Account numbers.
+ACCOUNT_ENDING = r"(?i)(?:checking\s+(?:account\s+)?(?:for|ending)|account\s+ending)\s+([Xx*\d-]{5,})"
+MEMBER_NUMBER = r"(?i)MEMBER\s*#\s*:?\s*(\d{4,})"
+ACCOUNT_LABEL = r"(?i)(?:Primary Account Number|Account number|Account No\.?|Account #)\s*[:#]?\s*([Xx*\- ]*\d[\d Xx*\-]{3,})"
+ACCOUNT_MASKED = r"([Xx*]{2,}[\- Xx*]*\d{4,})"
+ACCOUNT_ALONE = r"^(account number|account #|account no\. ?|primary account number)$"
+NOT_AN_ACCOUNT = r"(?i)page|cycle|enclosures|customer service|chase\.com|800-|1-800|service center|date"
+ACCOUNT_NARRATIVE = r"(?i)\$|balance|deposit|withdrawal|credit|debit|transaction|description|january|february|march|april|may|june|july|august|september|october|november|december"
+ACCOUNT_DATED = r"\d{1,2}/\d{1,2}/\d{2,4}|\d{4}-\d{1,2}-\d{1,2}|\(|\)"
+# holders' names and addresses on statements.
+HOLDER_LABELS = [rf"(?i){x}\s*[:\-]\s*" for x in (r"account\s*holder\s*(?:name)?", r"business\s*name", r"customer\s*name", r"member\s*name", r"account\s*title", r"prepared\s*for", r"legal\s*company\s*name")]
+TRADE_NAME = r"(?i)^\s*(?:d/?b/?a|doing business as)\b[:\s]+(.+)$"
+ENTITY_WORDS = r"LLC|L\.L\.C\.|L L C|INC|INC\.|INCORPORATED|CORP|CORP\.|CORPORATION|LTD|LTD\.|LIMITED|LLP|L\.L\.P\.|PLLC|P\.L\.L\.C\.|LP|L\.P\.|PC|P\.C\.|COMPANY|ENTERPRISES|HOLDINGS|PARTNERS"
+ENTITY_SUFFIX = rf"(?i)\b({ENTITY_WORDS})\b\.?\s*$"
+STATEMENT_FURNITURE = r"(?i)\b(statement|account summary|page \d|balance|deposits|withdrawals|transaction|member fdic|equal housing|customer service|client care|contact information|questions about)\b"
+ADDRESS_START = r"(?i)^\s*(?:p\.?\s*o\.?\s*box|c/o\b|suite\b|ste\.?\b|apt\b|floor\b)"
+POSTING_DATE = r"(?i)^(?:\d{1,2}[/.-]\d{1,2}(?:[/.-]\d{2,4})?|(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?\s+\d{1,2},?\s+\d{4})\b"
+STREET_WORDS = "st|street|ave|avenue|rd|road|dr|drive|blvd|boulevard|ln|lane|way|ct|court|pkwy|parkway|hwy|highway|ter|terrace|pl|place|cir|circle|trl|trail|turnpike|tpke|loop|run|row|sq|square|xing|crossing|pike|expy|expressway"
+STREET_TYPE = rf"(?i)\b(?:{STREET_WORDS})\b\.?"
+STREET = rf"(?i)^(\d+[A-Za-z]?\s+[A-Za-z0-9.'&#\- ]*?\b(?:{STREET_WORDS})\b\.?(?:\s+(?:N|S|E|W|NE|NW|SE|SW)\b\.?)?(?:\s+(?:ste|suite|apt|unit|rm|room|fl|floor|#)\.?\s*[A-Za-z0-9\-]+)?)"
+POST_BOX = r"(?i)^p\.?\s*o\.?\s*box\s+\d+"
+TOWN_LINE = r"^([A-Za-z.'\- ]{2,}?),?\s+([A-Za-z]{2})\s+(\d{5}(?:-\d{4})?)\b"
+TOWN_END = r"\b[A-Z]{2}\s+\d{5}(-\d{4})?\s*$"
+NO_ADDRESS = r"(?i)\b(page \d|account number|statement|balance|deposits|withdrawals|member fdic)\b"
+SORT_CODE, CONSONANTS, FUSED_CODE = r"^([A-Z]{16,})\s+\S", "[BCDFGHJKLMNPQRSTVWXZ]{4}", r"^([A-Za-z]+\d{3,})\s+\S"
+HOLDER_LINES, ADDRESS_REACH = 45, 10
+FIGURE = r"\(?\$?\s*(?:[0-9]{1,3}(?:,[0-9]{3})+(?:\.\d{2})?|[0-9]{4,}(?:\.\d{2})?|[0-9]{1,3}\.\d{2})\)?"

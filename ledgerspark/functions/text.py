@@ -140,30 +140,36 @@ def is_mtd(value: Column, filename: Column) -> Column:
 # -- fields -------------------------------------------------------------------------------------
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once a row."""
+    return F.element_at(F.transform(F.array(value), lambda x: body(x)), 1)
+
+
 def bank(value: Column, filename: Column) -> Column:
-    """The bank: the earliest letterhead name, else marks in the whole text, else the file name."""
-    lines = clean_lines(value)
-    first = F.slice(lines, 1, 30)
-    starts = F.filter(F.sequence(F.lit(0), F.lit(29)), lambda i: F.coalesce(F.get(first, i), F.lit("")).rlike(L.TABLE_START))
-    end = F.greatest(F.coalesce(F.get(starts, F.lit(0)), F.lit(30)), F.lit(6))
-    head = F.lower(F.array_join(F.slice(lines, F.lit(1), end), "\n"))
-    seen = [F.struct(F.when(F.instr(head, p) > 0, F.instr(head, p)).alias("at"), F.lit(i).alias("no"), F.lit(b).alias("bank")) for i, (b, patterns) in enumerate(L.LETTERHEADS) for p in patterns]
-    nano = F.when((F.instr(head, "nano") > 0) & (F.instr(head, "ban") > 0), F.greatest(F.instr(head, "nano"), F.instr(head, "ban")))
-    seen.append(F.struct(nano.alias("at"), F.lit(len(L.LETTERHEADS)).alias("no"), F.lit("Nano Banc").alias("bank")))
-    by_head = F.array_min(F.filter(F.array(*seen), lambda x: x["at"].isNotNull()))["bank"]
-    wide, whole = F.lower(F.array_join(F.slice(lines, 1, 120), "\n")), F.lower(text_of(value))
-    heads = dict(L.LETTERHEADS)
-    order = list(dict.fromkeys([b for b, _ in L.LETTERHEADS[:20]] + [b for b, _ in L.BANK_MARKS]))
-    marks = dict(L.BANK_MARKS)
-
-    def has(b: str) -> Column:
-        tests = [wide.contains(p) for p in heads.get(b, [])] + [whole.contains(p) for p in marks.get(b, [])]
-        return functools.reduce(lambda x, y: x | y, tests)
-
-    farmers = whole.contains("farmers") & (whole.contains("thefarmersbank") | F.lower(text_of(filename)).contains("farmers"))
-    indiana = whole.contains("indiana") & (whole.contains("members credit union") | whole.contains("imcu.com"))
-    last = F.when(F.lower(text_of(filename)).rlike(r"\bcnb\b"), "CNB").when(F.lower(text_of(filename)).contains("old national"), "Old National Bank").when(indiana, "Indiana Members Credit Union").when(farmers, "Farmers Bank")
-    return F.coalesce(by_head, functools.reduce(lambda rest, b: F.when(has(b), b).otherwise(rest), reversed(order), last))
+    """The bank: the earliest letterhead name above the table, else the first of the ordered rules that holds."""
+
+    def by_head(head: Column) -> Column:
+        seen = [F.struct(F.when(F.instr(head, p) > 0, F.instr(head, p)).alias("at"), F.lit(i).alias("no"), F.lit(b).alias("bank")) for i, (b, patterns) in enumerate(L.LETTERHEADS) for p in patterns]
+        nano = F.when((F.instr(head, "nano") > 0) & (F.instr(head, "ban") > 0), F.greatest(F.instr(head, "nano"), F.instr(head, "ban")))
+        seen.append(F.struct(nano.alias("at"), F.lit(len(L.LETTERHEADS)).alias("no"), F.lit("Nano Banc").alias("bank")))
+        return F.array_min(F.filter(F.array(*seen), lambda x: x["at"].isNotNull()))["bank"]
+
+    def by_rules(x: Column) -> Column:
+        def part(p: str) -> Column:
+            where, what = p[0], p[2:]
+            return x["f"].rlike(rf"\b{what}\b") if where == "w" else x[where].contains(what)
+
+        holds = [functools.reduce(lambda a, c: a | c, [functools.reduce(lambda a, c: a & c, map(part, y.split(" + "))) for y in ways]) for _, ways in L.BANK_RULES]
+        return F.coalesce(*[F.when(h, b) for h, (b, _) in zip(holds, L.BANK_RULES, strict=True)])
+
+    def found(lines: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.lit(29)), lambda i: F.coalesce(F.get(lines, i), F.lit("")).rlike(L.TABLE_START))
+        end = F.greatest(F.coalesce(F.get(starts, F.lit(0)), F.lit(30)), F.lit(6))
+        wide = F.lower(F.array_join(F.slice(lines, 1, 120), "\n"))
+        places = F.struct(wide.alias("h"), F.lower(text_of(value)).alias("t"), F.lower(text_of(filename)).alias("f"))
+        return F.coalesce(let(F.lower(F.array_join(F.slice(lines, F.lit(1), end), "\n")), by_head), let(places, by_rules))
+
+    return let(clean_lines(value), found)
 
 
 def account_token(value: Column) -> Column:
@@ -173,22 +179,46 @@ def account_token(value: Column) -> Column:
 
 
 def account_number(value: Column) -> Column:
-    """The account: after 'ending', after a label, a masked number, or a long number on a line of its own."""
+    """The account by nine rules in order: 'ending', a draft's member number, a label on its line, a masked number, a label
+    alone above it, the table of accounts, the rows above a summary, a long number on a plain line, stars and four digits."""
     flat = text_of(value)
-    ending = account_token(_group(flat, r"(?i)(?:checking\s+(?:account\s+)?(?:for|ending)|account\s+ending)\s+([Xx*\d-]{5,})", 1))
-    label = r"(?i)(?:Primary Account Number|Account number|Account No\.?|Account #)\s*[:#]?\s*([Xx*\- ]*\d[\d Xx*\-]{3,})"
-    lines = F.slice(clean_lines(value), 1, 180)
-    tokens = F.transform(F.filter(lines, lambda x: x.rlike(label)), lambda x: account_token(F.regexp_extract(x, label, 1)))
+
+    def toll_free(t: Column) -> Column:
+        return t.rlike(L.TOLL_FREE)
+
+    def first(tokens: Column, good) -> Column:
+        return F.get(F.filter(tokens, good), F.lit(0))
+
+    def below(lines: Column, heads, most: int | None, count: int) -> Column:
+        """The `count` lines after each of the first `most` lines that heads holds for."""
+        at = F.filter(F.sequence(F.lit(0), F.lit(most - 1) if most else F.size(lines)), lambda i: heads(F.lower(F.coalesce(F.get(lines, i), F.lit("")))))
+        return F.flatten(F.transform(at, lambda i: F.slice(lines, i + 2, F.lit(count))))
 
     def cut(t: Column) -> Column:
         twice = (F.length(t) == 18) & (F.substring(t, 1, 9) == F.substring(t, 10, 9))
         return F.when(t.rlike(r"^\d{24}$"), F.substring(t, 1, 12)).when(t.rlike(r"^\d{18}$") & twice, F.substring(t, 1, 9)).otherwise(t)
 
-    labelled = F.get(F.filter(F.transform(tokens, cut), lambda t: (t != "") & (t.rlike(r"^X+\d{4,}$") | ~t.rlike(L.TOLL_FREE))), F.lit(0))
-    masked = account_token(_group(flat, r"([Xx*]{2,}[\- Xx*]*\d{4,})", 1))
-    alone = F.transform(F.filter(F.slice(clean_lines(value), 1, 35), lambda x: ~x.rlike(r"[A-Za-z$()/]")), account_token)
-    plain = F.get(F.filter(alone, lambda t: t.rlike(r"^\d{10,17}$") & ~t.rlike(L.TOLL_FREE)), F.lit(0))
-    return functools.reduce(lambda rest, x: F.when(text_of(x) != "", x).otherwise(rest), [plain, masked, labelled, ending], F.lit(None).cast("string"))
+    def found(lines: Column) -> Column:
+        ending = account_token(_group(flat, L.ACCOUNT_ENDING, 1))
+        draft = F.exists(lines, lambda x: F.upper(x).contains("MICRO BUSINESS DRAFT"))
+        digits = first(F.transform(below(lines, lambda x: x == "member #:", None, 3), lambda x: F.regexp_extract(x, r"\b(\d{4,})\b", 1)), lambda t: t != "")
+        member = F.when(draft, F.concat(F.coalesce(_group(clean_space(value), L.MEMBER_NUMBER, 1), digits), F.lit("050")))
+        tokens = F.transform(F.filter(F.slice(lines, 1, 180), lambda x: x.rlike(L.ACCOUNT_LABEL)), lambda x: cut(account_token(F.regexp_extract(x, L.ACCOUNT_LABEL, 1))))
+        labelled = first(tokens, lambda t: (t != "") & (t.rlike(r"^X+\d{4,}$") | ~toll_free(t)))
+        masked = account_token(_group(flat, L.ACCOUNT_MASKED, 1))
+        rows = F.filter(below(lines, lambda x: x.rlike(L.ACCOUNT_ALONE), 180, 7), lambda x: ~x.rlike(L.NOT_AN_ACCOUNT))
+        alone = first(F.transform(rows, account_token), lambda t: t.rlike(r"\d{4,}") & (t != "0000") & ~toll_free(t))
+        table = F.exists(F.slice(lines, 1, 60), lambda x: F.upper(x) == "ACCOUNTS SUMMARY") & F.exists(F.slice(lines, 1, 70), lambda x: F.upper(x).contains("ACCOUNT NUMBER"))
+        listed = F.when(table, first(F.transform(below(lines, lambda x: x.rlike("business checking|business draft"), 120, 5), account_token), lambda t: t.rlike(r"^\d{5,12}$") & ~t.rlike("^(2026|2025)")))
+        at = F.filter(F.sequence(F.lit(0), F.lit(89)), lambda i: F.coalesce(F.get(lines, i), F.lit("")).startswith("Account Summary Account #"))
+        above = F.flatten(F.transform(at, lambda i: F.transform(F.sequence(F.lit(1), F.lit(9)), lambda j: account_token(F.coalesce(F.get(lines, F.when(i >= j, i - j)), F.lit(""))))))
+        summary = first(above, lambda t: t.rlike(r"^\d{8,12}$") & ~t.rlike("^(800|888|877|866|855|844|833)"))
+        bare = F.filter(F.slice(lines, 1, 35), lambda x: ~x.rlike(L.ACCOUNT_DATED) & ~x.rlike(L.ACCOUNT_NARRATIVE))
+        plain = first(F.transform(bare, account_token), lambda t: t.rlike(r"^\d{10,17}$") & ~toll_free(t))
+        stars = F.concat(F.lit("XXXX"), _group(flat, r"\*{2,}\s*(\d{4})", 1))
+        return F.coalesce(*[F.when(x != "", x) for x in (ending, member, labelled, masked, alone, listed, summary, plain, stars)])
+
+    return let(clean_lines(value), found)
 
 
 def mask_account(number: Column) -> Column:
@@ -239,13 +269,18 @@ def statement_period(value: Column, filename: Column, year: int) -> Column:
 
 
 def strip_noise_prefix(name: Column) -> Column:
-    """Without a leading mail-sort code (consonants, digits), if a business name of two words or more is left."""
-    code = r"^([A-Z0-9]{6,})\s+"
-    rest = F.trim(F.regexp_replace(name, code, ""))
-    token = F.regexp_extract(name, code, 1)
-    noise = (token != "") & token.rlike(r"[B-DF-HJ-NP-TV-Z]{5,}|\d")
-    named = rest.rlike(r"(?i)\b(llc|l\.l\.c|inc|incorporated|corp|corporation|ltd|limited|llp|pllc|lp|company|co)\.?$") & (F.size(F.split(rest, r"\s+")) >= 2)
-    return F.when(noise & named, rest).otherwise(name)
+    """Without a leading mail-sort code (capitals, four consonants in a run), or an account code that begins as the name
+    after it does, if a business name of two words or more with a legal suffix is left."""
+
+    def without(pattern: str) -> Column:
+        return F.trim(F.substring(name, F.length(F.regexp_extract(name, pattern, 1)) + 1, F.length(name)))
+
+    def named(rest: Column) -> Column:
+        return rest.rlike(L.ENTITY_SUFFIX) & (F.size(F.split(rest, r"\s+")) >= 2)
+
+    sort = name.rlike(L.SORT_CODE) & F.regexp_extract(name, L.SORT_CODE, 1).rlike(L.CONSONANTS) & named(without(L.SORT_CODE))
+    fused = name.rlike(L.FUSED_CODE) & F.lower(F.regexp_extract(name, L.FUSED_CODE, 1)).startswith(F.lower(F.get(F.split(without(L.FUSED_CODE), r"\s+"), F.lit(0)))) & named(without(L.FUSED_CODE))
+    return F.when(sort, without(L.SORT_CODE)).when(fused, without(L.FUSED_CODE)).otherwise(name)
 
 
 def company_key(name: Column) -> Column:

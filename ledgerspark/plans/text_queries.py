@@ -93,18 +93,6 @@ def complete_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.document_texts(spark, sf_dir).select("doc_id", T.full_year(yy, 50).cast("long").alias("ledger_year"), T.full_year(yy, 29).cast("long").alias("field_year"))
 
 
-@query("""SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'Wells Fargo' WHEN 3 THEN 'TD Bank' WHEN 6 THEN 'KeyBank' END AS bank FROM docs WHERE doc_id % 3 <> 0""")
-def recognise_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = B.document_texts(spark, sf_dir).where("doc_id % 3 <> 0")
-    return d.select("doc_id", T.bank(F.col("raw_text"), F.col("filename")).alias("bank"))
-
-
-@query("""SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN '123456789012' WHEN 3 THEN 'XXXX4821' END AS account, CASE doc_id % 7 WHEN 0 THEN 'XXXX9012' WHEN 3 THEN 'XXXX4821' END AS masked FROM docs WHERE doc_id % 3 <> 0""")
-def extract_account(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = B.document_texts(spark, sf_dir).where("doc_id % 3 <> 0").select("doc_id", T.account_number(F.col("raw_text")).alias("account"))
-    return d.withColumn("masked", T.mask_account(F.col("account")))
-
-
 @query("""SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN '2026-01-05' END AS period_start, CASE doc_id % 7 WHEN 0 THEN '2026-01-31' WHEN 3 THEN '2026-03-31' WHEN 6 THEN '2026-02-28' END AS period_end,
  CASE doc_id % 7 WHEN 0 THEN 'document_text_numeric_range' WHEN 3 THEN 'document_text_single_date' WHEN 6 THEN 'filename_year_month' END AS source FROM docs WHERE doc_id % 3 <> 0""")
 def statement_period(spark: SparkSession, sf_dir: str) -> DataFrame:

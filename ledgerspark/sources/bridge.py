@@ -80,7 +80,7 @@ BIG_LEDGER_SQL = f"""ledger AS (
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
 
 
-# Heads of document texts; the document's number picks one. Every third keeps the document's own text below.
+# Heads of document texts; the document's number picks one, the document's own text stands below.
 HEADS = [
     "Account Statement\nStatement Period 01/05/2026 - 01/31/2026\nWells Fargo Business\nBeginning balance $1,200.00\nEnding balance $1,450.10\nAccount Number: 1234-5678-9012",
     "Legal Business Name: Blue River Foods Inc\nBusiness Owner Information\nOwner Name: Ann B. Lee\nDate of Birth: 02/03/1975\nFederal Tax ID: 12-3456789\nSSN: 123-45-6789\nAverage Monthly Revenue: $125,000\nCell (212) 555-0101 ann@blueriver.com",
@@ -100,15 +100,45 @@ def document_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, filename, raw_text, source from documents."""
     d = table(spark, sf_dir, "documents")
     n = F.col("doc_id")
-    body = F.when(n % 3 == 0, F.concat(F.lit("\n"), F.coalesce("text", F.lit("")))).otherwise("")
-    return d.select("doc_id", pick(FILENAMES, n).alias("filename"), F.concat(pick(HEADS, n), body).alias("raw_text"), "source", "text")
+    return d.select("doc_id", pick(FILENAMES, n).alias("filename"), F.concat(pick(HEADS, n), F.lit("\n"), F.coalesce("text", F.lit(""))).alias("raw_text"), "source", "text")
 
 
 def sql_pick(values: list[str], number: str) -> str:
     return f"{sql_list(values)}[CAST(({number}) % {len(values)} AS BIGINT) + 1]"
 
 
-DOCS_SQL = f"""docs AS (SELECT doc_id, {sql_pick(FILENAMES, 'doc_id')} AS filename, {sql_pick(HEADS, 'doc_id')} || CASE WHEN doc_id % 3 = 0 THEN chr(10) || coalesce(text, '') ELSE '' END AS raw_text, source, text FROM documents),
+DOCS_SQL = f"""docs AS (SELECT doc_id, {sql_pick(FILENAMES, 'doc_id')} AS filename, {sql_pick(HEADS, 'doc_id')} || chr(10) || coalesce(text, '') AS raw_text, source, text FROM documents),
+lines AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS line_no, line FROM (SELECT doc_id, i, trim(regexp_replace(replace(x, chr(160), ' '), '\\s+', ' ', 'g')) AS line
+  FROM (SELECT doc_id, unnest(string_split(raw_text, chr(10))) AS x, generate_subscripts(string_split(raw_text, chr(10)), 1) AS i FROM docs)) WHERE line <> '')"""
+
+
+# Heads of statements in the layouts that the rules for banks, holders and accounts tell apart; the document's own text stands below.
+_FILLER = "\n".join(f"row {i} of the notice" for i in range(40))
+STATEMENTS = [
+    "Wells Fargo Everyday Business\nACECMKMEIGOCICAAMGOAGCMK BLUE RIVER FOODS LLC\n019749 808 BANKS AVE reserve your seat\nCLEVELAND OH 44127-1831 Online: wellsfargo.com\nAccount number: 1234567890\nBeginning balance $8,059.65",
+    _FILLER + "\nOld National branch\n$1,200.00 (45.10)\n12345678 2026 3,000,000.00-",
+    _FILLER + "\nsee htb.com and visionsfcu.org\nAccount No. 900-11-2233",
+    _FILLER + "\nnano something ban\nxxxx - 5521",
+    "Truist letter\nAccount Holder: Ann Lee Design Studio\nd/b/a Lee Studio,\nAccount Number\nPage 1 of 3\n000123456789\nPrepared for: Statement desk",
+    "Indiana imcu.com\nABBASPOUR INC IMCU now offers Visa cards.\n12 Main St Apt 4\nAustin, TX 78753\nchecking account ending *4821-77",
+    "MICRO BUSINESS DRAFT\nMember #:\nnone\n445566\nApr 14, 2026 THORO CORP\nDoing Business As: Corner Shop",
+    "Accounts Summary\nAccount number\nBusiness Checking\n55443322\nP.O. Box 77 Holdings LLC\n366 Metro Mart INC\nsuite 4\nPO BOX 1234\nReno NV 89501-4610",
+    "0012345678\nstatement of account\nAccount Summary Account #\n04-13-2026 ZEL FROM AL MAWA LLC\nESTAFFLLC4812 ESTAFF LLC;\n2998 SCOTT BLVD STE 180 call (408) 731-4197 or\nSanta Clara CA 95054",
+    "To whom it may concern\n98 7654 3210 12\nTruist Holdings LLC\nJPMorgan Chase Bank NA",
+    "Business Name - 984 LLC\nP.O. BOX 9\n12 Side Road NW unit 7b\nDaly City, CA 94015\nuse ** 4455 below",
+    "",
+    "KeyPoint desk\nChase Business\nCustomer Name: Keypoint Credit Union\nGold Coast Partners\nfloor 2",
+]
+STATEMENT_FILES = ["a.pdf", "cnb march.pdf", "Old National 2026.pdf", "farmers/stmt.pdf", "scan.pdf", "b/2026-02.pdf", "stmt.pdf"]
+
+
+def statement_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, filename and raw_text of every document."""
+    d, n = table(spark, sf_dir, "documents"), F.col("doc_id")
+    return d.select("doc_id", pick(STATEMENT_FILES, F.floor(n / len(STATEMENTS))).alias("filename"), F.concat(pick(STATEMENTS, n), F.lit("\n"), F.coalesce("text", F.lit(""))).alias("raw_text"))
+
+
+STATEMENTS_SQL = f"""docs AS (SELECT doc_id, {sql_pick(STATEMENT_FILES, f'doc_id // {len(STATEMENTS)}')} AS filename, {sql_pick(STATEMENTS, 'doc_id')} || chr(10) || coalesce(text, '') AS raw_text FROM documents),
 lines AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS line_no, line FROM (SELECT doc_id, i, trim(regexp_replace(replace(x, chr(160), ' '), '\\s+', ' ', 'g')) AS line
   FROM (SELECT doc_id, unnest(string_split(raw_text, chr(10))) AS x, generate_subscripts(string_split(raw_text, chr(10)), 1) AS i FROM docs)) WHERE line <> '')"""
 
