@@ -178,3 +178,33 @@ NO_ADDRESS = r"(?i)\b(page \d|account number|statement|balance|deposits|withdraw
 SORT_CODE, CONSONANTS, FUSED_CODE = r"^([A-Z]{16,})\s+\S", "[BCDFGHJKLMNPQRSTVWXZ]{4}", r"^([A-Za-z]+\d{3,})\s+\S"
 HOLDER_LINES, ADDRESS_REACH = 45, 10
 FIGURE = r"\(?\$?\s*(?:[0-9]{1,3}(?:,[0-9]{3})+(?:\.\d{2})?|[0-9]{4,}(?:\.\d{2})?|[0-9]{1,3}\.\d{2})\)?"
+# Labels of application fields in order, and what may stand after them.
+FIELD_LABELS = {
+    "company": ["Legal Company Name", "Legal Business Name", "Business Legal Name", "Company Legal Name", "Legal/Corporate Name", "Corporate Name", "Business Name", "Company Name"],
+    "owner": ["Full Name", "Full Legal Name", "Owner Name", "Owner Full Name", "Name Printed", "Printed Name", "Print Name", "Applicant Name", "Principal Name", "Guarantor Name"],
+    "dob": ["Date of Birth", "DOB", "Birth Date"],
+    "start_date": ["Business Start Date", "Start Date", "Date Business Started", "Business Established", "Date Established"],
+    "address": ["Business Address"],
+}
+FIELD_VALUES = {
+    "company": r"[A-Za-z0-9&.,'\- /]*[A-Za-z]{3}[A-Za-z0-9&.,'\- /]*", "owner": r"[A-Za-z][A-Za-z.'\-]*(?: [A-Za-z][A-Za-z.'\-]*){1,4}",
+    "dob": r".*\d.*", "start_date": r".*\d.*", "address": r"\d.*",
+}
+NEXT_FIELD = r"(?i)^(.*?)(?:\s+(?:City|State|Zip|Full Name|First Name|Last Name|Date of Birth|DOB|Home Address|Mobile|Email|Signature|Title|Business Address|Business Start Date|Federal Tax|Tax ID)\s*:.*)?$"
+EIN_NEAR, EIN_PLAIN = r"(?i)(?:Tax ID|EIN|Federal Tax ID)[^\d]{0,20}(\d{2})[-\s]?(\d{7})", r"\b(\d{2})[-\s](\d{7})\b"
+SSN = r"(?i)(?:Social Security NO|Social Security|SSN)[^\d]{0,20}(\d{3})[-\s]?(\d{2})[-\s]?(\d{4})"
+REVENUE = r"\$?\s*(\d{1,3}(?:,\d{3})+(?:\.\d{2})?|\d{4,}(?:\.\d{2})?|\d{1,3}\.\d{2})"
+REVENUE_LINE = r"^\(?\$?\s*[0-9]{1,3}(?:,[0-9]{3})*(?:\.\d{2})?\)?$"
+MONTHLY_LABEL = r"(?i)^(?:average\s+)?(?:gross\s+)?monthly\s+(?:business\s+)?(?:revenue|sales)(?:\s*[:#-])?"
+ANNUAL_LABEL = r"(?i)^(?:average\s+)?(?:gross\s+)?(?:annual|yearly)\s+(?:business\s+)?revenue(?:\s*[:#-])?"
+# Dates and periods.
+NUMBER_DATE = r"\b(\d{1,2})[/-](\d{1,2})[/-](\d{2,4})\b"
+WORD_DATE = r"(?i)\b(Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|Jun(?:e)?|Jul(?:y)?|Aug(?:ust)?|Sep(?:t(?:ember)?)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)[\s/-]+(\d{1,2})[\s/-]+(\d{2,4})\b"
+_MONTH = r"(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*"
+NUMBER_RANGE = r"(?i)(\d{1,2})/(\d{1,2})/(\d{2,4})\s*(?:-|to|through|thru)\s*(\d{1,2})/(\d{1,2})/(\d{2,4})"
+WORD_RANGE = rf"(?i){_MONTH}\s+(\d{{1,2}}),?\s+(\d{{4}})\s*(?:-|to|through|thru)\s*{_MONTH}\s+(\d{{1,2}}),?\s+(\d{{4}})"
+SINGLE_DATE = r"(?i)(?:End\s+Date|Statement\s+Date|Statement\s+Ending|as of)\s*:?\s*(\d{1,2}[/-]\d{1,2}[/-]\d{2,4})"
+THIS_STATEMENT = r"(?i)THIS\s+STATEMENT\s+(\d{1,2}/\d{1,2}/\d{2,4})"
+STATEMENT_FOR = r"(?i)(?:Statement|Stavernent)\s+For\s+(\d{1,2}/\d{1,2}/\d{2,4})\s*[-–]\s*(\d{1,2}/\d{1,2}/\d{2,4})"
+FILE_RANGE, FILE_DATE = r"(\d{4})(\d{2})(\d{2})[-_](\d{4})(\d{2})(\d{2})", r"\b(20\d{2}-\d{1,2}-\d{1,2})\b"
+FILE_MONTH, FILE_MONTH_NAME = r"\b(20\d{2})[- ](0?[1-9]|1[0-2])\b", r"(?i)\b(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\b"

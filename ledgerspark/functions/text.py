@@ -74,8 +74,7 @@ def _group(value: Column, pattern: str, no: int) -> Column:
 def parse_date(value: Column) -> Column:
     """The first date m/d/y, Month d yyyy or Mon-d-yy as a DATE; two-digit years from 30 on are 19xx."""
     v = F.translate(clean_space(value), ",", "")
-    number = r"\b(\d{1,2})[/-](\d{1,2})[/-](\d{2,4})\b"
-    word = r"(?i)\b(Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|Jun(?:e)?|Jul(?:y)?|Aug(?:ust)?|Sep(?:t(?:ember)?)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)[\s/-]+(\d{1,2})[\s/-]+(\d{2,4})\b"
+    number, word = L.NUMBER_DATE, L.WORD_DATE
 
     def date(y: Column, m: Column, d: Column) -> Column:
         return F.to_date(F.try_to_timestamp(iso(full_year(y, 29), m, d), F.lit("yyyy-MM-dd")))
@@ -229,18 +228,12 @@ def mask_account(number: Column) -> Column:
 def statement_period(value: Column, filename: Column, year: int) -> Column:
     """struct(start, end, source): ranges in the text, single dates, then the file name; `year` for a month alone."""
     t = F.translate(text_of(value), " ", " ")
-    numbers = r"(?i)(\d{1,2})/(\d{1,2})/(\d{2,4})\s*(?:-|to|through|thru)\s*(\d{1,2})/(\d{1,2})/(\d{2,4})"
-    month = r"(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*"
-    words = rf"(?i){month}\s+(\d{{1,2}}),?\s+(\d{{4}})\s*(?:-|to|through|thru)\s*{month}\s+(\d{{1,2}}),?\s+(\d{{4}})"
-    single = r"(?i)(?:End\s+Date|Statement\s+Date|Statement\s+Ending|as of)\s*:?\s*(\d{1,2}[/-]\d{1,2}[/-]\d{2,4})"
-    this = r"(?i)THIS\s+STATEMENT\s+(\d{1,2}/\d{1,2}/\d{2,4})"
-    scanned = r"(?i)(?:Statement|Stavernent)\s+For\s+(\d{1,2}/\d{1,2}/\d{2,4})\s*[-–]\s*(\d{1,2}/\d{1,2}/\d{2,4})"
+    numbers, words, single, this, scanned = L.NUMBER_RANGE, L.WORD_RANGE, L.SINGLE_DATE, L.THIS_STATEMENT, L.STATEMENT_FOR
     f = F.translate(text_of(filename), "_", " ")
-    compact = r"(\d{4})(\d{2})(\d{2})[-_](\d{4})(\d{2})(\d{2})"
-    dates = F.regexp_extract_all(f, F.lit(r"\b(20\d{2}-\d{1,2}-\d{1,2})\b"))
+    compact = L.FILE_RANGE
+    dates = F.regexp_extract_all(f, F.lit(L.FILE_DATE))
     last = F.element_at(F.split(F.get(dates, F.size(dates) - 1), "-"), 1), F.element_at(F.split(F.get(dates, F.size(dates) - 1), "-"), 2), F.element_at(F.split(F.get(dates, F.size(dates) - 1), "-"), 3)
-    ym = r"\b(20\d{2})[- ](0?[1-9]|1[0-2])\b"
-    named = r"(?i)\b(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\b"
+    ym, named = L.FILE_MONTH, L.FILE_MONTH_NAME
 
     def g(v: Column, p: str, n: int) -> Column:
         return _group(v, p, n)
@@ -333,55 +326,27 @@ def emails(value: Column) -> Column:
 
 def ein(value: Column) -> Column:
     t = text_of(value)
-    near, plain = r"(?i)(?:Tax ID|EIN|Federal Tax ID)[^\d]{0,20}(\d{2})[-\s]?(\d{7})", r"\b(\d{2})[-\s](\d{7})\b"
-    return F.coalesce(*[F.when(_group(t, p, 1).isNotNull(), F.concat_ws("-", _group(t, p, 1), _group(t, p, 2))) for p in (near, plain)])
+    return F.coalesce(*[F.when(_group(t, p, 1).isNotNull(), F.concat_ws("-", _group(t, p, 1), _group(t, p, 2))) for p in (L.EIN_NEAR, L.EIN_PLAIN)])
 
 
 def masked_ssn(value: Column) -> Column:
     """The last four digits alone ever leave this function."""
-    p = r"(?i)(?:Social Security NO|Social Security|SSN)[^\d]{0,20}(\d{3})[-\s]?(\d{2})[-\s]?(\d{4})"
+    p = L.SSN
     return F.when(_group(text_of(value), p, 3).isNotNull(), F.concat(F.lit("XXX-XX-"), _group(text_of(value), p, 3)))
 
 
 def stated_revenue(value: Column) -> Column:
     """Monthly revenue on an application in whole units: a monthly label first, else an annual one over 12."""
-    lines = clean_lines(value)
-    money = r"\$?\s*(\d{1,3}(?:,\d{3})+(?:\.\d{2})?|\d{4,}(?:\.\d{2})?|\d{1,3}\.\d{2})"
 
-    def read(label: str) -> Column:
-        same = F.get(F.filter(F.transform(lines, lambda x: _group(x, label + r"[^0-9]*" + money, 1)), lambda x: x.isNotNull()), F.lit(0))
-        where = F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(label), F.get(lines, i + 1))), lambda x: x.isNotNull() & x.rlike(r"^\(?\$?\s*[0-9]{1,3}(?:,[0-9]{3})*(?:\.\d{2})?\)?$"))
-        return F.translate(F.coalesce(same, _group(F.get(where, F.lit(0)), money, 1)), ",", "").try_cast("double")
-
-    monthly = read(r"(?i)^(?:average\s+)?(?:gross\s+)?monthly\s+(?:business\s+)?(?:revenue|sales)(?:\s*[:#-])?")
-    annual = read(r"(?i)^(?:average\s+)?(?:gross\s+)?(?:annual|yearly)\s+(?:business\s+)?revenue(?:\s*[:#-])?")
-    return F.coalesce(F.floor(monthly + 0.5), F.floor(annual / 12 + 0.5)).cast("double")
-
-
-def labelled_value(value: Column, labels: list[str], accept: str = r"\S.*") -> Column:
-    """What stands after the first of the labels (label order, then line order), on its line or, if that is empty, on the next."""
-    lines = clean_lines(value)
-
-    def one(label: str) -> Column:
-        p = rf"(?i)(?:^|[^a-z0-9]){label}[\s:#\-|]*(.*)$"
-        own = F.transform(lines, lambda x, i: F.when(x.rlike(p), F.coalesce(_group(F.regexp_extract(x, p, 1), rf"^({accept})", 1), F.when(F.regexp_extract(x, p, 1) == "", _group(F.get(lines, i + 1), rf"^({accept})$", 1)))))
-        found = F.get(F.filter(own, lambda x: x.isNotNull() & ~x.rlike(r":\s*$")), F.lit(0))
-        return F.trim(F.get(F.split(found, r"(?i)\s+(?=(?:City|State|Zip|Full Name|First Name|Last Name|Date of Birth|DOB|Home Address|Mobile|Email|Signature|Title|Business Address|Business Start Date|Federal Tax|Tax ID)\s*:)"), F.lit(0)))
-
-    return F.coalesce(*[one(x) for x in labels])
-
-
-def application_company(value: Column) -> Column:
-    return labelled_value(value, ["Legal Company Name", "Legal Business Name", "Business Legal Name", "Company Legal Name", "Legal/Corporate Name", "Corporate Name", "Business Name", "Company Name"], r"[A-Za-z0-9&.,'\- /]*[A-Za-z]{3}[A-Za-z0-9&.,'\- /]*")
-
-
-def application_owner(value: Column) -> Column:
-    return labelled_value(value, ["Full Name", "Full Legal Name", "Owner Name", "Owner Full Name", "Name Printed", "Printed Name", "Print Name", "Applicant Name", "Principal Name", "Guarantor Name"], r"[A-Za-z][A-Za-z.'\-]*(?: [A-Za-z][A-Za-z.'\-]*){1,4}")
+    def found(lines: Column) -> Column:
+        def read(label: str) -> Column:
+            same = F.get(F.filter(F.transform(lines, lambda x: _group(x, label + r"[^0-9]*" + L.REVENUE, 1)), lambda x: x.isNotNull()), F.lit(0))
+            where = F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(label), F.get(lines, i + 1))), lambda x: x.isNotNull() & x.rlike(L.REVENUE_LINE))
+            return F.translate(F.coalesce(same, _group(F.get(where, F.lit(0)), L.REVENUE, 1)), ",", "").try_cast("double")
 
+        return F.coalesce(F.floor(read(L.MONTHLY_LABEL) + 0.5), F.floor(read(L.ANNUAL_LABEL) / 12 + 0.5)).cast("double")
 
-def application_date(value: Column, labels: list[str]) -> Column:
-    """mm/dd/yyyy of the first label's date; null for none."""
-    return F.date_format(parse_date(labelled_value(value, labels, r".*\d.*")), "MM/dd/yyyy")
+    return let(clean_lines(value), found)
 
 
 def folder_of(filename: Column) -> Column:

@@ -197,9 +197,9 @@ def assign_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.assign_leads(_leads(spark, sf_dir), ["ann", "bo", "cy"])
 
 
-@query(f""", {LEADS} SELECT lead_id, company_name, revenue FROM leads WHERE company_name <> 'Unassociated' AND contains(lower(concat_ws(' ', company_name, owner_name)), '7') AND status = 'complete' ORDER BY revenue DESC, lower(company_name), lead_id LIMIT 50""")
+@query(f""", {LEADS} SELECT lead_id, company_name, revenue FROM leads WHERE company_name <> 'Unassociated' AND contains(lower(concat_ws(' ', company_name, owner_name)), '7') AND status = 'needs_review' ORDER BY revenue DESC, lower(company_name), lead_id LIMIT 50""")
 def search_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.search_results(_leads(spark, sf_dir), "7", "complete", limit=50).select("lead_id", "company_name", "revenue")
+    return G.search_results(_leads(spark, sf_dir), "7", "needs_review", limit=50).select("lead_id", "company_name", "revenue")
 
 
 @query(f""", {LEADS}, s AS (SELECT lead_id, CASE WHEN has_application AND statement_count = 0 THEN 'application' WHEN NOT has_application AND statement_count > 0 THEN 'statement' END AS side FROM leads)

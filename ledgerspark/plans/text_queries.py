@@ -79,12 +79,33 @@ def parse_amount(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.document_texts(spark, sf_dir).select("doc_id", T.parse_amount(B.pick(B.AMOUNTS, F.col("doc_id"))).cast("double").alias("amount"))
 
 
-DATES = ["01/05/26", "2-3-1999", "January 5, 2011", "Mar-07-31", "13/45/2020", "no date", "as of 07/04/2029 sent"]
+def iso_sql(y: str, m: str, d: str) -> str:
+    return f"({y}) || '-' || lpad({m}, 2, '0') || '-' || lpad({d}, 2, '0')"
 
 
-@query(f"""SELECT doc_id, ['2026-01-05', '1999-02-03', '2011-01-05', '1931-03-07', NULL, NULL, '2029-07-04'][CAST(doc_id % 7 AS BIGINT) + 1] AS iso_date FROM docs""")
+def year_sql(y: str, cut: int) -> str:
+    return f"CASE WHEN length({y}) = 2 THEN CASE WHEN CAST({y} AS INTEGER) > {cut} THEN '19' ELSE '20' END || {y} ELSE CAST(TRY_CAST({y} AS INTEGER) AS VARCHAR) END"
+
+
+def month_sql(m: str) -> str:
+    return f"CAST((position(lower(left({m}, 3)) IN 'janfebmaraprmayjunjulaugsepoctnovdec') + 2) // 3 AS VARCHAR)"
+
+
+def part_sql(x: str, pattern: str, no: int) -> str:
+    return f"nullif(regexp_extract({x}, {q(pattern)}, {no}), '')"
+
+
+def date_sql(x: str) -> str:
+    v = f"replace(trim(regexp_replace(replace(coalesce({x}, ''), chr(160), ' '), '\\s+', ' ', 'g')), ',', '')"
+    n = [part_sql(v, L.NUMBER_DATE, i) for i in (1, 2, 3)]
+    w = [part_sql(v, L.WORD_DATE, i) for i in (1, 2, 3)]
+    return f"coalesce(TRY_CAST({iso_sql(year_sql(n[2], 29), n[0], n[1])} AS DATE), TRY_CAST({iso_sql(year_sql(w[2], 29), month_sql(w[0]), w[1])} AS DATE))"
+
+
+@query(f"SELECT * FROM (SELECT doc_id, line_no, CAST({date_sql('line')} AS VARCHAR) AS iso_date FROM lines) WHERE iso_date IS NOT NULL")
 def parse_date(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.document_texts(spark, sf_dir).select("doc_id", T.parse_date(B.pick(DATES, F.col("doc_id"))).cast("string").alias("iso_date"))
+    lines = S.explode_lines(B.document_texts(spark, sf_dir))
+    return lines.select("doc_id", "line_no", T.parse_date(F.col("line")).cast("string").alias("iso_date")).where("iso_date is not null")
 
 
 @query("""SELECT doc_id, CASE WHEN yy > 50 THEN 1900 + yy ELSE 2000 + yy END AS ledger_year, CASE WHEN yy >= 30 THEN 1900 + yy ELSE 2000 + yy END AS field_year FROM (SELECT doc_id, doc_id % 100 AS yy FROM docs)""")
@@ -93,10 +114,33 @@ def complete_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.document_texts(spark, sf_dir).select("doc_id", T.full_year(yy, 50).cast("long").alias("ledger_year"), T.full_year(yy, 29).cast("long").alias("field_year"))
 
 
-@query("""SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN '2026-01-05' END AS period_start, CASE doc_id % 7 WHEN 0 THEN '2026-01-31' WHEN 3 THEN '2026-03-31' WHEN 6 THEN '2026-02-28' END AS period_end,
- CASE doc_id % 7 WHEN 0 THEN 'document_text_numeric_range' WHEN 3 THEN 'document_text_single_date' WHEN 6 THEN 'filename_year_month' END AS source FROM docs WHERE doc_id % 3 <> 0""")
+def period_sql() -> str:
+    t, f = "replace(raw_text, chr(160), ' ')", "replace(filename, '_', ' ')"
+    n, w, c = ([part_sql(x, p, i) for i in range(1, 7)] for x, p in ((t, L.NUMBER_RANGE), (t, L.WORD_RANGE), (f, L.FILE_RANGE)))
+    dates = f"regexp_extract_all({f}, {q(L.FILE_DATE)})"
+    last = [f"split_part(list_last({dates}), '-', {i})" for i in (1, 2, 3)]
+
+    def text_date(p: str, no: int = 1) -> str:
+        return f"CAST({date_sql(part_sql(t, p, no))} AS VARCHAR)"
+
+    def month_end(y: str, m: str) -> str:
+        return f"CAST(last_day(TRY_CAST({iso_sql(y, m, q('01'))} AS DATE)) AS VARCHAR)"
+
+    rows = [
+        (iso_sql(year_sql(n[2], 50), n[0], n[1]), iso_sql(year_sql(n[5], 50), n[3], n[4]), "document_text_numeric_range"),
+        (iso_sql(w[2], month_sql(w[0]), w[1]), iso_sql(w[5], month_sql(w[3]), w[4]), "document_text_word_range"),
+        ("NULL", text_date(L.SINGLE_DATE), "document_text_single_date"), ("NULL", text_date(L.THIS_STATEMENT), "ocr_this_statement"),
+        (text_date(L.STATEMENT_FOR), text_date(L.STATEMENT_FOR, 2), "ocr_range_end"), (iso_sql(*c[:3]), iso_sql(*c[3:]), "filename_compact_range"),
+        ("NULL", f"CASE WHEN len({dates}) > 0 THEN {iso_sql(*last)} END", "filename_single_end_date"), ("NULL", month_end(part_sql(f, L.FILE_MONTH, 1), part_sql(f, L.FILE_MONTH, 2)), "filename_year_month"),
+        ("NULL", month_end(f"coalesce({part_sql(f, '(20[0-9]{2})', 1)}, '2026')", month_sql(part_sql(f, L.FILE_MONTH_NAME, 1))), "filename_month"),
+    ]
+    parts = ", ".join(f"{{'s': CAST({a} AS VARCHAR), 'e': CAST({b} AS VARCHAR), 'source': '{name}'}}" for a, b, name in rows)
+    return f"SELECT doc_id, x.s AS period_start, x.e AS period_end, x.source AS source FROM (SELECT doc_id, list_filter([{parts}], lambda x: x.e IS NOT NULL)[1] AS x FROM docs)"
+
+
+@query(period_sql())
 def statement_period(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = B.document_texts(spark, sf_dir).where("doc_id % 3 <> 0").select("doc_id", T.statement_period(F.col("raw_text"), F.col("filename"), 2026).alias("p"))
+    d = B.document_texts(spark, sf_dir).select("doc_id", T.statement_period(F.col("raw_text"), F.col("filename"), 2026).alias("p"))
     return d.select("doc_id", F.col("p.start").alias("period_start"), F.col("p.end").alias("period_end"), F.col("p.source").alias("source"))
 
 
@@ -129,18 +173,41 @@ def extract_phones(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.withColumn("place", (F.col("place") + 1).cast("long"))
 
 
-@query(f"""SELECT DISTINCT doc_id, unnest(list_distinct(list_transform(regexp_extract_all(lower(text), {q(L.EMAILS)}), lambda x: regexp_replace(x, '^\\.+|\\.+$', '', 'g')))) AS email FROM docs""")
+def has(x: str, pattern: str) -> str:
+    return f"regexp_matches({x}, {q(pattern)})"
+
+
+def revenue_sql(label: str) -> str:
+    """Tables of the first amount on a line with the label, or on the line after one."""
+    return f"""SELECT doc_id, TRY_CAST(replace(coalesce(arg_min(same, line_no) FILTER (same IS NOT NULL), regexp_extract(arg_min(below, line_no) FILTER (below IS NOT NULL), {q(L.REVENUE)}, 1)), ',', '') AS DOUBLE) AS v
+ FROM (SELECT doc_id, line_no, {part_sql('line', label + '[^0-9]*' + L.REVENUE, 1)} AS same, CASE WHEN {has('line', label)} AND {has('next', L.REVENUE_LINE)} THEN next END AS below FROM following) GROUP BY 1"""
+
+
+LABELS = ", ".join(f"({q(f)}, {i}, {q(x.lower())}, {q(f'(?i)(?:^|[^a-z0-9]){x}[\\s:#\\-|]*(.*)$'.replace(chr(92) * 2, chr(92)))}, {q(f'^({L.FIELD_VALUES[f]})')})" for f, some in L.FIELD_LABELS.items() for i, x in enumerate(some))
+FIELDS_SQL = f"""following AS (SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY line_no) AS next FROM lines),
+labels AS (SELECT * FROM (VALUES {LABELS}) v(field, no, low, after_label, accepted)),
+hits AS (SELECT doc_id, line_no, next, field, no, accepted, regexp_extract(line, after_label, 1) AS rest FROM following, labels WHERE contains(lower(line), low) AND regexp_matches(line, after_label)),
+values_found AS (SELECT doc_id, line_no, field, no, coalesce(nullif(regexp_extract(rest, accepted, 1), ''), CASE WHEN rest = '' THEN nullif(regexp_extract(next, accepted || '$', 1), '') END) AS found FROM hits),
+cut AS (SELECT doc_id, line_no, field, no, trim(regexp_extract(found, {q(L.NEXT_FIELD)}, 1)) AS found FROM values_found WHERE found IS NOT NULL AND NOT regexp_matches(found, ':\\s*$')),
+fields AS (SELECT doc_id, {', '.join(f"arg_min(found, {{'no': no, 'line_no': line_no}}) FILTER (field = '{f}') AS {f}" for f in L.FIELD_LABELS)} FROM cut GROUP BY 1),
+monthly AS ({revenue_sql(L.MONTHLY_LABEL)}), annual AS ({revenue_sql(L.ANNUAL_LABEL)}),
+flat AS (SELECT doc_id, lower(raw_text) AS raw, regexp_replace(regexp_replace(lower(raw_text), '\\s*@\\s*', '@', 'g'), '\\s*\\.\\s*([a-z]{{2,}}(?:\\s|$))', '.\\1', 'g') AS tight, regexp_replace(regexp_replace(regexp_replace(lower(raw_text), '[\\r\\n]+', ' ', 'g'), '\\s*@\\s*', '@', 'g'), '\\s*\\.\\s*', '.', 'g') AS loose FROM docs),
+application AS (SELECT docs.doc_id, company, owner, address, strftime({date_sql('dob')}, '%m/%d/%Y') AS dob, strftime({date_sql('start_date')}, '%m/%d/%Y') AS start_date,
+ coalesce({part_sql('raw_text', L.EIN_NEAR, 1)} || '-' || {part_sql('raw_text', L.EIN_NEAR, 2)}, {part_sql('raw_text', L.EIN_PLAIN, 1)} || '-' || {part_sql('raw_text', L.EIN_PLAIN, 2)}) AS ein, 'XXX-XX-' || {part_sql('raw_text', L.SSN, 3)} AS ssn_mask,
+ coalesce(floor(monthly.v + 0.5), floor(annual.v / 12 + 0.5)) AS stated_revenue, {has('raw_text', L.PHONES)} AS phone, {has('raw', L.EMAILS)} OR {has('tight', L.EMAILS)} OR {has('loose', L.EMAILS)} AS email
+ FROM docs JOIN flat USING (doc_id) LEFT JOIN fields USING (doc_id) LEFT JOIN monthly USING (doc_id) LEFT JOIN annual USING (doc_id))"""
+
+
+@query(f""", {FIELDS_SQL} SELECT DISTINCT doc_id, unnest(list_transform(list_concat(regexp_extract_all(raw, {q(L.EMAILS)}), regexp_extract_all(tight, {q(L.EMAILS)}), regexp_extract_all(loose, {q(L.EMAILS)})), lambda x: regexp_replace(x, '^\\.+|\\.+$', '', 'g'))) AS email FROM flat""")
 def find_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = B.document_texts(spark, sf_dir)
-    return d.select("doc_id", F.explode(F.array_distinct(F.transform(F.regexp_extract_all(F.lower(T.text_of(F.col("text"))), F.lit(f"({L.EMAILS})")), lambda x: F.regexp_replace(x, r"^\.+|\.+$", "")))).alias("email"))
+    return B.document_texts(spark, sf_dir).select("doc_id", F.explode(T.emails(F.col("raw_text"))).alias("email"))
 
 
-@query("""SELECT doc_id, CASE doc_id % 7 WHEN 1 THEN 'Blue River Foods Inc' WHEN 4 THEN 'Acme Tools LLC' END AS company, CASE doc_id % 7 WHEN 1 THEN 'Ann B. Lee' END AS owner, CASE doc_id % 7 WHEN 1 THEN '02/03/1975' END AS dob,
- CASE doc_id % 7 WHEN 4 THEN '01/05/2011' END AS start_date, CASE doc_id % 7 WHEN 1 THEN '12-3456789' END AS ein, CASE doc_id % 7 WHEN 1 THEN 'XXX-XX-6789' END AS ssn_mask, CASE doc_id % 7 WHEN 1 THEN 125000.0 WHEN 4 THEN 100000.0 END AS stated_revenue,
- CASE doc_id % 7 WHEN 1 THEN 6 WHEN 2 THEN 2 WHEN 4 THEN 3 WHEN 6 THEN 2 ELSE 0 END AS fields_found FROM docs WHERE doc_id % 3 <> 0""")
+@query(f""", {FIELDS_SQL} SELECT doc_id, company, owner, dob, start_date, address, ein, ssn_mask, stated_revenue,
+ CAST((company IS NOT NULL)::INT + (owner IS NOT NULL)::INT + phone::INT + email::INT + (address IS NOT NULL)::INT + (start_date IS NOT NULL)::INT + (ein IS NOT NULL)::INT + (dob IS NOT NULL)::INT AS BIGINT) AS fields_found FROM application""")
 def extract_application(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = S_application(B.document_texts(spark, sf_dir).where("doc_id % 3 <> 0"))
-    return d.select("doc_id", "company", "owner", "dob", "start_date", "ein", "ssn_mask", "stated_revenue", F.col("fields_found").cast("long").alias("fields_found"))
+    d = S_application(B.document_texts(spark, sf_dir))
+    return d.select("doc_id", "company", "owner", "dob", "start_date", "address", "ein", "ssn_mask", "stated_revenue", F.col("fields_found").cast("long").alias("fields_found"))
 
 
 def S_application(docs: DataFrame) -> DataFrame:
