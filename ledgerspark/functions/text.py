@@ -18,6 +18,11 @@ def text_of(value: Column) -> Column:
     return F.coalesce(value, F.lit(""))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once a row."""
+    return F.element_at(F.transform(F.array(value), lambda x: body(x)), 1)
+
+
 def clean_space(value: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(text_of(value), " ", " "), r"\s+", " "))
 
@@ -139,11 +144,6 @@ def is_mtd(value: Column, filename: Column) -> Column:
 # -- fields -------------------------------------------------------------------------------------
 
 
-def let(value: Column, body) -> Column:
-    """body(value) with value computed once a row."""
-    return F.element_at(F.transform(F.array(value), lambda x: body(x)), 1)
-
-
 def bank(value: Column, filename: Column) -> Column:
     """The bank: the earliest letterhead name above the table, else the first of the ordered rules that holds."""
 
@@ -265,25 +265,32 @@ def strip_noise_prefix(name: Column) -> Column:
     """Without a leading mail-sort code (capitals, four consonants in a run), or an account code that begins as the name
     after it does, if a business name of two words or more with a legal suffix is left."""
 
-    def without(pattern: str) -> Column:
-        return F.trim(F.substring(name, F.length(F.regexp_extract(name, pattern, 1)) + 1, F.length(name)))
+    def parts(pattern: str) -> Column:
+        code = F.regexp_extract(name, pattern, 1)
+        return F.struct(code.alias("code"), F.trim(F.substring(name, F.length(code) + 1, F.length(name))).alias("rest"))
 
-    def named(rest: Column) -> Column:
-        return rest.rlike(L.ENTITY_SUFFIX) & (F.size(F.split(rest, r"\s+")) >= 2)
+    def named(x: Column) -> Column:
+        return (x["code"] != "") & x["rest"].rlike(L.ENTITY_SUFFIX) & (F.size(F.split(x["rest"], r"\s+")) >= 2)
 
-    sort = name.rlike(L.SORT_CODE) & F.regexp_extract(name, L.SORT_CODE, 1).rlike(L.CONSONANTS) & named(without(L.SORT_CODE))
-    fused = name.rlike(L.FUSED_CODE) & F.lower(F.regexp_extract(name, L.FUSED_CODE, 1)).startswith(F.lower(F.get(F.split(without(L.FUSED_CODE), r"\s+"), F.lit(0)))) & named(without(L.FUSED_CODE))
-    return F.when(sort, without(L.SORT_CODE)).when(fused, without(L.FUSED_CODE)).otherwise(name)
+    sort = let(parts(L.SORT_CODE), lambda x: F.when(named(x) & x["code"].rlike(L.CONSONANTS), x["rest"]))
+    fused = let(parts(L.FUSED_CODE), lambda x: F.when(named(x) & F.lower(x["code"]).startswith(F.lower(F.get(F.split(x["rest"], r"\s+"), F.lit(0)))), x["rest"]))
+    return F.coalesce(sort, fused, name)
 
 
 def company_key(name: Column) -> Column:
     """The key that spellings of one company share; 'unassociated' for none."""
-    base = F.regexp_replace(F.lower(strip_noise_prefix(clean_space(name))), r"['’]s\b", "")
+
+    def single(w: Column) -> Column:
+        return F.when((F.length(w) >= 4) & w.endswith("s") & ~w.endswith("ss"), F.substring(w, F.lit(1), F.length(w) - 1)).otherwise(w)
+
+    base = F.regexp_replace(F.lower(let(clean_space(name), strip_noise_prefix)), r"['’]s\b", "")
     words = F.filter(F.split(F.trim(F.regexp_replace(base, r"[^a-z0-9]+", " ")), " "), lambda w: (w != "") & (w != "s"))
-    one = F.transform(words, lambda w: F.when((F.length(w) >= 4) & w.endswith("s") & ~w.endswith("ss"), F.substring(w, F.lit(1), F.length(w) - 1)).otherwise(w))
-    joined = F.array_join(one, " ")
-    short = F.trim(F.regexp_replace(joined, L.NAME_SUFFIX, ""))
-    return F.when(joined == "", "unassociated").when(short == "", joined).otherwise(short)
+
+    def key(joined: Column) -> Column:
+        short = F.trim(F.regexp_replace(joined, L.NAME_SUFFIX, ""))
+        return F.when(joined == "", "unassociated").when(short == "", joined).otherwise(short)
+
+    return let(F.array_join(F.transform(words, single), " "), key)
 
 
 def significant_words(name: Column) -> Column:

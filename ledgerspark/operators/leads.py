@@ -133,12 +133,18 @@ def lead_facts(keyed: DataFrame) -> DataFrame:
     app, stmt = c("doc_type") == "application", c("doc_type") == "bank_statement"
     plain = unique & stmt & ~F.coalesce("is_mtd", F.lit(False))
     k = keyed.withColumns({"score": extraction_score(), "verification": revenue_verification(), "doc_revenue": document_revenue()})
+
+    def agrees(name: Column) -> Column:
+        return F.coalesce(T.names_overlap(name, c("lead_id")), F.lit(False))  # a folder's lead has its company key as lead_id
+
     rank = F.struct(unique.cast("int"), F.when(F.coalesce(c("kind") == "contact_sheet", F.lit(False)), 0).otherwise(100) + F.coalesce("fields_found", F.lit(0)), -c("arrival_no"))
     best = F.max_by(F.struct("doc_id", "stated_revenue", "score", "owner", "company", "address"), F.when(app, rank))
     verified = plain & (c("verification") == "verified")
     positive = c("doc_revenue") > 0
     g = k.groupBy("lead_id").agg(
-        F.max(app).alias("has_application"), best.alias("app"), F.min_by("company", "arrival_no").alias("first_company"), F.min_by("folder_company", F.when(c("folder_company").isNotNull(), c("arrival_no"))).alias("folder_company"),
+        F.max(app).alias("has_application"), best.alias("app"), F.min_by("company", "arrival_no").alias("first_company"),
+        F.min_by(F.struct("folder", F.col("folder_company").alias("company")), F.when(c("folder_company").isNotNull(), c("arrival_no"))).alias("of"),
+        F.min_by("company", F.when(agrees(c("company")), c("arrival_no"))).alias("agreeing"), F.min_by("company", F.when(c("company").isNotNull(), c("arrival_no"))).alias("any_read"),
         F.count(F.when(plain, 1)).cast("long").alias("statement_count"), F.count(F.when(verified, 1)).alias("verified_count"),
         F.avg(F.when(verified & positive, c("doc_revenue"))).alias("verified_mean"), F.avg(F.when(plain & positive, c("doc_revenue"))).alias("plain_mean"),
         F.avg(F.when(unique & stmt, c("score"))).alias("statement_score"), F.max_by("status", F.struct(ranked(c("status"), L.STATUS_RANKS), -c("arrival_no"))).alias("status"),
@@ -148,13 +154,33 @@ def lead_facts(keyed: DataFrame) -> DataFrame:
     a, s = c("app.score"), c("statement_score")
     score = F.when(s.isNull() & a.isNull(), 0).when(s.isNull(), F.floor(a * 0.3 + 0.5)).when(a.isNull(), F.floor(s * 0.85 + 0.5)).otherwise(F.floor(s * 0.7 + a * 0.3 + 0.5))
     source = F.when(c("app.stated_revenue").isNotNull(), "application").when(mean.isNull(), "none").when(c("verified_count") > 0, "verified_statements").otherwise("unverified_statements")
-    name = F.coalesce(c("folder_company"), c("app.company"), c("first_company"), F.lit("Unassociated"))
+    # A name that the lead's own files read and that agrees with its folder; else a stamped folder's; else the first read.
+    agreeing = F.when(agrees(c("app.company")), c("app.company"))
+    stamped = F.when(c("of.folder").rlike(L.FOLDER_STAMP), c("of.company"))
+    name = F.coalesce(F.when(c("of").isNotNull(), F.coalesce(agreeing, "agreeing", stamped, c("app.company"), "any_read", c("of.company"))), c("app.company"), c("first_company"), F.lit("Unassociated"))
     return g.select(
         "lead_id", name.alias("company_name"), c("app.owner").alias("owner_name"), F.coalesce(c("app.stated_revenue").cast("double"), F.floor(mean * 100 + 0.5) / 100, F.lit(0.0)).alias("revenue"), source.alias("revenue_source"),
         score.cast("long").alias("score"), "status", "has_application", "statement_count", "duplicate_count", "issue_count", "doc_count",
     )
 
 
+def lead_contacts(keyed: DataFrame) -> DataFrame:
+    """lead_id, kind (phone or email) and value of every contact that an application of a lead carries, duplicates aside; a
+    row for each, so no lead's list is gathered in one task."""
+    apps = keyed.where((F.col("doc_type") == "application") & F.col("duplicate_of").isNull())
+    pairs = [F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda v, k=k: F.struct(F.lit(k).alias("kind"), v.alias("value"))) for k, c in (("phone", "phones"), ("email", "emails"))]
+    return apps.select("lead_id", F.explode(F.concat(*pairs)).alias("x")).select("lead_id", "x.*").distinct()
+
+
+def reconciliation_badge(keyed: DataFrame) -> DataFrame:
+    """lead_id, checked, failing and badge of every lead: how many of its checked statements agree with their own summaries; null unchecked."""
+    plain = F.col("duplicate_of").isNull() & (F.col("doc_type") == "bank_statement") & ~F.coalesce("is_mtd", F.lit(False))
+    checked, failing = F.count(F.when(plain & F.col("reconciles").isNotNull(), 1)), F.count(F.when(plain & ~F.col("reconciles"), 1))
+    g = keyed.groupBy("lead_id").agg(checked.cast("long").alias("checked"), failing.cast("long").alias("failing"))
+    share = F.concat((F.col("checked") - F.col("failing")).cast("string"), F.lit("/"), F.col("checked").cast("string"))
+    return g.withColumn("badge", F.when(F.col("failing") > 0, F.concat(F.lit("\u26a0 "), share)).when(F.col("checked") > 0, F.concat(F.lit("\u2713 "), share)))
+
+
 def build_leads(facts: DataFrame) -> DataFrame:
     """Leads in the order revenue, score (both descending), name; lower-case binary order stands for a locale's."""
     leads = lead_facts(merge_same_address(lead_keys(facts)))
@@ -222,6 +248,8 @@ def numbered(leads: DataFrame) -> DataFrame:
     """leads with `position` from 0 in lead order: a range sort, counts per part, then numbers inside each part, so
     no task gets all rows."""
     ordered = leads.repartitionByRange(F.desc("revenue"), F.desc("score"), F.lower("company_name"), "lead_id").withColumn("part", F.spark_partition_id())
+    if leads.sparkSession.sparkContext.getCheckpointDir():
+        ordered = ordered.checkpoint()  # both branches below then see one and the same dealing
     inside = Window.partitionBy("part").orderBy(F.desc("revenue"), F.desc("score"), F.lower("company_name"), "lead_id")
     placed = ordered.withColumn("inside", F.row_number().over(inside))
     sizes = placed.groupBy("part").agg(F.max("inside").alias("n"))

@@ -162,7 +162,7 @@ apps AS (SELECT lead_id, company, owner, stated_revenue, score, row_number() OVE
 g AS (SELECT lead_id, min_by(company, arrival_no) FILTER (company IS NOT NULL) AS named, min_by(coalesce(company, '~'), arrival_no) AS first_company, min_by('Acme ' || company_no || ' Traders LLC', arrival_no) FILTER (company_no % 3 = 0) AS folder_company, count(*) FILTER (uniq AND doc_type = 'bank_statement' AND NOT is_mtd) AS statement_count,
  count(*) FILTER (uniq AND doc_type = 'bank_statement' AND NOT is_mtd AND ver = 'verified') AS verified_count, avg(rev) FILTER (uniq AND doc_type = 'bank_statement' AND NOT is_mtd AND ver = 'verified' AND rev > 0) AS vm, avg(rev) FILTER (uniq AND doc_type = 'bank_statement' AND NOT is_mtd AND rev > 0) AS pm,
  avg(score) FILTER (uniq AND doc_type = 'bank_statement') AS ss, max_by(status, CAST({STATUS_RANK} AS BIGINT) * 1000000000 - arrival_no) AS status, count(*) FILTER (NOT uniq) AS duplicate_count, CAST(sum(review_count) AS BIGINT) AS issue_count, count(*) AS doc_count FROM scored GROUP BY 1),
-leads AS (SELECT g.lead_id, coalesce(folder_company, a.company, g.named, 'Unassociated') AS company_name, a.owner AS owner_name, coalesce(a.stated_revenue, floor(CASE WHEN verified_count > 0 THEN vm ELSE pm END * 100 + 0.5) / 100, 0) AS revenue,
+leads AS (SELECT g.lead_id, coalesce(a.company, g.named, folder_company, 'Unassociated') AS company_name, a.owner AS owner_name, coalesce(a.stated_revenue, floor(CASE WHEN verified_count > 0 THEN vm ELSE pm END * 100 + 0.5) / 100, 0) AS revenue,
  CASE WHEN a.stated_revenue IS NOT NULL THEN 'application' WHEN (CASE WHEN verified_count > 0 THEN vm ELSE pm END) IS NULL THEN 'none' WHEN verified_count > 0 THEN 'verified_statements' ELSE 'unverified_statements' END AS revenue_source,
  CAST(CASE WHEN ss IS NULL AND a.score IS NULL THEN 0 WHEN ss IS NULL THEN floor(CAST(a.score AS DOUBLE) * CAST(0.3 AS DOUBLE) + 0.5) WHEN a.score IS NULL THEN floor(ss * CAST(0.85 AS DOUBLE) + 0.5) ELSE floor(ss * CAST(0.7 AS DOUBLE) + CAST(a.score AS DOUBLE) * CAST(0.3 AS DOUBLE) + 0.5) END AS BIGINT) AS score,
  g.status, a.lead_id IS NOT NULL AS has_application, statement_count, duplicate_count, issue_count, doc_count FROM g LEFT JOIN apps a ON a.lead_id = g.lead_id AND a.p = 1)"""
@@ -280,3 +280,16 @@ def lead_pitch(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = G.lead_keys(B.facts(spark, sf_dir)).select("doc_id", "lead_id")
     recurring = A.recurring_expenses(B.ledger(spark, sf_dir)).join(k, "doc_id").where("doc_id % 2 = 0")
     return G.lead_pitch(k.select("lead_id").distinct(), _positions(spark, sf_dir).join(k, "doc_id"), recurring)
+
+
+@query(f""", {MERGED}, carried AS (SELECT m.lead_id, m.doc_type, m.duplicate_of, CAST(2125550000 + m.doc_id AS VARCHAR) AS phone, lower(regexp_replace(c_name, '[^A-Za-z0-9]', '', 'g')) || '@example.org' AS email FROM merged m JOIN customer ON c_custkey = m.doc_id)
+SELECT DISTINCT lead_id, 'phone' AS kind, phone AS value FROM carried WHERE doc_type = 'application' AND duplicate_of IS NULL UNION SELECT DISTINCT lead_id, 'email', email FROM carried WHERE doc_type = 'application' AND duplicate_of IS NULL""")
+def lead_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = B.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.array((F.col("c_custkey") + 2125550000).cast("string")).alias("phones"), F.array(F.concat(F.lower(F.regexp_replace("c_name", "[^A-Za-z0-9]", "")), F.lit("@example.org"))).alias("emails"))
+    return G.lead_contacts(G.merge_same_address(G.lead_keys(B.facts(spark, sf_dir))).join(c, "doc_id"))
+
+
+@query(f""", {MERGED}, b AS (SELECT lead_id, count(*) FILTER (reconciles IS NOT NULL) AS checked, count(*) FILTER (NOT reconciles) AS failing FROM (SELECT lead_id, CASE WHEN duplicate_of IS NULL AND doc_type = 'bank_statement' AND NOT is_mtd THEN reconciles END AS reconciles FROM merged) GROUP BY 1)
+SELECT lead_id, checked, failing, CASE WHEN failing > 0 THEN chr(9888) || ' ' || (checked - failing) || '/' || checked WHEN checked > 0 THEN chr(10003) || ' ' || checked || '/' || checked END AS badge FROM b""")
+def reconciliation_badge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.reconciliation_badge(G.merge_same_address(G.lead_keys(B.facts(spark, sf_dir))))

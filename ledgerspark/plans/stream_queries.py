@@ -55,6 +55,17 @@ def form_rows_from_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.form_rows_from_items(_items(spark, sf_dir))
 
 
+@query(f"""WITH {B.FACTS_SQL} SELECT doc_id, doc_type, company, CAST(true_revenue AS DOUBLE) AS true_revenue, reconciles, CAST(len(string_split(filename, '/')) AS BIGINT) AS n_parts, split_part(filename, '/', -1) AS file FROM facts""")
+def document_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document facts as nested records, written as JSON lines and read again."""
+    f = B.facts(spark, sf_dir)
+    nested = f.select("doc_id", F.struct("doc_type", "company").alias("identity"), F.struct(F.struct(F.col("true_revenue").cast("double").alias("true_revenue")).alias("deposits"), "reconciles").alias("statement"), F.split("filename", "/").alias("path"))
+    place = _scratch(spark)
+    files.write_records(nested, place)
+    back = files.read_records(spark, place, nested.schema)
+    return back.select("doc_id", "identity.doc_type", "identity.company", "statement.deposits.true_revenue", "statement.reconciles", F.size("path").cast("long").alias("n_parts"), F.element_at("path", -1).alias("file"))
+
+
 @query("""SELECT doc_id, n = 0 AS empty, CASE WHEN n = 0 THEN 'empty_file' WHEN doc_id % 5 = 4 THEN 'unsupported_file_type' WHEN doc_id % 5 < 2 THEN 'not_a_real_pdf_signature' END AS reason, sha256(text) AS file_hash FROM (SELECT *, length(text) AS n FROM documents)""")
 def validate_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = B.pick(["pdf", "PDF", "png", "jpeg", "txt"], F.col("doc_id"))

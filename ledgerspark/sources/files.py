@@ -5,6 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 KINDS = ("pdf", "png", "jpg", "jpeg")
 ITEMS = "doc_id, page, x, y, width, size, text"
@@ -34,6 +35,17 @@ def validate_files(files: DataFrame) -> DataFrame:
     return files.select("path", "length", reason.isNull().alias("valid"), reason.alias("reason"), warnings.alias("warnings"), (no_eof & no_xref).alias("looks_corrupted"))
 
 
+def write_records(docs: DataFrame, path: str, form: str = "json") -> None:
+    """Document records with nested structs and arrays, one row a document, as JSON lines or Parquet; nulls are kept as nulls."""
+    out = docs.write.mode("overwrite")
+    (out.option("ignoreNullFields", False).json(path) if form == "json" else out.parquet(path))
+
+
+def read_records(spark: SparkSession, path: str, schema: StructType, form: str = "json") -> DataFrame:
+    """The records written by write_records, with the schema they had; a JSON line that isn't a record fails the job."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path) if form == "json" else spark.read.schema(schema).parquet(path)
+
+
 def content_hash(content: Column) -> Column:
     """SHA-256 of the bytes, 64 hexadecimal digits; null for null."""
     return F.sha2(content, 256)

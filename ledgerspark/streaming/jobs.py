@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..operators.leads import lead_facts
 from ..operators.statements import parse_transactions
@@ -41,7 +42,7 @@ def stream_leads(facts: DataFrame, store: str, checkpoint: str, parts: int = 16)
         spark = batch.sparkSession
         new = batch.withColumn("part", F.pmod(F.xxhash64("lead_id"), F.lit(parts)).cast("int")).withColumn("batch_no", F.lit(no))
         touched = [r[0] for r in new.select("part").distinct().collect()]  # `parts` values at most
-        seen = new.unionByName(_table(spark, f"{store}/facts", new).where(F.col("part").isin(touched) & (F.col("batch_no") < no)))
+        seen = new.unionByName(_table(spark, f"{store}/facts", new, touched).where(F.col("batch_no") < no))
         last = seen.groupBy("part", "lead_id", "doc_id").agg(F.max_by(F.struct(*[c for c in new.columns if c not in ("part", "lead_id", "doc_id")]), F.struct("batch_no", "arrival_no")).alias("x")).select("part", "lead_id", "doc_id", "x.*")
         # A new version beside the old one, so reading and writing the same partition don't meet.
         last.select(*new.columns).write.mode("overwrite").parquet(f"{store}/tmp/{no}")
@@ -53,9 +54,10 @@ def stream_leads(facts: DataFrame, store: str, checkpoint: str, parts: int = 16)
     return facts.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
-def _table(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
-    """The table at path, or an empty one before the first batch."""
+def _table(spark: SparkSession, path: str, like: DataFrame, parts: list[int]) -> DataFrame:
+    """The parts of the table at path (folders at=...; no others are listed or opened), or an empty one before the first batch."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
         return like.limit(0)
-    return spark.read.schema(like.schema).parquet(path).select(*like.columns)
+    schema = StructType([*like.schema.fields, StructField("at", IntegerType())])
+    return spark.read.schema(schema).parquet(path).where(F.col("at").isin(parts)).select(*like.columns)
