@@ -177,7 +177,7 @@ def _whole_groups(batches, keys: int):
     """Columns of rows in the order of their first `keys` columns, as arrays; a group is never cut."""
     held: list[list] = []
     for batch in batches:
-        columns = [x if pa.types.is_binary(x.type) else x.to_numpy() for x in batch.columns]
+        columns = [x if pa.types.is_binary(x.type) or pa.types.is_list(x.type) else x.to_numpy() for x in batch.columns]
         changes = np.flatnonzero(np.logical_or.reduce([x[1:] != x[:-1] for x in columns[:keys]])) if len(columns[0]) else []
         if held and len(columns[0]) and any(h[-1] != c[0] for h, c in zip(held[-1][:keys], columns, strict=False)):
             yield _together(held)
@@ -233,45 +233,65 @@ def _tiled(rows: DataFrame, counted: DataFrame, tile: int, tables: Tables) -> Da
     return rows.repartition("word", "one", "two").sortWithinPartitions("word", "one", "two", "size")
 
 
+def _groups(word: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    return np.cumsum(np.concatenate(([0], (word[1:] != word[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1]))))
+
+
+ROWS = "word long, id long, size int, place int, sign long"
+
+
 def _possible(batches, num: int, den: int):
-    """word and id of the rows (see _tiled) that have a partner by the filters."""
-    for word, one, two, part, size, id_, place, sign in _whole_groups(batches, 3):
-        group = np.cumsum(np.concatenate(([0], (word[1:] != word[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1]))))
-        found = np.zeros(len(word), bool)
+    """The rows (see _tiled) that have a partner by the filters. With prefixes: one that shares no word before theirs, so
+    that each pair is left under one word alone."""
+    for word, one, two, part, size, id_, place, sign, *prefix in _whole_groups(batches, 3):
+        group, found = _groups(word, one, two), np.zeros(len(word), bool)
+        if prefix:
+            flat, row = prefix[0].flatten().to_numpy(), np.repeat(np.arange(len(word)), prefix[0].value_lengths().to_numpy())
+            early = (flat >= 0) & (flat < word[row])
+            width, start, bits, *_ = _bitsets(group, flat[early], row[early])
         for i, j in _near_pairs(group, one != two, part, size, place, sign, num, den):
+            if prefix:
+                shared = np.zeros(len(i), bool)
+                for k in range(int(width[i].max())):
+                    on = np.flatnonzero(width[i] > k)
+                    shared[on] |= (bits[start[i[on]] + k] & bits[start[j[on]] + k]) != 0
+                i, j = i[~shared], j[~shared]
             found[i] = found[j] = True
-        yield pa.RecordBatch.from_arrays([pa.array(word[found]), pa.array(id_[found])], ["word", "id"])
+        yield pa.RecordBatch.from_arrays([pa.array(x[found]) for x in (word, id_, size, place, sign)], ["word", "id", "size", "place", "sign"])
+
+
+def _bitsets(group: np.ndarray, flat: np.ndarray, row: np.ndarray):
+    """Rows' keys (flat, of the rows in row) as sets of bits: by row the number of 64-bit words and the first of them, the
+    words; then keys, rows and columns. A group's keys that two rows have are its columns, in ascending order; -1 for others."""
+    order = np.lexsort((flat, group[row]))
+    flat, row = flat[order], row[order]
+    new = np.concatenate(([True], (flat[1:] != flat[:-1]) | (group[row[1:]] != group[row[:-1]]))) if len(flat) else np.zeros(0, bool)
+    first = np.flatnonzero(new)
+    several = np.diff(np.append(first, len(flat))) > 1
+    owner = group[row[first[several]]]
+    before = np.searchsorted(owner, np.arange(group[-1] + 2))
+    columns = np.full(len(first), -1)
+    columns[several] = np.arange(len(owner)) - before[owner]
+    column = columns[np.cumsum(new) - 1] if len(flat) else columns
+    width = (np.diff(before) + 63 >> 6)[group]
+    start = np.cumsum(width) - width
+    bits = np.zeros(int(width.sum()), np.uint64)
+    take = column >= 0
+    np.bitwise_or.at(bits, start[row[take]] + (column[take] >> 6), np.uint64(1) << (column[take] & 63).astype(np.uint64))
+    return width, start, bits, flat, row, column
 
 
 def _linked(batches, num: int, den: int):
     """Of the rows (see _tiled) that have links under their word: id, the number of links and the least first place of a partner.
 
-    A group's words that two rows have are columns, in ascending order; a row is a set of bits. A pair counts where
-    the least column of both is the group's own word.
+    A pair counts where the least column of both is the group's own word.
     """
     for word, one, two, part, size, id_, place, sign, doc, key, at, keys in _whole_groups(batches, 3):
-        group = np.cumsum(np.concatenate(([0], (word[1:] != word[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1]))))
-        flat = np.frombuffer(b"".join(keys.to_pylist()), np.int64)
-        row = np.repeat(np.arange(len(word)), size)
-        order = np.lexsort((flat, group[row]))
-        flat, row = flat[order], row[order]
-        new = np.concatenate(([True], (flat[1:] != flat[:-1]) | (group[row[1:]] != group[row[:-1]])))
-        first = np.flatnonzero(new)
-        several = np.diff(np.append(first, len(flat))) > 1
-        owner = group[row[first[several]]]
-        before = np.searchsorted(owner, np.arange(group[-1] + 1))
-        columns = np.full(len(first), -1)
-        columns[several] = np.arange(len(owner)) - before[owner]
-        column = columns[np.cumsum(new) - 1]
-        wide = np.diff(np.append(before, len(owner))) + 63 >> 6  # 64-bit words of a row, by group
-        width = wide[group]
-        start = np.cumsum(width) - width
-        bits = np.zeros(int(width.sum()), np.uint64)
+        group = _groups(word, one, two)
+        width, start, bits, flat, row, column = _bitsets(group, np.frombuffer(b"".join(keys.to_pylist()), np.int64), np.repeat(np.arange(len(word)), size))
         own = np.full(len(word), -1)  # the column of the group's word
         mine = (column >= 0) & (flat == word[row])
         own[row[mine]] = column[mine]
-        take = column >= 0
-        np.bitwise_or.at(bits, start[row[take]] + (column[take] >> 6), np.uint64(1) << (column[take] & 63).astype(np.uint64))
         rank = np.empty(len(word), np.int64)
         by_first = np.lexsort((at, key, doc))
         rank[by_first] = np.arange(len(word))
@@ -300,7 +320,12 @@ def _links(classes: DataFrame, docs: DataFrame, codes, tables: Tables, num: int,
     listed = classes.select("id", F.posexplode("prefix").alias("place", "word"), "size", "sign").where("word >= 0")
     code = F.shiftrightunsigned("word", 55)  # from the word's count in all lines, see rarity
     tiled = _tiled(listed, listed.where(code >= int(np.floor(np.log2(8 * tile) * 8)) - 9), 8 * tile, tables)
-    possible, possible_at = tables.keep_at(tiled.select("word", "one", "two", "part", "size", "id", "place", "sign").mapInArrow(lambda x: _possible(x, num, den), "word long, id long").distinct())
+    first = ["word", "one", "two", "part", "size", "id", "place", "sign"]
+    some, some_at = tables.keep_at(tiled.select(*first).mapInArrow(lambda x: _possible(x, num, den), ROWS).distinct())
+    tables.release()
+    tiled = _tiled(some.join(classes.select("id", "prefix"), "id"), some, 4 * tile, tables)
+    possible, possible_at = tables.keep_at(tiled.select(*first, "prefix").mapInArrow(lambda x: _possible(x, num, den), ROWS).distinct())
+    tables.drop(some_at)
     tables.release()
 
     # The words of the lines where those classes stand first.
@@ -315,9 +340,8 @@ def _links(classes: DataFrame, docs: DataFrame, codes, tables: Tables, num: int,
 
     keyed, keyed_at = tables.keep_at(parts.mapInArrow(words, "id long, keys binary"))
     tables.release()
-    places = classes.select("id", "size", "sign", F.posexplode("prefix").alias("place", "word"), "first.*").join(possible, ["word", "id"])
-    tiled = _tiled(places.join(keyed, "id"), possible, tile, tables)
-    found = tiled.select("word", "one", "two", "part", "size", "id", "place", "sign", "doc", "key", "at", "keys").mapInArrow(lambda x: _linked(x, num, den), "id long, n_links long, doc long, key long, at int")
+    tiled = _tiled(possible.join(classes.select("id", "first.*"), "id").join(keyed, "id"), possible, tile, tables)
+    found = tiled.select(*first, "doc", "key", "at", "keys").mapInArrow(lambda x: _linked(x, num, den), "id long, n_links long, doc long, key long, at int")
     found = tables.keep(found.groupBy("id").agg(F.sum("n_links").alias("n_links"), F.min(F.struct("doc", "key", "at")).alias("near")))
     for path in (possible_at, keyed_at):
         tables.drop(path)
