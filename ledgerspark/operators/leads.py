@@ -168,7 +168,11 @@ def lead_contacts(keyed: DataFrame) -> DataFrame:
     """lead_id, kind (phone or email) and value of every contact that an application of a lead carries, duplicates aside; a
     row for each, so no lead's list is gathered in one task."""
     apps = keyed.where((F.col("doc_type") == "application") & F.col("duplicate_of").isNull())
-    pairs = [F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda v, k=k: F.struct(F.lit(k).alias("kind"), v.alias("value"))) for k, c in (("phone", "phones"), ("email", "emails"))]
+
+    def tagged(values: str, kind: str) -> Column:
+        return F.transform(F.coalesce(F.col(values), F.array().cast("array<string>")), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+
+    pairs = [tagged("phones", "phone"), tagged("emails", "email")]
     return apps.select("lead_id", F.explode(F.concat(*pairs)).alias("x")).select("lead_id", "x.*").distinct()
 
 

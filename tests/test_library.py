@@ -224,3 +224,32 @@ def test_positions_from_lines(spark):
     rows = [(1, 1, "Deposits and other credits"), (1, 2, "01/02 KAPITUS 500.00"), (1, 3, "Withdrawals"), (1, 4, "01/03 FORWARD FINANCING ID:993311 250.00 9,000.00"), (1, 5, "01/04 FORWARD FINANCING 250.00 8,750.00"), (1, 6, "note"), (1, 7, "01/05 FORWARD FINANCING credit funding 99.00"), (2, 1, None)]
     got = A.advance_positions_from_lines(spark.createDataFrame(rows, "doc_id long, line_no long, line string")).collect()
     assert [(r.doc_id, r.funder, r.typical_amount, r.n, r.cadence, r.monthly_burden, r.status) for r in got] == [(1, "Forward Financing", 250.0, 2, "daily", 7500.0, "verified")]
+
+
+def test_banks_by_ordered_rules(spark):
+    plain = "\n".join(f"plain row {i}" for i in range(40))
+    rows = [(1, plain + "\nOld National", "a.pdf"), (2, plain + "\nhtb.com visionsfcu.org", "a.pdf"), (3, plain + "\nnano something ban", "a.pdf"), (4, "TD Bank\nTruist", "a.pdf"), (5, plain, "my cnb file.pdf"), (6, None, None)]
+    d = spark.createDataFrame(rows, "doc_id long, raw_text string, filename string")
+    got = {r[0]: r[1] for r in d.select("doc_id", T.bank(F.col("raw_text"), F.col("filename"))).collect()}
+    assert got == {1: "Old National Bank", 2: "HomeTrust Bank", 3: "Nano Banc", 4: "TD Bank", 5: "CNB", 6: None}
+
+
+def test_holder_names_addresses_and_amounts(spark):
+    from ledgerspark.operators import holders as H
+
+    rows = [
+        (1, "Some Bank\nACECMKMEIGOCICAAMGOAGCMK A-1 SERVICES GOES ANYWHERE LLC\n019749 808 BANKS AVE\nCLEVELAND OH 44127-1831 Online", None), (2, "ABBASPOUR INC IMCU now offers Visa cards.", None),
+        (3, "ESTAFFLLC4812 ESTAFF LLC", None), (4, "04-13-2026 ZEL FROM AL MAWA LLC\nd/b/a Corner Shop", None), (5, None, None), (6, "Truist Holdings LLC\nAccount Holder: 984 LLC", "Truist"),
+    ]
+    d = spark.createDataFrame(rows, "doc_id long, raw_text string, bank string")
+    got = {r.doc_id: (r.legal_name, r.dba, r.evidence) for r in H.company_names(d).collect()}
+    assert got == {
+        1: ("A-1 SERVICES GOES ANYWHERE LLC", None, "entity_suffix"), 2: ("ABBASPOUR INC", None, "entity_suffix_split_row"), 3: ("ESTAFF LLC", None, "entity_suffix"),
+        4: (None, "Corner Shop", "dba_only"), 5: (None, None, "none"), 6: ("984 LLC", None, "labelled"),
+    }
+    named = d.withColumn("name", F.when(F.col("doc_id") == 1, "A-1 SERVICES GOES ANYWHERE LLC"))
+    assert {r.doc_id: r.full for r in H.holder_addresses(named).collect()} == {1: "808 BANKS AVE, CLEVELAND, OH 44127-1831"} | dict.fromkeys(range(2, 7))
+    lines = spark.createDataFrame([(1, 1, "Deposits"), (1, 2, "(45.10) 2,026.00 12345678"), (1, 3, "3,000,000.00- and -5.00")], "doc_id long, line_no long, line string")
+    near = {r.line_no: ([float(x) for x in r.amounts], r.next_amount, r.previous_line) for r in H.amounts_near(lines).collect()}
+    assert near == {1: ([], near[1][1], None), 2: ([-45.10, 2026.0], near[2][1], None), 3: ([-3000000.0, -5.0], None, 2)}
+    assert float(near[1][1]) == 45.10 and float(near[2][1]) == 3000000.0
