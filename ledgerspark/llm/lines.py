@@ -22,7 +22,6 @@ columns are ignored or, in dedup_lines, kept.
 
 from __future__ import annotations
 
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -89,34 +88,59 @@ def _joined(texts: list[str], most: int = 2_000_000):
         yield b"\n".join(parts) + b"\n", parts
 
 
-def _counts(batches, buckets: int, most: int = 4_000_000):
-    """Words' counts by the bucket of their hash, so many words at a time."""
+#: Buckets whose counts travel in one row, so that a place in it has two bytes.
+SLICE = 1 << 16
+
+
+def _counts(batches, buckets: int, hashed, most: int = 4_000_000):
+    """Counts of hashes by bucket, so many hashes at a time: a row for each slice of buckets with the places and counts that aren't zero."""
     held, size = [], 0
 
     def told():
-        found, n = np.unique(np.concatenate(held) % np.uint64(buckets), return_counts=True)
+        n = np.bincount((np.concatenate(held) % np.uint64(buckets)).astype(np.int64), minlength=buckets)
         held.clear()
-        return pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(n.astype(np.int64))], ["bucket", "n"])
+        found = np.flatnonzero(n)
+        edges = np.searchsorted(found, np.arange(0, buckets + SLICE, SLICE))
+        some = np.flatnonzero(np.diff(edges))
+        columns = [pa.array(some.astype(np.int32)), *[binaries(x, edges).take(pa.array(some)) for x in ((found % SLICE).astype("<u2"), n[found].astype("<u4"))]]
+        return pa.RecordBatch.from_arrays(columns, ["slice", "at", "n"])
 
     for batch in batches:
-        for raw, _ in _joined(batch.column(0).to_pylist()):
-            held.append(word_hashes(raw)[0])
-            size += len(held[-1])
+        for h in hashed(batch.column(0).to_pylist()):
+            held.append(h)
+            size += len(h)
             if size >= most:
                 yield told()
                 size = 0
-    if held:
+    if size:
         yield told()
 
 
-def rarity(docs: DataFrame, buckets: int) -> np.ndarray:
-    """For each bucket a code that grows with the count of its words: 1 for one, 2 for two, then in finer and finer steps of logarithms."""
-    # `buckets` rows at most come to the driver.
-    got = docs.select("text").mapInArrow(lambda x: _counts(x, buckets), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    got = got.select(F.col("bucket").cast("int"), F.least(F.lit(255), F.when(F.col("n") < 3, F.col("n")).otherwise(F.floor(F.log2("n") * 8) - 9)).cast("short").alias("code")).toArrow()
-    codes = np.zeros(buckets, np.uint8)
-    codes[got["bucket"].to_numpy()] = got["code"].to_numpy()
-    return codes
+def _codes(batches):
+    """The codes of each slice, from the sum of its counts; a worker holds its slices' sums, `buckets` numbers at most."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for part, at, n in zip(*[x.to_pylist() for x in batch.columns], strict=True):
+            sums.setdefault(part, np.zeros(SLICE, np.int64))[np.frombuffer(at, "<u2")] += np.frombuffer(n, "<u4")
+    for part, n in sums.items():
+        codes = np.where(n < 3, n, np.minimum(255, np.floor(np.log2(np.maximum(n, 1)) * 8) - 9)).astype(np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([codes.tobytes()])], ["slice", "codes"])
+
+
+def line_words(texts: list[str]):
+    """Hashes of the texts' words, some texts at a time."""
+    return (word_hashes(raw)[0] for raw, _ in _joined(texts))
+
+
+def rarity(docs: DataFrame, buckets: int, hashed=line_words) -> np.ndarray:
+    """For each bucket a code that grows with the count of its hashes: 1 for one, 2 for two, then in finer and finer steps of
+    logarithms. hashed: the hashes of a list of texts, as arrays."""
+    got = docs.select("text").mapInArrow(lambda x: _counts(x, buckets, hashed), "slice int, at binary, n binary").repartition("slice")
+    got = got.mapInArrow(_codes, "slice int, codes binary").toArrow()  # a byte for each bucket
+    codes = np.zeros(-(-buckets // SLICE) * SLICE, np.uint8)
+    for part, told in zip(*[x.to_pylist() for x in got.columns], strict=True):
+        codes[part * SLICE : (part + 1) * SLICE] = np.frombuffer(told, np.uint8)
+    return codes[:buckets]
 
 
 def _sets(raw: bytes, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -173,6 +197,13 @@ def _keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return documents(docs, id_col, text_col).select("doc_id", F.coalesce("doc_id", F.lit(LAST)).alias("doc"), F.xxhash64("doc_id", "text").alias("key"), "text")
 
 
+def _squares(batches):
+    """Columns word, one, two, part, size, ... of rows (see _tiled) as arrays, some whole squares at a time, by square, then by size."""
+    for _, word, one, two, part, size, *others in _whole_groups(batches, 1):
+        order = np.lexsort((size, two, one, word))  # hashes of squares may collide
+        yield [x.take(pa.array(order)) if isinstance(x, pa.Array) else x[order] for x in (word, one, two, part, size, *others)]
+
+
 def _whole_groups(batches, keys: int):
     """Columns of rows in the order of their first `keys` columns, as arrays; a group is never cut."""
     held: list[list] = []
@@ -222,15 +253,20 @@ HOT_WORDS = 100_000
 
 
 def _tiled(rows: DataFrame, counted: DataFrame, tile: int, tables: Tables) -> DataFrame:
-    """rows (word, id, ...) with the square (one, two) of its word and the row's part of it; in order by the square, then by size.
+    """rows (word, id, ...) with the square (one, two) of its word, a hash of both and the row's part; in order by that hash
+    alone, which Spark sorts by radix.
 
     counted: rows that may stand under a word of more than `tile` rows."""
     hot = counted.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") > tile).select("word", F.ceil(F.col("n") / tile).cast("int").alias("parts"))
     hot = tables.keep(hot)
-    rows = rows.join(F.broadcast(hot) if hot.count() <= HOT_WORDS else hot, "word", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.withColumns({"one": F.least("part", "other"), "two": F.greatest("part", "other")}).drop("parts", "other")
-    return rows.repartition("word", "one", "two").sortWithinPartitions("word", "one", "two", "size")
+    n_hot = hot.count()
+    if n_hot:
+        rows = rows.join(F.broadcast(hot) if n_hot <= HOT_WORDS else hot, "word", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+        rows = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        rows = rows.withColumns({"one": F.least("part", "other"), "two": F.greatest("part", "other")}).drop("parts", "other")
+    else:
+        rows = rows.withColumns({x: F.lit(0) for x in ("part", "one", "two")})
+    return rows.withColumn("square", F.xxhash64("word", "one", "two")).repartition("square").sortWithinPartitions("square")
 
 
 def _groups(word: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
@@ -243,7 +279,7 @@ ROWS = "word long, id long, size int, place int, sign long"
 def _possible(batches, num: int, den: int):
     """The rows (see _tiled) that have a partner by the filters. With prefixes: one that shares no word before theirs, so
     that each pair is left under one word alone."""
-    for word, one, two, part, size, id_, place, sign, *prefix in _whole_groups(batches, 3):
+    for word, one, two, part, size, id_, place, sign, *prefix in _squares(batches):
         group, found = _groups(word, one, two), np.zeros(len(word), bool)
         if prefix:
             flat, row = prefix[0].flatten().to_numpy(), np.repeat(np.arange(len(word)), prefix[0].value_lengths().to_numpy())
@@ -286,7 +322,7 @@ def _linked(batches, num: int, den: int):
 
     A pair counts where the least column of both is the group's own word.
     """
-    for word, one, two, part, size, id_, place, sign, doc, key, at, keys in _whole_groups(batches, 3):
+    for word, one, two, part, size, id_, place, sign, doc, key, at, keys in _squares(batches):
         group = _groups(word, one, two)
         width, start, bits, flat, row, column = _bitsets(group, np.frombuffer(b"".join(keys.to_pylist()), np.int64), np.repeat(np.arange(len(word)), size))
         own = np.full(len(word), -1)  # the column of the group's word
@@ -320,7 +356,7 @@ def _links(classes: DataFrame, docs: DataFrame, codes, tables: Tables, num: int,
     listed = classes.select("id", F.posexplode("prefix").alias("place", "word"), "size", "sign").where("word >= 0")
     code = F.shiftrightunsigned("word", 55)  # from the word's count in all lines, see rarity
     tiled = _tiled(listed, listed.where(code >= int(np.floor(np.log2(8 * tile) * 8)) - 9), 8 * tile, tables)
-    first = ["word", "one", "two", "part", "size", "id", "place", "sign"]
+    first = ["square", "word", "one", "two", "part", "size", "id", "place", "sign"]
     some, some_at = tables.keep_at(tiled.select(*first).mapInArrow(lambda x: _possible(x, num, den), ROWS).distinct())
     tables.release()
     tiled = _tiled(some.join(classes.select("id", "prefix"), "id"), some, 4 * tile, tables)

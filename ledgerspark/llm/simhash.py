@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .lines import _mixed, word_hashes
+from .lines import _mixed, rarity, word_hashes
 from .shared import Tables, documents
 
 #: A byte's bits as 8 lanes of one byte, so that up to 255 rows add up without a carry.
@@ -134,25 +134,6 @@ def shingle_keys(text: str, n_words: int) -> np.ndarray:
     return np.unique(_mixed(keys))
 
 
-def _rarity(texts: DataFrame, n_words: int, buckets: int) -> np.ndarray:
-    """For each bucket of shingle keys a code that grows with the logarithm of its count."""
-
-    def run(batches):
-        n = np.zeros(buckets, np.int64)
-        for batch in batches:
-            for x in batch.column(0).to_pylist():
-                np.add.at(n, (shingle_keys(x, n_words) % np.uint64(buckets)).astype(np.int64), 1)
-        some = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], ["bucket", "n"])
-
-    # `buckets` rows at most come to the driver.
-    got = texts.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    got = got.select(F.col("bucket").cast("int"), F.least(F.lit(255), F.floor(F.log2("n") * 8)).cast("short").alias("code")).toArrow()
-    codes = np.zeros(buckets, np.uint8)
-    codes[got["bucket"].to_numpy()] = got["code"].to_numpy()
-    return codes
-
-
 def _prefixes(texts: DataFrame, codes, n_words: int, num: int, den: int) -> DataFrame:
     """id, size and prefix of each text's set of shingles: two sets alike at num/den have a shingle of both prefixes in common."""
 
@@ -201,7 +182,7 @@ def near_duplicate_groups(docs: DataFrame, n_words: int = 5, num: int = 4, den:
     star = star.select(F.col("m.id").alias("a"), F.col("id").alias("b"))
 
     # By shingles: the least text under each of the prefix, then all that aren't connected.
-    codes = spark.sparkContext.broadcast(_rarity(d, n_words, buckets))  # a byte for each bucket
+    codes = spark.sparkContext.broadcast(rarity(d, buckets, lambda texts: (shingle_keys(x, n_words) for x in texts)))  # a byte for each bucket
     shared = tables.keep(_prefixes(texts, codes, n_words, num, den)).select("id", "size", F.posexplode("prefix").alias("place", "key"))
     least = shared.groupBy("key").agg(F.min(F.struct("id", "size", "place")).alias("m"), F.count("*").alias("n")).where("n > 1").select("key", "m")
     shared = tables.keep(shared.join(least, "key"))
