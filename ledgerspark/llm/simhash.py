@@ -106,49 +106,64 @@ def near_duplicates(docs: DataFrame, n_words: int = 3, bits: int = 2, n_segments
     return marked.join(named.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def _alike(pairs: DataFrame, texts: DataFrame, tables: Tables, n_words: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of ids whose sets of word shingles have a Jaccard similarity of num/den or more; texts: id, text."""
+def _alike(pairs: DataFrame, docs: DataFrame, unique: DataFrame, tables: Tables, n_words: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) of ids whose sets of word shingles have a Jaccard similarity of num/den or more; unique: id, text_hash and
+    doc_id of each different text of docs."""
     pairs = tables.keep(pairs)
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    wanted = unique.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id").select("id", F.col("text_hash").alias("hash"), F.col("doc_id").alias("doc"))
 
     def sets(batches):
         for batch in batches:
-            found = [np.unique(shingle_hashes(x, n_words)).view(np.int64) for x in batch.column(1).to_pylist()]
+            found = [shingle_keys(x, n_words).view(np.int64) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["id", "shingles"])
 
-    found = tables.keep(texts.join(wanted, "id", "left_semi").select("id", "text").mapInArrow(sets, "id long, shingles array<long>"))
+    # One row a text, whatever its copies, but for repeated rows, which give the same pairs.
+    texts = docs.withColumn("text_hash", F.md5("text")).join(wanted, (F.col("text_hash") == F.col("hash")) & F.col("doc_id").eqNullSafe(F.col("doc"))).select("id", "text")
+    found, found_at = tables.keep_at(texts.mapInArrow(sets, "id long, shingles array<long>"))
+    tables.release()
     both = pairs.join(found.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(found.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
-    return tables.keep(both.where(den * common >= num * (F.size("x") + F.size("y") - common)).select("a", "b"))
+    out = tables.keep(both.where(den * common >= num * (F.size("x") + F.size("y") - common)).select("a", "b"))
+    tables.drop(found_at)
+    tables.release()
+    return out
 
 
-def shingle_keys(text: str, n_words: int) -> np.ndarray:
-    """A 64-bit key of each different shingle of the words (see shingle_hashes), from hashes of the words; 0 alone for a blank text."""
-    h = word_hashes(text.encode())[0]
+def _keys(h: np.ndarray, n_words: int) -> np.ndarray:
+    """A 64-bit key of each shingle, repeats included, from hashes of the words; 0 alone for no words."""
     k = min(n_words, len(h))
     if not k:
         return np.zeros(1, np.uint64)
     keys = np.zeros(len(h) - k + 1, np.uint64)
     for i in range(k):
         keys = keys * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - k + 1 + i]
-    return np.unique(_mixed(keys))
+    return _mixed(keys)
 
 
-def _prefixes(texts: DataFrame, codes, n_words: int, num: int, den: int) -> DataFrame:
-    """id, size and prefix of each text's set of shingles: two sets alike at num/den have a shingle of both prefixes in common."""
+def shingle_keys(text: str, n_words: int) -> np.ndarray:
+    """A 64-bit key of each different shingle of the words (lower-case A-Z)."""
+    return np.unique(_keys(word_hashes(text.encode())[0], n_words))
+
+
+def _marked(docs: DataFrame, codes, n_words: int, num: int, den: int, fingerprint_words: int) -> DataFrame:
+    """doc_id, text_hash (MD5), fp (over shingles of fingerprint_words), size and prefix of each text's set of shingles: two sets
+    alike at num/den have a shingle of both prefixes in common."""
 
     def run(batches):
         for batch in batches:
-            sizes, found = [], []
-            for x in batch.column(1).to_pylist():
-                keys = shingle_keys(x, n_words)
+            fps, sizes, found = [], [], []
+            for x in batch.column(2).to_pylist():
+                h = word_hashes(x.encode())[0]
+                fps.append(fingerprint(_keys(h, fingerprint_words)))
+                keys = np.unique(_keys(h, n_words))
                 n = len(keys)
                 order = np.argsort(codes.value[(keys % np.uint64(len(codes.value))).astype(np.int64)], kind="stable")
                 sizes.append(n)
                 found.append(keys[order[: n - -(-num * n // den) + 1]].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(found, pa.list_(pa.int64()))], ["id", "size", "prefix"])
+            columns = [pa.array(fps, pa.int64()), pa.array(sizes, pa.int32()), pa.array(found, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "text_hash", "fp", "size", "prefix"])
 
-    return texts.select("id", "text").mapInArrow(run, "id long, size int, prefix array<long>")
+    return docs.select("doc_id", F.md5("text").alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash string, fp long, size int, prefix array<long>")
 
 
 def near_duplicate_groups(docs: DataFrame, n_words: int = 5, num: int = 4, den: int = 5, bits: int = 8, n_segments: int = 3, fingerprint_words: int = 2, buckets: int = 1 << 20) -> DataFrame:
@@ -164,15 +179,15 @@ def near_duplicate_groups(docs: DataFrame, n_words: int = 5, num: int = 4, den:
     spark, tables = docs.sparkSession, Tables(docs.sparkSession, "near")
     d = documents(docs)
 
-    def run(batches):
-        for batch in batches:
-            fps = [fingerprint(shingle_hashes(x, fingerprint_words)) for x in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64())], ["doc_id", "text_hash", "fp"])
-
-    marked = tables.keep(d.select("doc_id", F.md5("text").alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash string, fp long"))
-    unique = marked.groupBy("text_hash").agg(F.min("doc_id").alias("doc_id"), F.first("fp").alias("fp"))
-    unique = tables.keep(unique.withColumn("id", F.monotonically_increasing_id()))
-    texts = d.withColumn("text_hash", F.md5("text")).join(unique.select("text_hash", "id"), "text_hash").select("id", "text")
+    codes = spark.sparkContext.broadcast(rarity(d, buckets, lambda texts: (shingle_keys(x, n_words) for x in texts)))  # a byte for each bucket
+    full, full_at = tables.keep_at(_marked(d, codes, n_words, num, den, fingerprint_words))
+    marked = tables.keep(full.select("doc_id", "text_hash"))
+    unique = full.groupBy("text_hash").agg(F.min("doc_id").alias("doc_id"), *[F.first(x).alias(x) for x in ("fp", "size", "prefix")])
+    unique, unique_at = tables.keep_at(unique.withColumn("id", F.monotonically_increasing_id()))
+    sets = unique.select("id", "size", "prefix")
+    unique = tables.keep(unique.select("id", "text_hash", "doc_id", "fp"))
+    tables.drop(full_at)
+    tables.release()
 
     # By fingerprints: the least text under each segment.
     keys = [F.struct(F.lit(i).alias("segment"), F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << width) - 1)).alias("key")) for i, (low, width, _) in enumerate(segments(bits, n_segments))]
@@ -182,10 +197,12 @@ def near_duplicate_groups(docs: DataFrame, n_words: int = 5, num: int = 4, den:
     star = star.select(F.col("m.id").alias("a"), F.col("id").alias("b"))
 
     # By shingles: the least text under each of the prefix, then all that aren't connected.
-    codes = spark.sparkContext.broadcast(rarity(d, buckets, lambda texts: (shingle_keys(x, n_words) for x in texts)))  # a byte for each bucket
-    shared = tables.keep(_prefixes(texts, codes, n_words, num, den)).select("id", "size", F.posexplode("prefix").alias("place", "key"))
+    shared = sets.select("id", "size", F.posexplode("prefix").alias("place", "key"))
     least = shared.groupBy("key").agg(F.min(F.struct("id", "size", "place")).alias("m"), F.count("*").alias("n")).where("n > 1").select("key", "m")
+    least = tables.keep(least)
+    tables.release()
     shared = tables.keep(shared.join(least, "key"))
+    tables.drop(unique_at)
     tables.release()
 
     def near(size, place, other_size, other_place):
@@ -193,14 +210,15 @@ def near_duplicate_groups(docs: DataFrame, n_words: int = 5, num: int = 4, den:
         return (num * size <= den * other_size) & (num * other_size <= den * size) & (F.least(size - place, other_size - other_place) >= need)
 
     first = shared.where((F.col("m.id") < F.col("id")) & near(F.col("size"), F.col("place"), F.col("m.size"), F.col("m.place"))).select(F.col("m.id").alias("a"), F.col("id").alias("b"))
-    close = _alike(star.union(first).distinct(), texts, tables, n_words, num, den)
+    close = _alike(star.union(first).distinct(), d, unique, tables, n_words, num, den)
     roots = components(close, tables)
     shared = shared.drop("m").join(roots.withColumnRenamed("v", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     several = shared.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
     shared = tables.keep(shared.join(several, "key"))
+    tables.release()
     other = shared.select("key", *[F.col(c).alias(f"other_{c}") for c in ("id", "size", "place", "root")])
     pairs = shared.join(other, "key").where((F.col("root") < F.col("other_root")) & near(F.col("size"), F.col("place"), F.col("other_size"), F.col("other_place")))
-    far = _alike(pairs.select(F.least("id", "other_id").alias("a"), F.greatest("id", "other_id").alias("b")).distinct(), texts, tables, n_words, num, den)
+    far = _alike(pairs.select(F.least("id", "other_id").alias("a"), F.greatest("id", "other_id").alias("b")).distinct(), d, unique, tables, n_words, num, den)
     roots = components(close.union(far), tables)
     named = unique.join(roots.withColumnRenamed("v", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     first = named.groupBy("root").agg(F.min("doc_id").alias("first"))
