@@ -146,7 +146,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, kind: str, end_id:
         coder = tokens.pieces(tokenizer, kind)
         shard, block, ids, names, lengths, size = TaskContext.get().partitionId(), 0, [], [], [], 0
         for batch in batches:
-            for some in tokens.groups(batch, 1, 4 * block_tokens):
+            for some in tokens.groups(batch, 1, 2 * block_tokens):
                 found, edges = coder.encode_with_end(some.column(1), end_id)
                 ids.append(found)
                 names += some.column(0).to_pylist()
