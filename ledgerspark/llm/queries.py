@@ -6,10 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hmm, licences, lines, media, mixing, oracles, packing, quality, simhash, suffixes, wavelet
+from . import alignment, hmm, licences, lines, media, mixing, oracles, packing, pairing, quality, simhash, spelling, suffixes, wavelet
 from .shared import read
 
 BYTE_BPE, WORD_BPE = (public_tokenizers.path(f"{x}.json") for x in ("byte_bpe_50k", "word_bpe_49k"))
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_pack_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,9 +58,24 @@ def op10_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(read(spark, sf_dir, "documents"), length=50, keep_text=False)
 
 
+def op11_pack_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairing.pack_matched(read(spark, sf_dir, "documents"), BYTE_BPE, "byte", end_id=2, keep_ids=False)
+
+
+def op12_align_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(read(spark, sf_dir, "documents"), BYTE_BPE, PIECE_BPE, keep_groups=False)
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_pack_best_fit, op2_similar_lines, op3_image_copies, op4_simhash, op5_mix_sources, op6_quality_rules, op7_hmm_scores, op8_license_digests, op9_token_files, op10_repeated_strings)
-}
+    for f in (
+        op1_pack_best_fit, op2_similar_lines, op3_image_copies, op4_simhash, op5_mix_sources, op6_quality_rules, op7_hmm_scores, op8_license_digests, op9_token_files, op10_repeated_strings,
+        op11_pack_matched, op12_align_tokens, op13_spelling_variants,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = oracles.ORACLE_SQL

@@ -38,14 +38,14 @@ class Tables:
         self.base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.made = 0
 
-    def keep(self, df: DataFrame) -> DataFrame:
+    def keep(self, df: DataFrame, codec: str = "snappy") -> DataFrame:
         """df, written and read again."""
-        return self.keep_at(df)[0]
+        return self.keep_at(df, codec)[0]
 
-    def keep_at(self, df: DataFrame) -> tuple[DataFrame, str]:
+    def keep_at(self, df: DataFrame, codec: str = "snappy") -> tuple[DataFrame, str]:
         self.made += 1
         path = f"{self.base}/{self.made}"
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").option("compression", codec).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path), path
 
     def release(self) -> None:

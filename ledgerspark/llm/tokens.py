@@ -40,13 +40,18 @@ def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Pieces:
-    """encode(texts) gives the ids of all texts one after another, and len(texts) + 1 places between them."""
+    """encode(texts) gives the ids of all texts one after another, and len(texts) + 1 places between them.
 
-    def __init__(self, path: str, kind: str):
+    Special tokens' strings inside a text get their special ids, as the library has it unless told
+    otherwise; with `plain` they are ordinary text.
+    """
+
+    def __init__(self, path: str, kind: str, plain: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = plain
+        self.special = [] if plain else [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values() if t.special]
         self.cut = {"byte": self._cut_byte, "word": self._cut_word}[kind]
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
@@ -66,6 +71,21 @@ class Pieces:
         begins[1:] = blank[:-1] & ~blank[1:] | _LETTER[data[:-1]] & _SIGN[data[1:]]
         return np.where(blank, 32, np.where((data >= 65) & (data <= 90), data | 32, data)), begins
 
+    def _special_places(self, data: np.ndarray, edges: np.ndarray) -> list[tuple[int, int]]:
+        """Where the special strings stand; none reaches over the end of a text."""
+        raw, found = data.tobytes() if self.special else b"", []
+        for x in self.special:
+            at = raw.find(x)
+            while at >= 0:
+                if edges[np.searchsorted(edges, at, side="right")] >= at + len(x):
+                    found.append((at, at + len(x)))
+                at = raw.find(x, at + 1)
+        return found
+
+    def _learn(self, parts: list[bytes]) -> list[bytes]:
+        """The ids of parts that aren't known yet, little-endian unsigned 32-bit."""
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast([x.decode() for x in parts], add_special_tokens=False)]
+
     def _ids(self, parts: list[bytes]) -> list[bytes]:
         if len(self.young) > REMEMBERED:
             self.old, self.young = self.young, {}
@@ -78,9 +98,8 @@ class Pieces:
                     young[parts[i]] = found[i] = again
                 else:
                     missing.append(i)
-        told = self.tokenizer.encode_batch_fast([parts[i].decode() for i in missing], add_special_tokens=False) if missing else []
-        for i, e in zip(missing, told, strict=True):
-            found[i] = array("I", e.ids).tobytes()
+        for i, ids in zip(missing, self._learn([parts[i] for i in missing]) if missing else [], strict=True):
+            found[i] = ids
             if len(parts[i]) <= LONGEST:
                 young[parts[i]] = found[i]
         return found
@@ -89,10 +108,16 @@ class Pieces:
         data, edges = flat(texts)
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(len(edges), np.int64)
+        special = self._special_places(data, edges)
         data, begins = self.cut(data)
         some = edges[:-1] < edges[1:]
         begins[edges[1:][some] - 1] = False  # what stands in the next text doesn't matter
+        for a, b in special:  # nor what stands on the other side of a special string
+            begins[max(a - 1, 0) : b] = False
         begins[edges[:-1][some]] = True
+        for a, b in special:
+            begins[a] = True
+            begins[b : b + 1] = True
         bounds = np.append(np.flatnonzero(begins), len(data)).astype(np.int32)
         parts = pa.BinaryArray.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
         known, which = self._ids(parts.dictionary.to_pylist()), parts.indices.to_numpy()
@@ -109,12 +134,50 @@ class Pieces:
         return np.insert(ids, edges[1:], end_id).astype("<u4", copy=False), edges + np.arange(len(edges))
 
 
-def pieces(path: str, kind: str) -> Pieces:
-    """One for each worker process and file, kept between tasks."""
-    if (path, kind) not in _KEPT:
+class Sentences(Pieces):
+    """The same by a sentencepiece model that puts a space before each text: texts come with that space.
+
+    No entry of such a model has a space after anything but spaces (checked), so a text can be cut
+    before each run of spaces. A part whose ids don't give back its bytes has the one id `unlike`.
+    """
+
+    unlike = 2**32 - 1
+
+    def __init__(self, path: str):
+        from sentencepiece import SentencePieceProcessor
+
+        self.model = SentencePieceProcessor(model_file=path)
+        names = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
+        assert not any("\u2581" in x.lstrip("\u2581") for x in names), "an entry of the model reaches over a space"
+        self.bytes = [bytes([int(x[3:5], 16)]) if self.model.is_byte(i) else x.replace("\u2581", " ").encode() for i, x in enumerate(names)]
+        self.space = self.model.piece_to_id("\u2581")
+        self.special, self.young, self.old = [], {}, {}
+
+    @staticmethod
+    def cut(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        begins = data == 32
+        begins[1:] &= data[:-1] != 32
+        return data, begins
+
+    def _learn(self, parts: list[bytes]) -> list[bytes]:
+        told = self.model.encode([x[1:].decode() for x in parts], num_threads=1)
+        out = []
+        for part, ids in zip(parts, told, strict=True):
+            ids = ids if part != b" " else [self.space]
+            out.append(array("I", ids if b"".join(map(self.bytes.__getitem__, ids)) == part else [self.unlike]).tobytes())
+        return out
+
+
+def kept(key: tuple, make):
+    """What make() gives, once for each worker process and key, kept between tasks."""
+    if key not in _KEPT:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _KEPT[path, kind] = Pieces(path, kind)
-    return _KEPT[path, kind]
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def pieces(path: str, kind: str, plain: bool = False) -> Pieces:
+    return kept((path, kind, plain), lambda: Pieces(path, kind, plain))
 
 
 def groups(batch: pa.RecordBatch, column: int, most: int = 6_000_000):
