@@ -178,19 +178,36 @@ NO_ADDRESS = r"(?i)\b(page \d|account number|statement|balance|deposits|withdraw
 SORT_CODE, CONSONANTS, FUSED_CODE = r"^([A-Z]{16,})\s+\S", "[BCDFGHJKLMNPQRSTVWXZ]{4}", r"^([A-Za-z]+\d{3,})\s+\S"
 HOLDER_LINES, ADDRESS_REACH = 45, 10
 FIGURE = r"\(?\$?\s*(?:[0-9]{1,3}(?:,[0-9]{3})+(?:\.\d{2})?|[0-9]{4,}(?:\.\d{2})?|[0-9]{1,3}\.\d{2})\)?"
-# Labels of application fields in order, and what may stand after them.
-FIELD_LABELS = {
+# Labels of application fields in order; words of labels; states.
+FORM_LABELS = {
     "company": ["Legal Company Name", "Legal Business Name", "Business Legal Name", "Company Legal Name", "Legal/Corporate Name", "Corporate Name", "Business Name", "Company Name"],
-    "owner": ["Full Name", "Full Legal Name", "Owner Name", "Owner Full Name", "Name Printed", "Printed Name", "Print Name", "Applicant Name", "Principal Name", "Guarantor Name"],
-    "dob": ["Date of Birth", "DOB", "Birth Date"],
-    "start_date": ["Business Start Date", "Start Date", "Date Business Started", "Business Established", "Date Established"],
-    "address": ["Business Address"],
-}
-FIELD_VALUES = {
-    "company": r"[A-Za-z0-9&.,'\- /]*[A-Za-z]{3}[A-Za-z0-9&.,'\- /]*", "owner": r"[A-Za-z][A-Za-z.'\-]*(?: [A-Za-z][A-Za-z.'\-]*){1,4}",
-    "dob": r".*\d.*", "start_date": r".*\d.*", "address": r"\d.*",
+    "owner": ["Full Name", "Full Legal Name", "Owner Name", "Owner Full Name", "Your Full Name", "Name Printed", "Printed Name", "Print Name", "Applicant Name", "Principal Name", "Guarantor Name"],
+    "first": ["First Name"], "last": ["Last Name"], "address": ["Business Address"], "city": ["City"], "state": ["State"], "zip": ["Zip"],
+    "dob": ["Date of Birth", "DOB", "Birth Date"], "start_date": ["Business Start Date", "Start Date", "Date Business Started", "Business Established", "Date Established"],
+    "app_date": ["date signed", "signature date", "signed on", "date"],
 }
-NEXT_FIELD = r"(?i)^(.*?)(?:\s+(?:City|State|Zip|Full Name|First Name|Last Name|Date of Birth|DOB|Home Address|Mobile|Email|Signature|Title|Business Address|Business Start Date|Federal Tax|Tax ID)\s*:.*)?$"
+LABEL_WORDS = (
+    "legal business company corporate name names dba d/b/a doing as mobile cell phone number email e-mail address city state zip code first last middle full owner owners ownership percentage percent % of date birth dob ssn "
+    "social security ein tax id federal type entity title start signature home website industry category incorporation structure information details years at est est. month year no no. # financial requested amount principal "
+    "applicant primary use funds loan the your print printed contact preferred lp llp llc corp corp. inc inc. partnership sole prop prop. proprietorship non profit other yes corporation"
+).split()
+STATES = "AL AK AZ AR CA CO CT DE DC FL GA HI ID IL IN IA KS KY LA ME MD MA MI MN MS MO MT NE NV NH NJ NM NY NC ND OH OK OR PA RI SC SD TN TX UT VT VA WA WV WI WY PR".split()
+BOUNDED = r"(?is)^(.*?)(?:\s+(?:City|State|Zip|Full Name|First Name|Last Name|Date of Birth|DOB|Monthly Credit Card Processing|Home Address|Business Telephone|Mobile|Email|Signature|Title)\s*:.*)?$"
+COMPANY_BOUNDED = r"(?is)^(.*?)(?:\s+(?:Business Address|Business Start Date|Doing Business As|Legal Entity|Entity Type|Industry|Federal Tax|Tax ID|Business Phone)\b.*)?$"
+COMPANY_PREFIX = r"(?i)^(?:legal company name|legal business name|business name|company name|dba)\s*:?\s*"
+OWNER_PREFIX = r"(?i)^[-–\s]*owner\s*#?\s*\d*\s*[:\-]?\s*"
+PERSON = r"^[A-Za-z][A-Za-z.'\-]*(?: [A-Za-z][A-Za-z.'\-]*){1,4}$"
+NOT_A_PERSON = r"(?i)\b(?:name|fico|score|credit|percentage|ownership|date|birth|ssn|social|address|phone|email|title|signature|llc|inc|corp|company)\b"
+OWNER_SECTION = r"(?i)\b(?:owner|principal|guarantor|applicant)\b.{0,30}\b(?:information|info|details)\b"
+AUTHORISATION = r"(?i)\bauthorizations?\b"
+MONTH_DAY = r"(?i)(?:January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{1,2}"
+OTHER_FIELD = r"(?i)^(?:city|state|zip|phone|email|address|ssn|ein|tax id)\b|\b(?:birth|dob|signature|signed|social security)\b|^[^:]{1,40}:\s*$"
+OTHER_DATE = r"(?i)date of birth|\bdob\b|business start date|\bstart date\b|date established|date business started"
+YEAR_DATE = r"\b((?:19|20)\d{2})[/-](\d{1,2})[/-](\d{1,2})\b"
+DAY_NAME = r"(?i)^(?:Monday|Tuesday|Wednesday|Thursday|Friday|Saturday|Sunday),?\s+"
+WHOLE_ADDRESS = r"(?i)Business Address\s*:\s*(.*?)\s+City\s*:\s*(.*?)\s+State\s*:\s*([A-Za-z]{2})\s+Zip(?: Code)?\s*:\s*([0-9-]+)"
+ADDRESS_LABEL = r"(?i)\b(?:Business Address|Address|City|State|Zip(?: Code)?)\s*:\s*"
+FORM_LINE = "(?i)" + "|".join(sorted({x.lower() for some in FORM_LABELS.values() for x in some})) + rf"|^name\b|{OWNER_SECTION[4:]}|{AUTHORISATION[4:]}"
 EIN_NEAR, EIN_PLAIN = r"(?i)(?:Tax ID|EIN|Federal Tax ID)[^\d]{0,20}(\d{2})[-\s]?(\d{7})", r"\b(\d{2})[-\s](\d{7})\b"
 SSN = r"(?i)(?:Social Security NO|Social Security|SSN)[^\d]{0,20}(\d{3})[-\s]?(\d{2})[-\s]?(\d{4})"
 REVENUE = r"\$?\s*(\d{1,3}(?:,\d{3})+(?:\.\d{2})?|\d{4,}(?:\.\d{2})?|\d{1,3}\.\d{2})"
@@ -208,3 +225,27 @@ THIS_STATEMENT = r"(?i)THIS\s+STATEMENT\s+(\d{1,2}/\d{1,2}/\d{2,4})"
 STATEMENT_FOR = r"(?i)(?:Statement|Stavernent)\s+For\s+(\d{1,2}/\d{1,2}/\d{2,4})\s*[-–]\s*(\d{1,2}/\d{1,2}/\d{2,4})"
 FILE_RANGE, FILE_DATE = r"(\d{4})(\d{2})(\d{2})[-_](\d{4})(\d{2})(\d{2})", r"\b(20\d{2}-\d{1,2}-\d{1,2})\b"
 FILE_MONTH, FILE_MONTH_NAME = r"\b(20\d{2})[- ](0?[1-9]|1[0-2])\b", r"(?i)\b(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\b"
+# Balances and amounts of statement summaries.
+OPENING = r"(?:(?:beginning|starting|previous|prior|opening)\s+(?:statement\s+|ledger\s+|daily\s+)?balance|(?:last|previous)\s+statement)\b"
+CLOSING = r"(?:(?:ending|closing|current|new)\s+(?:statement\s+|ledger\s+|posted\s+)?balance|this\s+statement)\b"
+CREDIT_NAME = r"(?i)\b(?:deposits?|credits?|additions?|interest|dividends?|refunds?)\b"
+DEBIT_NAME = r"(?i)\b(?:withdrawals?|debits?|checks?|fees?|charges?|payments?|deductions?|subtractions?|purchases?)\b"
+PRINTED_FIGURE = r"(?:\$\s*)?(?:[0-9]{1,3}(?:,[0-9]{3})+(?:\.\d{2})?|[0-9]+\.\d{2}|[0-9]+|\.\d{2})"
+BALANCE_WORDS = r"(?i)\b(?:beginning|starting|previous|prior|opening|last)\b"
+HEADER_BEGINS, HEADER_ENDS = r"(?i)\b(?:beginning|previous|starting)\b", r"(?i)\b(?:ending|closing|new|current)\b"
+FIGURE_MARK = "\x01"
+# Summaries without an equation: online printouts, dated rows, scans.
+ONLINE_HEADS = ["account detail - wells fargo", "printed from chase for business"]
+POSTED_CREDIT = r"ach credit|wire credit|zelle credit|account transfer"
+DATED_LINE = r"^(?:\d{1,2}[/-]\d{1,2}(?:[/-]\d{2,4})?|20\d{2}-\d{2}-\d{2})\s+"
+DATED_CREDIT = r"\b(?:deposit|credit)\b"
+SUMMARY_LINE = rf"^totals(?: |$)|^current posted balance|^ending collected balance|{POSTED_CREDIT}|present balance|\bending balance\b|{DATED_LINE}"
+SUMMARY_EVIDENCE = [
+    ("online", 94, "Wells Fargo online activity totals"), ("posted", 88, "Chase online posted-credit activity"), ("dated", 78, "Summed dated deposit/credit transactions"),
+]
+SCANNED_CREDITS = r"(?i)\b\d+\s+CREDITS\s+([0-9]{1,3}(?:,\s*[0-9]{3})*\.\d{2})"
+SCANNED_ENDING = r"(?i)THIS\s+STATEMENT\s+\d{1,2}/\d{1,2}/\d{2,4}\s+([0-9]{1,3}(?:,\s*[0-9]{3})*\.\d{2}|[0-9]{4,}\.\d{2})"
+SCANNED_MEMBERS = r"imcu\.com|members credit union|indiana"
+SCANNED_DEPOSITS = r"(?i)(?:depo\w*|doposts\w*|deposts\w*)\s*(?:for|or|tor|stor)?\s*[\"'$ ]*([0-9]{1,3}(?:,[0-9]{3})*\.\d{2})"
+SCANNED_ACCOUNT = r"(?i)prefer.*b.*(?:check|checs|bins|busnes)|preferred business checking|preferred busnes"
+SCANNED_TOTAL = r"(?i)Account\s+Balance\s+Total\s+\$?\s*([0-9]{1,3}(?:,[0-9]{3})*\.\d{2})"

@@ -78,13 +78,21 @@ def _group(value: Column, pattern: str, no: int) -> Column:
 
 def parse_date(value: Column) -> Column:
     """The first date m/d/y, Month d yyyy or Mon-d-yy as a DATE; two-digit years from 30 on are 19xx."""
-    v = F.translate(clean_space(value), ",", "")
-    number, word = L.NUMBER_DATE, L.WORD_DATE
 
-    def date(y: Column, m: Column, d: Column) -> Column:
-        return F.to_date(F.try_to_timestamp(iso(full_year(y, 29), m, d), F.lit("yyyy-MM-dd")))
+    def made(x: Column) -> Column:
+        year = F.when(F.length(x["y"]) == 2, F.concat(F.when(x["y"] > "29", "19").otherwise("20"), x["y"])).otherwise(x["y"].try_cast("int").cast("string"))
+        date = F.concat(year, F.lit("-"), F.lpad(x["m"], 2, "0"), F.lit("-"), F.lpad(x["d"], 2, "0"))
+        return F.when(x["y"] != "", F.to_date(F.try_to_timestamp(date, F.lit("yyyy-MM-dd"))))
 
-    return F.coalesce(date(_group(v, number, 3), _group(v, number, 1), _group(v, number, 2)), date(_group(v, word, 3), month_number(_group(v, word, 1)), _group(v, word, 2)))
+    def read(v: Column) -> Column:
+        def parts(pattern: str, *no: int) -> list[Column]:
+            return [F.regexp_extract(v, pattern, i).alias(n) for n, i in zip("ymd", no, strict=True)]
+
+        number, word = F.struct(*parts(L.NUMBER_DATE, 3, 1, 2)), parts(L.WORD_DATE, 3, 1, 2)
+        month = ((F.instr(F.lit("".join(m[:3] for m in L.MONTHS)), F.lower(F.substring(word[1], 1, 3))) + 2) / 3).cast("int").cast("string").alias("m")
+        return F.coalesce(let(number, made), let(F.struct(word[0], month, word[2]), made))
+
+    return let(F.translate(clean_space(value), ",", ""), read)
 
 
 # -- kinds of documents -------------------------------------------------------------------------

@@ -1,6 +1,6 @@
-"""Statement text to ledger rows, and the balance equation that proves a statement.
+"""Statement text to ledger rows.
 
-Ledger rows: lines are numbered within a document; headings, totals and starts of rows are marked by
+Lines are numbered within a document; headings, totals and starts of rows are marked by
 built-in expressions; windows over (document, line) carry the section down and number the rows; one
 grouping per row puts wrapped lines together. Lines after a heading or total belong to no row until
 the next start. A null text has no lines.
@@ -9,11 +9,7 @@ the next start. A null text has no lines.
 from __future__ import annotations
 
 import functools
-import itertools
-import re
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -116,240 +112,3 @@ def render_statements(txns: DataFrame) -> DataFrame:
     g = txns.where(F.col("direction").isin("credit", "debit")).groupBy("doc_id").agg(*[F.array_sort(F.collect_list(F.when(F.col("direction") == k, F.struct("txn_no", line.alias("line"))))).alias(k) for k in ("credit", "debit")])
     body = F.concat(F.array(F.lit("Account Statement"), F.lit("Deposits and other credits")), F.col("credit.line"), F.array(F.lit("Total deposits"), F.lit("Withdrawals and other debits")), F.col("debit.line"), F.array(F.lit("Total withdrawals")))
     return g.select("doc_id", F.array_join(body, "\n").alias("raw_text"))
-
-
-# -- the balance equation -----------------------------------------------------------------------
-
-OPENING = re.compile(r"(?:(?:beginning|starting|previous|prior|opening)\s+(?:statement\s+|ledger\s+|daily\s+)?balance|(?:last|previous)\s+statement)\b", re.I)
-CLOSING = re.compile(r"(?:(?:ending|closing|current|new)\s+(?:statement\s+|ledger\s+|posted\s+)?balance|this\s+statement)\b", re.I)
-CREDIT_NAME = re.compile(r"\b(?:deposits?|credits?|additions?|interest|dividends?|refunds?)\b", re.I)
-DEBIT_NAME = re.compile(r"\b(?:withdrawals?|debits?|checks?|fees?|charges?|payments?|deductions?|subtractions?|purchases?)\b", re.I)
-FIGURE = re.compile(r"(\$\s*)?([0-9]{1,3}(?:,[0-9]{3})+(?:\.\d{2})?|[0-9]+\.\d{2}|[0-9]+|\.\d{2})")
-BLOCK_LINES, HEADER_LINES, REACH, MOST = 30, 3, 2, 3**8
-EQUATION = (
-    "doc_id string, block_no int, layout string, beginning double, ending double, deposits double, withdrawals double, difference double, "
-    "verified boolean, evidence string, components array<struct<label:string,amount:double>>"
-)
-
-
-def figures(line: str) -> list[tuple[int, int, int]]:
-    """(cents, start, end) of each printed amount: it has a comma, a decimal point or a dollar sign."""
-    out = []
-    for m in FIGURE.finditer(line):
-        digits = m[2]
-        if digits[0] == "." and line[m.start() - 1 : m.start()] in [*"0123456789."]:
-            continue
-        if m[1] or "," in digits or "." in digits:
-            whole, _, part = digits.replace(",", "").partition(".")
-            out.append((int(whole or 0) * 100 + int(part or 0), m.start(), m.end()))
-    return out
-
-
-def money_values(text: str | None) -> list[float]:
-    """Signed amounts of a text: comma groups, four digits or more, or d.dd; a minus or both parentheses within three characters."""
-    out = []
-    for m in re.finditer(r"\(?\$?\s*([0-9]{1,3}(?:,[0-9]{3})+(?:\.\d{2})?|[0-9]{4,}(?:\.\d{2})?|[0-9]{1,3}\.\d{2})\)?", text or ""):
-        if sum(c.isdigit() for c in m[0]) >= 7 and not set(m[0]) & set(",$."):
-            continue
-        near = text[max(0, m.start() - 3) : m.end() + 3]
-        value = float(m[1].replace(",", ""))
-        if value <= 50_000_000:
-            out.append(-value if "-" in near or ("(" in near and ")" in near) else value)
-    return out
-
-
-def _sign(line: str, at: tuple[int, int, int], carried: int | None) -> int | None:
-    before = line[max(0, at[1] - 4) : at[1]].rstrip(" \t$(")
-    after = line[at[2] : at[2] + 4].lstrip(" \t$)")
-    for text, mark in ((before[-1:], before[-1:]), (after[:1], after[:1])):
-        if text in ("-", "+"):
-            return -1 if mark == "-" else 1
-    return carried
-
-
-def _name_sign(label: str) -> int | None:
-    credit, debit = bool(CREDIT_NAME.search(label)), bool(DEBIT_NAME.search(label))
-    return None if credit == debit else 1 if credit else -1
-
-
-@functools.lru_cache(maxsize=4096)
-def sign_matrix(choices: tuple[tuple[int, ...], ...]) -> np.ndarray:
-    """Every choice of signs, a row each; the first component varies fastest."""
-    if not choices:
-        return np.zeros((1, 0), np.int64)
-    return np.array([x[::-1] for x in itertools.product(*reversed(choices))], np.int64)
-
-
-def _solved(start: int, amounts: np.ndarray, end: int, choices: tuple) -> tuple[np.ndarray, int, int] | None:
-    if np.prod([len(c) for c in choices], dtype=float) > MOST:
-        return None
-    signs = sign_matrix(choices)
-    good = signs[np.abs(start + signs @ amounts - end) <= 1]
-    if not len(good):
-        return None
-    plus, minus = (good > 0) @ amounts, (good < 0) @ amounts
-    least = (plus + minus).min()
-    best = np.flatnonzero(plus + minus == least)
-    if len({(int(plus[i]), int(minus[i])) for i in best}) > 1:
-        return None  # two answers that move as much
-    return good[best[0]], int(plus[best[0]]), int(minus[best[0]])
-
-
-def solve_signs(start: int, parts: list[tuple[str, int, int | None, bool]], end: int) -> dict:
-    """parts: (label, cents, sign or None, printed). The least movement that meets the ending to a cent; else the closest signs, not verified."""
-    amounts, free = np.array([p[1] for p in parts], np.int64), (1, -1, 0)
-    strict = tuple(free if p[2] is None else (p[2],) for p in parts)
-    loose = tuple(free if p[2] is None else (p[2],) if p[3] else (p[2], 0) for p in parts)
-    found = _solved(start, amounts, end, strict) or _solved(start, amounts, end, loose)
-    if found:
-        signs, plus, minus = found
-    else:
-        if np.prod([len(c) for c in strict], dtype=float) > MOST:
-            signs = np.array([p[2] or 0 for p in parts], np.int64)
-        else:
-            table = sign_matrix(strict)
-            signs = table[np.argmin(np.abs(start + table @ amounts - end))]
-        plus, minus = int(amounts[signs > 0].sum()), int(amounts[signs < 0].sum())
-    return {"beginning": start, "ending": end, "deposits": plus, "withdrawals": minus, "difference": start + plus - minus - end, "verified": bool(found), "components": [(p[0], int(p[1] * s)) for p, s in zip(parts, signs, strict=True)]}
-
-
-def _statement_rows(text: str | None) -> list[tuple[str, int | None]]:
-    """Clean lines with the sign that a lone + or - row above them carries down."""
-    out, carried = [], None
-    for raw in re.split(r"\r?\n", text or ""):
-        line = " ".join(raw.replace(" ", " ").split())
-        if line in ("-", "+"):
-            carried = -1 if line == "-" else 1
-        elif line:
-            out.append((line, carried))
-            carried = None
-    return out
-
-
-def _paired(rows: list[tuple[str, int | None]]) -> list[tuple[str, int | None]]:
-    """Labels and figures that stand on separate rows, put together."""
-    has = [(bool(re.search("[A-Za-z]", t)), len(figures(t))) for t, _ in rows]
-    label = [w and not n for w, n in has]
-    figure = [not w and n == 1 for w, n in has]
-    used, out = set(), []
-    for i, (text, sign) in enumerate(rows):
-        if i in used:
-            continue
-        mate = None
-        if figure[i] and i + 1 < len(rows) and label[i + 1]:
-            mate = i + 1
-            text, sign = f"{rows[mate][0]} {text}", rows[mate][1] if rows[mate][1] is not None else sign
-        elif label[i]:
-            for j in range(i + 1, min(i + REACH, len(rows) - 1) + 1):
-                if j in used:
-                    continue
-                if label[j]:
-                    break
-                if figure[j]:
-                    mate = j
-                    text, sign = f"{text} {rows[j][0]}", sign if sign is not None else rows[j][1]
-                    break
-        if mate is not None:
-            used.add(mate)
-        out.append((text, sign))
-    return out
-
-
-def _balance(row: tuple[str, int | None], name: re.Pattern) -> int | None:
-    m = name.search(row[0])
-    hit = next((f for f in figures(row[0]) if m and f[1] >= m.start()), None)
-    return None if hit is None else hit[0] * (_sign(row[0], hit, row[1]) or 1)
-
-
-def _components(row: tuple[str, int | None]) -> list[tuple[str, int, int | None, bool]]:
-    out, begin = [], 0
-    for f in figures(row[0]):
-        label = re.sub(r"[^A-Za-z&/ ]", " ", row[0][begin : f[1]]).strip()
-        begin = f[2]
-        if label:
-            sign = _sign(row[0], f, row[1])
-            out.append((label, f[0], sign if sign is not None else _name_sign(label), sign is not None))
-    return out
-
-
-def blocks_of(text: str | None) -> list[dict]:
-    """The solved equations of a text: labelled blocks in order, then the rows of column tables."""
-    plain = _statement_rows(text)
-    rows, out = _paired(plain), []
-    for i, row in enumerate(rows):
-        start = _balance(row, OPENING)
-        if start is None:
-            continue
-        for j in range(i + 1, min(len(rows), i + BLOCK_LINES)):
-            if OPENING.search(rows[j][0]):
-                break
-            end = _balance(rows[j], CLOSING)
-            if end is not None:
-                parts = [p for r in rows[i + 1 : j] for p in _components(r)]
-                if parts:
-                    out.append(solve_signs(start, parts, end) | {"layout": "labelled_block"})
-                break
-    return out + _table(plain)
-
-
-def _header_signs(header: str, n: int) -> list[int] | None:
-    marks = [-1 if m == "-" else 1 for m in re.findall(r"(?<=\s)[+\-](?=\s)", header)]
-    if len(marks) == n:
-        return marks
-    after = OPENING.split(header, maxsplit=1)
-    between = CLOSING.split(after[1], maxsplit=1)[0] if len(after) > 1 else ""
-    named = [1 if CREDIT_NAME.search(m[0]) else -1 for m in re.finditer(f"{CREDIT_NAME.pattern}|{DEBIT_NAME.pattern}", between, re.I)]
-    return named if len(named) == n else None
-
-
-def _table(rows: list[tuple[str, int | None]]) -> list[dict]:
-    for i, (text, _) in enumerate(rows):
-        if not re.search(r"\b(beginning|previous|starting)\b", text, re.I):
-            continue
-        header = text
-        for j in range(i + 1, min(len(rows), i + 1 + HEADER_LINES)):
-            if len(figures(rows[j][0])) < 3:
-                header += " " + rows[j][0]
-                continue
-            if not re.search(r"\b(ending|closing|new|current)\b", header, re.I):
-                break
-            out = []
-            for line, _ in rows[j:]:
-                f = figures(line)
-                if len(f) < 3:
-                    break
-                stated = _header_signs(header, len(f) - 2)
-                parts = [(f"column {k + 1}", x[0], stated[k] if stated else None, bool(stated)) for k, x in enumerate(f[1:-1])]
-                start, end = (x[0] * (_sign(line, x, None) or 1) for x in (f[0], f[-1]))
-                solved = solve_signs(start, parts, end) | {"layout": "column_table"}
-                if solved["verified"]:
-                    out.append(solved)
-            if out:
-                return out
-            break
-    return []
-
-
-def summary_blocks(docs: DataFrame, text_col: str = "raw_text") -> DataFrame:
-    """Every balance equation of every document, solved; one pass over Arrow batches, no state between documents."""
-
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for n, b in enumerate(blocks_of(text), 1):
-                    money = {k: b[k] / 100 for k in ("beginning", "ending", "deposits", "withdrawals", "difference")}
-                    kind = b["layout"].replace("_", " ")
-                    rows.append({"doc_id": doc_id, "block_no": n, "layout": b["layout"], **money, "verified": b["verified"], "evidence": f"{'Verified' if b['verified'] else 'Unproven'} {kind}", "components": [{"label": x, "amount": y / 100} for x, y in b["components"]]})
-            yield pa.RecordBatch.from_pylist(rows, pa.schema([("doc_id", pa.string()), ("block_no", pa.int32()), ("layout", pa.string()), *[(k, pa.float64()) for k in ("beginning", "ending", "deposits", "withdrawals", "difference")], ("verified", pa.bool_()), ("evidence", pa.string()), ("components", pa.list_(pa.struct([("label", pa.string()), ("amount", pa.float64())])))]))
-
-    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, EQUATION)
-
-
-def pick_equation(blocks: DataFrame) -> DataFrame:
-    """One equation per document: a proven one with the largest movement (blocks before tables, the first on a tie), else the first."""
-    movement = F.when(F.col("verified"), F.col("deposits") + F.col("withdrawals")).otherwise(F.lit(0.0))
-    order = Window.partitionBy("doc_id").orderBy(F.col("verified").desc(), movement.desc(), "block_no")
-    proven = F.sum(F.col("verified").cast("long")).over(Window.partitionBy("doc_id", "layout"))
-    out = blocks.withColumns({"place": F.row_number().over(order), "accounts": proven})
-    return out.where("place = 1").drop("place")

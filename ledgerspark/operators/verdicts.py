@@ -10,39 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import lexicon as L
-from ..functions import text as T
-
 FIELDS = ("Company", "Owner", "Phone", "Email", "Address", "Start date", "EIN", "DOB")
 
 
-def labelled_values(docs: DataFrame, labels: dict[str, list[str]] = L.FIELD_LABELS, values: dict[str, str] = L.FIELD_VALUES) -> DataFrame:
-    """doc_id and a column for each field of texts (doc_id, raw_text): what stands after the first of its labels (label order,
-    then line order), on its line or, if that is empty, on the next.
-
-    Lines are rows; one that holds a label is a row for each label it holds, whatever the number of labels.
-    """
-    known = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(i).alias("no"), F.lit(x.lower()).alias("low"), F.lit(rf"(?i)(?:^|[^a-z0-9]){x}[\s:#\-|]*(.*)$").alias("after"), F.lit(rf"^({values[f]})").alias("value")) for f, some in labels.items() for i, x in enumerate(some)])
-    every = T.clean_lines(F.col("raw_text"))
-    lines = docs.select("doc_id", F.posexplode(F.transform(every, lambda x, i: F.struct(x.alias("line"), i.alias("i")))).alias("line_no", "x"), every.alias("all")).select("doc_id", "line_no", "x.line", F.get("all", F.col("line_no") + 1).alias("next"))
-    hit = lines.where(F.lower("line").rlike("|".join(sorted({x.lower() for some in labels.values() for x in some})))).select("doc_id", "line_no", "line", "next", F.explode(F.filter(known, lambda k: F.lower("line").contains(k["low"]))).alias("k"))
-    hit = hit.where(F.expr("rlike(line, k.after)")).select("*", F.expr("regexp_extract(line, k.after, 1)").alias("rest"))
-    own, below = F.expr("nullif(regexp_extract(rest, k.value, 1), '')"), F.expr("nullif(regexp_extract(next, concat(k.value, '$'), 1), '')")
-    hit = hit.withColumn("found", F.coalesce(own, F.when(F.col("rest") == "", below))).where("found is not null").where(~F.col("found").rlike(r":\s*$"))
-    hit = hit.select("doc_id", "k.field", F.struct("k.no", "line_no").alias("at"), F.trim(F.regexp_extract("found", L.NEXT_FIELD, 1)).alias("found"))
-    told = hit.groupBy("doc_id").agg(*[F.min_by("found", F.when(F.col("field") == f, F.col("at"))).alias(f) for f in labels])
-    return docs.select("doc_id").join(told, "doc_id", "left")
-
-
-def extract_application(docs: DataFrame) -> DataFrame:
-    """Fields of application texts (doc_id, raw_text, filename); social security numbers only masked."""
-    t = F.col("raw_text")
-    d = docs.select("doc_id", "filename", T.ein(t).alias("ein"), T.masked_ssn(t).alias("ssn_mask"), T.phones(t).alias("phones"), T.emails(t).alias("emails"), T.stated_revenue(t).alias("stated_revenue"))
-    d = d.join(labelled_values(docs), "doc_id").withColumns({x: F.date_format(T.parse_date(F.col(x)), "MM/dd/yyyy") for x in ("dob", "start_date")})
-    d = d.withColumn("any_company", F.coalesce("company", T.company_from_filename(F.col("filename")))).drop("filename")
-    return d.withColumn("fields_found", fields_found())
-
-
 def field_flags() -> list[Column]:
     """Whether each of FIELDS was found; a company known by its file name alone isn't."""
     c = F.col

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as L
 from ..functions import text as T
 from ..operators import analytics as A
+from ..operators import balances
 from ..operators import statements as S
 from ..sources import bridge as B
 from .ledger_queries import contains
@@ -183,19 +184,9 @@ def revenue_sql(label: str) -> str:
  FROM (SELECT doc_id, line_no, {part_sql('line', label + '[^0-9]*' + L.REVENUE, 1)} AS same, CASE WHEN {has('line', label)} AND {has('next', L.REVENUE_LINE)} THEN next END AS below FROM following) GROUP BY 1"""
 
 
-LABELS = ", ".join(f"({q(f)}, {i}, {q(x.lower())}, {q(f'(?i)(?:^|[^a-z0-9]){x}[\\s:#\\-|]*(.*)$'.replace(chr(92) * 2, chr(92)))}, {q(f'^({L.FIELD_VALUES[f]})')})" for f, some in L.FIELD_LABELS.items() for i, x in enumerate(some))
 FIELDS_SQL = f"""following AS (SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY line_no) AS next FROM lines),
-labels AS (SELECT * FROM (VALUES {LABELS}) v(field, no, low, after_label, accepted)),
-hits AS (SELECT doc_id, line_no, next, field, no, accepted, regexp_extract(line, after_label, 1) AS rest FROM following, labels WHERE contains(lower(line), low) AND regexp_matches(line, after_label)),
-values_found AS (SELECT doc_id, line_no, field, no, coalesce(nullif(regexp_extract(rest, accepted, 1), ''), CASE WHEN rest = '' THEN nullif(regexp_extract(next, accepted || '$', 1), '') END) AS found FROM hits),
-cut AS (SELECT doc_id, line_no, field, no, trim(regexp_extract(found, {q(L.NEXT_FIELD)}, 1)) AS found FROM values_found WHERE found IS NOT NULL AND NOT regexp_matches(found, ':\\s*$')),
-fields AS (SELECT doc_id, {', '.join(f"arg_min(found, {{'no': no, 'line_no': line_no}}) FILTER (field = '{f}') AS {f}" for f in L.FIELD_LABELS)} FROM cut GROUP BY 1),
 monthly AS ({revenue_sql(L.MONTHLY_LABEL)}), annual AS ({revenue_sql(L.ANNUAL_LABEL)}),
-flat AS (SELECT doc_id, lower(raw_text) AS raw, regexp_replace(regexp_replace(lower(raw_text), '\\s*@\\s*', '@', 'g'), '\\s*\\.\\s*([a-z]{{2,}}(?:\\s|$))', '.\\1', 'g') AS tight, regexp_replace(regexp_replace(regexp_replace(lower(raw_text), '[\\r\\n]+', ' ', 'g'), '\\s*@\\s*', '@', 'g'), '\\s*\\.\\s*', '.', 'g') AS loose FROM docs),
-application AS (SELECT docs.doc_id, company, owner, address, strftime({date_sql('dob')}, '%m/%d/%Y') AS dob, strftime({date_sql('start_date')}, '%m/%d/%Y') AS start_date,
- coalesce({part_sql('raw_text', L.EIN_NEAR, 1)} || '-' || {part_sql('raw_text', L.EIN_NEAR, 2)}, {part_sql('raw_text', L.EIN_PLAIN, 1)} || '-' || {part_sql('raw_text', L.EIN_PLAIN, 2)}) AS ein, 'XXX-XX-' || {part_sql('raw_text', L.SSN, 3)} AS ssn_mask,
- coalesce(floor(monthly.v + 0.5), floor(annual.v / 12 + 0.5)) AS stated_revenue, {has('raw_text', L.PHONES)} AS phone, {has('raw', L.EMAILS)} OR {has('tight', L.EMAILS)} OR {has('loose', L.EMAILS)} AS email
- FROM docs JOIN flat USING (doc_id) LEFT JOIN fields USING (doc_id) LEFT JOIN monthly USING (doc_id) LEFT JOIN annual USING (doc_id))"""
+flat AS (SELECT doc_id, lower(raw_text) AS raw, regexp_replace(regexp_replace(lower(raw_text), '\\s*@\\s*', '@', 'g'), '\\s*\\.\\s*([a-z]{{2,}}(?:\\s|$))', '.\\1', 'g') AS tight, regexp_replace(regexp_replace(regexp_replace(lower(raw_text), '[\\r\\n]+', ' ', 'g'), '\\s*@\\s*', '@', 'g'), '\\s*\\.\\s*', '.', 'g') AS loose FROM docs)"""
 
 
 @query(f""", {FIELDS_SQL} SELECT DISTINCT doc_id, unnest(list_transform(list_concat(regexp_extract_all(raw, {q(L.EMAILS)}), regexp_extract_all(tight, {q(L.EMAILS)}), regexp_extract_all(loose, {q(L.EMAILS)})), lambda x: regexp_replace(x, '^\\.+|\\.+$', '', 'g'))) AS email FROM flat""")
@@ -203,19 +194,6 @@ def find_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.document_texts(spark, sf_dir).select("doc_id", F.explode(T.emails(F.col("raw_text"))).alias("email"))
 
 
-@query(f""", {FIELDS_SQL} SELECT doc_id, company, owner, dob, start_date, address, ein, ssn_mask, stated_revenue,
- CAST((company IS NOT NULL)::INT + (owner IS NOT NULL)::INT + phone::INT + email::INT + (address IS NOT NULL)::INT + (start_date IS NOT NULL)::INT + (ein IS NOT NULL)::INT + (dob IS NOT NULL)::INT AS BIGINT) AS fields_found FROM application""")
-def extract_application(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = S_application(B.document_texts(spark, sf_dir))
-    return d.select("doc_id", "company", "owner", "dob", "start_date", "address", "ein", "ssn_mask", "stated_revenue", F.col("fields_found").cast("long").alias("fields_found"))
-
-
-def S_application(docs: DataFrame) -> DataFrame:
-    from ..operators.verdicts import extract_application as run
-
-    return run(docs)
-
-
 @query(f"""SELECT doc_id, regexp_matches(raw_text || ' ' || filename, '(?i)month[\\s-]*to[\\s-]*date|\\bmtd\\b') AS mtd FROM docs""")
 def is_mtd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.document_texts(spark, sf_dir).select("doc_id", T.is_mtd(F.col("raw_text"), F.col("filename")).alias("mtd"))
@@ -278,10 +256,10 @@ def _summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("doc_id", F.concat_ws("\n", F.lit("Account Summary"), m("Beginning balance", F.lit(1000)), m("Deposits", F.col("credit0")), m("Interest credits", F.col("credit1")), m("Checks", F.col("debit0")), m("Fees and charges", F.col("debit1")), m("Ending balance", end.cast("decimal(18,2)"))).alias("raw_text"))
 
 
-@query("""SELECT CAST(doc_id AS VARCHAR) AS doc_id, 1000.0 AS beginning, CAST(1000 + c - d AS DOUBLE) AS ending, CAST(c AS DOUBLE) AS deposits, CAST(d AS DOUBLE) AS withdrawals, true AS verified, 'labelled_block' AS layout FROM (
+@query("""SELECT doc_id, 1000.0 AS beginning, CAST(1000 + c - d AS DOUBLE) AS ending, CAST(c AS DOUBLE) AS deposits, CAST(d AS DOUBLE) AS withdrawals, true AS verified, 'labelled_block' AS layout FROM (
  SELECT doc_id, coalesce(sum(amount) FILTER (direction = 'credit'), 0) AS c, coalesce(sum(amount) FILTER (direction = 'debit'), 0) AS d FROM ledger GROUP BY 1)""", B.LEDGER_SQL)
 def solve_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.pick_equation(S.summary_blocks(_summaries(spark, sf_dir))).select("doc_id", "beginning", "ending", "deposits", "withdrawals", "verified", "layout")
+    return balances.pick_equation(balances.summary_blocks(_summaries(spark, sf_dir))).select("doc_id", "beginning", "ending", "deposits", "withdrawals", "verified", "layout")
 
 
 @query()

@@ -81,54 +81,6 @@ def test_transactions(spark):
     ]
 
 
-def best(text):
-    blocks = S.blocks_of(text)
-    proven = [b for b in blocks if b["verified"]]
-    return max(proven, key=lambda b: b["deposits"] + b["withdrawals"]) if proven else blocks[0]
-
-
-def test_balance_equations():
-    b = best("Beginning Balance $5,000.00\n+\nDeposits 1,000.00\nFees 2,000.00 -\nEnding Balance $4,000.00")
-    assert (b["verified"], b["deposits"], b["withdrawals"]) == (True, 100000, 200000)
-    b = best("Beginning balance\n$30,000.00\nDeposits\n25,000.00\nWithdrawals\n25,000.00\nEnding balance\n$30,000.00")
-    assert (b["verified"], b["deposits"], b["ending"]) == (True, 2500000, 3000000)
-    b = best("Beginning Balance 100.00\nService fee 99.57\nEnding Balance .43")
-    assert (b["verified"], b["ending"]) == (True, 43)
-    b = best("Beginning Balance 10.00\nDeposits 5,000.00\nEnding Balance 11,009.99")
-    assert (b["verified"], b["deposits"], b["difference"]) == (False, 500000, -599999)
-    b = best("Beginning balance + Deposits - Withdrawals = Ending balance\n100.00 50.00 30.00 120.00")
-    assert (b["verified"], b["layout"], b["withdrawals"]) == (True, "column_table", 3000)
-    assert S.blocks_of(None) == [] and S.blocks_of("no figures") == []
-
-
-def test_sign_solver_against_brute_force():
-    rng = random.Random(3)
-    for _ in range(200):
-        parts = [(f"p{i}", rng.choice([100, 250, 999, 1234, 5000]), rng.choice([1, -1, None]), rng.random() < 0.5) for i in range(rng.randint(1, 5))]
-        start, end = rng.randint(0, 10000), rng.randint(0, 12000)
-
-        def solve(choices):
-            found = {}
-            for signs in itertools.product(*choices):
-                plus = sum(p[1] for p, s in zip(parts, signs, strict=True) if s > 0)
-                minus = sum(p[1] for p, s in zip(parts, signs, strict=True) if s < 0)
-                if abs(start + plus - minus - end) <= 1:
-                    found[plus, minus] = plus + minus
-            least = [k for k, v in found.items() if v == min(found.values())]
-            return least[0] if len(least) == 1 else None
-
-        want = solve([(1, -1, 0) if p[2] is None else (p[2],) for p in parts]) or solve([(1, -1, 0) if p[2] is None else (p[2],) if p[3] else (p[2], 0) for p in parts])
-        got = S.solve_signs(start, parts, end)
-        assert got["verified"] == (want is not None)
-        if want:
-            assert (got["deposits"], got["withdrawals"]) == want
-
-
-def test_money_values():
-    assert S.money_values("a $1,234.50 b (99.00) c 12345678 d 2025 was -5.25") == [1234.5, -99.0, 2025.0, -5.25]
-    assert S.money_values(None) == []
-
-
 LEDGER = "doc_id long, txn_no long, txn_date date, description string, amount decimal(18,2), direction string, running_balance decimal(18,2)"
 
 
