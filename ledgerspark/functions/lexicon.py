@@ -106,6 +106,7 @@ APPLICATION_PHRASES = [
     "home address", "state of incorporation", "type of entity", "entity type", "legal structure", "amount requested", "loan amount",
     "funding amount", "gross annual sales", "annual revenue", "monthly sales",
 ]
+MONTH_TO_DATE = r"(?i)month.?to.?date|\bmtd\b|current month activity|period\s+to\s+date"
 MIN_SIGNALS, MIN_CHARS, OCR_CHARS = 2, 200, 50
 ENVELOPE = r"(?i)docusign|envelope id|certificate of completion|signed by:"
 PHONE_LINE = r"^(?:\+?1[\s.\-]?)?\(?[2-9]\d{2}\)?[\s.\-]?\d{3}[\s.\-]?\d{4}$"

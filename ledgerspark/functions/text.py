@@ -146,7 +146,7 @@ def needs_ocr(value: Column) -> Column:
 
 
 def is_mtd(value: Column, filename: Column) -> Column:
-    return F.concat_ws(" ", text_of(value), text_of(filename)).rlike(r"(?i)month[\s-]*to[\s-]*date|\bmtd\b")
+    return F.concat_ws(" ", text_of(value), text_of(filename)).rlike(L.MONTH_TO_DATE)
 
 
 # -- fields -------------------------------------------------------------------------------------

@@ -246,7 +246,12 @@ def reconcile(txns: DataFrame, statements: DataFrame) -> DataFrame:
     missing balance; else opening + credits - debits must meet the ending within two cents."""
     amount = F.coalesce(F.col("amount"), F.lit(0).cast(MONEY))
     g = txns.groupBy("doc_id").agg(*[F.sum(F.when(F.col("direction") == k, amount).otherwise(F.lit(0).cast(MONEY))).alias(f"total_{k}s") for k in ("credit", "debit")])
-    s = statements.join(g, "doc_id", "left").fillna(0, ["total_credits", "total_debits"])
+    return reconcile_totals(statements.join(g, "doc_id", "left"))
+
+
+def reconcile_totals(statements: DataFrame) -> DataFrame:
+    """reconcile for statements that have total_credits and total_debits already."""
+    s = statements.fillna(0, ["total_credits", "total_debits"])
     by_rows = F.col("opening") + F.col("total_credits") - F.col("total_debits")
     proven = F.coalesce("verified", F.lit(False))
     unproven = ~proven & F.col("eq_deposits").isNotNull() & F.col("eq_withdrawals").isNotNull()
@@ -264,6 +269,24 @@ def reconcile(txns: DataFrame, statements: DataFrame) -> DataFrame:
     )
 
 
+def ledger_totals(txns: DataFrame) -> DataFrame:
+    """A row per document in one pass over its rows: txn_count, flagged_count (review_flag), gross_deposits, true_revenue, total_credits,
+    total_debits, event_count (overdraft events, equal ones once), position_count (funders paid) and position_review_count (those paid once).
+
+    The windows and the grouping have the document as their first key, so rows dealt by document aren't dealt again."""
+    amount, c = F.coalesce(F.col("amount"), F.lit(0).cast(MONEY)), F.col
+    paid = F.when((c("direction") == "debit") & c("amount").isNotNull(), funder(text()))
+    t = txns.withColumns({"event": first_match(L.EVENT_KINDS, text(), F.lit(None).cast("string")), "paid": paid, "deposit": F.when((c("direction") == "credit") & c("amount").isNotNull(), deposit_kind(text()))})
+    same, payee = Window.partitionBy("doc_id", "event", "txn_date", "amount").orderBy("txn_no"), Window.partitionBy("doc_id", "paid")
+    t = t.withColumns({"event_no": F.row_number().over(same), "paid_no": F.row_number().over(payee.orderBy("txn_no")), "paid_n": F.count("*").over(payee)})
+    once = c("paid").isNotNull() & (c("paid_no") == 1)
+    return t.groupBy("doc_id").agg(
+        F.count("*").cast("long").alias("txn_count"), count_when(c("review_flag")).alias("flagged_count"), amount_when(c("deposit").isNotNull(), c("amount")).alias("gross_deposits"), amount_when(c("deposit") == "revenue", c("amount")).alias("true_revenue"),
+        *[F.sum(F.when(c("direction") == k, amount).otherwise(F.lit(0).cast(MONEY))).alias(f"total_{k}s") for k in ("credit", "debit")], count_when(c("event").isNotNull() & (c("event_no") == 1)).alias("event_count"),
+        count_when(once).alias("position_count"), count_when(once & (c("paid_n") < 2) & (c("paid") != "DoorDash Capital")).alias("position_review_count"),
+    )
+
+
 # What tells a debit or a credit on a raw line.
 LINE_CREDIT_SECTION = r"(?i)(deposits?\s*(?:&|and)?\s*credits?|credits?\s*(?:&|and)?\s*deposits?|deposits/other credits|deposits and other credits)"
 LINE_DEBIT_SECTION = r"(?i)(withdrawals?|debits?|checks paid|electronic withdrawals?|other withdrawals?|payments and other debits|withdrawals and other debits|debits and withdrawals)"

@@ -14,13 +14,11 @@ than sixteen digits before the point are no amounts.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as t
 
 from ..functions import lexicon as L
 from ..functions import text as T
@@ -188,9 +186,12 @@ def table_rows(lines: DataFrame) -> DataFrame:
     d = d.withColumns({"at": F.row_number().over(w).cast("long"), "run": F.count(F.when(c("n") < 3, 1)).over(w.rowsBetween(Window.unboundedPreceding, 0))})
     d = d.withColumns({"first": F.min(F.when(c("n") >= 3, c("at"))).over(w.rowsBetween(1, HEADER_LINES)), "one": F.lead("line").over(w), "two": F.lead("line", 2).over(w)})
     header = F.concat_ws(" ", "line", F.when(c("first") - c("at") > 1, c("one")), F.when(c("first") - c("at") > 2, c("two")))
-    heads = d.where(c("line").rlike(L.HEADER_BEGINS) & c("first").isNotNull()).select("doc_id", c("at").alias("header_at"), "first", (c("run") + c("first") - c("at") - 1).alias("run"), header.alias("header"))
-    heads = heads.where(c("header").rlike(L.HEADER_ENDS))
-    rows = d.where("n >= 3").select("doc_id", "run", "at", "f", "n").join(heads, ["doc_id", "run"]).where("at >= first")
+    # Heads come before the rows of their run; both lie in the document's partition, so no line is shuffled again to meet them.
+    head = F.when(c("line").rlike(L.HEADER_BEGINS) & c("first").isNotNull() & header.rlike(L.HEADER_ENDS), F.struct(c("at").alias("header_at"), "first", header.alias("header")))
+    told = F.array(F.struct((c("run") + c("first") - c("at") - 1).alias("run"), head.alias("head"), F.lit(False).alias("is_row")), F.struct("run", F.lit(None).alias("head"), (c("n") >= 3).alias("is_row")))
+    d = d.select("doc_id", "at", "f", "n", F.explode(told).alias("t")).select("doc_id", "at", "f", "n", "t.*").where("is_row or head is not null")
+    seen = Window.partitionBy("doc_id", "run").orderBy("at", "is_row").rowsBetween(Window.unboundedPreceding, 0)
+    rows = d.withColumn("heads", F.collect_list("head").over(seen)).where("is_row").select("doc_id", "at", "f", "n", F.explode("heads").alias("h")).select("doc_id", "at", "f", "n", "h.*").where("at >= first")
     rows = rows.withColumn("signs", header_signs(c("header"), c("n") - 2))
 
     def signed(f: Column) -> Column:
@@ -253,13 +254,13 @@ def solve_signs(beginning: int, parts: list[tuple[int, int | None, bool]], endin
 def solve_blocks(blocks: DataFrame) -> DataFrame:
     """blocks (beginning, ending, parts) with signs, an array of int beside parts, and verified."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            begin, end, parts = (batch.column(batch.schema.get_field_index(x)).to_pylist() for x in ("beginning", "ending", "parts"))
-            solved = [solve_signs(b, [(p["cents"], p["sign"], p["printed"]) for p in some], e) for b, e, some in zip(begin, end, parts, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x[0] for x in solved], pa.list_(pa.int32())), pa.array([x[1] for x in solved], pa.bool_())], [*batch.schema.names, "signs", "verified"])
+    @F.arrow_udf("struct<signs:array<int>,verified:boolean>")
+    def solve(beginning: pa.Array, ending: pa.Array, parts: pa.Array) -> pa.Array:
+        each = zip(beginning.to_pylist(), ending.to_pylist(), parts.to_pylist(), strict=True)
+        solved = [solve_signs(b, [(p["cents"], p["sign"], p["printed"]) for p in some], e) for b, e, some in each]
+        return pa.StructArray.from_arrays([pa.array([x[0] for x in solved], pa.list_(pa.int32())), pa.array([x[1] for x in solved], pa.bool_())], ["signs", "verified"])
 
-    return blocks.mapInArrow(run, t.StructType([*blocks.schema.fields, t.StructField("signs", t.ArrayType(t.IntegerType())), t.StructField("verified", t.BooleanType())]))
+    return blocks.withColumn("s", solve("beginning", "ending", "parts")).select(*blocks.columns, "s.signs", "s.verified")
 
 
 def summary_blocks(docs: DataFrame) -> DataFrame:
@@ -368,16 +369,14 @@ def scanned_summary(text: Column, filename: Column) -> Column:
     return F.coalesce(F.when(named, farmers), F.when(low.rlike(L.SCANNED_MEMBERS), members))
 
 
-def statement_summary(docs: DataFrame, equations: DataFrame | None = None) -> DataFrame:
+def statement_summary(docs: DataFrame, with_equation: bool = False) -> DataFrame:
     """A row per document (doc_id, raw_text, filename, used_ocr): beginning, deposits, withdrawals, ending, difference, confidence, evidence.
 
     The strongest evidence wins: a proven equation (99), an online printout's totals (94) or posted credits (88), summed dated rows
     (78), an unproven equation (40), nothing (0). Of a scan without a proven equation, what the scan rules find replaces
-    deposits and ending, at a confidence of 95 or more. equations: pick_equation's rows, if they are there already.
+    deposits and ending, at a confidence of 95 or more. with_equation: pick_equation's figures beside it as a struct, `equation`.
     """
-    if equations is None:
-        equations = pick_equation(summary_blocks(docs))
-    e = equations.select("doc_id", F.struct("beginning", "deposits", "withdrawals", "ending", "difference", "verified", "evidence").alias("e"))
+    e = pick_equation(summary_blocks(docs)).select("doc_id", F.struct("beginning", "deposits", "withdrawals", "ending", "difference", "verified", "evidence").alias("e"))
     d = docs.select("doc_id", F.when(F.coalesce("used_ocr", F.lit(False)), scanned_summary(F.col("raw_text"), F.col("filename"))).alias("scan"))
     d = d.join(e, "doc_id", "left").join(summary_evidence(docs), "doc_id", "left")
     c, none = F.col, F.lit(None).cast("double")
@@ -395,5 +394,5 @@ def statement_summary(docs: DataFrame, equations: DataFrame | None = None) -> Da
     d = d.withColumn("s", best).withColumn("scan", F.when(~F.coalesce(c("e.verified"), F.lit(False)), c("scan")))
     return d.select(
         "doc_id", "s.beginning", F.coalesce("scan.deposits", "s.deposits").alias("deposits"), "s.withdrawals", F.coalesce("scan.ending", "s.ending").alias("ending"), "s.difference",
-        F.when(c("scan").isNotNull(), F.greatest(c("s.confidence"), F.lit(95))).otherwise(c("s.confidence")).alias("confidence"), F.coalesce("scan.evidence", "s.evidence").alias("evidence"),
+        F.when(c("scan").isNotNull(), F.greatest(c("s.confidence"), F.lit(95))).otherwise(c("s.confidence")).alias("confidence"), F.coalesce("scan.evidence", "s.evidence").alias("evidence"), *([c("e").alias("equation")] if with_equation else []),
     )

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions import text as T
+from ..sources.store import kept
 from .verdicts import document_revenue, extraction_score, revenue_verification
 
 LEVELS = {"high": 4, "medium": 3, "low": 2, "needs_review": 1}
@@ -71,20 +72,34 @@ def aggregate_by_company(facts: DataFrame) -> DataFrame:
     return kept.join(names, "company_key").select("company_key", "name", "bucket", "doc_id", "arrival_no", "period_end")
 
 
+def _optional(df: DataFrame, name: str, kind: str = "string") -> Column:
+    return F.col(name) if name in df.columns else F.lit(None).cast(kind)
+
+
+def with_names(facts: DataFrame) -> DataFrame:
+    """facts with read_names: the names that a document itself reads, in order: of an application its form's and its trade name, of others
+    the holder's, the trade name and the company. One guessed from a file name isn't read. (holder_name, dba and company_source may be missing.)"""
+    company, dba, holder = F.col("company"), _optional(facts, "dba"), _optional(facts, "holder_name")
+    app = F.array(F.when(F.coalesce(_optional(facts, "company_source"), F.lit("form")) == "form", company), dba)
+    names = F.when(F.col("doc_type") == "application", app).otherwise(F.array(holder, dba, company))
+    return facts.withColumns({"read_names": F.filter(names, lambda n: F.coalesce(n, F.lit("")) != ""), "dba": dba})
+
+
 def company_folders(facts: DataFrame) -> DataFrame:
     """folder, folder_company of the folders that are companies: not where two or more other companies are read and no name agrees."""
-    f = facts.withColumn("folder", T.folder_of(F.col("filename"))).where("folder is not null").withColumn("folder_company", T.company_from_folder(F.col("folder")))
-    agrees = F.coalesce(T.names_overlap(F.col("company"), F.col("folder_company")), F.lit(False))
-    g = f.groupBy("folder", "folder_company").agg(F.countDistinct(F.when(F.col("company").isNotNull() & ~agrees, T.company_key(F.col("company")))).alias("others"), F.max(F.when(F.col("company").isNotNull(), agrees)).alias("agree"))
+    f = with_names(facts).withColumn("folder", T.folder_of(F.col("filename"))).where("folder is not null").withColumn("folder_company", T.company_from_folder(F.col("folder")))
+    f = f.select("folder", "folder_company", F.explode_outer("read_names").alias("name"))
+    agrees = F.coalesce(T.names_overlap(F.col("name"), F.col("folder_company")), F.lit(False))
+    g = f.groupBy("folder", "folder_company").agg(F.countDistinct(F.when(F.col("name").isNotNull() & ~agrees, T.company_key(F.col("name")))).alias("others"), F.max(F.when(F.col("name").isNotNull(), agrees)).alias("agree"))
     good = g.where(F.col("folder_company").isNotNull() & ~((F.col("others") >= 2) & ~F.coalesce("agree", F.lit(False))))
     folders = g.agg(F.count("*").alias("n"))
     return good.crossJoin(F.broadcast(folders)).where("n >= 2").select("folder", "folder_company")  # folders: one row
 
 
 def lead_keys(facts: DataFrame) -> DataFrame:
-    """facts with lead_id: the folder's company key, else the document's own, else one of its own."""
-    f = facts.withColumn("folder", T.folder_of(F.col("filename"))).join(company_folders(facts), "folder", "left")
-    own = T.company_key(F.col("company"))
+    """facts with read_names and lead_id: the folder's company key, else the document's own, else one of its own."""
+    f = with_names(facts).withColumn("folder", T.folder_of(F.col("filename"))).join(company_folders(facts), "folder", "left")
+    own = T.company_key(F.coalesce("company", "dba"))
     return f.withColumn("lead_id", F.when(F.col("folder_company").isNotNull(), T.company_key(F.col("folder_company"))).when(own == "unassociated", F.concat(F.lit("unassociated:"), F.col("doc_id").cast("string"))).otherwise(own))
 
 
@@ -126,25 +141,35 @@ def possible_same_business(leads: DataFrame, max_pairs_per_lead: int | None = No
 # -- leads --------------------------------------------------------------------------------------
 
 
+def application_rank() -> Column:
+    """The order of a lead's applications, the best highest: unique ones by what was read of them, a form before a contact sheet, the first of
+    equals; if all are duplicates, the first of those."""
+    unique = F.col("duplicate_of").isNull()
+    read = F.when(F.coalesce(F.col("kind") == "contact_sheet", F.lit(False)), 0).otherwise(100) + F.coalesce("fields_found", F.lit(0))
+    return F.struct(unique.cast("int"), F.when(unique, read).otherwise(0), -F.col("arrival_no"))
+
+
 def lead_facts(keyed: DataFrame) -> DataFrame:
     """One row per lead: name, owner, revenue and source, score, status, counts, issues."""
     c = F.col
     unique = c("duplicate_of").isNull()
     app, stmt = c("doc_type") == "application", c("doc_type") == "bank_statement"
     plain = unique & stmt & ~F.coalesce("is_mtd", F.lit(False))
-    k = keyed.withColumns({"score": extraction_score(), "verification": revenue_verification(), "doc_revenue": document_revenue()})
+    k = keyed if "read_names" in keyed.columns else with_names(keyed)
+    k = k.withColumns({"score": extraction_score(), "verification": revenue_verification(), "doc_revenue": document_revenue(), "printed_name": F.coalesce("company", "dba")})
 
     def agrees(name: Column) -> Column:
         return F.coalesce(T.names_overlap(name, c("lead_id")), F.lit(False))  # a folder's lead has its company key as lead_id
 
-    rank = F.struct(unique.cast("int"), F.when(F.coalesce(c("kind") == "contact_sheet", F.lit(False)), 0).otherwise(100) + F.coalesce("fields_found", F.lit(0)), -c("arrival_no"))
-    best = F.max_by(F.struct("doc_id", "stated_revenue", "score", "owner", "company", "address"), F.when(app, rank))
+    k = k.withColumns({"agreeing": F.get(F.filter("read_names", agrees), F.lit(0)), "read_name": F.get("read_names", F.lit(0))})
+    own_folder = c("folder_company").isNotNull() & (T.company_key(c("folder_company")) == c("lead_id"))
+    best = F.max_by(F.struct("doc_id", "stated_revenue", "score", "owner", "printed_name", "agreeing", "read_name"), F.when(app, application_rank()))
     verified = plain & (c("verification") == "verified")
     positive = c("doc_revenue") > 0
     g = k.groupBy("lead_id").agg(
-        F.max(app).alias("has_application"), best.alias("app"), F.min_by("company", "arrival_no").alias("first_company"),
-        F.min_by(F.struct("folder", F.col("folder_company").alias("company")), F.when(c("folder_company").isNotNull(), c("arrival_no"))).alias("of"),
-        F.min_by("company", F.when(agrees(c("company")), c("arrival_no"))).alias("agreeing"), F.min_by("company", F.when(c("company").isNotNull(), c("arrival_no"))).alias("any_read"),
+        F.max(app).alias("has_application"), best.alias("app"), F.min_by("printed_name", "arrival_no").alias("first_company"),
+        F.max_by(F.struct("folder", F.col("folder_company").alias("company")), F.when(own_folder, c("arrival_no"))).alias("of"),
+        F.min_by("agreeing", F.when(c("agreeing").isNotNull(), c("arrival_no"))).alias("agreeing"), F.min_by("read_name", F.when(c("read_name").isNotNull(), c("arrival_no"))).alias("any_read"),
         F.count(F.when(plain, 1)).cast("long").alias("statement_count"), F.count(F.when(verified, 1)).alias("verified_count"),
         F.avg(F.when(verified & positive, c("doc_revenue"))).alias("verified_mean"), F.avg(F.when(plain & positive, c("doc_revenue"))).alias("plain_mean"),
         F.avg(F.when(unique & stmt, c("score"))).alias("statement_score"), F.max_by("status", F.struct(ranked(c("status"), L.STATUS_RANKS), -c("arrival_no"))).alias("status"),
@@ -154,10 +179,11 @@ def lead_facts(keyed: DataFrame) -> DataFrame:
     a, s = c("app.score"), c("statement_score")
     score = F.when(s.isNull() & a.isNull(), 0).when(s.isNull(), F.floor(a * 0.3 + 0.5)).when(a.isNull(), F.floor(s * 0.85 + 0.5)).otherwise(F.floor(s * 0.7 + a * 0.3 + 0.5))
     source = F.when(c("app.stated_revenue").isNotNull(), "application").when(mean.isNull(), "none").when(c("verified_count") > 0, "verified_statements").otherwise("unverified_statements")
-    # A name that the lead's own files read and that agrees with its folder; else a stamped folder's; else the first read.
-    agreeing = F.when(agrees(c("app.company")), c("app.company"))
+    # A name that the lead's own files read (its application's first) and that agrees with its folder; else a stamped folder's; else the
+    # first read. Without a folder, what the application or else the first document is called.
     stamped = F.when(c("of.folder").rlike(L.FOLDER_STAMP), c("of.company"))
-    name = F.coalesce(F.when(c("of").isNotNull(), F.coalesce(agreeing, "agreeing", stamped, c("app.company"), "any_read", c("of.company"))), c("app.company"), c("first_company"), F.lit("Unassociated"))
+    in_folder = F.coalesce("app.agreeing", "agreeing", stamped, "app.read_name", "any_read", "of.company")
+    name = F.coalesce(F.when(c("of").isNotNull(), in_folder).when(c("app").isNotNull(), c("app.printed_name")).otherwise(c("first_company")), F.lit("Unassociated"))
     return g.select(
         "lead_id", name.alias("company_name"), c("app.owner").alias("owner_name"), F.coalesce(c("app.stated_revenue").cast("double"), F.floor(mean * 100 + 0.5) / 100, F.lit(0.0)).alias("revenue"), source.alias("revenue_source"),
         score.cast("long").alias("score"), "status", "has_application", "statement_count", "duplicate_count", "issue_count", "doc_count",
@@ -165,9 +191,11 @@ def lead_facts(keyed: DataFrame) -> DataFrame:
 
 
 def lead_contacts(keyed: DataFrame) -> DataFrame:
-    """lead_id, kind (phone or email) and value of every contact that an application of a lead carries, duplicates aside; a
-    row for each, so no lead's list is gathered in one task."""
-    apps = keyed.where((F.col("doc_type") == "application") & F.col("duplicate_of").isNull())
+    """lead_id, kind (phone or email) and value of every contact that an application of a lead carries, duplicates aside (if all are
+    duplicates, the first one's); a row for each, so no lead's list is gathered in one task."""
+    apps = keyed.where("doc_type = 'application'")
+    some = apps.groupBy("lead_id").agg(F.max(F.col("duplicate_of").isNull()).alias("any_unique"), F.min("arrival_no").alias("first_no"))
+    apps = apps.join(some, "lead_id").where(F.when(F.col("any_unique"), F.col("duplicate_of").isNull()).otherwise(F.col("arrival_no") == F.col("first_no")))
 
     def tagged(values: str, kind: str) -> Column:
         return F.transform(F.coalesce(F.col(values), F.array().cast("array<string>")), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
@@ -192,18 +220,26 @@ def build_leads(facts: DataFrame) -> DataFrame:
 
 
 def company_info(keyed: DataFrame) -> DataFrame:
-    """Distinct names and addresses of all statements of a lead, and whether they differ from the application's."""
+    """Distinct names, trade names and addresses of all statements of a lead, duplicates too, and whether any differs from the best
+    application's; nothing differs from what an application lacks."""
+    k = keyed if "read_names" in keyed.columns else with_names(keyed)
     app = F.col("doc_type") == "application"
-    g = keyed.groupBy("lead_id").agg(F.min_by("company", F.when(app, F.col("arrival_no"))).alias("app_name"), F.min_by("address", F.when(app, F.col("arrival_no"))).alias("app_address"))
-    s = keyed.where("doc_type = 'bank_statement'").select("lead_id", "company", "address").join(g, "lead_id")
+    g = k.groupBy("lead_id").agg(F.max_by(F.struct("company", "dba", "address"), F.when(app, application_rank())).alias("app"))
+    s = k.where("doc_type = 'bank_statement'").select("lead_id", F.coalesce(_optional(k, "holder_name"), F.col("company")).alias("company"), "dba", "address").join(g, "lead_id")
 
     def printed(x: Column) -> Column:
         return F.trim(F.regexp_replace(F.lower(x), "[^a-z0-9]+", " "))
 
-    named = F.col("company").isNotNull() & F.col("app_name").isNotNull() & (printed(F.col("company")) != printed(F.col("app_name")))
-    placed = F.col("address").isNotNull() & F.col("app_address").isNotNull() & ~T.same_address(F.col("address"), F.col("app_address"))
-    d = s.groupBy("lead_id").agg(F.countDistinct(F.lower(F.trim("company"))).cast("long").alias("name_count"), F.countDistinct(F.lower(F.trim("address"))).cast("long").alias("address_count"), F.max(named).alias("name_differs"), F.max(placed).alias("address_differs"))
-    return g.select("lead_id").join(d, "lead_id", "left").select("lead_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("name_count", "address_count")], *[F.coalesce(c, F.lit(False)).alias(c) for c in ("name_differs", "address_differs")])
+    def differs(name: str) -> Column:
+        return F.max(F.col(name).isNotNull() & F.col(f"app.{name}").isNotNull() & (printed(F.col(name)) != printed(F.col(f"app.{name}"))))
+
+    def number(name: str) -> Column:
+        return F.countDistinct(F.when(F.trim(name) != "", F.lower(F.trim(name)))).cast("long")
+
+    placed = F.col("address").isNotNull() & F.col("app.address").isNotNull() & ~T.same_address(F.col("address"), F.col("app.address"))
+    d = s.groupBy("lead_id").agg(number("company").alias("name_count"), number("dba").alias("dba_count"), number("address").alias("address_count"), differs("company").alias("name_differs"), differs("dba").alias("dba_differs"), F.max(placed).alias("address_differs"))
+    counts, marks = ("name_count", "dba_count", "address_count"), ("name_differs", "dba_differs", "address_differs")
+    return g.select("lead_id").join(d, "lead_id", "left").select("lead_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts], *[F.coalesce(c, F.lit(False)).alias(c) for c in marks])
 
 
 # -- reports ------------------------------------------------------------------------------------
@@ -252,8 +288,7 @@ def numbered(leads: DataFrame) -> DataFrame:
     """leads with `position` from 0 in lead order: a range sort, counts per part, then numbers inside each part, so
     no task gets all rows."""
     ordered = leads.repartitionByRange(F.desc("revenue"), F.desc("score"), F.lower("company_name"), "lead_id").withColumn("part", F.spark_partition_id())
-    if leads.sparkSession.sparkContext.getCheckpointDir():
-        ordered = ordered.checkpoint()  # both branches below then see one and the same dealing
+    ordered = kept(ordered)  # both branches below then see one and the same dealing
     inside = Window.partitionBy("part").orderBy(F.desc("revenue"), F.desc("score"), F.lower("company_name"), "lead_id")
     placed = ordered.withColumn("inside", F.row_number().over(inside))
     sizes = placed.groupBy("part").agg(F.max("inside").alias("n"))

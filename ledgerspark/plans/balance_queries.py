@@ -196,12 +196,12 @@ accounts_of AS (SELECT doc_id, CAST(arg_min(list_filter(few, lambda x: x >= 100
 scanned AS (SELECT doc_id, CASE WHEN farmers AND (fd IS NOT NULL OR fe IS NOT NULL) THEN {{'d': fd, 'e': fe, 'w': 'Farmers OCR summary'}} WHEN members AND (md IS NOT NULL OR coalesce(me, mt) IS NOT NULL) THEN {{'d': md, 'e': coalesce(me, mt), 'w': 'IMCU OCR summary'}} END AS x FROM scans JOIN marks_of USING (doc_id) LEFT JOIN accounts_of USING (doc_id)),
 eq AS (SELECT doc_id, {MONEY_OUT}, {LAYOUT_OUT} FROM picked WHERE place = 1),
 ranked AS (SELECT docs.doc_id, CASE WHEN verified THEN 99 WHEN od IS NOT NULL AND oe IS NOT NULL THEN 94 WHEN pd IS NOT NULL AND pe IS NOT NULL THEN 88 WHEN dd IS NOT NULL AND de IS NOT NULL THEN 78 WHEN layout IS NOT NULL THEN 40 ELSE 0 END AS c, eq.* EXCLUDE (doc_id), evidence.* EXCLUDE (doc_id), CASE WHEN NOT coalesce(verified, false) THEN scanned.x END AS x
- FROM docs LEFT JOIN eq USING (doc_id) LEFT JOIN evidence USING (doc_id) LEFT JOIN scanned USING (doc_id))
-SELECT doc_id, CASE WHEN c IN (99, 40) THEN beginning END AS beginning, coalesce(x.d, CASE c WHEN 94 THEN CAST(od AS DOUBLE) WHEN 88 THEN CAST(pd AS DOUBLE) WHEN 78 THEN CAST(dd AS DOUBLE) WHEN 0 THEN NULL ELSE deposits END) AS deposits, CASE WHEN c IN (99, 40) THEN withdrawals END AS withdrawals,
+ FROM docs LEFT JOIN eq USING (doc_id) LEFT JOIN evidence USING (doc_id) LEFT JOIN scanned USING (doc_id))"""
+SUMMARY_ROWS = f"""SELECT doc_id, CASE WHEN c IN (99, 40) THEN beginning END AS beginning, coalesce(x.d, CASE c WHEN 94 THEN CAST(od AS DOUBLE) WHEN 88 THEN CAST(pd AS DOUBLE) WHEN 78 THEN CAST(dd AS DOUBLE) WHEN 0 THEN NULL ELSE deposits END) AS deposits, CASE WHEN c IN (99, 40) THEN withdrawals END AS withdrawals,
  coalesce(x.e, CASE c WHEN 94 THEN CAST(oe AS DOUBLE) WHEN 88 THEN CAST(pe AS DOUBLE) WHEN 78 THEN CAST(de AS DOUBLE) WHEN 0 THEN NULL ELSE ending END) AS ending, CASE WHEN c IN (99, 40) THEN difference END AS difference, CAST(CASE WHEN x IS NOT NULL THEN greatest(c, 95) ELSE c END AS BIGINT) AS confidence,
  coalesce(x.w, CASE c WHEN 94 THEN {q(L.SUMMARY_EVIDENCE[0][2])} WHEN 88 THEN {q(L.SUMMARY_EVIDENCE[1][2])} WHEN 78 THEN {q(L.SUMMARY_EVIDENCE[2][2])} WHEN 0 THEN 'No summary found' ELSE CASE WHEN verified THEN 'Verified ' ELSE 'Unproven ' END || replace(layout, '_', ' ') END) AS evidence FROM ranked"""
 
 
-@query(SUMMARY)
+@query(f"{SUMMARY}\n{SUMMARY_ROWS}")
 def statement_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balances.statement_summary(statements(spark, sf_dir))

@@ -158,11 +158,11 @@ def merge_same_address(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LEADS = f"""{MERGED}, scored AS (SELECT *, CAST({SCORE} AS BIGINT) AS score, CAST({REVENUE} AS DOUBLE) AS rev, {VERIFIED} AS ver, duplicate_of IS NULL AS uniq FROM merged),
-apps AS (SELECT lead_id, company, owner, stated_revenue, score, row_number() OVER (PARTITION BY lead_id ORDER BY uniq DESC, CASE WHEN kind = 'contact_sheet' THEN 0 ELSE 100 END + coalesce(fields_found, 0) DESC, arrival_no) AS p FROM scored WHERE doc_type = 'application'),
+apps AS (SELECT lead_id, company, owner, stated_revenue, score, row_number() OVER (PARTITION BY lead_id ORDER BY uniq DESC, CASE WHEN NOT uniq THEN 0 WHEN kind = 'contact_sheet' THEN 0 ELSE 100 + 0 END + CASE WHEN uniq THEN coalesce(fields_found, 0) ELSE 0 END DESC, arrival_no) AS p FROM scored WHERE doc_type = 'application'),
 g AS (SELECT lead_id, min_by(company, arrival_no) FILTER (company IS NOT NULL) AS named, min_by(coalesce(company, '~'), arrival_no) AS first_company, min_by('Acme ' || company_no || ' Traders LLC', arrival_no) FILTER (company_no % 3 = 0) AS folder_company, count(*) FILTER (uniq AND doc_type = 'bank_statement' AND NOT is_mtd) AS statement_count,
  count(*) FILTER (uniq AND doc_type = 'bank_statement' AND NOT is_mtd AND ver = 'verified') AS verified_count, avg(rev) FILTER (uniq AND doc_type = 'bank_statement' AND NOT is_mtd AND ver = 'verified' AND rev > 0) AS vm, avg(rev) FILTER (uniq AND doc_type = 'bank_statement' AND NOT is_mtd AND rev > 0) AS pm,
  avg(score) FILTER (uniq AND doc_type = 'bank_statement') AS ss, max_by(status, CAST({STATUS_RANK} AS BIGINT) * 1000000000 - arrival_no) AS status, count(*) FILTER (NOT uniq) AS duplicate_count, CAST(sum(review_count) AS BIGINT) AS issue_count, count(*) AS doc_count FROM scored GROUP BY 1),
-leads AS (SELECT g.lead_id, coalesce(a.company, g.named, folder_company, 'Unassociated') AS company_name, a.owner AS owner_name, coalesce(a.stated_revenue, floor(CASE WHEN verified_count > 0 THEN vm ELSE pm END * 100 + 0.5) / 100, 0) AS revenue,
+leads AS (SELECT g.lead_id, coalesce(CASE WHEN folder_company IS NOT NULL THEN coalesce(a.company, g.named, folder_company) WHEN a.lead_id IS NOT NULL THEN a.company ELSE nullif(g.first_company, '~') END, 'Unassociated') AS company_name, a.owner AS owner_name, coalesce(a.stated_revenue, floor(CASE WHEN verified_count > 0 THEN vm ELSE pm END * 100 + 0.5) / 100, 0) AS revenue,
  CASE WHEN a.stated_revenue IS NOT NULL THEN 'application' WHEN (CASE WHEN verified_count > 0 THEN vm ELSE pm END) IS NULL THEN 'none' WHEN verified_count > 0 THEN 'verified_statements' ELSE 'unverified_statements' END AS revenue_source,
  CAST(CASE WHEN ss IS NULL AND a.score IS NULL THEN 0 WHEN ss IS NULL THEN floor(CAST(a.score AS DOUBLE) * CAST(0.3 AS DOUBLE) + 0.5) WHEN a.score IS NULL THEN floor(ss * CAST(0.85 AS DOUBLE) + 0.5) ELSE floor(ss * CAST(0.7 AS DOUBLE) + CAST(a.score AS DOUBLE) * CAST(0.3 AS DOUBLE) + 0.5) END AS BIGINT) AS score,
  g.status, a.lead_id IS NOT NULL AS has_application, statement_count, duplicate_count, issue_count, doc_count FROM g LEFT JOIN apps a ON a.lead_id = g.lead_id AND a.p = 1)"""
@@ -208,11 +208,23 @@ def possible_same_business(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.possible_same_business(_leads(spark, sf_dir))
 
 
-@query(f""", {MERGED}, a AS (SELECT lead_id, min_by(coalesce(company, '~'), arrival_no) AS n FROM merged WHERE doc_type = 'application' GROUP BY 1),
-s AS (SELECT m.lead_id, count(DISTINCT lower(company)) AS name_count, count(DISTINCT company_no) AS address_count, bool_or(coalesce(company IS NOT NULL AND n <> '~' AND trim(regexp_replace(lower(company), '[^a-z0-9]+', ' ', 'g')) <> trim(regexp_replace(lower(n), '[^a-z0-9]+', ' ', 'g')), false)) AS name_differs FROM merged m LEFT JOIN a USING (lead_id) WHERE doc_type = 'bank_statement' GROUP BY 1)
-SELECT DISTINCT m.lead_id, coalesce(name_count, 0) AS name_count, coalesce(address_count, 0) AS address_count, coalesce(name_differs, false) AS name_differs, false AS address_differs FROM merged m LEFT JOIN s USING (lead_id)""")
+RANK = "duplicate_of IS NULL DESC, CASE WHEN duplicate_of IS NULL THEN CASE WHEN kind = 'contact_sheet' THEN 0 ELSE 100 END + coalesce(fields_found, 0) ELSE 0 END DESC, arrival_no"
+AS_PRINTED = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'))"
+
+
+def _differing(keyed: DataFrame) -> DataFrame:
+    """Every seventh document has another address, every second a trade name in one of two spellings."""
+    n, number = F.col("doc_id"), F.floor(F.col("doc_id") / 6).cast("string")
+    trade = F.when(n % 4 == 1, F.concat(F.lit("Trade "), number)).when(n % 4 == 3, F.concat(F.lit("TRADE-"), number, F.when(n % 3 == 0, " East").otherwise("")))
+    return keyed.withColumns({"address": F.when(n % 7 == 3, "99 Other Rd, Dallas, TX 75201").otherwise(F.col("address")), "dba": trade})
+
+
+@query(f""", {MERGED}, m AS (SELECT *, CASE WHEN doc_id % 7 = 3 THEN '99 Other Rd, Dallas, TX 75201' ELSE company_no || ' Main St, Austin, TX 78753' END AS address, CASE doc_id % 4 WHEN 1 THEN 'Trade ' || company_no WHEN 3 THEN 'TRADE-' || company_no || CASE WHEN doc_id % 3 = 0 THEN ' East' ELSE '' END END AS dba FROM merged),
+a AS (SELECT lead_id, company AS n, dba AS d, address AS w FROM (SELECT *, row_number() OVER (PARTITION BY lead_id ORDER BY {RANK}) AS p FROM m WHERE doc_type = 'application') WHERE p = 1),
+s AS (SELECT m.lead_id, count(DISTINCT lower(company)) AS name_count, count(DISTINCT lower(dba)) AS dba_count, count(DISTINCT address) AS address_count, bool_or(coalesce({AS_PRINTED.format('company')} <> {AS_PRINTED.format('n')}, false)) AS name_differs, bool_or(coalesce({AS_PRINTED.format('dba')} <> {AS_PRINTED.format('d')}, false)) AS dba_differs, bool_or(coalesce(address <> w, false)) AS address_differs FROM m LEFT JOIN a USING (lead_id) WHERE doc_type = 'bank_statement' GROUP BY 1)
+SELECT DISTINCT m.lead_id, {', '.join(f'coalesce({x}_count, 0) AS {x}_count, coalesce({x}_differs, false) AS {x}_differs' for x in ('name', 'dba', 'address'))} FROM m LEFT JOIN s USING (lead_id)""")
 def company_info(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.company_info(G.merge_same_address(G.lead_keys(B.facts(spark, sf_dir))))
+    return G.company_info(_differing(G.merge_same_address(G.lead_keys(B.facts(spark, sf_dir)))))
 
 
 @query("""SELECT lead_id, string_agg AS entry, row_number() OVER (PARTITION BY lead_id ORDER BY newest DESC, no DESC) AS place FROM (SELECT company_no AS lead_id, bank || ' • ' || account AS string_agg, max(coalesce(period_end, '')) AS newest, max(-arrival_no) AS no FROM facts WHERE doc_type = 'bank_statement' AND bank IS NOT NULL GROUP BY company_no, bank, account)""")
@@ -282,11 +294,15 @@ def lead_pitch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.lead_pitch(k.select("lead_id").distinct(), _positions(spark, sf_dir).join(k, "doc_id"), recurring)
 
 
-@query(f""", {MERGED}, carried AS (SELECT m.lead_id, m.doc_type, m.duplicate_of, CAST(2125550000 + m.doc_id AS VARCHAR) AS phone, lower(regexp_replace(c_name, '[^A-Za-z0-9]', '', 'g')) || '@example.org' AS email FROM merged m JOIN customer ON c_custkey = m.doc_id)
-SELECT DISTINCT lead_id, 'phone' AS kind, phone AS value FROM carried WHERE doc_type = 'application' AND duplicate_of IS NULL UNION SELECT DISTINCT lead_id, 'email', email FROM carried WHERE doc_type = 'application' AND duplicate_of IS NULL""")
+@query(f""", {MERGED}, carried AS (SELECT m.lead_id, m.doc_type, CASE WHEN doc_type = 'application' AND company_no % 4 = 0 THEN m.doc_id ELSE m.duplicate_of END AS duplicate_of, m.arrival_no, CAST(2125550000 + m.doc_id AS VARCHAR) AS phone, lower(regexp_replace(c_name, '[^A-Za-z0-9]', '', 'g')) || '@example.org' AS email FROM merged m JOIN customer ON c_custkey = m.doc_id),
+forms AS (SELECT *, bool_or(duplicate_of IS NULL) OVER w AS any_unique, min(arrival_no) OVER w AS first_no FROM carried WHERE doc_type = 'application' WINDOW w AS (PARTITION BY lead_id)),
+good AS (SELECT * FROM forms WHERE CASE WHEN any_unique THEN duplicate_of IS NULL ELSE arrival_no = first_no END)
+SELECT DISTINCT lead_id, 'phone' AS kind, phone AS value FROM good UNION SELECT DISTINCT lead_id, 'email', email FROM good""")
 def lead_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = B.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.array((F.col("c_custkey") + 2125550000).cast("string")).alias("phones"), F.array(F.concat(F.lower(F.regexp_replace("c_name", "[^A-Za-z0-9]", "")), F.lit("@example.org"))).alias("emails"))
-    return G.lead_contacts(G.merge_same_address(G.lead_keys(B.facts(spark, sf_dir))).join(c, "doc_id"))
+    keyed = G.merge_same_address(G.lead_keys(B.facts(spark, sf_dir))).join(c, "doc_id")
+    again = (F.col("doc_type") == "application") & (F.floor(F.col("doc_id") / 6) % 4 == 0)  # all applications of every fourth company are duplicates
+    return G.lead_contacts(keyed.withColumn("duplicate_of", F.when(again, F.col("doc_id")).otherwise(F.col("duplicate_of"))))
 
 
 @query(f""", {MERGED}, b AS (SELECT lead_id, count(*) FILTER (reconciles IS NOT NULL) AS checked, count(*) FILTER (NOT reconciles) AS failing FROM (SELECT lead_id, CASE WHEN duplicate_of IS NULL AND doc_type = 'bank_statement' AND NOT is_mtd THEN reconciles END AS reconciles FROM merged) GROUP BY 1)

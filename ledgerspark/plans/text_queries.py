@@ -194,7 +194,7 @@ def find_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.document_texts(spark, sf_dir).select("doc_id", F.explode(T.emails(F.col("raw_text"))).alias("email"))
 
 
-@query(f"""SELECT doc_id, regexp_matches(raw_text || ' ' || filename, '(?i)month[\\s-]*to[\\s-]*date|\\bmtd\\b') AS mtd FROM docs""")
+@query(f"SELECT doc_id, regexp_matches(raw_text || ' ' || filename, {q(L.MONTH_TO_DATE)}) AS mtd FROM docs")
 def is_mtd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.document_texts(spark, sf_dir).select("doc_id", T.is_mtd(F.col("raw_text"), F.col("filename")).alias("mtd"))
 
