@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +11,7 @@ from ..functions.text import clean_space
 from ..operators import leads as G
 from ..operators import statements as S
 from ..sources import bridge as B
+from ..sources.store import shared_dir
 from ..sources import files
 from ..streaming import jobs
 from .lead_queries import LEADS
@@ -32,9 +32,8 @@ def query(sql: str = ""):
 
 
 def _scratch(spark: SparkSession) -> str:
-    """A new folder in the shared place that spark.checkpoint.dir names, else a local one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")
-    return f"{shared}/{uuid.uuid4().hex[:12]}"
+    """A new folder in the shared place."""
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex[:12]}"
 
 
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,4 +103,4 @@ def stream_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
     keyed.repartition(4).write.parquet(f"{at}/in")
     facts = spark.readStream.schema(spark.read.parquet(f"{at}/in").schema).option("maxFilesPerTrigger", 2).parquet(f"{at}/in")
     jobs.stream_leads(facts, f"{at}/store", f"{at}/state", parts=4).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{at}/store/leads").drop("at")
+    return jobs.read_store(spark, f"{at}/store")
