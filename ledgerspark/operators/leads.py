@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions import text as T
+from ..functions.money import MONEY
 from ..sources.store import kept
-from .verdicts import document_revenue, extraction_score, revenue_verification
+from .verdicts import bank_accounts, document_revenue, extraction_score, revenue_verification
 
 LEVELS = {"high": 4, "medium": 3, "low": 2, "needs_review": 1}
 
@@ -251,12 +252,76 @@ def display_amount(value: Column) -> Column:
     return F.when(v < 0, F.floor(v + 0.5)).when(v >= 50000, F.ceil(v / 50000) * 50000).otherwise(F.ceil(v / 500) * 500).cast("double")
 
 
-def results_sheet(leads: DataFrame) -> DataFrame:
-    """The cells of each lead that has a company, one row each."""
-    source = F.when(F.col("revenue_source") == "application", "Application").when(F.col("revenue_source") == "verified_statements", "Statements (balances add up)").when(F.col("revenue_source") == "unverified_statements", "Statements (NOT proven)")
-    return leads.where("company_name <> 'Unassociated'").select(
-        "lead_id", F.col("company_name").alias("company"), F.col("owner_name").alias("owner"), display_amount(F.col("revenue")).alias("revenue"), (display_amount(F.col("revenue")) + 150000).alias("approval"),
-        "score", "status", F.when(F.col("duplicate_count") > 0, F.col("duplicate_count")).alias("duplicates_excluded"), source.alias("revenue_source"),
+def real_statement() -> Column:
+    """Neither a duplicate nor a preview of a month."""
+    return (F.col("doc_type") == "bank_statement") & F.col("duplicate_of").isNull() & ~F.coalesce("is_mtd", F.lit(False))
+
+
+def plain_number(value: Column) -> Column:
+    """An amount without zeros at its end, as text."""
+    return F.regexp_replace(value.cast(MONEY).cast("string"), r"\.?0+$", "")
+
+
+def newest_statements(keyed: DataFrame, most: int | None = None) -> DataFrame:
+    """lead_id, place (from 1), doc_id and entry of each lead's read statements, the newest first and of equals the first to arrive; with
+    `most` so many a lead, of which each task keeps no more before rows are dealt by lead."""
+    order = Window.partitionBy("lead_id").orderBy(F.coalesce("period_end", F.lit("")).desc(), "arrival_no")
+    d = keyed.where(real_statement() & F.col("status").isin("complete", "needs_review")).withColumn("place", F.row_number().over(order))
+    d = d.where(F.col("place") <= most) if most is not None else d
+    mark = revenue_verification()
+    told = F.when(mark == "verified", "balances add up").when(mark == "conflicting", "does not add up").otherwise("not proven")
+    deposits = F.coalesce(F.col("true_revenue").cast(MONEY), F.col("total_deposits").cast(MONEY))
+    entry = F.concat_ws(" • ", F.coalesce("period_end", "filename"), *[F.coalesce(plain_number(x), F.lit("—")) for x in (deposits, _optional(keyed, "ending", "double"))], told)
+    return d.select("lead_id", F.col("place").cast("long").alias("place"), "doc_id", entry.alias("entry"))
+
+
+def first_issues(keyed: DataFrame, items: DataFrame, most: int = 6) -> DataFrame:
+    """lead_id, place, doc_id, type: the first `most` review items (doc_id, type, detail) of each lead, in the order of its documents."""
+    j = items.join(keyed.select("doc_id", "lead_id", "arrival_no"), "doc_id")
+    order = Window.partitionBy("lead_id").orderBy("arrival_no", "type", F.coalesce("detail", F.lit("")))
+    j = j.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+    return j.select("lead_id", F.col("place").cast("long").alias("place"), "doc_id", "type")
+
+
+def joined_text(rows: DataFrame, keys: list[str], text: str, order: list[str], between: str, name: str) -> DataFrame:
+    """One text for each key: rows' texts in their order. A cell is one text by nature, so it holds all of its key's rows."""
+    parts = F.array_sort(F.collect_list(F.struct(*order, F.col(text).alias("_text"))))
+    return rows.where(F.col(text).isNotNull()).groupBy(*keys).agg(F.array_join(F.transform(parts, lambda x: x["_text"]), between).alias(name))
+
+
+def contact_cells(keyed: DataFrame) -> DataFrame:
+    """lead_id, phone, email: the contacts of lead_contacts' applications as cells, each once, in the order of documents."""
+    apps = keyed.where("doc_type = 'application'")
+    some = apps.groupBy("lead_id").agg(F.max(F.col("duplicate_of").isNull()).alias("any_unique"), F.min("arrival_no").alias("first_no"))
+    apps = apps.join(some, "lead_id").where(F.when(F.col("any_unique"), F.col("duplicate_of").isNull()).otherwise(F.col("arrival_no") == F.col("first_no")))
+    cells = []
+    for values, name in (("phones", "phone"), ("emails", "email")):
+        each = apps.select("lead_id", "arrival_no", F.posexplode(_optional(apps, values, "array<string>")).alias("at", "v")).where(F.trim("v") != "")
+        once = each.groupBy("lead_id", F.lower(F.trim("v")).alias("same")).agg(F.min(F.struct("arrival_no", "at", F.trim("v").alias("v"))).alias("x")).select("lead_id", "x.*")
+        cells.append(joined_text(once, ["lead_id"], "v", ["arrival_no", "at"], " • ", name))
+    return cells[0].join(cells[1], "lead_id", "full_outer")
+
+
+def results_sheet(leads: DataFrame, keyed: DataFrame, positions: DataFrame) -> DataFrame:
+    """The sixteen cells of each lead that has a company, one row each. keyed: documents with their lead; positions: doc_id, funder, monthly_burden.
+
+    Each list is an aggregate of its own over the bridge of lead and document, in a total order: statements newest first, banks by
+    their newest statement, funders by the newest statement that has them, contacts by document."""
+    c = F.col
+    statements = newest_statements(keyed)
+    banks = bank_accounts(keyed.where(real_statement()))
+    real = keyed.where(real_statement()).withColumn("place", F.row_number().over(Window.partitionBy("lead_id").orderBy(F.coalesce("period_end", F.lit("")).desc(), "arrival_no"))).select("lead_id", "doc_id", "place")
+    paid = positions.join(real, "doc_id").groupBy("lead_id", F.coalesce("funder", F.lit("Unknown lender")).alias("funder")).agg(F.min("place").alias("place"), F.floor(F.sum(F.col("monthly_burden").cast(MONEY)).cast("double") + 0.5).cast("long").alias("burden"))
+    paid = paid.withColumn("entry", F.concat("funder", F.lit(" • $"), c("burden").cast("string"), F.lit("/mo")))
+    app, addressed = c("doc_type") == "application", (c("doc_type") == "bank_statement") & (F.trim("address") != "")
+    told = keyed.select("*", _optional(keyed, "app_date").alias("_signed"), _optional(keyed, "start_date").alias("_started")).groupBy("lead_id").agg(F.max_by(F.struct("address", "_signed", "_started"), F.when(app, application_rank())).alias("app"), F.min_by(F.trim("address"), F.when(addressed, c("arrival_no"))).alias("stated"))
+    out = leads.where("company_name <> 'Unassociated'").join(told, "lead_id")
+    for cells in (contact_cells(keyed), joined_text(statements, ["lead_id"], "entry", ["place"], " · ", "statements"), joined_text(banks, ["lead_id"], "entry", ["place"], " · ", "bank"), joined_text(paid, ["lead_id"], "entry", ["place", "funder"], " · ", "mca")):
+        out = out.join(cells, "lead_id", "left")
+    source = F.when(c("revenue_source") == "application", "Application").when(c("revenue_source") == "verified_statements", "Statements (balances add up)").when(c("revenue_source") == "unverified_statements", "Statements (NOT proven)")
+    return out.select(
+        "lead_id", c("company_name").alias("company"), c("owner_name").alias("owner"), display_amount(c("revenue")).alias("revenue"), (display_amount(c("revenue")) + 150000).alias("approval"), "phone", "email", F.coalesce("app.address", "stated").alias("address"),
+        c("app._signed").alias("app_date"), "statements", "bank", c("app._started").alias("bsd"), "mca", "score", "status", F.when(c("duplicate_count") > 0, c("duplicate_count")).alias("duplicates_excluded"), source.alias("revenue_source"),
     )
 
 
@@ -334,9 +399,36 @@ def batch_report(facts: DataFrame) -> DataFrame:
     return k.groupBy("status").agg(F.count("*").cast("long").alias("documents"), (F.floor(mean * 10 + 0.5) / 10).alias("mean_score"), F.count(F.when(stmt & F.col("reconciles"), 1)).cast("long").alias("proven"), F.count(F.when(stmt & ~F.col("reconciles"), 1)).cast("long").alias("mismatched"))
 
 
+def short_period(start: Column, end: Column) -> Column:
+    """mm/dd/yyyy - mm/dd/yyyy, or the one date there is."""
+    def date(x: Column) -> Column:
+        return F.when(x.rlike(r"^\d{4}-\d{2}-\d{2}"), F.concat_ws("/", F.substring(x, 6, 2), F.substring(x, 9, 2), F.substring(x, 1, 4)))
+
+    both = F.concat_ws(" - ", date(start), date(end))
+    return F.when(both != "", both)
+
+
 def document_sheet(facts: DataFrame) -> DataFrame:
-    """One flat row per document; the account masked, withdrawals fall back to the rows' debits."""
-    return facts.select("doc_id", "filename", "doc_type", "status", "company", "bank", T.mask_account(F.col("account")).alias("account"), F.coalesce("statement_withdrawals", "total_debits").cast("double").alias("withdrawals"), extraction_score().alias("score"))
+    """The grid's twenty columns, a row per document; the account masked, withdrawals fall back to the rows' debits. What facts lack stays null."""
+    c = F.col
+    score = F.floor(c("points") / 4 * 100 + 0.5) / 100
+    return facts.select(
+        "doc_id", "filename", F.when(c("status").isin("complete", "needs_review", "failed"), c("status")).otherwise("needs_review").alias("status"), c("company").alias("company_name"), _optional(facts, "dba").alias("dba"), _optional(facts, "holder_name").alias("statement_name"),
+        "address", "bank", T.mask_account(c("account")).alias("account_number"), short_period(c("period_start"), c("period_end")).alias("statement_period"), _optional(facts, "opening", "double").alias("opening_balance"), _optional(facts, "ending", "double").alias("ending_balance"),
+        c("total_deposits").cast("double").alias("deposits"), F.coalesce(_optional(facts, "summary_withdrawals", "double"), _optional(facts, "total_debits", "double")).cast("double").alias("withdrawals"), "reconciles", c("true_revenue").cast("double").alias("revenue"),
+        F.when(c("level").isin("high", "medium", "low"), c("level")).alias("confidence_level"), _optional(facts, "pages_read", "long").cast("long").alias("pages_read"), "used_ocr", score.alias("extraction_score"), _optional(facts, "time_taken", "long").cast("long").alias("time_taken"),
+    )
+
+
+def header_stats(facts: DataFrame, leads: DataFrame) -> DataFrame:
+    """One row: files, leads, complete, review, failed, ready, total revenue, mean score, share of files done in whole percent."""
+    c = F.col
+    done = c("status").isin("complete", "needs_review", "failed", "stopped", "skipped")
+    f = facts.agg(F.count("*").cast("long").alias("files"), F.count(F.when(c("status") == "failed", 1)).cast("long").alias("failed"), F.count(F.when(done, 1)).alias("done"))
+    n = [F.count(F.when(x, 1)).cast("long").alias(name) for x, name in ((c("status") == "complete", "complete"), (c("status") == "needs_review", "review"), ((c("status") == "complete") & (c("company_name") != "Unassociated"), "ready"))]
+    g = leads.agg(F.count("*").cast("long").alias("leads"), *n, F.coalesce(F.sum(c("revenue").cast(MONEY)), F.lit(0)).cast("double").alias("revenue"), F.coalesce(F.floor(F.avg("score") + 0.5), F.lit(0)).cast("long").alias("mean_score"))
+    share = F.when(c("files") > 0, F.floor(c("done") * 100 / c("files") + 0.5)).otherwise(0).cast("long")
+    return f.crossJoin(F.broadcast(g)).withColumn("progress", share).drop("done")  # one row each
 
 
 def lead_pitch(leads: DataFrame, positions: DataFrame, recurring: DataFrame) -> DataFrame:
@@ -349,3 +441,15 @@ def lead_pitch(leads: DataFrame, positions: DataFrame, recurring: DataFrame) ->
 
 def display_value(value: Column, used_ocr: Column) -> Column:
     return F.when(value.isNotNull() & (value != ""), value).when(used_ocr, "OCR failed").otherwise("Blank")
+
+
+def display_list(values: Column, used_ocr: Column) -> Column:
+    """The values that aren't blank, or one label that says why there are none."""
+    some = F.filter(F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda v: F.trim(F.coalesce(v, F.lit("")))), lambda v: v != "")
+    return T.let(some, lambda x: F.when(F.size(x) > 0, x).otherwise(F.array(F.when(used_ocr, "OCR failed").otherwise("Blank"))))
+
+
+def display_money(value: Column, used_ocr: Column) -> Column:
+    """Whole dollars, or the label of a missing value."""
+    whole = F.floor(value.cast("double") + 0.5).cast("long")
+    return F.when(value.isNotNull(), F.concat(F.lit("$"), F.format_number(whole, 0))).when(used_ocr, "OCR failed").otherwise("Blank")

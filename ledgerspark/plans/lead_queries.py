@@ -9,6 +9,7 @@ from ..operators import analytics as A
 from ..operators import leads as G
 from ..operators import verdicts as V
 from ..sources import bridge as B
+from ..sources.store import kept
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -157,6 +158,7 @@ def merge_same_address(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.merge_same_address(G.lead_keys(B.facts(spark, sf_dir))).select("doc_id", "lead_id")
 
 
+RANK_SQL = "duplicate_of IS NULL DESC, CASE WHEN duplicate_of IS NULL THEN CASE WHEN kind = 'contact_sheet' THEN 0 ELSE 100 END + coalesce(fields_found, 0) ELSE 0 END DESC, arrival_no"
 LEADS = f"""{MERGED}, scored AS (SELECT *, CAST({SCORE} AS BIGINT) AS score, CAST({REVENUE} AS DOUBLE) AS rev, {VERIFIED} AS ver, duplicate_of IS NULL AS uniq FROM merged),
 apps AS (SELECT lead_id, company, owner, stated_revenue, score, row_number() OVER (PARTITION BY lead_id ORDER BY uniq DESC, CASE WHEN NOT uniq THEN 0 WHEN kind = 'contact_sheet' THEN 0 ELSE 100 + 0 END + CASE WHEN uniq THEN coalesce(fields_found, 0) ELSE 0 END DESC, arrival_no) AS p FROM scored WHERE doc_type = 'application'),
 g AS (SELECT lead_id, min_by(company, arrival_no) FILTER (company IS NOT NULL) AS named, min_by(coalesce(company, '~'), arrival_no) AS first_company, min_by('Acme ' || company_no || ' Traders LLC', arrival_no) FILTER (company_no % 3 = 0) AS folder_company, count(*) FILTER (uniq AND doc_type = 'bank_statement' AND NOT is_mtd) AS statement_count,
@@ -180,10 +182,62 @@ def _leads(spark: SparkSession, sf_dir: str) -> DataFrame:
 AMOUNT = "CASE WHEN revenue < 0 THEN floor(revenue + 0.5) WHEN revenue >= 50000 THEN ceil(revenue / 50000) * 50000 ELSE ceil(revenue / 500) * 500 END"
 
 
-@query(f""", {LEADS} SELECT lead_id, company_name AS company, owner_name AS owner, {AMOUNT} AS revenue, {AMOUNT} + 150000 AS approval, score, status, CASE WHEN duplicate_count > 0 THEN duplicate_count END AS duplicates_excluded,
- CASE revenue_source WHEN 'application' THEN 'Application' WHEN 'verified_statements' THEN 'Statements (balances add up)' WHEN 'unverified_statements' THEN 'Statements (NOT proven)' END AS revenue_source FROM leads WHERE company_name <> 'Unassociated'""")
+def _cells(keyed: DataFrame) -> DataFrame:
+    """Documents with what the sheets read: contacts in two spellings, dates of forms, ending balances."""
+    n, number = F.col("doc_id"), F.floor(F.col("doc_id") / 6).cast("long")
+    app = F.col("doc_type") == "application"
+    mail = F.concat(F.lit("u"), (n % 3).cast("string"), F.lit("@x.org"))
+    day = F.lpad((n % 9 + 1).cast("string"), 2, "0")
+    return keyed.withColumns({
+        "phones": F.when(app, F.array((n % 4 + 2125550000).cast("string"), F.lit(" "), (number + 2125550000).cast("string"))), "emails": F.when(app & (n % 4 != 0), F.array(F.when(n % 2 == 0, F.upper(mail)).otherwise(mail))),
+        "app_date": F.when(app & (n % 2 == 0), F.concat(F.lit("01/"), day, F.lit("/2026"))), "start_date": F.when(app & (n % 3 != 1), F.concat(F.lit("02/"), day, F.lit("/2011"))), "ending": F.when(n % 3 != 0, n * 1.5),
+    })
+
+
+CELLS = f"""cell AS (SELECT *, company_no || ' Main St, Austin, TX 78753' AS address, CASE WHEN doc_type = 'application' THEN [CAST(doc_id % 4 + 2125550000 AS VARCHAR), CAST(company_no + 2125550000 AS VARCHAR)] END AS phones, CASE WHEN doc_type = 'application' AND doc_id % 4 <> 0 THEN CASE WHEN doc_id % 2 = 0 THEN 'U' || doc_id % 3 || '@X.ORG' ELSE 'u' || doc_id % 3 || '@x.org' END END AS email,
+ CASE WHEN doc_type = 'application' AND doc_id % 2 = 0 THEN '01/0' || (doc_id % 9 + 1) || '/2026' END AS app_date, CASE WHEN doc_type = 'application' AND doc_id % 3 <> 1 THEN '02/0' || (doc_id % 9 + 1) || '/2011' END AS start_date, CASE WHEN doc_id % 3 <> 0 THEN doc_id * 1.5 END AS ending FROM merged),
+real_docs AS (SELECT *, row_number() OVER (PARTITION BY lead_id ORDER BY coalesce(period_end, '') DESC, arrival_no) AS spot FROM cell WHERE doc_type = 'bank_statement' AND duplicate_of IS NULL AND NOT is_mtd),
+entries AS (SELECT lead_id, doc_id, row_number() OVER (PARTITION BY lead_id ORDER BY spot) AS place, coalesce(period_end, filename) || ' • ' || coalesce(regexp_replace(CAST(CAST(coalesce(true_revenue, total_deposits) AS DECIMAL(18,2)) AS VARCHAR), '\\.?0+$', ''), '—') || ' • ' || coalesce(regexp_replace(CAST(CAST(ending AS DECIMAL(18,2)) AS VARCHAR), '\\.?0+$', ''), '—') || ' • ' || CASE WHEN reconciles THEN 'balances add up' WHEN NOT reconciles THEN 'does not add up' ELSE 'not proven' END AS entry FROM real_docs WHERE status IN ('complete', 'needs_review'))"""
+
+
+@query(f""", {LEADS}, {POSITIONS}, {CELLS},
+stm AS (SELECT lead_id, string_agg(entry, ' · ' ORDER BY place) AS statements FROM entries GROUP BY 1),
+bnk AS (SELECT lead_id, string_agg(entry, ' · ' ORDER BY spot) AS bank FROM (SELECT lead_id, bank || ' • ' || account AS entry, min(spot) AS spot FROM real_docs WHERE bank IS NOT NULL GROUP BY 1, 2) GROUP BY 1),
+mca AS (SELECT lead_id, string_agg(funder || ' • $' || burden || '/mo', ' · ' ORDER BY spot, funder) AS mca FROM (SELECT lead_id, funder, min(spot) AS spot, CAST(floor(CAST(sum(CAST(monthly_burden AS DECIMAL(18,2))) AS DOUBLE) + 0.5) AS BIGINT) AS burden FROM positions p JOIN real_docs r ON r.doc_id = p.doc_id GROUP BY 1, 2) GROUP BY 1),
+forms AS (SELECT *, bool_or(duplicate_of IS NULL) OVER w AS any_unique, min(arrival_no) OVER w AS first_no FROM cell WHERE doc_type = 'application' WINDOW w AS (PARTITION BY lead_id)),
+good AS (SELECT * FROM forms WHERE CASE WHEN any_unique THEN duplicate_of IS NULL ELSE arrival_no = first_no END),
+phone_rows AS (SELECT lead_id, v, min(arrival_no * 10 + i) AS o FROM (SELECT lead_id, arrival_no, unnest(phones) AS v, generate_subscripts(phones, 1) AS i FROM good) GROUP BY 1, 2),
+tel AS (SELECT lead_id, string_agg(v, ' • ' ORDER BY o) AS phone FROM phone_rows GROUP BY 1),
+mail AS (SELECT lead_id, string_agg(v, ' • ' ORDER BY o) AS email FROM (SELECT lead_id, lower(email) AS same, min_by(email, arrival_no) AS v, min(arrival_no) AS o FROM good WHERE email IS NOT NULL GROUP BY 1, 2) GROUP BY 1),
+best AS (SELECT lead_id, address, app_date, start_date FROM (SELECT *, row_number() OVER (PARTITION BY lead_id ORDER BY {RANK_SQL}) AS p FROM cell WHERE doc_type = 'application') WHERE p = 1),
+home AS (SELECT lead_id, min_by(address, arrival_no) AS stated FROM cell WHERE doc_type = 'bank_statement' GROUP BY 1)
+SELECT lead_id, company_name AS company, owner_name AS owner, {AMOUNT} AS revenue, {AMOUNT} + 150000 AS approval, phone, email, coalesce(address, stated) AS address, app_date, statements, bank, start_date AS bsd, mca, score, status, CASE WHEN duplicate_count > 0 THEN duplicate_count END AS duplicates_excluded,
+ CASE revenue_source WHEN 'application' THEN 'Application' WHEN 'verified_statements' THEN 'Statements (balances add up)' WHEN 'unverified_statements' THEN 'Statements (NOT proven)' END AS revenue_source
+ FROM leads LEFT JOIN stm USING (lead_id) LEFT JOIN bnk USING (lead_id) LEFT JOIN mca USING (lead_id) LEFT JOIN tel USING (lead_id) LEFT JOIN mail USING (lead_id) LEFT JOIN best USING (lead_id) LEFT JOIN home USING (lead_id) WHERE company_name <> 'Unassociated'""")
 def results_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.results_sheet(_leads(spark, sf_dir))
+    keyed = kept(_cells(G.merge_same_address(G.lead_keys(B.facts(spark, sf_dir)))))  # read by each list
+    return G.results_sheet(G.lead_facts(keyed), keyed, _positions(spark, sf_dir))
+
+
+@query(f", {MERGED}, {CELLS} SELECT lead_id, place, doc_id, entry FROM entries WHERE place <= 6")
+def newest_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The six newest statements that a lead's row shows."""
+    return G.newest_statements(_cells(G.merge_same_address(G.lead_keys(B.facts(spark, sf_dir)))), 6)
+
+
+@query(f""", {ITEMS}, {MERGED}, items AS ({ORACLE_SQL['review_items'].split(POSITIONS, 1)[1]}),
+placed AS (SELECT m.lead_id, i.doc_id, i.type, row_number() OVER (PARTITION BY m.lead_id ORDER BY m.arrival_no, i.type, coalesce(i.detail, '')) AS place FROM items i JOIN merged m USING (doc_id))
+SELECT lead_id, place, doc_id, type FROM placed WHERE place <= 6""")
+def first_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keyed = G.merge_same_address(G.lead_keys(B.facts(spark, sf_dir)))
+    return G.first_issues(keyed, review_items(spark, sf_dir), 6)
+
+
+@query(f""", {LEADS} SELECT (SELECT count(*) FROM facts) AS files, (SELECT count(*) FROM facts WHERE status = 'failed') AS failed, count(*) AS leads, count(*) FILTER (status = 'complete') AS complete, count(*) FILTER (status = 'needs_review') AS review, count(*) FILTER (status = 'complete' AND company_name <> 'Unassociated') AS ready,
+ CAST(sum(CAST(revenue AS DECIMAL(18,2))) AS DOUBLE) AS revenue, CAST(floor(avg(score) + 0.5) AS BIGINT) AS mean_score, CAST(floor((SELECT count(*) FROM facts WHERE status IN ('complete', 'needs_review', 'failed', 'stopped', 'skipped')) * 100 / (SELECT count(*) FROM facts) + 0.5) AS BIGINT) AS progress FROM leads""")
+def header_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = B.facts(spark, sf_dir)
+    return G.header_stats(f, _leads(spark, sf_dir))
 
 
 @query(f""", {LEADS} SELECT count(*) FILTER (company_name = 'Unassociated') AS missing_company, count(*) FILTER (status = 'needs_review') AS needs_review, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (score > 0 AND score < 70) AS low_score,
@@ -208,7 +262,6 @@ def possible_same_business(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.possible_same_business(_leads(spark, sf_dir))
 
 
-RANK = "duplicate_of IS NULL DESC, CASE WHEN duplicate_of IS NULL THEN CASE WHEN kind = 'contact_sheet' THEN 0 ELSE 100 END + coalesce(fields_found, 0) ELSE 0 END DESC, arrival_no"
 AS_PRINTED = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'))"
 
 
@@ -220,7 +273,7 @@ def _differing(keyed: DataFrame) -> DataFrame:
 
 
 @query(f""", {MERGED}, m AS (SELECT *, CASE WHEN doc_id % 7 = 3 THEN '99 Other Rd, Dallas, TX 75201' ELSE company_no || ' Main St, Austin, TX 78753' END AS address, CASE doc_id % 4 WHEN 1 THEN 'Trade ' || company_no WHEN 3 THEN 'TRADE-' || company_no || CASE WHEN doc_id % 3 = 0 THEN ' East' ELSE '' END END AS dba FROM merged),
-a AS (SELECT lead_id, company AS n, dba AS d, address AS w FROM (SELECT *, row_number() OVER (PARTITION BY lead_id ORDER BY {RANK}) AS p FROM m WHERE doc_type = 'application') WHERE p = 1),
+a AS (SELECT lead_id, company AS n, dba AS d, address AS w FROM (SELECT *, row_number() OVER (PARTITION BY lead_id ORDER BY {RANK_SQL}) AS p FROM m WHERE doc_type = 'application') WHERE p = 1),
 s AS (SELECT m.lead_id, count(DISTINCT lower(company)) AS name_count, count(DISTINCT lower(dba)) AS dba_count, count(DISTINCT address) AS address_count, bool_or(coalesce({AS_PRINTED.format('company')} <> {AS_PRINTED.format('n')}, false)) AS name_differs, bool_or(coalesce({AS_PRINTED.format('dba')} <> {AS_PRINTED.format('d')}, false)) AS dba_differs, bool_or(coalesce(address <> w, false)) AS address_differs FROM m LEFT JOIN a USING (lead_id) WHERE doc_type = 'bank_statement' GROUP BY 1)
 SELECT DISTINCT m.lead_id, {', '.join(f'coalesce({x}_count, 0) AS {x}_count, coalesce({x}_differs, false) AS {x}_differs' for x in ('name', 'dba', 'address'))} FROM m LEFT JOIN s USING (lead_id)""")
 def company_info(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -265,15 +318,26 @@ def type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.facts(spark, sf_dir).groupBy("doc_type").agg(F.count("*").cast("long").alias("documents"))
 
 
-@query(f"""SELECT doc_id, filename, doc_type, status, company, bank, 'XXXX' || right(account, 4) AS account, CAST(doc_id AS DOUBLE) AS withdrawals, CAST({SCORE} AS BIGINT) AS score FROM facts""")
+@query(f"""SELECT doc_id, filename, CASE WHEN status IN ('complete', 'needs_review', 'failed') THEN status ELSE 'needs_review' END AS status, company AS company_name, CASE WHEN doc_id % 4 = 1 THEN 'Trade ' || company_no END AS dba, CASE WHEN doc_type = 'bank_statement' THEN company END AS statement_name, company_no || ' Main St, Austin, TX 78753' AS address, bank,
+ 'XXXX' || right(account, 4) AS account_number, nullif(concat_ws(' - ', CASE WHEN doc_id % 3 = 0 THEN substr(period_end, 6, 2) || '/01/' || left(period_end, 4) END, substr(period_end, 6, 2) || '/' || right(period_end, 2) || '/' || left(period_end, 4)), '') AS statement_period, CAST(doc_id AS DOUBLE) AS opening_balance, CASE WHEN doc_id % 3 <> 0 THEN doc_id * CAST(1.5 AS DOUBLE) END AS ending_balance,
+ CAST(total_deposits AS DOUBLE) AS deposits, CAST(CASE WHEN doc_id % 2 = 0 THEN doc_id ELSE doc_id + 1 END AS DOUBLE) AS withdrawals, reconciles, CAST(true_revenue AS DOUBLE) AS revenue, CASE WHEN level IN ('high', 'medium', 'low') THEN level END AS confidence_level, doc_id % 6 AS pages_read, used_ocr, floor(CAST(points AS DOUBLE) / 4 * 100 + 0.5) / 100 AS extraction_score, NULL AS time_taken FROM facts""")
 def document_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = B.facts(spark, sf_dir).withColumns({"statement_withdrawals": F.when(F.col("doc_id") % 2 == 0, F.col("doc_id")), "total_debits": F.col("doc_id")})
+    n = F.col("doc_id")
+    f = B.facts(spark, sf_dir).withColumns({
+        "summary_withdrawals": F.when(n % 2 == 0, n.cast("double")), "total_debits": (n + 1).cast("double"), "dba": F.when(n % 4 == 1, F.concat(F.lit("Trade "), F.floor(n / 6).cast("string"))), "holder_name": F.when(F.col("doc_type") == "bank_statement", F.col("company")),
+        "period_start": F.when(n % 3 == 0, F.concat(F.substring("period_end", 1, 8), F.lit("01"))), "opening": n.cast("double"), "ending": F.when(n % 3 != 0, n * 1.5), "pages_read": n % 6,
+    })
     return G.document_sheet(f)
 
 
-@query("""SELECT doc_id, CASE WHEN bank IS NOT NULL THEN bank WHEN used_ocr THEN 'OCR failed' ELSE 'Blank' END AS bank FROM facts""")
+MISSING = "CASE WHEN used_ocr THEN 'OCR failed' ELSE 'Blank' END"
+
+
+@query(f"""SELECT doc_id, coalesce(bank, {MISSING}) AS bank, CASE WHEN bank IS NULL AND company IS NULL THEN {MISSING} ELSE concat_ws(' / ', bank, company) END AS names, CASE WHEN true_revenue IS NULL THEN {MISSING} ELSE '$' || format('{{:,}}', CAST(floor(true_revenue + 0.5) AS BIGINT)) END AS revenue FROM facts""")
 def display_value(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.facts(spark, sf_dir).select("doc_id", G.display_value(F.col("bank"), F.col("used_ocr")).alias("bank"))
+    c, ocr = F.col, F.col("used_ocr")
+    names = F.array_join(G.display_list(F.array("bank", F.lit(" "), "company"), ocr), " / ")
+    return B.facts(spark, sf_dir).select("doc_id", G.display_value(c("bank"), ocr).alias("bank"), names.alias("names"), G.display_money(c("true_revenue"), ocr).alias("revenue"))
 
 
 @query("""SELECT doc_id, 'status' AS field, status AS old, 'complete' AS new FROM facts WHERE doc_id % 5 = 0 AND status <> 'complete' UNION ALL SELECT doc_id, 'bank', bank, NULL FROM facts WHERE doc_id % 7 = 0 AND bank IS NOT NULL""")

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerspark.operators import leads as G
 
 SCHEMA = (
     "doc_id long, arrival_no long, filename string, doc_type string, kind string, company string, company_source string, holder_name string, dba string, owner string, address string, duplicate_of long, is_mtd boolean, status string, "
-    "fields_found int, stated_revenue double, true_revenue double, total_deposits double, reconciles boolean, points int, level string, review_count int, period_end string, phones array<string>, emails array<string>"
+    "fields_found int, stated_revenue double, true_revenue double, total_deposits double, reconciles boolean, points int, level string, review_count int, period_end string, phones array<string>, emails array<string>, bank string, account string"
 )
 
 
@@ -82,3 +83,30 @@ def test_positions_in_order_without_a_setting(spark):
     d = spark.createDataFrame(rows, "lead_id string, revenue double, score int, company_name string").repartition(7)
     want = [r[0] for r in sorted(rows, key=lambda r: (-r[1], -r[2], r[3].lower(), r[0]))]
     assert [r["lead_id"] for r in G.numbered(d).orderBy("position").collect()] == want
+
+
+def test_newest_statements_keep_few_rows_before_they_are_dealt(spark):
+    rows = [doc(i, f"{i}.pdf", company="Hot Co", period_end=f"2026-{i % 12 + 1:02}-28" if i % 5 else None, reconciles=[True, False, None][i % 3], total_deposits=i / 4, status=["complete", "needs_review", "queued"][i % 7 % 3]) for i in range(400)]
+    keyed = spark.createDataFrame([tuple(d.values()) for d in rows], SCHEMA).withColumn("lead_id", F.lower("company"))
+    newest = G.newest_statements(keyed, 6)
+    assert "WindowGroupLimit" in newest._jdf.queryExecution().executedPlan().toString()  # six rows of each task at most are dealt
+    want = sorted((d for d in rows if d["status"] != "queued"), key=lambda d: d["arrival_no"])
+    want = sorted(want, key=lambda d: d["period_end"] or "", reverse=True)
+    assert [r["doc_id"] for r in newest.orderBy("place").collect()] == [d["doc_id"] for d in want[:6]]
+    assert G.newest_statements(keyed).count() == len(want)
+
+
+def test_cells_of_the_sheet(spark, keyed, lead_of):
+    positions = spark.createDataFrame([(17, "Kapitus", 100.4), (18, "OnDeck", 7.0), (18, "Kapitus", 50.2), (13, "FundX", 9.0)], "doc_id long, funder string, monthly_burden double")
+    got = {r["lead_id"]: r for r in G.results_sheet(G.lead_facts(keyed), keyed, positions).collect()}
+    trio, mono = got[lead_of[16]], got[lead_of[11]]
+    assert len(trio) == 17 and (trio["owner"], trio["phone"], trio["email"], trio["address"], trio["mca"]) == ("Form", "8 • 9", None, "5 Oak Ave, Reno, NV 89501", "Kapitus • $151/mo · OnDeck • $7/mo")
+    assert trio["statements"] == "g.pdf • — • — • not proven · h.pdf • — • — • not proven"
+    assert (mono["phone"], mono["email"], mono["mca"], mono["statements"], mono["duplicates_excluded"]) == ("1", "a@x.org", None, None, 3)
+    assert lead_of[10] not in got
+
+
+def test_numbers_and_labels(spark):
+    d = spark.range(1)
+    row = d.select(*[G.plain_number(F.lit(x)).alias(f"n{i}") for i, x in enumerate((100.0, 1234.5, 0.25, 0.0))], G.display_list(F.array(F.lit(" "), F.lit(None)), F.lit(True)).alias("l"), G.display_money(F.lit(-2.5), F.lit(False)).alias("m"), G.short_period(F.lit(None).cast("string"), F.lit("2026-01-31")).alias("p")).first()
+    assert tuple(row) == ("100", "1234.5", "0.25", "0", ["OCR failed"], "$-2", "01/31/2026")
