@@ -365,7 +365,7 @@ def stated_revenue(value: Column) -> Column:
 
 
 def folder_of(filename: Column) -> Column:
-    parts = F.filter(F.transform(F.split(text_of(filename), "/"), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(text_of(filename), "/"), lambda x: F.trim(x)), lambda x: x != "")
     return F.when(F.size(parts) > 1, F.get(parts, F.size(parts) - 2))
 
 

@@ -168,3 +168,28 @@ def amounts_near_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     total = F.when(F.size("amounts") > 0, F.aggregate("amounts", F.lit(0).cast("decimal(28,2)"), lambda x, y: (x + y).cast("decimal(28,2)"))).cast("double")
     money = {f"{s}_amount": F.col(f"{s}_amount").cast("double") for s in ("next", "previous")}
     return H.amounts_near(lines).select("doc_id", "line_no", F.size("amounts").cast("long").alias("n_amounts"), total.alias("total"), money["next_amount"].alias("next_amount"), "next_line", money["previous_amount"].alias("previous_amount"), "previous_line")
+
+
+KEY_NAME = "coalesce(legal_name, dba, source || ' Traders, Inc.')"
+KEYS = f"""{NAMES}, printed AS (SELECT companies.doc_id, {KEY_NAME} AS name FROM companies JOIN documents ON documents.doc_id = companies.doc_id),
+spaced AS (SELECT doc_id, name, trim(regexp_replace(replace(name, chr(160), ' '), '\\s+', ' ', 'g')) AS s FROM printed),
+key_words AS (SELECT doc_id, name, list_transform(list_filter(string_split(trim(regexp_replace(regexp_replace(lower({stripped_sql('s')}), '[''’]s\\b', '', 'g'), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '' AND x <> 's'), lambda x: CASE WHEN length(x) >= 4 AND ends_with(x, 's') AND NOT ends_with(x, 'ss') THEN left(x, length(x) - 1) ELSE x END) AS words FROM spaced),
+key_joined AS (SELECT doc_id, name, array_to_string(words, ' ') AS j, trim(regexp_replace(array_to_string(words, ' '), {q(L.NAME_SUFFIX)}, '')) AS short FROM key_words)"""
+
+
+@query(f"{KEYS} SELECT doc_id, name, CASE WHEN coalesce(j, '') = '' THEN 'unassociated' WHEN short = '' THEN j ELSE short END AS company_key FROM key_joined")
+def company_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The key of the name that each statement prints, else of its source as a company's."""
+    d = with_bank(spark, sf_dir)
+    source = B.table(spark, sf_dir, "documents").select("doc_id", F.concat("source", F.lit(" Traders, Inc.")).alias("other"))
+    named = H.company_names(d).join(source, "doc_id").select("doc_id", F.coalesce("legal_name", "dba", "other").alias("name"))
+    return named.withColumn("company_key", T.company_key(F.col("name")))
+
+
+@query(f"""SELECT doc_id, line_no, line, nullif(lower(regexp_extract(line, '\\b(\\d+[A-Za-z]?)\\b', 1)), '') AS house, list_last(regexp_extract_all(line, '\\b(\\d{{5}})(?:-\\d{{4}})?\\b', 1)) AS postcode,
+ CASE WHEN {has('line', L.TOWN)} THEN trim(lower(regexp_extract(line, {q(L.TOWN)}, 1))) || ' ' || lower(regexp_extract(line, {q(L.TOWN)}, 2)) END AS town FROM (SELECT doc_id, line_no, line FROM lines WHERE {has('line', L.STREET)} OR {has('line', L.TOWN)} OR {has('line', L.POST_BOX)})""")
+def address_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What tells a place on every line that has a street, a town or a post box."""
+    line = F.col("line")
+    d = S.explode_lines(texts(spark, sf_dir)).where(line.rlike(L.STREET) | line.rlike(r"[A-Za-z]\s+\d{5}") & line.rlike(L.TOWN) | line.rlike(L.POST_BOX))
+    return d.select("doc_id", "line_no", "line", T.address_parts(line).alias("p")).select("doc_id", "line_no", "line", "p.house", "p.postcode", "p.town")

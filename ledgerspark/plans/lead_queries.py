@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import analytics as A
 from ..operators import leads as G
 from ..operators import verdicts as V
 from ..sources import bridge as B
 from ..sources.store import kept
+from .text_queries import period_sql
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -47,9 +49,11 @@ def confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.confidence(B.facts(spark, sf_dir)).select("doc_id", "points", "level", F.array_join("reasons", ",").alias("reasons"))
 
 
-@query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'missing' WHEN 1 THEN 'high' WHEN 2 THEN 'low' ELSE 'medium' END AS confidence FROM facts""")
+@query(f"SELECT doc_id, CASE WHEN source IS NULL THEN 'missing' WHEN starts_with(source, 'document_text') THEN 'high' WHEN starts_with(source, 'filename') THEN 'low' ELSE 'medium' END AS confidence FROM ({period_sql()})", B.DOCS_SQL)
 def field_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.facts(spark, sf_dir).select("doc_id", V.field_confidence(B.pick([None, "document_text_word_range", "filename_month", "ocr_range_end"], F.col("doc_id"))).alias("confidence"))
+    """How sure each text's statement period is, by where it was read."""
+    d = B.document_texts(spark, sf_dir)
+    return d.select("doc_id", V.field_confidence(T.statement_period(F.col("raw_text"), F.col("filename"), 2026)["source"]).alias("confidence"))
 
 
 @query("""SELECT doc_id, CASE WHEN doc_type = 'unknown' AND (doc_id % 2 > 0 OR coalesce(reconciles, false)) THEN 'bank_statement' ELSE doc_type END AS doc_type, CASE WHEN review_count > 0 THEN 'needs_review' ELSE 'complete' END AS status FROM facts""")

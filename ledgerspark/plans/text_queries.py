@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
@@ -74,10 +74,13 @@ def has_printed_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.document_texts(spark, sf_dir).select("doc_id", T.has_printed_amounts(F.col("raw_text")).alias("printed"))
 
 
-@query(f"""SELECT doc_id, CASE WHEN v = '' THEN NULL WHEN regexp_matches(v, '^\\(.*\\)$|^-|-\\s*$') THEN -n ELSE n END AS amount FROM (
- SELECT doc_id, v, CAST(TRY_CAST(regexp_replace(v, '[^\\d.]', '', 'g') AS DECIMAL(18,2)) AS DOUBLE) AS n FROM (SELECT doc_id, {B.sql_pick(B.AMOUNTS, 'doc_id')} AS v FROM docs))""")
+@query(f"""SELECT doc_id, line_no, place, CASE WHEN v = '' THEN NULL WHEN regexp_matches(v, '^\\(.*\\)$|^-|-\\s*$') THEN -n ELSE n END AS amount FROM (
+ SELECT *, CAST(TRY_CAST(regexp_replace(v, '[^\\d.]', '', 'g') AS DECIMAL(18,2)) AS DOUBLE) AS n FROM (SELECT doc_id, line_no, trim(unnest(regexp_extract_all(line, {q(T.AMOUNT)}))) AS v, generate_subscripts(regexp_extract_all(line, {q(T.AMOUNT)}), 1) AS place FROM lines))""")
 def parse_amount(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.document_texts(spark, sf_dir).select("doc_id", T.parse_amount(B.pick(B.AMOUNTS, F.col("doc_id"))).cast("double").alias("amount"))
+    """Every amount that a line prints, with its sign."""
+    lines = S.explode_lines(B.document_texts(spark, sf_dir))
+    found = lines.select("doc_id", "line_no", F.posexplode(F.regexp_extract_all("line", F.lit(T.AMOUNT), 0)).alias("at", "v"))
+    return found.select("doc_id", "line_no", (F.col("at") + 1).cast("long").alias("place"), T.parse_amount(F.col("v")).cast("double").alias("amount"))
 
 
 def iso_sql(y: str, m: str, d: str) -> str:
@@ -109,10 +112,12 @@ def parse_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("doc_id", "line_no", T.parse_date(F.col("line")).cast("string").alias("iso_date")).where("iso_date is not null")
 
 
-@query("""SELECT doc_id, CASE WHEN yy > 50 THEN 1900 + yy ELSE 2000 + yy END AS ledger_year, CASE WHEN yy >= 30 THEN 1900 + yy ELSE 2000 + yy END AS field_year FROM (SELECT doc_id, doc_id % 100 AS yy FROM docs)""")
+@query(f"""SELECT doc_id, line_no, place, CAST({year_sql('y', 50)} AS BIGINT) AS ledger_year, CAST({year_sql('y', 29)} AS BIGINT) AS field_year FROM (SELECT doc_id, line_no, unnest(regexp_extract_all(line, {q(L.NUMBER_DATE)}, 3)) AS y, generate_subscripts(regexp_extract_all(line, {q(L.NUMBER_DATE)}, 3), 1) AS place FROM lines)""")
 def complete_year(spark: SparkSession, sf_dir: str) -> DataFrame:
-    yy = F.lpad((F.col("doc_id") % 100).cast("string"), 2, "0")
-    return B.document_texts(spark, sf_dir).select("doc_id", T.full_year(yy, 50).cast("long").alias("ledger_year"), T.full_year(yy, 29).cast("long").alias("field_year"))
+    """The year of every date that a line prints, by the ledger's rule and by the fields' rule."""
+    lines = S.explode_lines(B.document_texts(spark, sf_dir))
+    found = lines.select("doc_id", "line_no", F.posexplode(F.regexp_extract_all("line", F.lit(L.NUMBER_DATE), 3)).alias("at", "y"))
+    return found.select("doc_id", "line_no", (F.col("at") + 1).cast("long").alias("place"), *[T.full_year(F.col("y"), cut).cast("long").alias(name) for name, cut in (("ledger_year", 50), ("field_year", 29))])
 
 
 def period_sql() -> str:
@@ -145,27 +150,6 @@ def statement_period(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.col("p.start").alias("period_start"), F.col("p.end").alias("period_end"), F.col("p.source").alias("source"))
 
 
-KEY = f"""named AS (SELECT doc_id, {B.sql_pick(B.NAMES, 'doc_id')} AS name FROM docs),
-w AS (SELECT doc_id, name, list_transform(list_filter(string_split(trim(regexp_replace(regexp_replace(lower(trim(regexp_replace(name, '\\s+', ' ', 'g'))), '[''’]s\\b', '', 'g'), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '' AND x <> 's'),
- lambda x: CASE WHEN length(x) >= 4 AND ends_with(x, 's') AND NOT ends_with(x, 'ss') THEN left(x, length(x) - 1) ELSE x END) AS words FROM named),
-j AS (SELECT doc_id, name, array_to_string(words, ' ') AS joined, trim(regexp_replace(array_to_string(words, ' '), {q(L.NAME_SUFFIX)}, '')) AS short FROM w),
-keys AS (SELECT doc_id, name, CASE WHEN joined = '' THEN 'unassociated' WHEN short = '' THEN joined ELSE short END AS company_key FROM j)"""
-
-
-@query(f", {KEY} SELECT * FROM keys")
-def company_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = B.document_texts(spark, sf_dir).select("doc_id", B.pick(B.NAMES, F.col("doc_id")).alias("name"))
-    return d.withColumn("company_key", T.company_key(F.col("name")))
-
-
-@query(f""", a AS (SELECT doc_id, {B.sql_pick(B.STREETS, 'doc_id')} AS v FROM docs),
-p AS (SELECT doc_id, v, nullif(lower(regexp_extract(v, '\\b(\\d+[A-Za-z]?)\\b', 1)), '') AS house, list_last(regexp_extract_all(v, '\\b(\\d{{5}})(?:-\\d{{4}})?\\b', 1)) AS postcode FROM a)
-SELECT doc_id, house, postcode, CASE WHEN regexp_matches(v, {q(L.TOWN)}) THEN trim(lower(regexp_extract(v, {q(L.TOWN)}, 1))) || ' ' || lower(regexp_extract(v, {q(L.TOWN)}, 2)) END AS town FROM p""")
-def address_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = B.document_texts(spark, sf_dir).select("doc_id", T.address_parts(B.pick(B.STREETS, F.col("doc_id"))).alias("p"))
-    return d.select("doc_id", "p.house", "p.postcode", "p.town")
-
-
 @query(f""", p AS (SELECT doc_id, list_transform(regexp_extract_all(raw_text, {q(L.PHONES)}), lambda x: right(regexp_replace(x, '\\D', '', 'g'), 10)) AS d FROM docs),
 x AS (SELECT doc_id, unnest(d) AS v, generate_subscripts(d, 1) AS i FROM p), u AS (SELECT doc_id, v, min(i) AS i FROM x GROUP BY 1, 2)
 SELECT doc_id, '(' || left(v, 3) || ') ' || substr(v, 4, 3) || '-' || right(v, 4) AS phone, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS place FROM u QUALIFY place <= 8""")
@@ -199,19 +183,31 @@ def is_mtd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.document_texts(spark, sf_dir).select("doc_id", T.is_mtd(F.col("raw_text"), F.col("filename")).alias("mtd"))
 
 
-@query("""SELECT doc_id, ['Acme Tools LLC 02_11_2026', 'Blue River Foods', NULL, 'Zed Co_03-04-26', NULL, NULL, 'letters'][CAST(doc_id % 7 AS BIGINT) + 1] AS folder,
- ['Acme Tools LLC', 'Blue River Foods', NULL, 'Zed Co', NULL, NULL, 'letters'][CAST(doc_id % 7 AS BIGINT) + 1] AS folder_company, ['stmt', 'Blue River Foods', 'contacts', NULL, NULL, NULL, 'KeyBank'][CAST(doc_id % 7 AS BIGINT) + 1] AS file_company FROM docs""")
+SUFFIXES = [" LLC 02_11_2026/", "_co_03-04-26/", "/", ""]
+FILE_SQL = f"source || {B.sql_pick(SUFFIXES, 'doc_id')} || lang || {B.sql_pick([' statement ', '_jan 2026-', ' APP ', ' '], 'doc_id // 4')} || substr(regexp_replace(coalesce(text, ''), '[^A-Za-z]+', '_', 'g'), 1, 12) || '.pdf'"
+
+
+def file_name() -> Column:
+    """A path from a document's source, language and first letters, in and out of folders."""
+    n, letters = F.col("doc_id"), F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]+", "_")
+    return F.concat("source", B.pick(SUFFIXES, n), "lang", B.pick([" statement ", "_jan 2026-", " APP ", " "], F.floor(n / 4)), F.substring(letters, 1, 12), F.lit(".pdf"))
+
+
+@query(f"""SELECT doc_id, folder, CASE WHEN regexp_matches(fc, '[A-Za-z]{{3}}') THEN fc END AS folder_company, CASE WHEN regexp_matches(name, '[A-Za-z]{{3}}') AND NOT regexp_matches(name, {q(L.GENERIC_FILENAME)}) THEN substr(name, 1, 90) END AS file_company FROM (
+ SELECT doc_id, folder, trim(regexp_replace(replace(regexp_replace(folder, {q(L.FOLDER_STAMP)}, ''), '_', ' '), '\\s+', ' ', 'g')) AS fc, trim(regexp_replace(array_to_string(list_filter(string_split(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(list_last(string_split(f, '/')), '(?i)\\.[a-z0-9]+$', ''), '[_\\-]+', ' ', 'g'), {q(L.FILENAME_NOISE)}, ' ', 'g'), '\\s+', ' ', 'g')), ' '), lambda w: length(w) > 1 OR w = '&'), ' '), '[^A-Za-z0-9&.,''\\- /]', '', 'g')) AS name
+ FROM (SELECT *, CASE WHEN len(parts) > 1 THEN parts[len(parts) - 1] END AS folder FROM (SELECT doc_id, f, list_filter(list_transform(string_split(f, '/'), lambda x: trim(x)), lambda x: x <> '') AS parts FROM (SELECT doc_id, {FILE_SQL} AS f FROM documents))))""")
 def folder_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = F.col("filename")
-    return B.document_texts(spark, sf_dir).select("doc_id", T.folder_of(f).alias("folder"), T.company_from_folder(T.folder_of(f)).alias("folder_company"), T.company_from_filename(f).alias("file_company"))
+    f = F.col("f")
+    d = B.table(spark, sf_dir, "documents").select("doc_id", file_name().alias("f"))
+    return d.select("doc_id", T.folder_of(f).alias("folder"), T.company_from_folder(T.folder_of(f)).alias("folder_company"), T.company_from_filename(f).alias("file_company"))
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'APP' WHEN doc_id % 5 = 1 THEN 'MTD' WHEN doc_id % 5 = 2 THEN ['JAN', 'FEB', 'MAR'][CAST(doc_id % 3 AS BIGINT) + 1] WHEN doc_id % 5 = 3 THEN 'STM' ELSE 'DOC' END AS label FROM docs""")
+@query(f""", {SIGNALS}, p AS ({period_sql()})
+SELECT doc_id, CASE WHEN kind = 'application' THEN 'APP' WHEN regexp_matches(raw_text || ' ' || filename, {q(L.MONTH_TO_DATE)}) THEN 'MTD' WHEN TRY_CAST(period_end AS DATE) IS NOT NULL THEN upper(strftime(TRY_CAST(period_end AS DATE), '%b')) WHEN kind = 'bank_statement' THEN 'STM' ELSE 'DOC' END AS label FROM kinds JOIN p USING (doc_id)""")
 def doc_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.col("doc_id")
-    kind = F.when(n % 5 == 0, "application").when(n % 5 == 4, "unknown").otherwise("bank_statement")
-    end = F.when(n % 5 == 2, B.pick(["2026-01-31", "2026-02-28", "2026-03-31"], n))
-    return B.document_texts(spark, sf_dir).select("doc_id", T.doc_label(kind, n % 5 == 1, end).alias("label"))
+    """The label of each text by its kind, whether it is a month's preview and where its period ends."""
+    t, f = F.col("raw_text"), F.col("filename")
+    return B.document_texts(spark, sf_dir).select("doc_id", T.doc_label(T.document_kind(t), T.is_mtd(t, f), T.statement_period(t, f, 2026)["end"]).alias("label"))
 
 
 # -- statements rendered from the ledger --------------------------------------------------------
