@@ -208,7 +208,8 @@ YEAR_DATE = r"\b((?:19|20)\d{2})[/-](\d{1,2})[/-](\d{1,2})\b"
 DAY_NAME = r"(?i)^(?:Monday|Tuesday|Wednesday|Thursday|Friday|Saturday|Sunday),?\s+"
 WHOLE_ADDRESS = r"(?i)Business Address\s*:\s*(.*?)\s+City\s*:\s*(.*?)\s+State\s*:\s*([A-Za-z]{2})\s+Zip(?: Code)?\s*:\s*([0-9-]+)"
 ADDRESS_LABEL = r"(?i)\b(?:Business Address|Address|City|State|Zip(?: Code)?)\s*:\s*"
-FORM_LINE = "(?i)" + "|".join(sorted({x.lower() for some in FORM_LABELS.values() for x in some})) + rf"|^name\b|{OWNER_SECTION[4:]}|{AUTHORISATION[4:]}"
+#: One of these stands on every line that holds a label, a section's heading or a word of a date.
+FORM_WORDS = ["name", "city", "state", "zip", "dob", "date", "address", "established", "signed on", "owner", "principal", "guarantor", "applicant", "authorization"]
 EIN_NEAR, EIN_PLAIN = r"(?i)(?:Tax ID|EIN|Federal Tax ID)[^\d]{0,20}(\d{2})[-\s]?(\d{7})", r"\b(\d{2})[-\s](\d{7})\b"
 SSN = r"(?i)(?:Social Security NO|Social Security|SSN)[^\d]{0,20}(\d{3})[-\s]?(\d{2})[-\s]?(\d{4})"
 REVENUE = r"\$?\s*(\d{1,3}(?:,\d{3})+(?:\.\d{2})?|\d{4,}(?:\.\d{2})?|\d{1,3}\.\d{2})"

@@ -336,7 +336,8 @@ def emails(value: Column) -> Column:
     tight = F.regexp_replace(F.regexp_replace(raw, r"\s*@\s*", "@"), r"\s*\.\s*([a-z]{2,}(?:\s|$))", ".$1")
     flat = F.regexp_replace(F.regexp_replace(F.regexp_replace(raw, r"[\r\n]+", " "), r"\s*@\s*", "@"), r"\s*\.\s*", ".")
     found = F.concat(*[F.regexp_extract_all(x, F.lit(f"({L.EMAILS})")) for x in (raw, tight, flat)])
-    return F.slice(F.array_distinct(F.transform(found, lambda x: F.regexp_replace(x, r"^\.+|\.+$", ""))), 1, 8)
+    kept = F.slice(F.array_distinct(F.transform(found, lambda x: F.regexp_replace(x, r"^\.+|\.+$", ""))), 1, 8)
+    return F.when(raw.contains("@"), kept).otherwise(F.array().cast("array<string>"))
 
 
 def ein(value: Column) -> Column:
@@ -361,7 +362,7 @@ def stated_revenue(value: Column) -> Column:
 
         return F.coalesce(F.floor(read(L.MONTHLY_LABEL) + 0.5), F.floor(read(L.ANNUAL_LABEL) / 12 + 0.5)).cast("double")
 
-    return let(clean_lines(value), found)
+    return F.when(F.lower(text_of(value)).rlike("revenue|sales"), let(clean_lines(value), found))
 
 
 def folder_of(filename: Column) -> Column:

@@ -9,6 +9,8 @@ A null or empty text has no fields. A date that the calendar doesn't have is non
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -117,8 +119,11 @@ def label_rows(docs: DataFrame) -> DataFrame:
     """doc_id, line_no (from 0), line, below (the five lines after it) and of its document section (the last owner heading's line up to it),
     address_at and signed_at (the first lines of those blocks, 0 if there is none): the lines that can tell a field."""
 
+    def tells(low: Column) -> Column:
+        return functools.reduce(lambda a, b: a | b, [low.contains(x) for x in L.FORM_WORDS])
+
     def near(lines: Column) -> Column:
-        at = F.filter(F.sequence(F.lit(0), F.size(lines)), lambda i: F.coalesce(F.get(lines, i).rlike(L.FORM_LINE), F.lit(False)))
+        at = F.filter(F.sequence(F.lit(0), F.size(lines)), lambda i: F.coalesce(T.let(F.lower(F.get(lines, i)), tells), F.lit(False)))
         return F.transform(at, lambda i: F.struct(i.alias("line_no"), F.get(lines, i).alias("line"), F.slice(lines, i + 2, F.lit(5)).alias("below")))
 
     w = Window.partitionBy("doc_id")
