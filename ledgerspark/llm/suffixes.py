@@ -56,15 +56,29 @@ def _place(by: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, at - np.maximum.accumulate(np.where(new, at, 0))
 
 
+def _through_runs(suffixes: np.ndarray, run_start: np.ndarray) -> np.ndarray:
+    """A bucket's suffixes in the order of a scan that starts from these: each round adds the suffixes one letter
+    before those of the round before, as far as a run of the bucket's letter goes. What a run adds is an arithmetic
+    sequence, so all rounds are placed at once."""
+    longer = suffixes - run_start[suffixes]
+    if not longer.any():
+        return suffixes
+    size = longer + 1
+    back = np.arange(size.sum()) - np.repeat(_starts(size), size)
+    all_of = np.repeat(suffixes, size) - back
+    return all_of if len(suffixes) == 1 else all_of[np.argsort(back, kind="stable")]
+
+
 def _induce(text: np.ndarray, s_type: np.ndarray, lms: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The suffix array that the leftmost-S suffixes, in the order given, induce.
 
-    Buckets are scanned in order; within a bucket only runs of its own letter add to it, so it's scanned in
-    rounds, each a few array operations.
+    Buckets are scanned in order, a few array operations each: what a bucket adds to itself are runs of its letter,
+    placed by arithmetic; what it adds to others follows in the bucket's order.
     """
     n = len(text)
     heads, ends = _starts(sizes), np.cumsum(sizes)
     array = np.full(n, -1, np.int64)
+    run_start = np.maximum.accumulate(np.where(np.concatenate(([True], text[1:] != text[:-1])), np.arange(n), 0)) if n else np.zeros(0, np.int64)
     if len(sizes) < 1 << 16:
         text = text.astype(np.uint16)  # such keys are sorted by radix
 
@@ -76,9 +90,9 @@ def _induce(text: np.ndarray, s_type: np.ndarray, lms: np.ndarray, sizes: np.nda
     # L from left to right: each bucket's L suffixes stand before its S suffixes.
     free = heads.copy()
 
-    def put(suffixes: np.ndarray, want_s: bool, step: int) -> None:
+    def put(suffixes: np.ndarray, letter: int, want_s: bool, step: int) -> None:
         before = suffixes[suffixes > 0] - 1
-        before = before[s_type[before] == want_s]
+        before = before[(s_type[before] == want_s) & (text[before] != letter)]
         if not len(before):
             return
         to = text[before]
@@ -94,21 +108,23 @@ def _induce(text: np.ndarray, s_type: np.ndarray, lms: np.ndarray, sizes: np.nda
         free[text[n - 1]] += 1
     used = np.flatnonzero(sizes)
     for c in used.tolist():
-        seen = heads[c]
-        while seen < free[c]:
-            now, seen = array[seen : free[c]].copy(), free[c]
-            put(now, False, 1)
-        put(by_letter[lms_from[c] : lms_to[c]], False, 1)
+        if free[c] > heads[c]:
+            now = _through_runs(array[heads[c] : free[c]].copy(), run_start)
+            free[c] = heads[c] + len(now)
+            array[heads[c] : free[c]] = now
+            put(now, c, False, 1)
+        put(by_letter[lms_from[c] : lms_to[c]], c, False, 1)
     l_ends = free.copy()
 
     # S from right to left.
     free = ends - 1
     for c in used[::-1].tolist():
-        seen = ends[c] - 1
-        while seen > free[c]:
-            now, seen = array[free[c] + 1 : seen + 1][::-1].copy(), free[c]
-            put(now, True, -1)
-        put(array[heads[c] : l_ends[c]][::-1].copy(), True, -1)
+        if free[c] < ends[c] - 1:
+            now = _through_runs(array[free[c] + 1 : ends[c]][::-1].copy(), run_start)
+            free[c] = ends[c] - 1 - len(now)
+            array[free[c] + 1 : ends[c]] = now[::-1]
+            put(now, c, True, -1)
+        put(array[heads[c] : l_ends[c]][::-1].copy(), c, True, -1)
     return array
 
 
@@ -119,7 +135,7 @@ def suffix_array(text: np.ndarray, letters: int, stops: bool = False) -> np.ndar
     follows it isn't compared (pieces one after another that are much alike would be compared over many of them).
     """
     n = len(text)
-    if n < 3 or letters > n:
+    if n < 3 or letters >= n:
         text = np.unique(text, return_inverse=True)[1].astype(np.int64)
         letters = int(text.max()) + 1 if n else 0
     if n < 3:
@@ -149,13 +165,16 @@ def suffix_array(text: np.ndarray, letters: int, stops: bool = False) -> np.ndar
     la, lb = size[place[a]], size[place[b]]
     differs = (la != lb) | (place[a] == len(lms) - 1) | (place[b] == len(lms) - 1)
     still, k = np.flatnonzero(~differs), 0
-    while len(still):
+    while len(still) and k < 64:
         unequal = text[a[still] + k] != text[b[still] + k]
         if stops:
             unequal |= text[a[still] + k] == 0
         differs[still[unequal]] = True
         k += 1
         still = still[~unequal & (la[still] > k)]
+    for i in still.tolist():  # few are so long, and all of them together no longer than the text
+        x, y = text[a[i] + k : a[i] + la[i]], text[b[i] + k : b[i] + la[i]]
+        differs[i] = not np.array_equal(x, y) or bool(stops and (x == 0).any())
     names = np.empty(len(lms), np.int64)
     names[place[ordered]] = np.concatenate(([0], np.cumsum(differs)))
     count = int(names.max()) + 1

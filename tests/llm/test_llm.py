@@ -4,6 +4,7 @@ import hashlib
 import math
 import os
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -560,6 +561,37 @@ def test_suffix_arrays():
             assert shared[b] == k
 
 
+def test_suffix_arrays_with_runs():
+    rng = random.Random(3)
+    for _ in range(300):
+        letters = rng.randint(1, 4)
+        plain = [x for _ in range(rng.randint(1, 12)) for x in [rng.randrange(letters)] * rng.choice([1, 1, 2, 5, 17])]
+        assert suffixes.suffix_array(np.array(plain, np.int64), letters).tolist() == sorted(range(len(plain)), key=lambda i: plain[i:])
+    # As many letters as the alphabet could hold, not all different.
+    plain = [rng.randrange(1, 4) for _ in range(257)]
+    assert suffixes.suffix_array(np.array(plain, np.int64), 257).tolist() == sorted(range(257), key=lambda i: plain[i:])
+
+
+def test_suffix_array_of_very_long_runs():
+    for letters in ([7], [7, 9]):
+        text = np.concatenate([np.resize(letters, 2_000_000), [0], np.resize(letters, 2_000_000), [0]]).astype(np.int64)
+        began = time.process_time()
+        array = suffixes.suffix_array(text, 257, stops=True)
+        assert time.process_time() - began < 30
+        assert np.array_equal(np.sort(array), np.arange(len(text)))
+        assert np.all(np.diff(text[array]) >= 0)
+        # Of suffixes with the same first letter, the one with fewer letters before its 0 comes first.
+        left = np.where(np.arange(len(text)) <= 2_000_000, 2_000_000, len(text) - 1) - np.arange(len(text))
+        for x in letters:
+            assert np.all(np.diff(left[array[text[array] == x]]) >= 0)
+
+
+def test_repeated_strings_of_long_runs(spark):
+    docs = spark.createDataFrame([(1, "a" * 3_000_000 + "b"), (2, "a" * 3_000_001), (3, "x" + "a" * 49), (4, "b" + "a" * 50 + "b")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in suffixes.remove_repeats(docs, keep_text=False).collect()}
+    assert got == {1: (3_000_001, 0, 0), 2: (3_000_001, 3_000_001, 1), 3: (50, 0, 0), 4: (52, 51, 1)}
+
+
 def test_suffix_arrays_of_pieces():
     rng = random.Random(2)
     piece = [rng.randrange(1, 4) for _ in range(30)]
