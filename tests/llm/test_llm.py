@@ -5,6 +5,7 @@ import math
 import os
 import random
 import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -425,6 +426,40 @@ def test_hmm_recursions():
     assert hmm.Model(start / start.sum(), step / step.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True)).log10(runs).sum() >= before - 1e-6
 
 
+@pytest.mark.parametrize("n, stretch", [(5, 2), (64, 16), (65, 16), (1000, 7), (300, 300), (300, 400)])
+def test_hmm_stretches_of_a_long_text(n, stretch):
+    rng = np.random.default_rng(n)
+    m = hmm.Model.of(rng.random(3) * 5, rng.random((3, 3)) * 5, rng.random((3, 6)) ** 4 * 50)
+    text = rng.integers(0, 6, n).astype(np.uint16)
+    assert math.isclose(m.log10_long(text, stretch), m.log10([text])[0], rel_tol=1e-9)
+    for got, want in zip(m.expect_long(text, stretch, 3 * stretch), m.expect([text]), strict=True):
+        assert np.allclose(got, want, rtol=2e-3, atol=1e-4)
+    runs = [text[:0], text]
+    s = hmm.anchored(np.concatenate(runs).astype(np.int64), 3, np.array([0, n]))
+    step = np.zeros((3, 3))
+    np.add.at(step, (s[:-1], s[1:]), 1)
+    start, got, emit = hmm.anchored_long(text, 3, 6, piece=11)
+    assert start[s[0]] == 1 and np.array_equal(got, step) and emit.sum() == n and np.array_equal(emit.sum(1), np.bincount(s, minlength=3))
+
+
+def test_hmm_text_of_a_million_words():
+    rng = np.random.default_rng(5)
+    m = hmm.Model.of(rng.random(7), rng.random((7, 7)), rng.random((7, 1000)))
+    text = rng.integers(0, 1000, 1_000_001).astype(np.uint16)
+    tracemalloc.start()
+    start, step, emit = m.expect_long(text, 2048, 100_000)
+    told = m.log10_long(text, 2048)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6 and math.isclose(start.sum(), 1, rel_tol=1e-3) and math.isclose(step.sum(), 1e6, rel_tol=1e-3) and math.isclose(emit.sum(), 1e6 + 1, rel_tol=1e-3)
+    assert math.isclose(told, m.log10([text])[0], rel_tol=1e-9)
+
+
+def test_slices_keep_words():
+    for text in ("", " ", "a b  c\td\u00a0e\x1ff " * 50, "x" * 300, " " * 300, "ab " * 7 + "x" * 90 + "\n"):
+        assert [w for part in hmm.slices(text, 10) for w in hmm.words_of(part)] == hmm.words_of(text)
+
+
 def plain_hmm(texts, training, states, head, rounds):
     """log10 of each text's probability by a plain Baum-Welch over whole texts, with the operator's beginning and smoothing."""
     words = [[*(t or "").encode().lower().split(), b" "] for t in texts]
@@ -478,7 +513,7 @@ def test_hmm_training_counts_whole_texts(spark):
     rng = random.Random(13)
     texts = [" ".join(rng.choice(VOCABULARY[6 * (j // 20 % 6) : 6 * (j // 20 % 6) + 6]) for j in range(n)) for n in (1, 30, 300, 700, 1500, 40, 0)] + [None, "unknown words"]
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
-    got = {r.doc_id: r.score for r in hmm.score(frame, F.col("doc_id").isin(3, 8), states=3, head=20, batch_tokens=500).collect()}
+    got = {r.doc_id: r.score for r in hmm.score(frame, F.col("doc_id").isin(3, 8), states=3, head=20, batch_tokens=500, cut=600, stretch=50).collect()}
     want = plain_hmm(texts, [i for i in range(len(texts)) if i not in (3, 8)], 3, 20, 2)
     assert all(math.isclose(got[i], x, rel_tol=2e-4) for i, x in enumerate(want))
 
