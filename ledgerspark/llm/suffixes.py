@@ -66,7 +66,10 @@ def _through_runs(suffixes: np.ndarray, run_start: np.ndarray) -> np.ndarray:
     size = longer + 1
     back = np.arange(size.sum()) - np.repeat(_starts(size), size)
     all_of = np.repeat(suffixes, size) - back
-    return all_of if len(suffixes) == 1 else all_of[np.argsort(back, kind="stable")]
+    if len(suffixes) == 1:
+        return all_of
+    key = back.astype(np.uint16) if longer.max() < 1 << 16 else back  # short keys are sorted by radix
+    return all_of[np.argsort(key, kind="stable")]
 
 
 def _induce(text: np.ndarray, s_type: np.ndarray, lms: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -92,10 +95,11 @@ def _induce(text: np.ndarray, s_type: np.ndarray, lms: np.ndarray, sizes: np.nda
 
     def put(suffixes: np.ndarray, letter: int, want_s: bool, step: int) -> None:
         before = suffixes[suffixes > 0] - 1
-        before = before[(s_type[before] == want_s) & (text[before] != letter)]
+        to = text[before]
+        leaves = (s_type[before] == want_s) & (to != letter)
+        before, to = before[leaves], to[leaves]
         if not len(before):
             return
-        to = text[before]
         order, rank = _place(to)
         before, to = before[order], to[order]
         array[free[to] + step * rank] = before
