@@ -349,18 +349,22 @@ def audit_summary(leads: DataFrame) -> DataFrame:
     return leads.agg(n(c("company_name") == "Unassociated", "missing_company"), n(c("status") == "needs_review", "needs_review"), n(c("status") == "failed", "failed"), n((c("score") > 0) & (c("score") < 70), "low_score"), F.coalesce(F.sum("duplicate_count"), F.lit(0)).cast("long").alias("duplicate_issues"), n((c("status") == "complete") & (c("company_name") != "Unassociated"), "ready"))
 
 
-def numbered(leads: DataFrame) -> DataFrame:
-    """leads with `position` from 0 in lead order: a range sort, counts per part, then numbers inside each part, so
+def numbered_by(rows: DataFrame, *order: Column | str) -> DataFrame:
+    """rows with `position` from 0 in a total order: a range sort, counts per part, then numbers inside each part, so
     no task gets all rows."""
-    ordered = leads.repartitionByRange(F.desc("revenue"), F.desc("score"), F.lower("company_name"), "lead_id").withColumn("part", F.spark_partition_id())
+    ordered = rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id())
     ordered = kept(ordered)  # both branches below then see one and the same dealing
-    inside = Window.partitionBy("part").orderBy(F.desc("revenue"), F.desc("score"), F.lower("company_name"), "lead_id")
-    placed = ordered.withColumn("inside", F.row_number().over(inside))
+    placed = ordered.withColumn("inside", F.row_number().over(Window.partitionBy("part").orderBy(*order)))
     sizes = placed.groupBy("part").agg(F.max("inside").alias("n"))
     before = sizes.withColumn("before", F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))  # a row per part
     return placed.join(before.select("part", F.coalesce("before", F.lit(0)).alias("before")), "part").withColumn("position", F.col("before") + F.col("inside") - 1).drop("part", "inside", "before")
 
 
+def numbered(leads: DataFrame) -> DataFrame:
+    """leads with `position` from 0 in lead order."""
+    return numbered_by(leads, F.desc("revenue"), F.desc("score"), F.lower("company_name"), "lead_id")
+
+
 def assign_leads(leads: DataFrame, reps: list[str], rule: str = "round_robin", threshold: float = 0.0) -> DataFrame:
     """lead_id, rep: round_robin or odd_even by position, over_threshold (revenue strictly over it to the first rep), or all to the first."""
     n = numbered(leads)
