@@ -63,10 +63,12 @@ def count_words(docs: DataFrame, least_letters: int = 5, least: int = 3, one_in:
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), pc.ascii_lower(batch.column(1)), strict=True):
                 prefix, found = zlib.crc32(f"{'' if doc_id is None else doc_id}:".encode()), runs_of(text.as_py())
+                shorter: Counter = Counter()  # apart, as what is left of a run may itself be a run to be shortened
                 for word in [w for w in found if not zlib.crc32(w.encode(), prefix) % one_in]:
                     i = zlib.crc32(word.encode(), prefix) % len(word)
-                    found[word[:i] + word[i + 1 :]] += found.pop(word)
+                    shorter[word[:i] + word[i + 1 :]] += found.pop(word)
                 counts.update(found)
+                counts.update(shorter)
                 if len(counts) > 400_000:
                     yield told()
                     counts.clear()
