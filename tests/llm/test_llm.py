@@ -391,6 +391,30 @@ def test_quality(spark, docs, rows, empty):
     assert quality.quality(docs, labels.limit(0)).where("kept").count() > 0
 
 
+def test_quality_counts_and_threshold_use_all_labelled_rows(spark):
+    """Over 20,000 rows of each part: all of the target are counted, all others fit the threshold."""
+    n, buckets = 90_000, 16
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("word").alias("text"))
+    labels = spark.range(n).select(F.col("id").alias("doc_id"), (F.col("id") % 9 > 0).cast("int").alias("quality"), F.lit(0).alias("toxic"))
+    target = labels.where((F.col("quality") == 1) & (F.pmod(F.xxhash64(F.lit(42), "doc_id"), F.lit(2)) == 0)).count()
+    assert target > 20_000 and quality.labelled(labels).count() == n
+    got = quality.ratios(docs, labels, buckets).collect()
+    share = (n + 1) / (n + buckets)
+    assert len(got) == 1 and math.isclose(got[0].ratio, math.log((target + buckets * share) / (target + buckets)) - math.log(share), rel_tol=1e-9)
+
+    def scored(last):
+        turned = F.pmod(F.xxhash64("doc_id"), F.lit(1000)) * (F.col("doc_id") + 1) / 1000.0
+        return docs.select("doc_id", F.lit(False).alias("base_failed"), F.when(F.col("doc_id") < last, turned).otherwise(F.floor("doc_id") % 7 + 0.5).alias("score"))
+
+    parts = quality.labelled(labels)
+    for last, lost in ((n, 0.001), (n, 0.5), (0, 0.3)):
+        rows = scored(last).join(parts, "doc_id").collect()
+        good = sorted(r.score for r in rows if r.part == "good")
+        low = good[max(1, math.ceil(lost * len(good))) - 1]
+        below = max((r.score for r in rows if r.part == "bad" and r.score < low), default=low - 0.1)
+        assert quality.fitted(scored(last), parts, lost).first().threshold == (low + below) / 2
+
+
 def test_hmm_base_and_totals(docs, rows, empty, spark):
     held = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
     got = hmm.score(docs, held, states=3, head=20, lookup=25).collect()
