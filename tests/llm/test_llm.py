@@ -728,6 +728,23 @@ def test_image_links_are_all_found(spark, monkeypatch):
     assert got == {r.image_id: (r.class_id, r.n_links) for r in media.copies(frame).collect()}
 
 
+def test_each_dedup_stage_of_the_pipeline_has_an_effect(spark, tmp_path):
+    """A near copy goes as a document, and lines that other documents share go from the rest."""
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    rows = [[" ".join(f"w{rng.randint(0, 9999)}" for _ in range(12)) for _ in range(20)] for _ in range(2)]
+    copy = [*rows[0][:9], "a line of its own", *rows[0][10:]]
+    rows = [(0, rows[0]), (1, copy), (2, [*rows[1], rows[0][3]])]
+    docs = spark.createDataFrame([(i, "\n".join(x), "en", "s0", 1) for i, x in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    seen = [{r.doc_id: r.text for r in docs.collect()}]
+    for _, stage in corpus_pipeline.STAGES[1:3]:
+        docs = stage(spark, docs, str(tmp_path))
+        seen.append({r.doc_id: r.text for r in docs.collect()})
+    assert seen[0] != seen[1] != seen[2]
+    assert seen[2] == {0: "\n".join(rows[0][1]), 2: "\n".join(rows[2][1][:-1])}
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
