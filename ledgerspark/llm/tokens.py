@@ -10,6 +10,7 @@ of all are gathered from theirs.
 from __future__ import annotations
 
 import os
+import re
 from array import array
 
 import numpy as np
@@ -28,6 +29,8 @@ _SOLID[33:127] = _SOLID[0xC3:0xE1] = _SOLID[0xE4:] = True
 _LETTER, _SIGN = np.zeros(256, bool), np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
 _SIGN[list(b".,!?;:*#$%&|)")] = True
+#: Parts of nothing but a-z and U+00DF to U+00FF (no division sign): no step before the merges changes or splits them.
+_SMALL = re.compile(rb"(?:[a-z]|\xC3[\x9F-\xB6\xB8-\xBF])+").fullmatch
 
 
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -46,8 +49,13 @@ class Pieces:
     otherwise; with `plain` they are ordinary text.
     """
 
+    #: Whether white space is left out of the parts, for it has no ids.
+    dense = False
+    #: For a vocabulary that marks the ends of words: a tokenizer of small letters alone, and which ids are ends.
+    small = ends = None
+
     def __init__(self, path: str, kind: str, plain: bool = False):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = plain
@@ -55,6 +63,12 @@ class Pieces:
         self.cut = {"byte": self._cut_byte, "word": self._cut_word}[kind]
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        if kind == "word":
+            vocabulary = self.tokenizer.get_vocab()
+            self.dense, self.ends = True, np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = True
+            self.small = Tokenizer(self.tokenizer.model)
+            self.small.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, trim_offsets=False, use_regex=False)])
 
     @staticmethod
     def _cut_byte(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -66,10 +80,10 @@ class Pieces:
 
     @staticmethod
     def _cut_word(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Cuts before each word, and between a letter and a sign; A-Z in lower case as the vocabulary has them, white space (without ids) alike."""
+        """Cuts before each word, and between a letter and a sign; A-Z in lower case as the vocabulary has them."""
         begins, blank = np.zeros(len(data), bool), _BLANK[data]
         begins[1:] = blank[:-1] & ~blank[1:] | _LETTER[data[:-1]] & _SIGN[data[1:]]
-        return np.where(blank, 32, np.where((data >= 65) & (data <= 90), data | 32, data)), begins
+        return np.where((data >= 65) & (data <= 90), data | 32, data), begins
 
     def _special_places(self, data: np.ndarray, edges: np.ndarray) -> list[tuple[int, int]]:
         """Where the special strings stand; none reaches over the end of a text."""
@@ -84,7 +98,17 @@ class Pieces:
 
     def _learn(self, parts: list[bytes]) -> list[bytes]:
         """The ids of parts that aren't known yet, little-endian unsigned 32-bit."""
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast([x.decode() for x in parts], add_special_tokens=False)]
+        out = [b""] * len(parts)
+        small = [i for i, x in enumerate(parts) if _SMALL(x)] if self.small is not None else []
+        if small:  # one text of words, its ids cut behind each end of a word
+            ids = np.array(self.small.encode_batch_fast([b" ".join([parts[i] for i in small]).decode()], add_special_tokens=False)[0].ids, "<u4")
+            raw, low = ids.tobytes(), 0
+            for i, high in zip(small, (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist(), strict=True):
+                out[i], low = raw[low:high], high
+        rest = [i for i, x in enumerate(out) if not x]
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([parts[i].decode() for i in rest], add_special_tokens=False) if rest else [], strict=True):
+            out[i] = array("I", e.ids).tobytes()
+        return out
 
     def _ids(self, parts: list[bytes]) -> list[bytes]:
         if len(self.young) > REMEMBERED:
@@ -108,12 +132,18 @@ class Pieces:
         data, edges = flat(texts)
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(len(edges), np.int64)
-        special = self._special_places(data, edges)
+        special, solid = self._special_places(data, edges), ~_BLANK[data] if self.dense else None
         data, begins = self.cut(data)
+        if self.dense:  # here a place's cut depends on nothing behind it
+            place = np.concatenate(([0], np.cumsum(solid)))
+            data, begins, edges, special = data[solid], begins[solid], place[edges], [(int(place[a]), int(place[b])) for a, b in special]
+            if not len(data):
+                return np.zeros(0, np.uint32), np.zeros(len(edges), np.int64)
         some = edges[:-1] < edges[1:]
-        begins[edges[1:][some] - 1] = False  # what stands in the next text doesn't matter
+        if not self.dense:
+            begins[edges[1:][some] - 1] = False  # what stands in the next text doesn't matter
         for a, b in special:  # nor what stands on the other side of a special string
-            begins[max(a - 1, 0) : b] = False
+            begins[a if self.dense else max(a - 1, 0) : b] = False
         begins[edges[:-1][some]] = True
         for a, b in special:
             begins[a] = True

@@ -316,3 +316,25 @@ def test_new_queries_on_a_small_table(spark):
     texts = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     assert set(map(tuple, QUERIES["op13_spelling_variants"](spark, SF).collect())) == plain_variants(plain_words(texts))
     assert public_tokenizers.path("piece_bpe_32k.model") == PIECE_BPE
+
+
+# -- parts of the word vocabulary ---------------------------------------------------------------
+
+
+def test_words_are_one_part_with_and_without_a_blank_and_have_the_ids_of_whole_texts():
+    import pyarrow as pa
+
+    from ledgerspark.llm.tokens import Pieces
+
+    coder, seen = Pieces(WORD_BPE, "word"), []
+    whole = coder.tokenizer
+    coder.tokenizer = type("Counting", (), {"encode_batch_fast": lambda self, x, **how: seen.extend(x) or whole.encode_batch_fast(x, **how)})()
+    coder.encode(pa.array(["alphaz betaz alphaz, betaz", "betaz\n étéz 12 "]))
+    assert set(coder.young) == {b"alphaz", b"betaz", b",", "étéz".encode(), b"12"}
+    assert sorted(seen) == [",", "12"]  # words of small letters go to the merges as one text
+
+    rng = random.Random(3)
+    some = ["a", "b", "the", "É", "é", "ß", "÷", "ÿ", "é", "́", " ", "  ", "\n", "\x0b", "\xa0", "　", "\x1c", "\x85", ".", ",", "'s", "'T", "23", "<|endoftext|>", "<|startoftext|>", "<|", "σς", "日", "İ", "ﬁ", "A", " q "]
+    texts = ["".join(rng.choices(some, k=rng.randint(0, 14))) for _ in range(3000)] + ["", "  ", None, " x", "foo x<|endoftext|> y"]
+    ids, edges = coder.encode(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(edges[:-1], edges[1:], strict=True)] == [e.ids for e in whole.encode_batch_fast([x or "" for x in texts], add_special_tokens=False)]
