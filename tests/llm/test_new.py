@@ -338,3 +338,27 @@ def test_words_are_one_part_with_and_without_a_blank_and_have_the_ids_of_whole_t
     texts = ["".join(rng.choices(some, k=rng.randint(0, 14))) for _ in range(3000)] + ["", "  ", None, " x", "foo x<|endoftext|> y"]
     ids, edges = coder.encode(pa.array(texts))
     assert [ids[a:b].tolist() for a, b in zip(edges[:-1], edges[1:], strict=True)] == [e.ids for e in whole.encode_batch_fast([x or "" for x in texts], add_special_tokens=False)]
+
+
+# -- images -------------------------------------------------------------------------------------
+
+
+def test_corners_of_images_below_each_other_are_those_of_each_alone_and_are_stored_once(spark, monkeypatch):
+    import numpy as np
+
+    from ledgerspark.llm import media
+    from ledgerspark.llm.shared import Tables
+
+    rng = np.random.default_rng(1)
+    images = [rng.integers(0, 256, (int(rng.integers(1, 70)), 41)).astype(np.uint8) for _ in range(60)]
+    owner, *columns = media._described(images)
+    for i, x in enumerate(images):
+        assert list(zip(*[c[owner == i].tolist() for c in columns], strict=True)) == media.describe(x)
+
+    kept, drop, keep_at = {}, Tables.drop, Tables.keep_at
+    monkeypatch.setattr(Tables, "keep_at", lambda self, df, *how: (lambda out: kept.update({out[1]: out[0].columns}) or out)(keep_at(self, df, *how)))
+    monkeypatch.setattr(Tables, "drop", lambda self, path: kept.pop(path) and drop(self, path))
+    rows = [(i, 41, x.tobytes()) for i, x in enumerate([*images[:20], images[0], images[1][:0]])]
+    found = {r["image_id"]: r["class_id"] for r in media.copies(spark.createDataFrame(rows, "image_id long, width int, pixels binary")).collect()}
+    assert len(found) == 22 and found[20] == 0
+    assert not [x for x in kept.values() if "corners" in x]  # none is left when the links are sought
