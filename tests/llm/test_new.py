@@ -362,3 +362,41 @@ def test_corners_of_images_below_each_other_are_those_of_each_alone_and_are_stor
     found = {r["image_id"]: r["class_id"] for r in media.copies(spark.createDataFrame(rows, "image_id long, width int, pixels binary")).collect()}
     assert len(found) == 22 and found[20] == 0
     assert not [x for x in kept.values() if "corners" in x]  # none is left when the links are sought
+
+
+def test_near_copies_of_a_large_group_are_verified_without_a_row_for_each_pair(spark, monkeypatch):
+    """Copies with so many edits that only some are alike at 0.8: groups equal brute force, and no table grows with pairs."""
+    from ledgerspark.llm import simhash
+    from ledgerspark.llm.shared import Tables
+
+    rng, n = random.Random(21), 400
+    base = [f"w{i}" for i in range(100)]
+    rows = []
+    for i in range(n):
+        edited = list(base)
+        for at in rng.sample(range(100), rng.choice((1, 2, 3, 4, 5, 6))):
+            edited[at] = f"e{i}x{at}"
+        rows.append((i, " ".join(edited)))
+    words = [t.split() for _, t in rows]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in words]
+    group = list(range(n))
+    for a in range(n):
+        for b in range(a):
+            if group[a] != group[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                low, high = sorted((group[a], group[b]))
+                group = [low if g == high else g for g in group]
+    assert 1 < len(set(group)) < n
+    kept, keep_at = [], Tables.keep_at
+
+    def counted(self, df, codec="snappy"):
+        out = keep_at(self, df, codec)
+        kept.append(out[0].count())
+        return out
+
+    monkeypatch.setattr(Tables, "keep_at", counted)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for how in ({}, {"tile": 16}):
+        kept.clear()
+        got = {r.doc_id: r.first for r in simhash.near_duplicate_groups(frame, buckets=1 << 12, **how).collect()}
+        assert got == dict(enumerate(group))
+        assert max(kept) < 25 * n, kept  # a prefix has 20 shingles; pairs number 200 times n
