@@ -253,8 +253,8 @@ HOT_WORDS = 100_000
 
 
 def _tiled(rows: DataFrame, counted: DataFrame, tile: int, tables: Tables) -> DataFrame:
-    """rows (word, id, ...) with the square (one, two) of its word, a hash of both and the row's part; in order by that hash
-    alone, which Spark sorts by radix.
+    """rows (word, id, ...) with the square (one, two) of its word, a hash of both (a word's first square: the word, twice in a row,
+    which shuffles' codec makes short) and the row's part; in order by that hash alone, which Spark sorts by radix.
 
     counted: rows that may stand under a word of more than `tile` rows."""
     hot = counted.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") > tile).select("word", F.ceil(F.col("n") / tile).cast("int").alias("parts"))
@@ -266,7 +266,8 @@ def _tiled(rows: DataFrame, counted: DataFrame, tile: int, tables: Tables) -> Da
         rows = rows.withColumns({"one": F.least("part", "other"), "two": F.greatest("part", "other")}).drop("parts", "other")
     else:
         rows = rows.withColumns({x: F.lit(0) for x in ("part", "one", "two")})
-    return rows.withColumn("square", F.xxhash64("word", "one", "two")).repartition("square").sortWithinPartitions("square")
+    square = F.when((F.col("one") == 0) & (F.col("two") == 0), F.col("word")).otherwise(F.xxhash64("word", "one", "two")) if n_hot else F.col("word")
+    return rows.withColumn("square", square).repartition("square").sortWithinPartitions("square")
 
 
 def _groups(word: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
@@ -351,8 +352,9 @@ def _linked(batches, num: int, den: int):
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (id_[some], links[some], doc[partner], key[partner], at[partner])], ["id", "n_links", "doc", "key", "at"])
 
 
-def _links(classes: DataFrame, docs: DataFrame, codes, tables: Tables, num: int, den: int, tile: int) -> DataFrame:
-    """id, n_links and near (the least first place of a linked class) of every class with links."""
+def _links(classes: DataFrame, classes_at: str, docs: DataFrame, codes, tables: Tables, num: int, den: int, tile: int) -> tuple[DataFrame, DataFrame]:
+    """id, n_links and near (the least first place of a linked class) of every class with links; and the classes without their
+    prefixes, in place of the table at classes_at."""
     listed = classes.select("id", F.posexplode("prefix").alias("place", "word"), "size", "sign").where("word >= 0")
     code = F.shiftrightunsigned("word", 55)  # from the word's count in all lines, see rarity
     tiled = _tiled(listed, listed.where(code >= int(np.floor(np.log2(8 * tile) * 8)) - 9), 8 * tile, tables)
@@ -361,7 +363,9 @@ def _links(classes: DataFrame, docs: DataFrame, codes, tables: Tables, num: int,
     tables.release()
     tiled = _tiled(some.join(classes.select("id", "prefix"), "id"), some, 4 * tile, tables)
     possible, possible_at = tables.keep_at(tiled.select(*first, "prefix").mapInArrow(lambda x: _possible(x, num, den), ROWS).distinct())
-    tables.drop(some_at)
+    classes = tables.keep(classes.select("id", "hi", "lo", "n", "first"))
+    for path in (some_at, classes_at):
+        tables.drop(path)
     tables.release()
 
     # The words of the lines where those classes stand first.
@@ -382,7 +386,7 @@ def _links(classes: DataFrame, docs: DataFrame, codes, tables: Tables, num: int,
     for path in (possible_at, keyed_at):
         tables.drop(path)
     tables.release()
-    return found
+    return found, classes
 
 
 def matches(docs: DataFrame, num: int = 4, den: int = 5, buckets: int = 1 << 23, tile: int = 1024) -> DataFrame:
@@ -391,12 +395,16 @@ def matches(docs: DataFrame, num: int = 4, den: int = 5, buckets: int = 1 << 23,
     spark, tables = docs.sparkSession, Tables(docs.sparkSession, "lines")
     d = _keyed(docs)
     codes = spark.sparkContext.broadcast(rarity(d, buckets))  # a byte for each bucket
-    lines = tables.keep(_classes(d, codes, num, den))
+    lines, lines_at = tables.keep_at(_classes(d, codes, num, den))
     each = lines.select("doc", "key", F.explode("lines").alias("x")).select("doc", "key", "x.*")
     classes = each.groupBy("hi", "lo").agg(F.min(F.struct("doc", "key", "at")).alias("first"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("sign").alias("sign"), F.first("prefix").alias("prefix"))
-    classes = tables.keep(classes.withColumn("id", F.monotonically_increasing_id()))
+    classes, classes_at = tables.keep_at(classes.withColumn("id", F.monotonically_increasing_id()))
+    # Prefixes are kept once, and no longer than they are read.
+    lines = tables.keep(lines.select("doc_id", "doc", "key", F.transform("lines", lambda x: F.struct(x.at.alias("at"), x.hi.alias("hi"), x.lo.alias("lo"))).alias("lines")))
+    tables.drop(lines_at)
     tables.release()
-    found = _links(classes.select("id", "size", "sign", "prefix", "first"), d, codes, tables, num, den, tile)
+    each = lines.select("doc", "key", F.explode("lines").alias("x")).select("doc", "key", "x.*")
+    found, classes = _links(classes, classes_at, d, codes, tables, num, den, tile)
     told = classes.select("id", "hi", "lo", "n", "first").join(found, "id", "left").where("n > 1 or n_links > 0").select("hi", "lo", F.least("first", F.coalesce("near", "first")).alias("least"), "n_links")
     gone = F.when(F.col("least") < F.struct("doc", "key", "at"), F.col("at"))
     seen = each.select("doc", "key", "at", "hi", "lo").dropDuplicates(["key", "at"]).join(told, ["hi", "lo"])

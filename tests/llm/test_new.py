@@ -400,3 +400,31 @@ def test_near_copies_of_a_large_group_are_verified_without_a_row_for_each_pair(s
         got = {r.doc_id: r.first for r in simhash.near_duplicate_groups(frame, buckets=1 << 12, **how).collect()}
         assert got == dict(enumerate(group))
         assert max(kept) < 25 * n, kept  # a prefix has 20 shingles; pairs number 200 times n
+
+
+def test_prefixes_of_lines_are_kept_once_and_only_while_they_are_read(spark, monkeypatch):
+    """At most one table has prefixes once classes stand, and none has when words are read again."""
+    from ledgerspark.llm import lines
+    from ledgerspark.llm.shared import Tables
+
+    live, seen, keep_at, drop = {}, [], Tables.keep_at, Tables.drop
+
+    def kept(self, df, codec="snappy"):
+        out = keep_at(self, df, codec)
+        live[out[1]] = "prefix" in df.schema.simpleString()
+        seen.append((df.columns, sum(live.values())))
+        return out
+
+    def dropped(self, path):
+        live.pop(path, None)
+        drop(self, path)
+
+    monkeypatch.setattr(Tables, "keep_at", kept)
+    monkeypatch.setattr(Tables, "drop", dropped)
+    words = [f"w{i}" for i in range(12)]
+    rows = [(i, " ".join([*words[:i], f"x{i}", *words[i + 1 :]]) + "\n" + " ".join(words)) for i in range(8)]
+    got = {r.doc_id: (r.removed, r.n_links) for r in lines.matches(spark.createDataFrame(rows, "doc_id long, text string"), buckets=1 << 10).collect()}
+    # Each edited line has 11 of 13 words of the plain one, and 10 of 14 of another.
+    assert got == {i: ([0, 1] if i else [1], 9) for i in range(8)}
+    assert [n for columns, n in seen if columns == ["id", "keys"]] == [0]
+    assert [n for columns, n in seen if columns == ["word", "parts"]][0] == 1
