@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Tables, documents
+from .shared import Tables, documents, lean
 from .tokens import binaries
 
 LAST = (1 << 63) - 1
@@ -135,8 +135,8 @@ def line_words(texts: list[str]):
 def rarity(docs: DataFrame, buckets: int, hashed=line_words) -> np.ndarray:
     """For each bucket a code that grows with the count of its hashes: 1 for one, 2 for two, then in finer and finer steps of
     logarithms. hashed: the hashes of a list of texts, as arrays."""
-    got = docs.select("text").mapInArrow(lambda x: _counts(x, buckets, hashed), "slice int, at binary, n binary").repartition("slice")
-    got = got.mapInArrow(_codes, "slice int, codes binary").toArrow()  # a byte for each bucket
+    got = docs.select("text").mapInArrow(lean(lambda x: _counts(x, buckets, hashed)), "slice int, at binary, n binary").repartition("slice")
+    got = got.mapInArrow(lean(_codes), "slice int, codes binary").toArrow()  # a byte for each bucket
     codes = np.zeros(-(-buckets // SLICE) * SLICE, np.uint8)
     for part, told in zip(*[x.to_pylist() for x in got.columns], strict=True):
         codes[part * SLICE : (part + 1) * SLICE] = np.frombuffer(told, np.uint8)
@@ -190,7 +190,7 @@ def _classes(docs: DataFrame, codes, num: int, den: int) -> DataFrame:
                 done += len(parts)
                 yield pa.RecordBatch.from_arrays([*[some.column(j) for j in range(3)], _lines_of(raw, parts, codes.value, num, den)], ["doc_id", "doc", "key", "lines"])
 
-    return docs.select("doc_id", "doc", "key", "text").mapInArrow(run, LINES)
+    return docs.select("doc_id", "doc", "key", "text").mapInArrow(lean(run), LINES)
 
 
 def _keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -359,10 +359,10 @@ def _links(classes: DataFrame, classes_at: str, docs: DataFrame, codes, tables:
     code = F.shiftrightunsigned("word", 55)  # from the word's count in all lines, see rarity
     tiled = _tiled(listed, listed.where(code >= int(np.floor(np.log2(8 * tile) * 8)) - 9), 8 * tile, tables)
     first = ["square", "word", "one", "two", "part", "size", "id", "place", "sign"]
-    some, some_at = tables.keep_at(tiled.select(*first).mapInArrow(lambda x: _possible(x, num, den), ROWS).distinct())
+    some, some_at = tables.keep_at(tiled.select(*first).mapInArrow(lean(lambda x: _possible(x, num, den)), ROWS).distinct())
     tables.release()
     tiled = _tiled(some.join(classes.select("id", "prefix"), "id"), some, 4 * tile, tables)
-    possible, possible_at = tables.keep_at(tiled.select(*first, "prefix").mapInArrow(lambda x: _possible(x, num, den), ROWS).distinct())
+    possible, possible_at = tables.keep_at(tiled.select(*first, "prefix").mapInArrow(lean(lambda x: _possible(x, num, den)), ROWS).distinct())
     classes = tables.keep(classes.select("id", "hi", "lo", "n", "first"))
     for path in (some_at, classes_at):
         tables.drop(path)
@@ -378,10 +378,10 @@ def _links(classes: DataFrame, classes_at: str, docs: DataFrame, codes, tables:
             flat, line = _sets(b"\n".join(x.encode() for x in batch.column(1).to_pylist()) + b"\n", codes.value)
             yield pa.RecordBatch.from_arrays([batch.column(0), binaries(flat, np.searchsorted(line, np.arange(batch.num_rows + 1)))], ["id", "keys"])
 
-    keyed, keyed_at = tables.keep_at(parts.mapInArrow(words, "id long, keys binary"))
+    keyed, keyed_at = tables.keep_at(parts.mapInArrow(lean(words), "id long, keys binary"))
     tables.release()
     tiled = _tiled(possible.join(classes.select("id", "first.*"), "id").join(keyed, "id"), possible, tile, tables)
-    found = tiled.select(*first, "doc", "key", "at", "keys").mapInArrow(lambda x: _linked(x, num, den), "id long, n_links long, doc long, key long, at int")
+    found = tiled.select(*first, "doc", "key", "at", "keys").mapInArrow(lean(lambda x: _linked(x, num, den)), "id long, n_links long, doc long, key long, at int")
     found = tables.keep(found.groupBy("id").agg(F.sum("n_links").alias("n_links"), F.min(F.struct("doc", "key", "at")).alias("near")))
     for path in (possible_at, keyed_at):
         tables.drop(path)

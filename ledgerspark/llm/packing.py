@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .shared import documents
+from .shared import documents, give_back, lean
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
 
@@ -93,8 +93,9 @@ def cut(docs: DataFrame, tokenizer: str, kind: str, end_id: int, window: int, ke
                 kept = [tokens.binaries(ids, bounds)] if keep_ids else []
                 columns = [some.column(0).take(pa.array(doc)), *[pa.array(x, pa.int64()) for x in (start, np.diff(bounds), crc, n[doc])], *kept]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"][: len(columns)])
+            give_back()
 
-    return documents(docs).mapInArrow(run, PIECE if keep_ids else PIECE.removesuffix(", ids binary"))
+    return documents(docs).mapInArrow(lean(run), PIECE if keep_ids else PIECE.removesuffix(", ids binary"))
 
 
 def pack(docs: DataFrame, tokenizer: str, kind: str = "byte", end_id: int = 0, window: int = 1024, keep_ids: bool = True, docs_per_shard: int = 16_384) -> DataFrame:

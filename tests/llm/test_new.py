@@ -428,3 +428,27 @@ def test_prefixes_of_lines_are_kept_once_and_only_while_they_are_read(spark, mon
     assert got == {i: ([0, 1] if i else [1], 9) for i in range(8)}
     assert [n for columns, n in seen if columns == ["id", "keys"]] == [0]
     assert [n for columns, n in seen if columns == ["word", "parts"]][0] == 1
+
+
+# -- memory of workers --------------------------------------------------------------------------
+
+
+def test_workers_that_wait_after_packing_hold_no_freed_memory(spark):
+    import numpy as np
+    import psutil
+
+    rng = np.random.default_rng(3)
+    words = [f"w{i:x}" for i in range(100_000)]
+    texts = [" ".join(words[i] for i in rng.integers(0, len(words), 300_000)) for _ in range(12)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    packed = packing.cut(frame, BYTE_BPE, "byte", 0, 1024, False)
+    assert packed.agg(F.countDistinct("doc_id")).first()[0] == 12
+
+    def held(batches):
+        import pyarrow as pa
+
+        for _ in batches:
+            pass
+        yield pa.RecordBatch.from_pydict({"mb": [max(p.memory_info().rss >> 20 for p in psutil.Process().parent().children())]})
+
+    assert spark.range(1).mapInArrow(held, "mb long").first().mb < 220  # 169 MB; 266 MB with what Arrow and the C library kept
