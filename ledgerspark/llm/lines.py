@@ -8,7 +8,7 @@ Equal sets are one class with its first place, so copies are never paired. Words
 rarity (their count, through a table of hashed counts of bounded size, ties by hash); each class is
 listed under the words of its prefix, without words that occur once. Under each word the length and
 positional filters and one on hashed parities of the words (which can't drop a match) tell the classes
-that have a possible partner; those classes' words are then read and every pair verified, once, under the
+that have a possible partner, then one on more parities; those classes' words are then read and every pair verified, once, under the
 least word that it shares. Links are counted where they are found, so no table has a row for each: all links of
 a group of near copies count, and tables still don't grow with its square. A word of very many
 classes is split into squares of `tile` by `tile` classes, which tasks share.
@@ -31,7 +31,7 @@ from .shared import Tables, documents, lean
 from .tokens import binaries
 
 LAST = (1 << 63) - 1
-LINES = "doc_id long, doc long, key long, lines array<struct<at:int,hi:long,lo:long,size:int,sign:long,prefix:array<long>>>"
+LINES = "doc_id long, doc long, key long, lines array<struct<at:int,hi:long,lo:long,size:int,sign:long,wide:binary,prefix:array<long>>>"
 
 
 _MIX = [np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
@@ -75,7 +75,7 @@ def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return _mixed((sums[ends] - sums[starts]) * down[starts]), starts, np.flatnonzero(data == 10)
 
 
-def _joined(texts: list[str], most: int = 2_000_000):
+def _joined(texts: list[str], most: int = 500_000):
     """Texts one after another, a line end after each, in parts of about so many bytes: the bytes and their number of texts."""
     parts, size = [], 0
     for text in texts:
@@ -148,8 +148,8 @@ def _sets(raw: bytes, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     h, starts, line_ends = word_hashes(raw)
     keys = codes[(h % np.uint64(len(codes))).astype(np.int64)].astype(np.int64) << 55 | (h >> np.uint64(9)).astype(np.int64)
     line = np.searchsorted(line_ends, starts)
-    # By key, then (stable) by line.
-    order = np.argsort(keys, kind="stable")
+    # By key, then (stable) by line; equal keys of a line are one.
+    order = np.argsort(keys)
     order = order[np.argsort(line[order].astype(np.uint16 if len(line_ends) < 1 << 16 else np.int64), kind="stable")]
     keys, line = keys[order], line[order]
     new = np.ones(len(keys), bool)
@@ -166,7 +166,10 @@ def _lines_of(raw: bytes, parts: list[bytes], codes: np.ndarray, num: int, den:
     at = lines - np.concatenate(([0], last_line))[owner]
     per_text = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(parts)))))
     bits = flat.view(np.uint64)
-    hi, lo, signs = (np.add.reduceat(_mixed(bits, 2, 1), starts), np.add.reduceat(_mixed(bits, 3, 0), starts), np.bitwise_xor.reduceat(np.left_shift(np.uint64(1), bits & np.uint64(63)), starts)) if len(n) else (bits, bits, bits)
+    hi, lo = (np.add.reduceat(_mixed(bits, 2, 1), starts), np.add.reduceat(_mixed(bits, 3, 0), starts)) if len(n) else (bits, bits)
+    one, lane = np.left_shift(np.uint64(1), bits & np.uint64(63)), (bits >> np.uint64(6)).astype(np.uint8) % WIDE
+    wide = np.stack([np.bitwise_xor.reduceat(one * (lane == i), starts) for i in range(WIDE)], 1) if len(n) else np.zeros((0, WIDE), np.uint64)
+    signs = np.bitwise_xor.reduce(wide, axis=1)
     # The prefix, as far as its last word that occurs twice or more; once-words in between leave a hole.
     place = np.arange(len(flat)) - np.repeat(starts, n)
     inside = (place < np.repeat(n - -(-num * n // den) + 1, n)) & np.repeat(n >= num, n)  # smaller sets match their equals alone
@@ -174,13 +177,13 @@ def _lines_of(raw: bytes, parts: list[bytes], codes: np.ndarray, num: int, den:
     length = np.maximum.reduceat(np.where(listed, place + 1, 0), starts) if len(n) else n
     take = place < np.repeat(length, n)
     prefix = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(length))), pa.int32()), pa.array(np.where(listed, flat, -1)[take], pa.int64()))
-    columns = [pa.array(at, pa.int32()), *[pa.array(x.view(np.int64)) for x in (hi, lo)], pa.array(n, pa.int32()), pa.array(signs.view(np.int64)), prefix]
-    return pa.ListArray.from_arrays(pa.array(per_text, pa.int32()), pa.StructArray.from_arrays(columns, ["at", "hi", "lo", "size", "sign", "prefix"]))
+    columns = [pa.array(at, pa.int32()), *[pa.array(x.view(np.int64)) for x in (hi, lo)], pa.array(n, pa.int32()), pa.array(signs.view(np.int64)), binaries(wide, np.arange(len(n) + 1) * WIDE), prefix]
+    return pa.ListArray.from_arrays(pa.array(per_text, pa.int32()), pa.StructArray.from_arrays(columns, ["at", "hi", "lo", "size", "sign", "wide", "prefix"]))
 
 
 def _classes(docs: DataFrame, codes, num: int, den: int) -> DataFrame:
     """Each document's lines with a word: place, the set's 128-bit hash (a sum over its words), size, sign (its words' hashed
-    parities, a bit each) and prefix. Sets are compared by their words' 55-bit hashes here."""
+    parities, a bit each), wide (the same in WIDE times as many bits) and prefix. Sets are compared by their words' 55-bit hashes here."""
 
     def run(batches):
         for batch in batches:
@@ -248,6 +251,9 @@ def _near_pairs(group: np.ndarray, split: np.ndarray, part: np.ndarray, size: np
         step += 1
 
 
+#: Signs of 64 bits in a wide one: by chance two long lines differ in less of few bits than they may.
+WIDE = 4
+
 #: Words of more classes than a square holds are broadcast up to this number, and joined beyond it.
 HOT_WORDS = 100_000
 
@@ -278,16 +284,22 @@ ROWS = "word long, id long, size int, place int, sign long"
 
 
 def _possible(batches, num: int, den: int):
-    """The rows (see _tiled) that have a partner by the filters. With prefixes: one that shares no word before theirs, so
-    that each pair is left under one word alone."""
+    """The rows (see _tiled) that have a partner by the filters. With prefixes and wide signs: one that shares no word before
+    theirs, so that each pair is left under one word alone, and passes by its wide sign as well."""
     for word, one, two, part, size, id_, place, sign, *prefix in _squares(batches):
         group, found = _groups(word, one, two), np.zeros(len(word), bool)
         if prefix:
+            wide = np.frombuffer(b"".join(prefix[1].to_pylist()), np.uint64).reshape(-1, WIDE)
             flat, row = prefix[0].flatten().to_numpy(), np.repeat(np.arange(len(word)), prefix[0].value_lengths().to_numpy())
             early = (flat >= 0) & (flat < word[row])
             width, start, bits, *_ = _bitsets(group, flat[early], row[early])
         for i, j in _near_pairs(group, one != two, part, size, place, sign, num, den):
             if prefix:
+                both = size[i] + size[j]
+                near = np.bitwise_count(wide[i] ^ wide[j]).sum(1, dtype=np.int64) <= both - 2 * -(-num * both // (num + den))
+                i, j = i[near], j[near]
+                if not len(i):
+                    continue
                 shared = np.zeros(len(i), bool)
                 for k in range(int(width[i].max())):
                     on = np.flatnonzero(width[i] > k)
@@ -361,8 +373,8 @@ def _links(classes: DataFrame, classes_at: str, docs: DataFrame, codes, tables:
     first = ["square", "word", "one", "two", "part", "size", "id", "place", "sign"]
     some, some_at = tables.keep_at(tiled.select(*first).mapInArrow(lean(lambda x: _possible(x, num, den)), ROWS).distinct())
     tables.release()
-    tiled = _tiled(some.join(classes.select("id", "prefix"), "id"), some, 4 * tile, tables)
-    possible, possible_at = tables.keep_at(tiled.select(*first, "prefix").mapInArrow(lean(lambda x: _possible(x, num, den)), ROWS).distinct())
+    tiled = _tiled(some.join(classes.select("id", "prefix", "wide"), "id"), some, 4 * tile, tables)
+    possible, possible_at = tables.keep_at(tiled.select(*first, "prefix", "wide").mapInArrow(lean(lambda x: _possible(x, num, den)), ROWS).distinct())
     classes = tables.keep(classes.select("id", "hi", "lo", "n", "first"))
     for path in (some_at, classes_at):
         tables.drop(path)
@@ -397,7 +409,7 @@ def matches(docs: DataFrame, num: int = 4, den: int = 5, buckets: int = 1 << 23,
     codes = spark.sparkContext.broadcast(rarity(d, buckets))  # a byte for each bucket
     lines, lines_at = tables.keep_at(_classes(d, codes, num, den))
     each = lines.select("doc", "key", F.explode("lines").alias("x")).select("doc", "key", "x.*")
-    classes = each.groupBy("hi", "lo").agg(F.min(F.struct("doc", "key", "at")).alias("first"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("sign").alias("sign"), F.first("prefix").alias("prefix"))
+    classes = each.groupBy("hi", "lo").agg(F.min(F.struct("doc", "key", "at")).alias("first"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("sign").alias("sign"), F.first("wide").alias("wide"), F.first("prefix").alias("prefix"))
     classes, classes_at = tables.keep_at(classes.withColumn("id", F.monotonically_increasing_id()))
     # Prefixes are kept once, and no longer than they are read.
     lines = tables.keep(lines.select("doc_id", "doc", "key", F.transform("lines", lambda x: F.struct(x.at.alias("at"), x.hi.alias("hi"), x.lo.alias("lo"))).alias("lines")))

@@ -430,6 +430,27 @@ def test_prefixes_of_lines_are_kept_once_and_only_while_they_are_read(spark, mon
     assert [n for columns, n in seen if columns == ["word", "parts"]][0] == 1
 
 
+def test_long_lines_that_share_a_rare_word_alone_are_not_read_again(spark, monkeypatch):
+    """Lines of 200 words with about half of them in common: 64 parities can't tell them from alike ones, a wide sign can."""
+    from ledgerspark.llm import lines
+    from ledgerspark.llm.shared import Tables
+
+    rng, keep_at, read = random.Random(5), Tables.keep_at, []
+
+    def kept(self, df, codec="snappy"):
+        out = keep_at(self, df, codec)
+        if df.columns == ["id", "keys"]:
+            read.append(out[0].count())
+        return out
+
+    monkeypatch.setattr(Tables, "keep_at", kept)
+    texts = [rng.sample([f"w{i}" for i in range(400)], 200) for _ in range(20)]
+    texts.append([*[f"x{i}" for i in range(20)], *texts[0][20:]])  # 180 of 220 words
+    got = {r.doc_id: (r.removed, r.n_links) for r in lines.matches(docs_of(spark, [" ".join(x) for x in texts]), buckets=1 << 10).collect()}
+    assert got == {i: ([0] if i == 20 else [], 1 if i in (0, 20) else 0) for i in range(21)}
+    assert read == [2]  # 21 with 64 parities alone
+
+
 # -- memory of workers --------------------------------------------------------------------------
 
 
