@@ -23,6 +23,11 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), lambda x: body(x)), 1)
 
 
+def ascii_edges(pattern: str) -> str:
+    """The pattern with \\b between ASCII word characters and all others, as JavaScript and SQL have it; Java's counts letters of every alphabet."""
+    return pattern.replace(r"\b", r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))")
+
+
 def clean_space(value: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(text_of(value), " ", " "), r"\s+", " "))
 
@@ -312,9 +317,9 @@ def names_overlap(a: Column, b: Column) -> Column:
 def address_parts(value: Column) -> Column:
     """struct(house, postcode, town) that tells a place."""
     v = text_of(value)
-    codes = F.regexp_extract_all(v, F.lit(r"\b(\d{5})(?:-\d{4})?\b"))
-    town = F.concat_ws(" ", F.trim(F.lower(F.regexp_extract(v, L.TOWN, 1))), F.lower(F.regexp_extract(v, L.TOWN, 2)))
-    return F.struct(F.lower(_group(v, r"\b(\d+[A-Za-z]?)\b", 1)).alias("house"), F.get(codes, F.size(codes) - 1).alias("postcode"), F.when(v.rlike(L.TOWN), town).alias("town"))
+    codes, place = F.regexp_extract_all(v, F.lit(ascii_edges(r"\b(\d{5})(?:-\d{4})?\b"))), ascii_edges(L.TOWN)
+    town = F.concat_ws(" ", F.trim(F.lower(F.regexp_extract(v, place, 1))), F.lower(F.regexp_extract(v, place, 2)))
+    return F.struct(F.lower(_group(v, ascii_edges(r"\b(\d+[A-Za-z]?)\b"), 1)).alias("house"), F.get(codes, F.size(codes) - 1).alias("postcode"), F.when(v.rlike(place), town).alias("town"))
 
 
 def same_address(a: Column, b: Column) -> Column:

@@ -191,5 +191,5 @@ def company_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 def address_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What tells a place on every line that has a street, a town or a post box."""
     line = F.col("line")
-    d = S.explode_lines(texts(spark, sf_dir)).where(line.rlike(L.STREET) | line.rlike(r"[A-Za-z]\s+\d{5}") & line.rlike(L.TOWN) | line.rlike(L.POST_BOX))
+    d = S.explode_lines(texts(spark, sf_dir)).where(line.rlike(T.ascii_edges(L.STREET)) | line.rlike(r"[A-Za-z]\s+\d{5}") & line.rlike(T.ascii_edges(L.TOWN)) | line.rlike(L.POST_BOX))
     return d.select("doc_id", "line_no", "line", T.address_parts(line).alias("p")).select("doc_id", "line_no", "line", "p.house", "p.postcode", "p.town")
