@@ -473,3 +473,23 @@ def test_workers_that_wait_after_packing_hold_no_freed_memory(spark):
         yield pa.RecordBatch.from_pydict({"mb": [max(p.memory_info().rss >> 20 for p in psutil.Process().parent().children())]})
 
     assert spark.range(1).mapInArrow(held, "mb long").first().mb < 220  # 169 MB; 266 MB with what Arrow and the C library kept
+
+
+def test_pipeline_drops_what_operator_4_links(spark):
+    """Texts whose fingerprints operator 4 links are near duplicates for the pipeline too, also when few of their passages are equal."""
+    import corpus_pipeline
+    from ledgerspark.llm import simhash
+
+    rng = random.Random(5)
+    rows, no = [(0, "one two three"), (1, "four five six")], 10
+    for _ in range(12):
+        part = " ".join(f"w{rng.randint(0, 9999)}" for _ in range(40))
+        often = " ".join([part] * 12)  # said twelve times; the ends differ
+        rows += [(no + i, f"{often} {' '.join(f'{k}{rng.randint(0, 9999)}' for _ in range(60))}") for i, k in enumerate("xy")]
+        no += 10
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    linked = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
+    stay = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}
+    by_shingles = {r.doc_id for r in simhash.near_duplicate_groups(docs).collect() if r.doc_id == r.first}
+    assert by_shingles == set(linked) and len(set(linked.values())) < len(rows)  # none is alike at 0.8
+    assert stay == set(linked.values())
