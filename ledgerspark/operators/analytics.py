@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
+from ..functions import text as T
 from ..functions.money import MONEY, amount_when, count_when, ratio2, round2
 
 
@@ -138,10 +139,13 @@ def nsf_summary(txns: DataFrame) -> DataFrame:
 
 def funder(description: Column) -> Column:
     """The funder that a description names; null for none, an exclusion or a plain Capital One payment."""
-    d = normal(description)
-    name = functools.reduce(lambda rest, f: F.when(has_any(d, f[1]), f[0]).otherwise(rest), reversed(L.FUNDERS), F.when(has_any(d, L.GENERIC_TERMS), L.GENERIC_FUNDER))
-    plain = d.contains("capital one") & ~d.rlike(L.BANK_LOAN_WORDS)
-    return F.when(~has_any(d, L.NOT_ADVANCES) & ~plain, name)
+
+    def named(d: Column) -> Column:
+        name = functools.reduce(lambda rest, f: F.when(has_any(d, f[1]), f[0]).otherwise(rest), reversed(L.FUNDERS), F.when(has_any(d, L.GENERIC_TERMS), L.GENERIC_FUNDER))
+        plain = d.contains("capital one") & ~d.rlike(L.BANK_LOAN_WORDS)
+        return F.when(~has_any(d, L.NOT_ADVANCES) & ~plain, name)
+
+    return T.let(normal(description), named)  # else a filter normalizes it for each word, in more code than a JVM method holds
 
 
 def match_funder(txns: DataFrame) -> DataFrame:
@@ -161,22 +165,40 @@ def classify_cadence(txns: DataFrame, keys: list[str]) -> DataFrame:
     return g.withColumn("cadence", cadence(F.col("n"), F.col("dates"), F.col("first_date"), F.col("last_date")))
 
 
-def typical_amount(txns: DataFrame, keys: list[str]) -> DataFrame:
-    """The amount that repeats most, else the median. Of equally frequent amounts, whole ones ascending come first, then the first seen.
+def payments(txns: DataFrame, keys: list[str]) -> DataFrame:
+    """A row per keys: n, dates, first_date, last_date and typical_amount, which is the amount that repeats most, else the median.
+    Of equally frequent amounts, whole ones ascending come first, then the first seen.
+
+    Rows are read once and counted per amount first, so no list or map of amounts is gathered; medians are places in a window."""
+    per = txns.groupBy(*keys, "amount").agg(F.count("*").alias("times"), F.min("txn_no").alias("first"), F.count("txn_date").alias("dates"), F.min("txn_date").alias("first_date"), F.max("txn_date").alias("last_date"))
+    c, whole = F.col, F.col("amount") == F.floor("amount")
+    order = Window.partitionBy(*keys).orderBy("amount")
+    before, group = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    known = F.when(c("amount").isNotNull(), c("times")).otherwise(0)
+    per = per.withColumns({"upto": F.sum(known).over(before), "known": F.sum(known).over(group), "most": F.max("times").over(group)})
+
+    def at(place: Column) -> Column:
+        return F.max(F.when(c("amount").isNotNull() & (place < c("upto")) & (place >= c("upto") - c("times")), c("amount").cast("double")))
+
+    often = c("times") == c("most")
+    g = per.groupBy(*keys).agg(
+        F.sum("times").alias("n"), F.sum("dates").alias("dates"), F.min("first_date").alias("first_date"), F.max("last_date").alias("last_date"), F.max("most").alias("most"),
+        F.coalesce(F.min(F.when(often & whole, c("amount"))), F.min_by("amount", F.when(often, c("first")))).alias("mode"),
+        at(F.floor((c("known") - 1) / 2)).alias("low"), at(F.floor(c("known") / 2)).alias("high"),
+    )
+    typical = F.when(c("most") >= 2, c("mode").cast("double")).otherwise(round2(F.round(0.5 * c("low") + 0.5 * c("high"), 6)))
+    return g.select(*keys, "n", "dates", "first_date", "last_date", typical.alias("typical_amount"))
 
-    Rows are counted per amount first, so no list of amounts is gathered."""
-    per = txns.groupBy(*keys, "amount").agg(F.count("*").alias("times"), F.min("txn_no").alias("first"))
-    whole = F.col("amount") == F.floor("amount")
-    order = F.struct(-F.col("times"), F.when(whole, 0).otherwise(1), F.when(whole, F.col("amount")).otherwise(F.lit(0)), F.col("first"))
-    g = per.groupBy(*keys).agg(F.max("times").alias("most"), F.min_by("amount", order).alias("mode"), F.expr("percentile(amount, 0.5, times)").alias("middle"))
-    return g.select(*keys, F.when(F.col("most") >= 2, F.col("mode").cast("double")).otherwise(round2(F.round("middle", 6))).alias("typical_amount"))
+
+def typical_amount(txns: DataFrame, keys: list[str]) -> DataFrame:
+    """The amount that repeats most, else the median (see payments)."""
+    return payments(txns, keys).select(*keys, "typical_amount")
 
 
 def advance_positions(txns: DataFrame) -> DataFrame:
     """One row per document and funder: payments, cadence, monthly burden and status."""
-    t = match_funder(debits(txns)).where("funder is not null")
-    keys = ["doc_id", "funder"]
-    g = classify_cadence(t, keys).join(typical_amount(t, keys), keys)
+    g = payments(match_funder(debits(txns)).where("funder is not null"), ["doc_id", "funder"])
+    g = g.withColumn("cadence", cadence(F.col("n"), F.col("dates"), F.col("first_date"), F.col("last_date")))
     days = F.datediff("last_date", "first_date")
     months = F.when(F.col("dates") < 2, F.lit(1.0)).otherwise(F.greatest(F.lit(1.0), round2(days / 30)))
     a = F.col("typical_amount")
