@@ -51,9 +51,9 @@ def statement_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", n.alias("arrival_no"), F.lit("statement.pdf").alias("filename"), text.alias("raw_text"), (n % 3 == 0).alias("used_ocr"), F.lit(3).alias("page_count"), F.when(n % 8 == 3, 1).otherwise(3).alias("pages_read"))
 
 
-def _statement_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    told = facts.told_by_text(statement_docs(spark, sf_dir), 2026)
-    return facts.document_facts(store.bucketed(told, "doc_id", int(spark.conf.get("spark.sql.shuffle.partitions"))))
+def _told(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statements' texts with what columns tell of them, in buckets of the document."""
+    return store.bucketed(facts.told_by_text(statement_docs(spark, sf_dir), 2026), "doc_id", int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def _by_layout(name: str) -> str:
@@ -122,7 +122,7 @@ def _shown(d: DataFrame) -> DataFrame:
 @query(f"{FACTS} SELECT {', '.join(COLUMNS)} FROM statement_facts")
 def statement_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts of a statement per account, each column of one row."""
-    return _shown(_statement_facts(spark, sf_dir))
+    return _shown(facts.document_facts(_told(spark, sf_dir)))
 
 
 def _again(sql: str, names: tuple[str, ...]) -> str:
@@ -144,7 +144,8 @@ judged_again AS (SELECT * REPLACE (true_revenue AS revenue, 'transactions' AS re
 @query(f"{CORRECTED} SELECT {', '.join(COLUMNS)} FROM judged_again UNION ALL SELECT {', '.join(COLUMNS)} FROM statement_facts WHERE doc_id NOT IN (SELECT doc_id FROM touched)")
 def recompute_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The facts after corrections to every fifth account: each fourth row becomes a debit, each seventh amount 7.25."""
-    t = statements.parse_transactions(facts.told_by_text(statement_docs(spark, sf_dir), 2026).select("doc_id", "raw_text", "statement_year")).where("doc_id % 5 = 0")
+    told = _told(spark, sf_dir)
+    t = store.kept(statements.parse_transactions(told.where("doc_id % 5 = 0").select("doc_id", "raw_text", "statement_year")))
     turned = t.where("txn_no % 4 = 1").select("doc_id", "txn_no", F.lit("direction").alias("field"), F.lit("debit").alias("value"), F.lit(1).alias("corrected_no"))
     priced = t.where("txn_no % 7 = 0").select("doc_id", "txn_no", F.lit("amount").alias("field"), F.lit("7.25").alias("value"), F.lit(1).alias("corrected_no"))
-    return _shown(facts.recomputed(store.kept(_statement_facts(spark, sf_dir)), store.kept(t), turned.unionByName(priced)))
+    return _shown(facts.recomputed(store.kept(facts.document_facts(told)), t, turned.unionByName(priced)))

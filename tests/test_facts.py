@@ -129,3 +129,26 @@ def test_corrections_touch_only_their_documents(spark, tmp_path, table, found):
     assert (got[1]["true_revenue"], got[1]["reconciles"], got[1]["reconcile_reason"], got[1]["revenue_source"]) == (80.0, False, "mismatch", "transactions")
     assert got[1]["reconcile_difference"] == -120.0 and got[8]["review_ratio"] == 0.0 and want[8]["review_ratio"] == 0.5
     assert facts.correct_store(path, txns, fixes.limit(0), 16) == []
+
+
+def test_recompute_reads_the_tables_once(spark, monkeypatch):
+    """Statements are rendered once for facts, rows and corrections, which read tables that stand already."""
+    from ledgerspark.plans import fact_queries
+
+    rendered, given = [], {}
+
+    def docs(spark, sf_dir, made=fact_queries.statement_docs):
+        rendered.append(sf_dir)
+        return made(spark, sf_dir)
+
+    def recomputed(facts, txns, corrections):
+        given.update(facts=facts, txns=txns, corrections=corrections)
+        return facts
+
+    monkeypatch.setattr(fact_queries, "statement_docs", docs)
+    monkeypatch.setattr(fact_queries.facts, "recomputed", recomputed)
+    monkeypatch.setattr(fact_queries.facts, "document_facts", lambda told: told.selectExpr("doc_id", *[f"null as {x}" for x in fact_queries.COLUMNS if x != "doc_id"]))
+    fact_queries.recompute_facts(spark, "/root/testdata/sf0.001")
+    assert len(rendered) == 1
+    for name, df in given.items():
+        assert not any("events.parquet" in x for x in df.inputFiles()), name
